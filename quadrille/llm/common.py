@@ -31,6 +31,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of whole texts must be small: lowers the session's Arrow batch size to BATCH_ROWS."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def map_rows(df: DataFrame, columns: list[Column], schema: str, make: Callable[[], Callable[..., list[tuple] | tuple | None]], weigh: int = 0) -> DataFrame:
     """Runs a Python function on each row; the batches that come and go are bounded by characters.
 
@@ -40,9 +46,7 @@ def map_rows(df: DataFrame, columns: list[Column], schema: str, make: Callable[[
     """
     source = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
     arrow = _arrow_schema(_schema(schema))
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from quadrille.llm.mixing import OP7_SQL, op7_pareto_mix
+from quadrille.llm.quality import op1_quality_rules
 from quadrille.llm.url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op7_pareto_mix": op7_pareto_mix,
     "op10_url_filter": op10_url_filter,
 }
