@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: White space between words, as a class of ASCII characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,7 +47,7 @@ def map_rows(df: DataFrame, columns: list[Column], schema: str, make: Callable[[
     counts for closing a batch.
     """
     source = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
-    arrow = _arrow_schema(_schema(schema))
+    arrow = arrow_schema(schema)
     bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,10 +65,10 @@ def map_rows(df: DataFrame, columns: list[Column], schema: str, make: Callable[[
                     rows.append(out)
                 held += len(values[weigh]) if isinstance(values[weigh], (str, bytes)) else 1
                 if len(rows) >= BATCH_ROWS or held >= BATCH_CHARS:
-                    yield _batch(rows, arrow)
+                    yield make_batch(rows, arrow)
                     rows, held = [], 0
         if rows:
-            yield _batch(rows, arrow)
+            yield make_batch(rows, arrow)
 
     return source.mapInArrow(run, schema)
 
@@ -78,19 +80,11 @@ def _values(column: pa.Array) -> Iterator:
     return iter(column.to_pylist())
 
 
-def _schema(ddl: str):
-    from pyspark.sql.types import StructType
+def arrow_schema(ddl: str) -> pa.Schema:
+    return pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(ddl)])
 
-    return StructType.fromDDL(ddl)
 
-
-def _arrow_schema(fields) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in fields])
-
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+def make_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 

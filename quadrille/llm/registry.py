@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from quadrille.llm.chat import OP2_SQL, op2_chat_format
+from quadrille.llm.media import op5_media_columns
 from quadrille.llm.mixing import OP7_SQL, op7_pareto_mix
 from quadrille.llm.quality import op1_quality_rules
 from quadrille.llm.url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_chat_format": op2_chat_format,
+    "op5_media_columns": op5_media_columns,
     "op7_pareto_mix": op7_pareto_mix,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLES = {
+    "op2_chat_format": OP2_SQL,
     "op7_pareto_mix": OP7_SQL,
     "op10_url_filter": OP10_SQL,
 }
