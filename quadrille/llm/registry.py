@@ -6,12 +6,14 @@ from quadrille.llm.chat import OP2_SQL, op2_chat_format
 from quadrille.llm.media import op5_media_columns
 from quadrille.llm.mixing import OP7_SQL, op7_pareto_mix
 from quadrille.llm.quality import op1_quality_rules
+from quadrille.llm.simhash import op6_simhash_dedup
 from quadrille.llm.url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
     "op5_media_columns": op5_media_columns,
+    "op6_simhash_dedup": op6_simhash_dedup,
     "op7_pareto_mix": op7_pareto_mix,
     "op10_url_filter": op10_url_filter,
 }
