@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quadrille.llm.bpe import op4_bpe
 from quadrille.llm.chat import OP2_SQL, op2_chat_format
+from quadrille.llm.license_scan import op3_license_scan
 from quadrille.llm.media import op5_media_columns
 from quadrille.llm.mixing import OP7_SQL, op7_pareto_mix
 from quadrille.llm.quality import op1_quality_rules
@@ -13,6 +14,7 @@ from quadrille.llm.url_filter import OP10_SQL, op10_url_filter
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
+    "op3_license_scan": op3_license_scan,
     "op4_bpe": op4_bpe,
     "op5_media_columns": op5_media_columns,
     "op6_simhash_dedup": op6_simhash_dedup,
