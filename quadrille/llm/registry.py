@@ -5,6 +5,7 @@ from __future__ import annotations
 from quadrille.llm.bpe import op4_bpe
 from quadrille.llm.chat import OP2_SQL, op2_chat_format
 from quadrille.llm.license_scan import op3_license_scan
+from quadrille.llm.lm import op8_lm_scoring
 from quadrille.llm.media import op5_media_columns
 from quadrille.llm.mixing import OP7_SQL, op7_pareto_mix
 from quadrille.llm.quality import op1_quality_rules
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_media_columns": op5_media_columns,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_pareto_mix": op7_pareto_mix,
+    "op8_lm_scoring": op8_lm_scoring,
     "op10_url_filter": op10_url_filter,
 }
 
