@@ -22,9 +22,10 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from itertools import islice
+from itertools import batched, islice
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -33,26 +34,32 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import BATCH_ROWS, arrow_schema, bound_batches, make_batch, table
 
 SQL_WORD = 48
-#: Words in a DuckDB query, in a generation of the cache (there are two), and in a piece of a long text.
-QUERY_WORDS, CACHE_WORDS, PIECE_WORDS = 40_000, 120_000, 200_000
+#: Words in a DuckDB query, in the cache, and in a piece of a long text.
+QUERY_WORDS, CACHE_WORDS, PIECE_WORDS = 40_000, 700_000, 200_000
 #: Characters of text that are gathered before DuckDB is asked about their new words.
 GATHER_CHARS = 2_000_000
 DUCKDB_MEMORY = "200MB"
 
-#: A word without a mergeable pair gets step -1 and takes no part in the next round.
+#: k is word << 8 | position. A word without a mergeable pair gets step -1 and takes no part in the next round.
 _ENCODE = """
-WITH RECURSIVE steps(i, w, p, t) AS (
-  SELECT 0, w, p, t FROM bytes_of_words
+INSERT INTO encoded
+WITH RECURSIVE steps(i, k, t) AS (
+  SELECT 0, k, t FROM bytes_of_words
   UNION ALL (
     WITH near AS (
-      SELECT i, w, p, t, lead(t) OVER word AS right_t, lag(p) OVER word AS left_p FROM steps WHERE i >= 0 WINDOW word AS (PARTITION BY w ORDER BY p)),
+      SELECT i, k, t, lead(t) OVER place AS right_t, lead(k) OVER place AS right_k, lag(k) OVER place AS left_k
+      FROM steps WHERE i >= 0 WINDOW place AS (ORDER BY k)),
     best AS (
-      SELECT near.w, min((m.n::BIGINT << 8) | near.p) AS best FROM near JOIN merges m ON m.ab = ((near.t::BIGINT << 32) | near.right_t) GROUP BY near.w)
-    SELECT CASE WHEN best IS NULL THEN -1 ELSE i + 1 END, near.w, p, CASE WHEN p = best & 255 THEN (best >> 8)::INTEGER ELSE t END
-    FROM near LEFT JOIN best ON near.w = best.w
-    WHERE best IS NULL OR left_p IS DISTINCT FROM best & 255))
-SELECT w, string_agg(t::VARCHAR, ' ' ORDER BY p) AS ids FROM steps WHERE i < 0 GROUP BY w
+      SELECT near.k >> 8 AS w, min((m.n::BIGINT << 32) | near.k) AS best
+      FROM near JOIN merges m ON m.ab = ((near.t::BIGINT << 32) | near.right_t)
+      WHERE near.right_k >> 8 = near.k >> 8 GROUP BY near.k >> 8)
+    SELECT CASE WHEN best IS NULL THEN -1 ELSE i + 1 END, k, CASE WHEN k = best & 4294967295 THEN (best >> 32)::INTEGER ELSE t END
+    FROM near LEFT JOIN best ON near.k >> 8 = best.w
+    WHERE best IS NULL OR left_k IS DISTINCT FROM best & 4294967295))
+SELECT k >> 8, k & 255, t FROM steps WHERE i < 0
 """
+_IDS = "SELECT w, string_agg(t::VARCHAR, ' ' ORDER BY p) AS ids FROM encoded GROUP BY w"
+_DECODE = "SELECT w, string_agg(hex, '' ORDER BY p) AS hex FROM encoded JOIN vocabulary ON t = id GROUP BY w"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -75,32 +82,65 @@ class Bpe:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "preserve_insertion_order": False})
         self._load("merges", pa.table({"ab": pa.array(pairs["ab"], pa.int64()), "n": pa.array(pairs["n"], pa.int32())}))
         self._load("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
-        self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("loaded", rows)
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS FROM loaded")
         self.db.unregister("loaded")
 
-    def encode_words(self, words: list[bytes]) -> list[str]:
-        """The decimal ids of each word, joined by spaces; the words must not be empty."""
-        out: list[str | None] = [str(self.ranks[w]) if w in self.ranks else None for w in words]
-        numbers, places, tokens = [], [], []
-        for k, word in enumerate(words):
-            if out[k] is None:
-                if len(word) > SQL_WORD:
-                    out[k] = " ".join(map(str, self.merge_long(word)))
-                else:
-                    numbers += [k] * len(word)
-                    places += range(len(word))
-                    tokens += map(self.byte_ids.__getitem__, word)
-        if numbers:
-            self._load("bytes_of_words", pa.table({"w": pa.array(numbers, pa.int32()), "p": pa.array(places, pa.int32()), "t": pa.array(tokens, pa.int32())}))
-            found = self.db.sql(_ENCODE).to_arrow_table()
-            for k, ids in zip(found["w"].to_pylist(), found["ids"].to_pylist(), strict=True):
-                out[k] = ids
+    def _encode(self, words: list[bytes]) -> None:
+        """Fills the table `encoded` with the tokens of each word, by its number; the words must not be empty."""
+        self.db.execute("CREATE OR REPLACE TABLE encoded (w INTEGER, p INTEGER, t INTEGER)")
+        short, ready = [], []
+        for w, word in enumerate(words):
+            if word in self.ranks:
+                ready.append((w, 0, self.ranks[word]))
+            elif len(word) > SQL_WORD:
+                ready += [(w, p, t) for p, t in enumerate(self.merge_long(word))]
+            else:
+                short.append(w)
+        if ready:
+            self._insert(*zip(*ready, strict=True))
+        if short:
+            some = [words[w] for w in short]
+            lengths = np.fromiter(map(len, some), np.int64, len(some))
+            starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+            k = (np.repeat(np.array(short), lengths) << 8) + np.arange(len(starts)) - starts
+            tokens = self.byte_ids[np.frombuffer(b"".join(some), np.uint8)]
+            self._load("bytes_of_words", pa.table({"k": k.astype(np.int32), "t": tokens}))
+            self.db.execute(_ENCODE)
+
+    def _insert(self, w, p, t) -> None:
+        self.db.register("loaded", pa.table({"w": pa.array(w, pa.int32()), "p": pa.array(p, pa.int32()), "t": pa.array(t, pa.int32())}))
+        self.db.execute("INSERT INTO encoded FROM loaded")
+        self.db.unregister("loaded")
+
+    def _read(self, query: str, n: int) -> list[str]:
+        found = self.db.sql(query).to_arrow_table()
+        out = [""] * n
+        for w, x in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+            out[w] = x
         return out
 
+    def encode_words(self, words: list[bytes]) -> list[str]:
+        """The decimal ids of each word, joined by spaces."""
+        self._encode(words)
+        return self._read(_IDS, len(words))
+
+    def decode(self, sequences: list[str]) -> list[bytes]:
+        """The bytes of each sequence of decimal ids joined by spaces."""
+        self.db.execute("CREATE OR REPLACE TABLE encoded (w INTEGER, p INTEGER, t INTEGER)")
+        rows = [(w, p, int(t)) for w, ids in enumerate(sequences) for p, t in enumerate(ids.split())]
+        if rows:
+            self._insert(*zip(*rows, strict=True))
+        return [bytes.fromhex(x) for x in self._read(_DECODE, len(sequences))]
+
+    def round_trip(self, words: list[bytes]) -> tuple[list[str], list[bytes]]:
+        """The ids of each word and the bytes decoded from them."""
+        self._encode(words)
+        return self._read(_IDS, len(words)), [bytes.fromhex(x) for x in self._read(_DECODE, len(words))]
+
     def merge_long(self, word: bytes) -> list[int]:
         """The same contraction for a word of any length, by a heap of (rank, position)."""
         n = len(word)
@@ -128,43 +168,26 @@ class Bpe:
             at = ends[at]
         return found
 
-    def decode(self, sequences: list[str]) -> list[bytes]:
-        """The bytes of each sequence of decimal ids joined by spaces."""
-        self.db.register("loaded", pa.table({"s": pa.array(range(len(sequences)), pa.int32()), "ids": sequences}))
-        found = self.db.sql("""
-            SELECT s, string_agg(hex, '' ORDER BY p) AS hex
-            FROM (SELECT s, unnest(string_split(ids, ' '))::INTEGER AS id, generate_subscripts(string_split(ids, ' '), 1) AS p FROM loaded WHERE ids <> '')
-            JOIN vocabulary USING (id) GROUP BY s""").to_arrow_table()
-        self.db.unregister("loaded")
-        out = [b""] * len(sequences)
-        for s, x in zip(found["s"].to_pylist(), found["hex"].to_pylist(), strict=True):
-            out[s] = bytes.fromhex(x)
-        return out
-
 
 class CachedBpe:
-    """A Bpe that remembers (ids, bytes decoded from them) of the words met lately, in two generations."""
+    """A Bpe that remembers the ids, and the bytes decoded from them, of up to CACHE_WORDS words."""
 
     def __init__(self, path: str) -> None:
-        self.bpe, self.young, self.old = Bpe(path), {}, {}
-
-    def resolve(self, words: set[str]) -> dict[str, tuple[str, bytes]]:
-        """ids and decoded bytes of each word."""
-        known, new = {}, []
-        for w in words:
-            entry = self.young.get(w) or self.old.get(w)
-            if entry is None:
-                new.append(w)
-            else:
-                known[w] = entry
-        for k in range(0, len(new), QUERY_WORDS):
-            some = new[k : k + QUERY_WORDS]
-            ids = self.bpe.encode_words([w.encode() for w in some])
-            known.update(zip(some, zip(ids, self.bpe.decode(ids), strict=True), strict=True))
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        self.young.update(islice(((w, e) for w, e in known.items() if len(w) <= SQL_WORD), CACHE_WORDS))
-        return known
+        self.bpe, self.ids, self.decoded = Bpe(path), {}, {}
+
+    def learn(self, words: set[str]) -> None:
+        """Afterwards `ids` and `decoded` have each of the words."""
+        new = words - self.ids.keys()
+        if len(self.ids) + len(new) > CACHE_WORDS:
+            self.ids, self.decoded, new = {}, {}, words
+        for some in batched(new, QUERY_WORDS):
+            ids, decoded = self.bpe.round_trip([w.encode() for w in some])
+            self.ids.update(zip(some, ids, strict=True))
+            self.decoded.update(zip(some, decoded, strict=True))
+
+    def encode(self, words: list[str]) -> tuple[str, bytes]:
+        """The ids of learnt words in order, joined by spaces, and the bytes decoded from them."""
+        return " ".join(map(self.ids.__getitem__, words)), b"".join(map(self.decoded.__getitem__, words))
 
 
 _ENCODERS: dict[str, CachedBpe] = {}
@@ -193,20 +216,23 @@ def encoded(texts: Iterator[tuple[tuple, str]], path: str, pattern: str) -> Iter
     """
     bpe, cut = encoder(path), regex.compile(pattern)
 
-    def joined(words: list[str], known: dict) -> tuple[str, bytes]:
-        entries = [known[w] for w in words]
-        return " ".join([e[0] for e in entries]), b"".join([e[1] for e in entries])
-
     def flush(held):
-        known = bpe.resolve({w for _, words in held for w in words})
+        bpe.learn(set().union(*[words for _, words in held]))
         for key, words in held:
-            yield key, iter([joined(words, known)])
+            yield key, iter([bpe.encode(words)])
+
+    def long(text):
+        for piece in pieces(text, cut):
+            bpe.learn(set(piece))
+            yield bpe.encode(piece)
 
     held: list = []
     size = 0
     for key, text in texts:
         if len(text) >= GATHER_CHARS:
-            yield key, (joined(piece, bpe.resolve(set(piece))) for piece in pieces(text, cut))
+            yield from flush(held)
+            held, size = [], 0
+            yield key, long(text)
             continue
         held.append((key, cut.findall(text)))
         size += len(text)
