@@ -196,6 +196,8 @@ class Page:
             features = [f"tag:{group}", *(f"says:{s}" for s in sorted(says))]
             if "content" in says and len(says) > 1:
                 features.remove("says:content")
+            if group in ("article", "main") and not any(n > 0 and self.kind[n] == "region" for _, n in stack):
+                features.append(f"top:{group}")
             region = group in ("nav", "header", "footer", "aside", "form", "dialog") or any(s != "content" for s in says)
             stack.append((name, self._add(parent, name, features, "region" if region else "plain", None)))
         close_run()
@@ -240,7 +242,8 @@ def _text_features(text: str, links: int, parent: str) -> list[str]:
     size = "1" if n < 15 else "2" if n < 40 else "3" if n < 80 else "4" if n < 200 else "5"
     share = links / n
     linked = "0" if share < 0.05 else "1" if share < 0.35 else "2" if share < 0.8 else "3"
-    features = [f"size:{size}", f"links:{linked}", f"in:{_GROUPS.get(parent, 'div')}"]
+    group = _GROUPS.get(parent, "div")
+    features = [f"links:{linked}", f"{group}:{size}", f"in:{group}"]
     if text[-1] in ".!?\"'”»…:":
         features.append("sentence")
     if "©" in text[:80]:

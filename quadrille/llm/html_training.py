@@ -91,7 +91,9 @@ class _Writer:
     def article(self) -> str:
         title = f"<h1>{self.words(2, 10, CONTENT)}</h1>"
         body = []
-        for _ in range(self.r.randint(1, 12)):
+        if not self.r.randrange(6):  # many short paragraphs
+            body = [f"<p>{self.words(0, 3, CONTENT)}{self.pick('.', '.', ' |', '')}</p>" for _ in range(self.r.randint(5, 60))]
+        for _ in range(self.r.choice([1, 3, 6, 12, 30, 60]) if not self.r.randrange(4) else self.r.randint(1, 12)):
             body.append(
                 self.r.choices(
                     [

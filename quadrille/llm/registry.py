@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quadrille.llm.bpe import op4_bpe
 from quadrille.llm.chat import OP2_SQL, op2_chat_format
+from quadrille.llm.html_extract import op9_html_extraction
 from quadrille.llm.license_scan import op3_license_scan
 from quadrille.llm.lm import op8_lm_scoring
 from quadrille.llm.media import op5_media_columns
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_pareto_mix": op7_pareto_mix,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_html_extraction": op9_html_extraction,
     "op10_url_filter": op10_url_filter,
 }
 
