@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,14 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder of spark.checkpoint.dir and cut from its lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """A new folder for tables under the shared one of spark.checkpoint.dir.
 
     A folder of its own is set only where the session names none, as in tests.
     """
-    context = df.sparkSession.sparkContext
+    return f"{_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+
+
+def _checkpoint_dir(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder of spark.checkpoint.dir and cut from its lineage."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

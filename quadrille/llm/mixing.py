@@ -106,6 +106,29 @@ def copies(sizes: DataFrame, weights: list[int] = (3, 1, 2), epochs: float = 1.5
     return plain.unionByName(edge)
 
 
+def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), epochs: float = 1.5, cap: int = 2) -> DataFrame:
+    """The rows of docs (doc_id, source, text and any others), each as often as the mix takes it.
+
+    Decisions are made on a narrow table and joined back by id, source and size: rows that agree in
+    these share the copies that they got together, in equal parts and the rest by text.
+    """
+    key = [F.col("doc_id").alias("id"), F.col("source"), word_count(F.col("text")).alias("size")]
+    sizes = checkpointed(docs.select(*key))
+    taken = copies(sizes, weights, epochs, cap).groupBy("id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    taken = checkpointed(taken).select(*[F.col(c).alias(f"__{c}") for c in ("id", "source", "size", "copies", "n")])
+    whole = docs.withColumn("__words", word_count(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
+    # Nearly all rows are alone with their key; only the others are numbered.
+    alone = whole.join(taken.where("__n = 1 and __copies > 0"), same).select(*docs.columns, F.col("__copies").alias("__times"))
+    together = taken.where("__n > 1 and __copies > 0")
+    if not together.isEmpty():
+        place = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64("text")))
+        shared = whole.join(together, same).withColumn("__place", place)
+        times = F.floor(F.col("__copies") / F.col("__n")) + (F.col("__place") <= F.col("__copies") % F.col("__n")).cast("long")
+        alone = alone.unionByName(shared.select(*docs.columns, times.alias("__times")))
+    return alone.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
+
+
 def op7_pareto_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     sizes = checkpointed(docs.select(F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size")))
