@@ -12,8 +12,9 @@ arcs with that of b. One pass over a text, left to right, carries the state: whe
 for the next word, the failure arc is followed and its weight added.
 
 Counts cover all training documents. Which n-grams become states is bounded, as the automaton is
-broadcast: contexts and continuations come from the STATE_WORDS most frequent words (words of over
-MAX_WORD bytes aside), n-grams are kept from MIN_COUNT on, the MAX_ARCS most frequent of each order.
+broadcast: the STATE_WORDS most frequent words (words of over MAX_WORD bytes aside) have unigram
+states, contexts and continuations come from the first GRAM_WORDS of them, n-grams are kept from
+MIN_COUNT on, the MAX_ARCS most frequent of each order.
 This is the model's pruning, stated here; it drops no word of a text. Unigram counts are unbounded:
 those of state words are broadcast, and every other word of a document, so rare that it ranks after
 them, is joined to the table of counts by a shuffle.
@@ -28,10 +29,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import BATCH_CHARS, BATCH_ROWS, arrow_schema, bound_batches, checkpointed, make_batch, table
@@ -39,10 +41,10 @@ from quadrille.llm.common import BATCH_CHARS, BATCH_ROWS, arrow_schema, bound_ba
 ADD = 0.1
 ORDER = 3
 DISCOUNT = 0.5
-STATE_WORDS, MAX_WORD = 1 << 17, 40
+STATE_WORDS, GRAM_WORDS, MAX_WORD = 1 << 17, 1 << 15, 40
 MIN_COUNT, MAX_ARCS = 3, 200_000
-#: Words or n-grams that a worker counts before it hands their counts on.
-COUNTED = 400_000
+#: Words that a worker counts, and n-grams that it gathers, before it hands their counts on.
+COUNTED, SORTED = 400_000, 2_000_000
 END = b""  # no word is empty
 _BITS = 32
 
@@ -90,112 +92,148 @@ def _counted(counts: dict, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
 class Automaton:
     """States, arcs and failure arcs.
 
-    State 0 is the empty context. A word's own state is its number; longer n-grams follow. arcs:
-    (state << 32 | word) to (log10 P, next state) for kept n-grams. Words are numbered from 1.
+    State 0 is the empty context; a word's number, from 1, is its own state; longer n-grams follow,
+    those of an order in the order of `grams`: for each, the sorted keys (state << 32 | word) and the
+    number of its first state. own: log10 P of each kept n-gram, by its state.
     """
 
     def __init__(self, words: list[bytes], counts: list[int], total: int, kinds: int) -> None:
-        self.base = total + ADD * (kinds + 1)
-        self.numbers = {w: k for k, w in enumerate(words, 1)}
-        self.counts = [total, *counts]
+        self.total, self.base = total, total + ADD * (kinds + 1)
+        self.words = words
+        #: Of words that have no number, the unigram is added later.
         self.log_p = [0.0, *(math.log10((c + ADD) / self.base) for c in counts)]
         n = len(words) + 1
-        self.failure, self.back = [0] * n, [0.0] * n
-        self.arcs: dict[int, tuple[float, int]] = {}
-        self.state_count = list(self.counts)
-
-    def log_unigram(self, count: int) -> float:
-        return math.log10((count + ADD) / self.base)
-
-    def step(self, state: int, word: int) -> tuple[float, int]:
-        """log10 P(word | state) and the next state, along failure arcs where they are needed."""
-        found = 0.0
-        while state:
-            arc = self.arcs.get(state << _BITS | word)
-            if arc:
-                return found + arc[0], arc[1]
-            found += self.back[state]
-            state = self.failure[state]
-        return found + self.log_p[word], word
-
-    def leave(self, state: int) -> float:
-        """The weight of all failure arcs from state to the empty context."""
-        found = 0.0
-        while state:
-            found += self.back[state]
-            state = self.failure[state]
-        return found
-
-    def extend(self, grams: list[tuple[int, int, int]]) -> None:
-        """Adds the kept n-grams (state, word, count) of one order, shorter orders before."""
-        own: dict[int, float] = {}
-        for state, _, count in grams:
-            own[state] = own.get(state, 0.0) + (count - DISCOUNT) / self.state_count[state]
-        new = {}
-        for state, word, count in grams:
-            left = max(1e-12, 1 - own[state])
-            lower, fallback = self.step(self.failure[state], word) if self.failure[state] else (self.log_p[word], word)
-            p = (count - DISCOUNT) / self.state_count[state] + left * 10**lower
-            self.failure.append(fallback)
-            self.back.append(0.0)
-            self.state_count.append(count)
-            new[state << _BITS | word] = (math.log10(p), len(self.failure) - 1)
-        for state, share in own.items():
-            self.back[state] = math.log10(max(1e-12, 1 - share))
-        self.arcs.update(new)
+        self.failure, self.back = np.zeros(n, np.int64), np.zeros(n)
+        self.counts = np.array([total, *counts], np.int64)
+        self.own = np.zeros(n)
+        self.grams: list[tuple[np.ndarray, int]] = []
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("numbers", "arcs", "failures")}
+
+    def __getattr__(self, name: str):
+        """Tables that each process builds for itself: numbers by word; arcs and failures with states shifted for their keys."""
+        if name == "numbers":
+            self.numbers = {w: k for k, w in enumerate(self.words, 1)}
+        elif name == "arcs":
+            self.arcs = {}
+            for keys, first in self.grams:
+                self.arcs.update(zip(keys.tolist(), zip(self.own[first : first + len(keys)].tolist(), [s << _BITS for s in range(first, first + len(keys))])))
+        elif name == "failures":
+            self.failures = [(b, s << _BITS) for b, s in zip(self.back.tolist(), self.failure.tolist())]
+        else:
+            raise AttributeError(name)
+        return self.__dict__[name]
+
+    def walk(self, words: list[int]) -> float:
+        """The sum of log10 P along the words (numbers, 0 for a word without one): one pass that carries the state."""
+        arcs, failures, log_p = self.arcs.get, self.failures, self.log_p
+        total, state = 0.0, 0  # the state is shifted
+        for word in words:
+            while state:
+                arc = arcs(state | word)
+                if arc:
+                    total += arc[0]
+                    state = arc[1]
+                    break
+                weight, state = failures[state >> _BITS]
+                total += weight
+            else:
+                total += log_p[word]
+                state = word << _BITS
+        return total
+
+    def extend(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        """Adds the kept n-grams (state << 32 | word) of the next order."""
+        order = np.argsort(grams)
+        grams, counts = grams[order], counts[order]
+        states, words = grams >> _BITS, grams & ((1 << _BITS) - 1)
+        share = (counts - DISCOUNT) / self.counts[states]
+        used = np.bincount(states, weights=share, minlength=len(self.back))
+        left = np.maximum(1e-12, 1 - used)
+        # The state and the probability of the word after the context without its first word.
+        lower, fallback = np.array(self.log_p)[words], words
+        if self.grams:
+            keys, first = self.grams[-1]
+            shorter = self.failure[states]
+            key = shorter << _BITS | words
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            found = keys[at] == key
+            lower = np.where(found, self.own[first + at], self.back[shorter] + lower)
+            fallback = np.where(found, first + at, words)
+        self.back[np.unique(states)] = np.log10(left[np.unique(states)])
+        if not len(grams):
+            return
+        self.grams.append((grams, len(self.back)))
+        self.own = np.concatenate([self.own, np.log10(share + left[states] * 10**lower)])
+        self.failure = np.concatenate([self.failure, fallback])
+        self.back = np.concatenate([self.back, np.zeros(len(grams))])
+        self.counts = np.concatenate([self.counts, counts])
 
 
 def next_grams(texts: DataFrame, model, order: int) -> DataFrame:
-    """(state, word, c): how often a state of order - 1 words is followed by a word, over all texts."""
+    """(gram, c), gram = state << 32 | word: how often a state of order - 1 words is followed by a word, over all texts."""
     schema = "gram long, c long"
     arrow = arrow_schema(schema)
-    # A state of order - 1 words is one that the previous round added.
-    first = model.value.first_state
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = model.value.automaton
-        get, arcs = automaton.numbers.get, automaton.arcs
-        counts: Counter = Counter()
+        automaton = model.value
+        get, end, states = automaton.numbers.get, automaton.numbers.get(END, 0), automaton.grams
+        held, size = [], 0
         for batch in batches:
+            words: list[bytes] = []
             for text in batch.column(0):
-                ids = [get(w, 0) for w in words_of(text.as_py())]
-                if order == 2:
-                    counts.update([a << _BITS | b for a, b in zip(ids, ids[1:]) if a and b])
-                else:
-                    state = 0
-                    for word in ids:
-                        if word == 0:
-                            state = 0
-                            continue
-                        if state >= first:
-                            counts[state << _BITS | word] += 1
-                        state = automaton.step(state, word)[1] if state else word
-                if len(counts) > COUNTED:
-                    yield from _counted(counts, arrow)
-                    counts = Counter()
-        yield from _counted(counts, arrow)
-
-    grams = _map(texts.select("text"), run, schema).groupBy("gram").agg(F.sum("c").alias("c"))
-    return grams.where(F.col("c") >= MIN_COUNT)
-
-
-class _Shared:
-    def __init__(self, automaton: Automaton, first_state: int) -> None:
-        self.automaton, self.first_state = automaton, first_state
+                words += words_of(text.as_py())
+            ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
+            ids[ids > GRAM_WORDS] = 0
+            # A context is kept words in a row; nothing follows an end.
+            state = np.where(ids == end, 0, ids)
+            for k in range(order - 2):
+                keys, first = states[k]
+                gram = state[:-1] << _BITS | ids[k + 1 :]
+                at = np.searchsorted(keys, gram)
+                at[at == len(keys)] = 0
+                found = (keys[at] == gram) if len(keys) else np.zeros(len(gram), bool)
+                state = np.where(found & (ids[k + 1 :] != end), at + first, 0)
+            gram = (state[:-1] << _BITS | ids[order - 1 :])[(state[:-1] > 0) & (ids[order - 1 :] > 0)]
+            held.append(gram)
+            size += len(gram)
+            if size >= SORTED:
+                yield from _unique(held, arrow)
+                held, size = [], 0
+        yield from _unique(held, arrow)
+
+    return _map(texts.select("text"), run, schema).groupBy("gram").agg(F.sum("c").alias("c"))
+
+
+def _unique(parts: list[np.ndarray], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    if parts:
+        grams, counts = np.unique(np.concatenate(parts), return_counts=True)
+        for k in range(0, len(grams), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(grams[k : k + 50_000]), pa.array(counts[k : k + 50_000])], schema=arrow)
+
+
+def most_frequent(counts: DataFrame, least: int, most: int) -> pa.Table:
+    """The rows of a checkpointed table with c >= least; if over `most`, those above the smallest count that leaves no more."""
+    kinds = counts.where(F.col("c") >= least).groupBy("c").agg(F.count("*").alias("n"))
+    upto = Window.orderBy(F.desc("c"))
+    # One row per different count goes through the window.
+    fits = kinds.withColumn("n", F.sum("n").over(upto)).where(F.col("n") <= most).agg(F.min("c")).first()[0]
+    return counts.where(F.col("c") >= (fits if fits is not None else 1 << 62)).toArrow()
 
 
 def train(counts: DataFrame, texts: DataFrame, order: int = ORDER) -> Automaton:
     """The automaton, from checkpointed word counts and the training texts."""
     spark = counts.sparkSession
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    words = counts.where(F.length("word") <= MAX_WORD).orderBy(F.desc("c"), "word").limit(STATE_WORDS).collect()
-    automaton = Automaton([bytes(r["word"]) for r in words], [r["c"] for r in words], total, kinds)
-    first = 1
+    found = most_frequent(counts.where(F.length("word") <= MAX_WORD), 1, STATE_WORDS)
+    words = sorted(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    automaton = Automaton([w for w, _ in words], [c for _, c in words], total, kinds)
     for n in range(2, order + 1):
-        shared = spark.sparkContext.broadcast(_Shared(automaton, first))
-        kept = next_grams(texts, shared, n).orderBy(F.desc("c"), "gram").limit(MAX_ARCS).collect()
-        first = len(automaton.failure)
-        automaton.extend([(r["gram"] >> _BITS, r["gram"] & (1 << _BITS) - 1, r["c"]) for r in kept])
+        shared = spark.sparkContext.broadcast(automaton)
+        kept = most_frequent(checkpointed(next_grams(texts, shared, n).where(F.col("c") >= MIN_COUNT)), MIN_COUNT, MAX_ARCS)
+        shared.unpersist()
+        automaton.extend(np.array(kept["gram"], np.int64), np.array(kept["c"], np.int64))
     return automaton
 
 
@@ -208,33 +246,15 @@ def score(docs: DataFrame, counts: DataFrame, automaton: Automaton) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        get, arcs, back, failure, log_p = model.numbers.get, model.arcs, model.back, model.failure, model.log_p
+        get, log_p = model.numbers.get, model.log_p
         rows, held = [], 0
         for batch in batches:
             for text, key, out in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = words_of(text.as_py())
-                state, base, total, known = 0, 0.0, 0.0, 0
-                rare: dict[bytes, int] = {}
-                for w in words:
-                    word = get(w)
-                    while state:
-                        arc = arcs.get(state << _BITS | word) if word else None
-                        if arc:
-                            total += arc[0]
-                            state = arc[1]
-                            break
-                        total += back[state]
-                        state = failure[state]
-                    else:
-                        if word:
-                            total += log_p[word]
-                            state = word
-                    if word:
-                        base += log_p[word]
-                        known += 1
-                    else:  # its count is joined later
-                        rare[w] = rare.get(w, 0) + 1
-                rows.append((key, out, len(words), known, base, total, [{"word": w, "n": n} for w, n in rare.items()]))
+                ids = list(map(get, words, repeat(0)))
+                rare = Counter([w for w, i in zip(words, ids) if not i])  # their counts are joined later
+                base = sum(map(log_p.__getitem__, ids))
+                rows.append((key, out, len(words), len(words) - ids.count(0), base, model.walk(ids), [{"word": w, "n": n} for w, n in rare.items()]))
                 held += 200 + sum(map(len, rare)) + 20 * len(rare)
                 if len(rows) >= BATCH_ROWS or held >= BATCH_CHARS:
                     yield make_batch(rows, arrow)
@@ -248,7 +268,7 @@ def score(docs: DataFrame, counts: DataFrame, automaton: Automaton) -> DataFrame
     c = F.coalesce(F.col("c"), F.lit(0))
     logs = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10((c + ADD) / automaton.base)).alias("logs"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"))
     logs_or_none = F.coalesce("logs", F.lit(0.0))
-    total = automaton.counts[0]
+    total = automaton.total
     return walked.drop("rare").join(logs, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + logs_or_none).alias("base_score"), (F.col("score") + logs_or_none).alias("score")
     )
