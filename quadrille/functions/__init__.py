@@ -1 +1 @@
-
+"""Geometry as Column expressions."""
