@@ -1 +1 @@
-
+"""Relational operators over spatial keys."""

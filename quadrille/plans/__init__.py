@@ -1 +1 @@
-
+"""Predicates, intervals and configuration."""

@@ -1 +1 @@
-
+"""Named spatial indexes: clustered, cached and persistable DataFrames."""

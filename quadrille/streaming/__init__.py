@@ -1 +1 @@
-
+"""Spatial operators on streams."""
