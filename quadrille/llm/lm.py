@@ -29,14 +29,15 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import compress, repeat
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import BATCH_CHARS, BATCH_ROWS, arrow_schema, bound_batches, checkpointed, make_batch, table
+from quadrille.llm.common import BATCH_ROWS, arrow_schema, bound_batches, checkpointed, table
 
 ADD = 0.1
 ORDER = 3
@@ -45,6 +46,8 @@ STATE_WORDS, GRAM_WORDS, MAX_WORD = 1 << 17, 1 << 15, 40
 MIN_COUNT, MAX_ARCS = 3, 200_000
 #: Words that a worker counts, and n-grams that it gathers, before it hands their counts on.
 COUNTED, SORTED = 400_000, 2_000_000
+#: Words without a state after which a batch of scored rows is closed.
+RARE_WORDS = 200_000
 END = b""  # no word is empty
 _BITS = 32
 
@@ -109,38 +112,56 @@ class Automaton:
         self.grams: list[tuple[np.ndarray, int]] = []
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("numbers", "arcs", "failures")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("numbers", "tables")}
 
     def __getattr__(self, name: str):
-        """Tables that each process builds for itself: numbers by word; arcs and failures with states shifted for their keys."""
+        """What each process builds for itself: the numbers by word, and the tables of `walk`."""
         if name == "numbers":
             self.numbers = {w: k for k, w in enumerate(self.words, 1)}
-        elif name == "arcs":
-            self.arcs = {}
-            for keys, first in self.grams:
-                self.arcs.update(zip(keys.tolist(), zip(self.own[first : first + len(keys)].tolist(), [s << _BITS for s in range(first, first + len(keys))])))
-        elif name == "failures":
-            self.failures = [(b, s << _BITS) for b, s in zip(self.back.tolist(), self.failure.tolist())]
+        elif name == "tables":
+            self.tables = self._tables()
         else:
             raise AttributeError(name)
         return self.__dict__[name]
 
-    def walk(self, words: list[int]) -> float:
-        """The sum of log10 P along the words (numbers, 0 for a word without one): one pass that carries the state."""
-        arcs, failures, log_p = self.arcs.get, self.failures, self.log_p
-        total, state = 0.0, 0  # the state is shifted
-        for word in words:
+    def _tables(self) -> tuple[list, list, list, list]:
+        """arcs (by state: word to (log10 P, next state), or None), failure weights, failure arcs, and where each state lands.
+
+        A state without arcs has the failure weight 0, so arcs lead past it to the first state on its
+        failure path that has some.
+        """
+        arcs: list[dict | None] = [None] * len(self.back)
+        for keys, _ in self.grams:
+            for state in np.unique(keys >> _BITS).tolist():
+                arcs[state] = {}
+        failure = self.failure.tolist()
+        lands = list(range(len(arcs)))
+        for state in range(1, len(arcs)):
+            if arcs[state] is None:
+                lands[state] = lands[failure[state]]  # a failure arc leads to a state of a lower order, so a smaller number
+            failure[state] = lands[failure[state]]
+        for keys, first in self.grams:
+            steps = zip((keys >> _BITS).tolist(), (keys & ((1 << _BITS) - 1)).tolist(), self.own[first : first + len(keys)].tolist(), lands[first : first + len(keys)])
+            for state, word, weight, to in steps:
+                arcs[state][word] = weight, to
+        return arcs, self.back.tolist(), failure, lands
+
+    def walk(self, words: list[int], logs: list[float]) -> float:
+        """The sum of log10 P along the words (numbers, 0 for a word without one, and their unigrams' log10 P): one pass that carries the state."""
+        arcs, back, failure, lands = self.tables
+        total, state = 0.0, 0
+        for word, log_p in zip(words, logs):
             while state:
-                arc = arcs(state | word)
+                arc = arcs[state].get(word)
                 if arc:
                     total += arc[0]
                     state = arc[1]
                     break
-                weight, state = failures[state >> _BITS]
-                total += weight
+                total += back[state]
+                state = failure[state]
             else:
-                total += log_p[word]
-                state = word << _BITS
+                total += log_p
+                state = lands[word]
         return total
 
     def extend(self, grams: np.ndarray, counts: np.ndarray) -> None:
@@ -247,20 +268,33 @@ def score(docs: DataFrame, counts: DataFrame, automaton: Automaton) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         get, log_p = model.numbers.get, model.log_p
-        rows, held = [], 0
+        rows, words_left, times, offsets = [], [], [], [0]
+
+        def flush() -> pa.RecordBatch:
+            left = pa.StructArray.from_arrays([pa.array(words_left, pa.binary()), pa.array(times, pa.int32())], ["word", "n"])
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=False)]
+            batch = pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), left).cast(arrow.field("rare").type)], schema=arrow)
+            for held in (rows, words_left, times):
+                held.clear()
+            offsets[:] = [0]
+            return batch
+
         for batch in batches:
             for text, key, out in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = words_of(text.as_py())
                 ids = list(map(get, words, repeat(0)))
-                rare = Counter([w for w, i in zip(words, ids) if not i])  # their counts are joined later
-                base = sum(map(log_p.__getitem__, ids))
-                rows.append((key, out, len(words), len(words) - ids.count(0), base, model.walk(ids), [{"word": w, "n": n} for w, n in rare.items()]))
-                held += 200 + sum(map(len, rare)) + 20 * len(rare)
-                if len(rows) >= BATCH_ROWS or held >= BATCH_CHARS:
-                    yield make_batch(rows, arrow)
-                    rows, held = [], 0
+                unknown = ids.count(0)
+                if unknown:  # their counts are joined later
+                    rare = Counter(compress(words, map(not_, ids)))
+                    words_left += rare
+                    times += rare.values()
+                offsets.append(len(words_left))
+                logs = list(map(log_p.__getitem__, ids))
+                rows.append((key, out, len(words), len(words) - unknown, sum(logs), model.walk(ids, logs)))
+                if len(rows) >= BATCH_ROWS or len(words_left) >= RARE_WORDS:
+                    yield flush()
         if rows:
-            yield make_batch(rows, arrow)
+            yield flush()
 
     walked = _map(docs.select("text", "doc_id", held_out().alias("out")), run, schema)
     walked = checkpointed(walked.select(F.monotonically_increasing_id().alias("row"), "*"))
