@@ -27,12 +27,12 @@ def distance_join_static(stream: DataFrame, static: DataFrame, stream_keys: list
 def windowed_counts(stream: DataFrame, time: str, keys: list[str], width: float, window: str, late: str, slide: str | None = None) -> DataFrame:
     """Rows by time window (tumbling, or sliding) and grid cell; rows later than `late` are dropped."""
     cells = [F.floor(F.col(k) / width).cast("long").alias(f"cell_{k}") for k in keys]
-    return stream.withWatermark(time, late).groupBy(F.window(time, window, slide or window), *cells).agg(F.count("*").alias("n"))
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window, slide or window), *cells).agg(F.count("*").alias("n"))
 
 
 def sessions(stream: DataFrame, time: str, user: str, gap: str, late: str) -> DataFrame:
     """Session windows of each user's rows."""
-    return stream.withWatermark(time, late).groupBy(F.session_window(time, gap), user).agg(F.count("*").alias("n"))
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.session_window(time, gap), user).agg(F.count("*").alias("n"))
 
 
 def running_knn(stream: DataFrame, keys: list[str], target: list[float], k: int, path: str, checkpoint: str, tiebreak: list[str] = (), done: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
