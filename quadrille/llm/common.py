@@ -20,7 +20,15 @@ BATCH_ROWS, BATCH_CHARS = 500, 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a query; if its files give fewer partitions than there are cores, it is dealt out anew."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def quoted(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever characters their names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -98,7 +106,3 @@ def arrow_schema(ddl: str) -> pa.Schema:
 def make_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-
-def text_of(name: str = "text") -> Column:
-    """The text; null counts as empty."""
-    return F.coalesce(F.col(name), F.lit(""))

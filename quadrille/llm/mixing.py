@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import WORD, checkpointed, table
+from quadrille.llm.common import WORD, checkpointed, quoted, table
 
 BINS = 4096
 #: Sources up to which their table is broadcast (about 100 bytes each); beyond, Spark chooses the join.
@@ -119,14 +119,14 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), epochs: float = 1.5, ca
     whole = docs.withColumn("__words", word_count(F.col("text")))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
     # Nearly all rows are alone with their key; only the others are numbered.
-    alone = whole.join(taken.where("__n = 1 and __copies > 0"), same).select(*docs.columns, F.col("__copies").alias("__times"))
+    alone = whole.join(taken.where("__n = 1 and __copies > 0"), same).select(*quoted(docs), F.col("__copies").alias("__times"))
     together = taken.where("__n > 1 and __copies > 0")
     if not together.isEmpty():
         place = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64("text")))
         shared = whole.join(together, same).withColumn("__place", place)
         times = F.floor(F.col("__copies") / F.col("__n")) + (F.col("__place") <= F.col("__copies") % F.col("__n")).cast("long")
-        alone = alone.unionByName(shared.select(*docs.columns, times.alias("__times")))
-    return alone.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
+        alone = alone.unionByName(shared.select(*quoted(docs), times.alias("__times")))
+    return alone.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*quoted(docs))
 
 
 def op7_pareto_mix(spark, sf_dir):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import bound_batches, checkpointed, map_rows, table
+from quadrille.llm.common import bound_batches, checkpointed, map_rows, quoted, table
 
 STRATA = ("en", "de", "fr", "es", "other")
 RISK, ERROR = 0.05, 0.05
@@ -197,7 +197,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: flo
     judged = docs.withColumn("__stats", stats(F.col("text")))
     fields = judged.select("*", *[F.col(f"__stats.{f}").alias(f"__{f}") for f in FIELDS])
     # The rules name the fields; those of the input keep their own names under another prefix.
-    inner = fields.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), *[F.col(f"__{f}").alias(f) for f in FIELDS])
+    inner = fields.select(F.struct(*quoted(docs)).alias("__row"), *[F.col(f"__{f}").alias(f) for f in FIELDS])
     kept = inner.where(~base_failed() & (F.size(failed_rules(cutoffs, F.col("__row.lang"))) == 0))
     return kept.select("__row.*")
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import checkpointed, map_rows, table
+from quadrille.llm.common import checkpointed, map_rows, quoted, table
 
 SHINGLE, SEED = 3, 42
 BLOCK = 1 << 16
@@ -141,15 +141,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keys = known.groupBy(name.alias("component"), "doc_id", "text_hash").agg(F.count("*").alias("n"))
     keys = checkpointed(keys)
     best = keys.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash")).alias("best"))
-    judged = keys.join(best, "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")))
+    judged = keys.join(best, "component").withColumn("__stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")))
     # Only what goes, or is there more than once, is joined to the documents.
-    odd = checkpointed(judged.where("not stays or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "stays"))
+    odd = checkpointed(judged.where("not __stays or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__stays"))
+    columns = quoted(docs)
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     joined = docs.withColumn("__text_hash", text_hash).join(odd, (F.col("__text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    single = joined.where("stays is null").select(*docs.columns)
-    if odd.where("stays").isEmpty():
+    single = joined.where("__stays is null").select(*columns)
+    if odd.where("__stays").isEmpty():
         return single
-    return single.unionByName(joined.where("stays").dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns))
+    return single.unionByName(joined.where("__stays").dropDuplicates(["doc_id", "__text_hash"]).select(*columns))
 
 
 def op6_simhash_dedup(spark, sf_dir):
