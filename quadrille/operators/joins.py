@@ -32,6 +32,8 @@ from quadrille.functions import geometry as g
 BROADCAST_ROWS = 1_000_000
 #: Beyond this many cells from the origin, cells are one: quotients so large are not exact.
 _FAR = 1e12
+#: What a scan reads in one task by default.
+_FILE_BYTES = 128 << 20
 
 
 def _named(left: DataFrame, right: DataFrame, suffixes: tuple[str, str]) -> tuple[DataFrame, DataFrame, dict, dict]:
@@ -127,6 +129,8 @@ def _broadcast_knn(left: DataFrame, right: DataFrame, lk: list[Column], rk: list
     table = keys.toArrow()
     if table.num_rows > BROADCAST_ROWS:
         raise ValueError(f"{table.num_rows} rows are too many to broadcast")
+    if not table.num_rows:
+        return left.join(right, F.lit(False)).withColumn("__dist", F.lit(0.0))
     points = np.array(table["__k"].to_pylist(), dtype=float).reshape(table.num_rows, len(rk))
     shared = spark.sparkContext.broadcast(points)
     columns = [f"__x{i}" for i in range(len(rk))]
@@ -145,23 +149,27 @@ def _broadcast_knn(left: DataFrame, right: DataFrame, lk: list[Column], rk: list
                     gap = mine[s : s + step, i : i + 1] - all_points[:, i]
                     square += gap * gap
                 d = np.sqrt(square)
-                for row in d:
-                    if len(row) > k:
-                        limit = np.partition(row, k - 1)[k - 1]
-                        near = np.flatnonzero(row <= limit)
-                        near = near[np.argsort(row[near], kind="stable")][:k]
-                    else:
-                        near = np.argsort(row, kind="stable")
-                    at.append(near.tolist())
-                    away.append(row[near].tolist())
+                n = min(k, d.shape[1])
+                limit = np.partition(d, n - 1, axis=1)[:, n - 1]
+                row, col = np.nonzero(d <= limit[:, None])
+                order = np.lexsort((col, d[row, col], row))
+                row, col = row[order], col[order]
+                # The first n of each row, of which ties may have more.
+                first = np.searchsorted(row, np.arange(len(d)))
+                take = first[:, None] + np.arange(n)
+                near = col[take]
+                at += near.tolist()
+                away += np.take_along_axis(d, near, axis=1).tolist()
             out = batch.drop(columns=columns)
             out["__at"], out["__d"] = at, away
             yield out
 
+    # Each left row costs as much as there are right rows, so all cores should share a small left side, which may be one file.
+    cores = spark.sparkContext.defaultParallelism
+    size = int(left._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    left = left.repartition(cores) if size < cores * _FILE_BYTES else left
     found = left.select("*", *[x.alias(c) for x, c in zip(lk, columns, strict=True)]).mapInPandas(run, schema)
     pairs = found.withColumn("__p", F.explode(F.arrays_zip("__at", "__d"))).select(*[F.col(f"`{c}`") for c in left.columns], F.col("__p.__at").alias("__pos"), F.col("__p.__d").alias("__dist"))
-    if not table.num_rows:
-        return pairs.join(right, F.lit(False))
     positions = spark.createDataFrame(table.drop_columns(["__k"]).append_column("__pos", pa.array(range(table.num_rows), pa.int32())))
     return pairs.join(positions, "__pos").select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(f"__row.`{c}`") for c in right.columns], "__dist")
 
