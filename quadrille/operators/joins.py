@@ -166,7 +166,7 @@ def _broadcast_knn(left: DataFrame, right: DataFrame, lk: list[Column], rk: list
 
     # Each left row costs as much as there are right rows, so all cores should share a small left side, which may be one file.
     cores = spark.sparkContext.defaultParallelism
-    size = int(left._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(left._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     left = left.repartition(cores) if size < cores * _FILE_BYTES else left
     found = left.select("*", *[x.alias(c) for x, c in zip(lk, columns, strict=True)]).mapInPandas(run, schema)
     pairs = found.withColumn("__p", F.explode(F.arrays_zip("__at", "__d"))).select(*[F.col(f"`{c}`") for c in left.columns], F.col("__p.__at").alias("__pos"), F.col("__p.__d").alias("__dist"))
