@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import geometry as g
+from quadrille.plans.config import Config
 
 
 def _point(df: DataFrame, keys: list[str]) -> g.Point:
@@ -116,8 +117,9 @@ def count_of(df: DataFrame, key: str, value) -> int:
     return n or -1
 
 
-def estimate_selectivity(df: DataFrame, keys: list[str], low: list[float], high: list[float], fraction: float = 0.01, seed: int = 42) -> float:
+def estimate_selectivity(df: DataFrame, keys: list[str], low: list[float], high: list[float], fraction: float | None = None, seed: int = 42) -> float:
     """The share of rows in the box, from a sample; for choosing between an index and a scan."""
+    fraction = Config(df.sparkSession).get("sample.rate") if fraction is None else fraction
     inside = F.lit(True)
     for k, lo, hi in zip(keys, low, high, strict=True):
         inside = inside & F.col(k).between(lo, hi)

@@ -1,15 +1,15 @@
 """Distance joins and k-nearest-neighbour joins.
 
 Results have the left columns, then the right ones; clashing names get `suffixes`. Rows with a null
-or NaN coordinate match nothing. All exact strategies return the same rows.
+or NaN coordinate match nothing. All exact strategies return the same rows; `auto` is what the settings join.distance and join.knn say.
 
 Distance join. `grid`: cells a little wider than r; each left row goes to its cell, each right row
 to its cell and the ones beside it (in two dimensions at most), and an equality join on the cell
 finds every pair once. `nested_loop`: every pair, for tiny sides. A dense cell makes a hot key:
 adaptive skew handling splits it, and `salt` deals each left cell to that many keys.
 
-kNN join. `broadcast`: the right keys as arrays on every executor, allowed up to BROADCAST_ROWS rows
-(counted first). `grid`: exact for any size. Cells double in width until the block of cells around
+kNN join. `broadcast`: the right keys as arrays on every executor, allowed up to the setting
+join.broadcastRows (counted first). `grid`: exact for any size. Cells double in width until the block of cells around
 a left cell holds k right rows; the k-th distance is then at most twice the cell's diagonal, which
 bounds the cells that are joined. It takes a job for each doubling. Right rows in one place are cut to the k first by tiebreak before
 anything is shuffled (no left row can have more of them). `nested_loop`: cross join and window.
@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import geometry as g
+from quadrille.plans.config import Config
 
-BROADCAST_ROWS = 1_000_000
 #: Beyond this many cells from the origin, cells are one: quotients so large are not exact.
 _FAR = 1e12
 #: What a scan reads in one task by default.
@@ -60,6 +60,8 @@ def distance_join(left: DataFrame, right: DataFrame, left_keys: list[str], right
     """Pairs at distance r or less."""
     if strategy not in ("auto", "grid", "nested_loop", "broadcast"):
         raise ValueError(f"unknown strategy: {strategy}")
+    config = Config(left.sparkSession)
+    strategy = config.get("join.distance") if strategy == "auto" else strategy
     left, right, a, b = _named(left, right, suffixes)
     lk, rk = _keys(left, left_keys, a), _keys(right, right_keys, b)
     g._same_dims(lk, rk)
@@ -74,7 +76,7 @@ def distance_join(left: DataFrame, right: DataFrame, left_keys: list[str], right
         # Negative zero equals zero; adding zero makes it so for the join's hash too.
         pairs = left.join(right, [x + 0.0 == y + 0.0 for x, y in zip(lk, rk, strict=True)])
     else:
-        width, dims = r * 1.001, min(2, len(lk))
+        width, dims = r * (1 + config.get("grid.slack")), min(2, len(lk))
         cells = [f"__c{k}" for k in range(dims)]
         left = left.withColumns({c: _cell(x, width) for c, x in zip(cells, lk, strict=False)})
         right = right.withColumns({c: _cell(x, width) for c, x in zip(cells, rk, strict=False)})
@@ -93,6 +95,8 @@ def knn_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys
     """For each left row, its k nearest right rows; ties by the right columns of `tiebreak`. Left duplicates each get theirs."""
     if strategy not in ("auto", "grid", "nested_loop", "broadcast", "zorder"):
         raise ValueError(f"unknown strategy: {strategy}")
+    config = Config(left.sparkSession)
+    strategy = config.get("join.knn") if strategy == "auto" else strategy
     if strategy == "zorder":
         return zknn_join(left, right, left_keys, right_keys, k, tiebreak, suffixes=suffixes, dist_col=dist_col)
     left, right, a, b = _named(left, right, suffixes)
@@ -108,7 +112,8 @@ def knn_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys
     first = Window.partitionBy(*rk).orderBy(*(ties or [F.lit(0)]))
     right = right.withColumn("__place", F.row_number().over(first)).where(F.col("__place") <= k).drop("__place")
     if strategy == "auto":
-        strategy = "broadcast" if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else "grid"
+        most = config.get("join.broadcastRows")
+        strategy = "broadcast" if right.limit(most + 1).count() <= most else "grid"
     if strategy == "broadcast":
         return _broadcast_knn(left, right, lk, rk, k, ties).select(*out)
     left = left.withColumn("__id", F.monotonically_increasing_id())
@@ -127,7 +132,7 @@ def _broadcast_knn(left: DataFrame, right: DataFrame, lk: list[Column], rk: list
     # One row per position, in tiebreak order: a stable sort by distance then breaks ties rightly.
     keys = rows.select(F.array(*rk).alias("__k"), F.struct(*[F.col(f"`{c}`") for c in right.columns]).alias("__row"))
     table = keys.toArrow()
-    if table.num_rows > BROADCAST_ROWS:
+    if table.num_rows > Config(spark).get("join.broadcastRows"):
         raise ValueError(f"{table.num_rows} rows are too many to broadcast")
     if not table.num_rows:
         return left.join(right, F.lit(False)).withColumn("__dist", F.lit(0.0))
@@ -231,7 +236,7 @@ def _grid_candidates(left: DataFrame, right: DataFrame, lk: list[Column], rk: li
     return pairs
 
 
-def zknn_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], k: int, tiebreak: list[str] = (), shifts: int = 2, seed: int = 42, suffixes: tuple[str, str] = ("_l", "_r"), dist_col: str | None = None) -> DataFrame:
+def zknn_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], k: int, tiebreak: list[str] = (), shifts: int | None = None, seed: int = 42, suffixes: tuple[str, str] = ("_l", "_r"), dist_col: str | None = None) -> DataFrame:
     """An approximate kNN join: candidates are the k right rows before and after each left row on 1 + `shifts` shifted z-curves.
 
     Curves are cut into buckets at quantiles; a right row is also in the buckets beside its own, so a
@@ -239,6 +244,7 @@ def zknn_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_key
     the curve are row numbers within a bucket and candidates come by an equality join on them, so no
     bucket is gathered in memory. Every left row gets min(k, right rows) matches at best.
     """
+    shifts = Config(left.sparkSession).get("zorder.shifts") if shifts is None else shifts
     left, right, a, b = _named(left, right, suffixes)
     lk, rk = _keys(left, left_keys, a), _keys(right, right_keys, b)
     left = left.where(g.known(lk)).withColumn("__id", F.monotonically_increasing_id()).persist()

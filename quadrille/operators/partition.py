@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import geometry as g
+from quadrille.plans.config import Config
 
 _ERROR = 0.01
 
@@ -81,9 +82,10 @@ def range_tiles(df: DataFrame, key: str, bounds: list[float], name: str = "tile"
     return df.withColumn(name, F.when(g.known([x]), _below(sorted(bounds), x)).otherwise(F.lit(-1)))
 
 
-def voronoi_tiles(df: DataFrame, keys: list[str], pivots: int, name: str = "tile", seed: int = 42) -> DataFrame:
+def voronoi_tiles(df: DataFrame, keys: list[str], pivots: int | None = None, name: str = "tile", seed: int = 42) -> DataFrame:
     """The nearest of a number of pivots that are sampled from the rows (fewer if there are fewer rows)."""
     coords = [F.col(k).cast("double") for k in keys]
+    pivots = Config(df.sparkSession).get("voronoi.pivots") if pivots is None else pivots
     known = df.where(g.known(coords)).select(*[x.alias(f"x{i}") for i, x in enumerate(coords)])
     found = known.orderBy(F.xxhash64(F.lit(seed), *known.columns), *known.columns).limit(pivots).collect()
     places = sorted({tuple(r) for r in found})

@@ -26,7 +26,6 @@ def _choice(doc: str, default: str, *choices: str) -> Setting:
 
 SETTINGS = {
     "index.partitions": _whole("tiles of an index", 200),
-    "join.partitions": _whole("shuffle partitions of a spatial join", 200),
     "join.distance": _choice("strategy of the distance join", "auto", "auto", "grid", "nested_loop", "broadcast"),
     "join.knn": _choice("strategy of the kNN join", "auto", "auto", "grid", "nested_loop", "broadcast", "zorder"),
     "join.broadcastRows": _whole("right rows up to which a kNN join broadcasts", 1_000_000),

@@ -9,6 +9,7 @@ lost: the clustering lets Spark skip files, row groups and cached batches.
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.operators import filters, partition
+from quadrille.plans.config import Config
 
 KINDS = ("rtree", "quadtree", "treap", "treemap", "hashmap")
 _TILE = "__tile"
@@ -45,6 +47,9 @@ class Index:
         return self.data.where(F.col(_TILE).isin(hit) if hit else F.lit(False)).drop(_TILE)
 
     def range(self, low: list[float], high: list[float]) -> DataFrame:
+        config = Config(self.data.sparkSession)
+        if config.get("index.selectivity") and filters.estimate_selectivity(self.data, self.columns, low, high) > config.get("index.selectivityThreshold"):
+            return filters.range_query(self.rows(), self.columns, low, high)  # most tiles qualify: a plain scan
         pruned = self._tiles(lambda a, b: all(x <= hi and y >= lo for x, y, lo, hi in zip(a, b, low, high, strict=True)))
         return filters.range_query(pruned, self.columns, low, high)
 
@@ -66,8 +71,10 @@ class Registry:
         self.spark = spark
         self._indexes: dict[tuple[str, str], Index] = {}
 
-    def create(self, table: str | DataFrame, kind: str, name: str, columns: list[str], tiles: int = 16, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Index:
+    def create(self, table: str | DataFrame, kind: str, name: str, columns: list[str], tiles: int | None = None, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Index:
         """Clusters and caches a table (its name in the catalog, or a DataFrame) under an index name."""
+        config = Config(self.spark)
+        tiles = config.get("index.partitions") if tiles is None else tiles
         df = self.spark.table(table) if isinstance(table, str) else table
         label = table if isinstance(table, str) else f"plan_{df.semanticHash() & 0xFFFFFFFF:08x}"
         if kind not in KINDS:
@@ -85,10 +92,15 @@ class Registry:
         elif kind in ("treap", "treemap"):
             data = partition.by_range(df, columns[0], tiles).sortWithinPartitions(columns[0])
         else:
-            if kind == "rtree":
+            method = config.get("partition.method") if kind == "rtree" else "quad"
+            if method == "str":
                 tiled = partition.str_tiles(df, columns, tiles, _TILE)
+            elif method == "kd":
+                tiled = partition.kd_tiles(df, columns, max(1, round(math.log2(tiles))), _TILE)
+            elif method == "voronoi":
+                tiled = partition.voronoi_tiles(df, columns, tiles, _TILE)
             else:
-                tiled = partition.quad_tiles(df, columns, max(1, round(tiles ** (1 / len(columns)) / 2)), _TILE)
+                tiled = partition.quad_tiles(df, columns, max(1, round(math.log2(tiles) / len(columns))), _TILE)
             data = partition.clustered(tiled, _TILE, tiles, columns)
         data = data.persist(level)
         if _TILE in data.columns:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import sql as sql_functions
 from quadrille.operators import partition
+from quadrille.operators.joins import knn_join
 from quadrille.plans.config import Config
 from quadrille.plans.predicates import And, Interval, Leaf, Not, Or, intervals, leaf_interval, partitions_for, to_cnf, to_dnf
 from quadrille.sources.index import Registry
@@ -136,6 +137,21 @@ def test_config(spark):
         config.get("nope")
 
 
+@pytest.mark.parametrize("method", ["kd", "quad", "voronoi"])
+def test_settings_choose_but_do_not_change_results(spark, points, method):
+    config = Config(spark)
+    chosen = {"partition.method": method, "index.partitions": 8, "index.selectivity": "true", "index.selectivityThreshold": 0.0, "join.knn": "nested_loop", "join.distance": "nested_loop", "zorder.shifts": 1}
+    near = knn_join(points, points, ["x", "y"], ["x", "y"], 2, ["id"], dist_col="d").select("id_l", "d")
+    for key, value in chosen.items():
+        config.set(key, value)
+    index = Registry(spark).create(points, "rtree", "place", ["x", "y"])
+    assert ids(index.range([3, 2], [9, 12])) == ids(points.where("x between 3 and 9 and y between 2 and 12 and not isnan(x)"))
+    other = knn_join(points, points, ["x", "y"], ["x", "y"], 2, ["id"], dist_col="d").select("id_l", "d")
+    assert near.exceptAll(other).isEmpty()
+    for key in chosen:
+        config.unset(key)
+
+
 def test_sql_functions(spark, points):
     assert "q_dist" in sql_functions.register(spark)
     points.createOrReplaceTempView("places")
