@@ -112,12 +112,14 @@ class Automaton:
         self.grams: list[tuple[np.ndarray, int]] = []
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("numbers", "tables")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("numbers", "gram_numbers", "tables")}
 
     def __getattr__(self, name: str):
-        """What each process builds for itself: the numbers by word, and the tables of `walk`."""
+        """What each process builds for itself: the numbers by word (of all, and of those in n-grams), and the tables of `walk`."""
         if name == "numbers":
             self.numbers = {w: k for k, w in enumerate(self.words, 1)}
+        elif name == "gram_numbers":
+            self.gram_numbers = {w: k for k, w in enumerate(self.words[:GRAM_WORDS], 1)}
         elif name == "tables":
             self.tables = self._tables()
         else:
@@ -199,14 +201,13 @@ def next_grams(texts: DataFrame, model, order: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.value
-        get, end, states = automaton.numbers.get, automaton.numbers.get(END, 0), automaton.grams
+        get, end, states = automaton.gram_numbers.get, automaton.gram_numbers.get(END, 0), automaton.grams
         held, size = [], 0
         for batch in batches:
             words: list[bytes] = []
             for text in batch.column(0):
                 words += words_of(text.as_py())
             ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
-            ids[ids > GRAM_WORDS] = 0
             # A context is kept words in a row; nothing follows an end.
             state = np.where(ids == end, 0, ids)
             for k in range(order - 2):
