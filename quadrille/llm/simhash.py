@@ -140,7 +140,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     name = F.struct(F.col("component_id").isNull().alias("none"), F.coalesce(F.col("component_id").cast("string"), F.col("fp").cast("string")).alias("name"))
     keys = known.groupBy(name.alias("component"), "doc_id", "text_hash").agg(F.count("*").alias("n"))
     keys = checkpointed(keys)
-    best = keys.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash")).alias("best"))
+    # Written, so that both sides of the join are dealt out for it and a large component can be split.
+    best = checkpointed(keys.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash")).alias("best")))
     judged = keys.join(best, "component").withColumn("__stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")))
     # Only what goes, or is there more than once, is joined to the documents.
     odd = checkpointed(judged.where("not __stays or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__stays"))
