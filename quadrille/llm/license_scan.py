@@ -168,9 +168,65 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         F.array_max("at").cast("long").alias("last_word"),
         F.array_join(F.array_sort("base"), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base", F.coalesce("found", none))), ",").alias("labels"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"),
     )
 
 
 def op3_license_scan(spark, sf_dir):
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join(f"({', '.join(repr(x) for x in row)})" for row in rows)
+
+
+def _scan_sql(templates=TEMPLATES) -> str:
+    """The scan in DuckDB SQL; tables that the templates give are written out."""
+    index = Index(templates)
+    places = " UNION ALL ".join(
+        f"SELECT '{label}' AS label, h0.rid, h0.pos FROM hits h0 "
+        + " ".join(f"JOIN hits h{k} ON h{k}.rid = h0.rid AND h{k}.pos = h0.pos + {k} AND h{k}.w = '{w}'" for k, w in enumerate(phrase.split()) if k)
+        + f" WHERE h0.w = '{phrase.split()[0]}'"
+        for label, phrase in BASE.items()
+    )
+    return rf"""
+WITH labels_of(template, label) AS (VALUES {_values(list(enumerate(index.labels)))}),
+postings(w, template, place) AS (VALUES {_values(index.postings)}),
+keys(template, place, w) AS (VALUES {_values(index.keys)}),
+texts AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{WORDS}') AS words FROM documents),
+hits AS MATERIALIZED (
+  SELECT * FROM (SELECT rid, unnest(words) AS w, unnest(range(len(words))) AS pos FROM texts)
+  WHERE w IN (SELECT w FROM postings UNION SELECT w FROM keys)),
+weights AS (
+  SELECT w, greatest(coalesce(ln(((SELECT count(*) FROM texts) + 1.0::DOUBLE) / (any_value(df) + 0.5::DOUBLE)), 0.0::DOUBLE), 0.001::DOUBLE) AS weight
+  FROM (SELECT DISTINCT w FROM postings) LEFT JOIN (SELECT w, count(DISTINCT rid) AS df FROM hits GROUP BY w) USING (w) GROUP BY w),
+totals AS (
+  SELECT template, sum(weight) AS total
+  FROM (SELECT template, weight, row_number() OVER (PARTITION BY template ORDER BY weight DESC) AS n FROM postings JOIN weights USING (w)) WHERE n <= {TOP_WORDS} GROUP BY template),
+looked_up AS (
+  SELECT rid, w FROM (
+    SELECT rid, w, row_number() OVER (PARTITION BY rid ORDER BY weight DESC, w) AS n FROM (SELECT DISTINCT rid, w FROM hits) JOIN weights USING (w))
+  WHERE n <= {TOP_WORDS}),
+aligned AS (
+  SELECT rid, template, pos - place AS origin, least(sum(weight / total), 1.0::DOUBLE) AS score
+  FROM hits JOIN looked_up USING (rid, w) JOIN postings USING (w) JOIN weights USING (w) JOIN totals USING (template)
+  GROUP BY ALL HAVING least(sum(weight / total), 1.0::DOUBLE) >= {MIN_SCORE}::DOUBLE),
+verified AS (
+  SELECT a.rid, a.template, a.origin, any_value(a.score) AS score
+  FROM aligned a JOIN keys k ON k.template = a.template JOIN hits h ON h.rid = a.rid AND h.pos = a.origin + k.place AND h.w = k.w
+  GROUP BY a.rid, a.template, a.origin HAVING count(*) = (SELECT count(*) FROM keys n WHERE n.template = a.template)),
+found AS (SELECT rid, label, max(score) AS score FROM verified JOIN labels_of USING (template) GROUP BY rid, label),
+places AS ({places}),
+base AS (
+  SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY rid),
+all_labels AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM places UNION SELECT rid, label FROM found) GROUP BY rid),
+best AS (SELECT rid, max(score) AS score FROM found GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0.0::DOUBLE), 9) AS score
+FROM texts LEFT JOIN base USING (rid) LEFT JOIN all_labels USING (rid) LEFT JOIN best USING (rid)
+"""
+
+
+OP3_SQL = _scan_sql()

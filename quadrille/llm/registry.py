@@ -5,7 +5,7 @@ from __future__ import annotations
 from quadrille.llm.bpe import op4_bpe
 from quadrille.llm.chat import OP2_SQL, op2_chat_format
 from quadrille.llm.html_extract import op9_html_extraction
-from quadrille.llm.license_scan import op3_license_scan
+from quadrille.llm.license_scan import OP3_SQL, op3_license_scan
 from quadrille.llm.lm import op8_lm_scoring
 from quadrille.llm.media import op5_media_columns
 from quadrille.llm.mixing import OP7_SQL, op7_pareto_mix
@@ -28,6 +28,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_chat_format": OP2_SQL,
+    "op3_license_scan": OP3_SQL,
     "op7_pareto_mix": OP7_SQL,
     "op10_url_filter": OP10_SQL,
 }
