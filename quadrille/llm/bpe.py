@@ -35,7 +35,7 @@ from quadrille.llm.common import BATCH_ROWS, arrow_schema, bound_batches, make_b
 
 SQL_WORD = 48
 #: Words in a DuckDB query, in the cache, and in a piece of a long text.
-QUERY_WORDS, CACHE_WORDS, PIECE_WORDS = 40_000, 700_000, 200_000
+QUERY_WORDS, CACHE_WORDS, PIECE_WORDS = 40_000, 1_000_000, 200_000
 #: Characters of text that are gathered before DuckDB is asked about their new words.
 GATHER_CHARS = 2_000_000
 DUCKDB_MEMORY = "200MB"
@@ -170,7 +170,10 @@ class Bpe:
 
 
 class CachedBpe:
-    """A Bpe that remembers the ids, and the bytes decoded from them, of up to CACHE_WORDS words."""
+    """A Bpe that remembers the ids, and the bytes decoded from them, of up to CACHE_WORDS words.
+
+    When it is full, the half that it met first stays: frequent words are met early.
+    """
 
     def __init__(self, path: str) -> None:
         self.bpe, self.ids, self.decoded = Bpe(path), {}, {}
@@ -179,7 +182,8 @@ class CachedBpe:
         """Afterwards `ids` and `decoded` have each of the words."""
         new = words - self.ids.keys()
         if len(self.ids) + len(new) > CACHE_WORDS:
-            self.ids, self.decoded, new = {}, {}, words
+            self.ids, self.decoded = (dict(islice(x.items(), CACHE_WORDS // 2)) for x in (self.ids, self.decoded))
+            new = words - self.ids.keys()
         for some in batched(new, QUERY_WORDS):
             ids, decoded = self.bpe.round_trip([w.encode() for w in some])
             self.ids.update(zip(some, ids, strict=True))
