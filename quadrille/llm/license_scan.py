@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import checkpointed, table
 
 #: A word of a lower-cased text, and of one that isn't: runs of letters, digits and anything not ASCII.
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORDS_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Written by what they have: Java matches the complements of these classes twenty times slower.
+WORDS = "[0-9a-z\u0080-\U0010ffff]+"
+WORDS_ANY_CASE = "[0-9A-Za-z\u0080-\U0010ffff]+"
 
 #: Highest-IDF words of a file (and of a template) that count, and the share of a template's weight that finds it.
 TOP_WORDS, MIN_SCORE = 12, 0.6
@@ -195,7 +196,7 @@ postings(w, template, place) AS (VALUES {_values(index.postings)}),
 keys(template, place, w) AS (VALUES {_values(index.keys)}),
 texts AS (
   SELECT row_number() OVER () AS rid, doc_id,
-    regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{WORDS}') AS words FROM documents),
+    regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
 hits AS MATERIALIZED (
   SELECT * FROM (SELECT rid, unnest(words) AS w, unnest(range(len(words))) AS pos FROM texts)
   WHERE w IN (SELECT w FROM postings UNION SELECT w FROM keys)),
