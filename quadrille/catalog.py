@@ -161,6 +161,15 @@ def distance_join_nested_loop(spark, table):
     return joins.distance_join(parts(table), customers(table), XY, XY, 1.0, "nested_loop").select("p_partkey", "c_custkey")
 
 
+def _points(df, name):
+    return df.select(df.columns[0], F.array("x", "y").alias(name))
+
+
+@query(f"SELECT p_partkey, c_custkey FROM {P} l JOIN {C} r ON {D} <= 0.7")
+def distance_join_points(spark, table):
+    return joins.distance_join(_points(parts(table), "at"), _points(customers(table), "at"), ("at", 2), ("at", 2), 0.7).select("p_partkey", "c_custkey")
+
+
 def solids(table):
     p = table("part").select("p_partkey", F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") - 900).alias("y"), (F.col("p_partkey") % 17).cast("double").alias("z"))
     c = table("customer").select("c_custkey", (F.col("c_custkey") % 53).cast("double").alias("x"), (F.col("c_acctbal") / 100).alias("y"), (F.col("c_nationkey") % 17).cast("double").alias("z"))
@@ -223,6 +232,12 @@ def knn_join_grid(spark, table):
     return _knn(table, 3, "grid").select("p_partkey", "c_custkey", "d")
 
 
+@query(knn_sql(2))
+def knn_join_points(spark, table):
+    pairs = joins.knn_join(_points(parts(table), "here"), _points(customers(table), "there"), ("here", 2), ("there", 2), 2, ["c_custkey"], dist_col="d")
+    return pairs.select("p_partkey", "c_custkey", "d")
+
+
 @query(knn_sql(2, right=f"(SELECT * FROM {C} WHERE y > 50)"))
 def knn_join_prefiltered_right(spark, table):
     return _knn(table, 2, right=customers(table).where("y > 50")).select("p_partkey", "c_custkey", "d")

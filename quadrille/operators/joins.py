@@ -1,15 +1,16 @@
 """Distance joins and k-nearest-neighbour joins.
 
-Results have the left columns, then the right ones; clashing names get `suffixes`. Rows with a null
-or NaN coordinate match nothing. All exact strategies return the same rows; `auto` is what the settings join.distance and join.knn say.
+Keys are a list of coordinate columns, or (name, dimensions) of one column of points. Results have
+the left columns, then the right ones; clashing names get `suffixes`. Rows with a null or NaN
+coordinate match nothing. All exact strategies return the same rows; `auto` is what the settings join.distance and join.knn say.
 
 Distance join. `grid`: cells a little wider than r; each left row goes to its cell, each right row
 to its cell and the ones beside it (in two dimensions at most), and an equality join on the cell
 finds every pair once. `nested_loop`: every pair, for tiny sides. A dense cell makes a hot key:
 adaptive skew handling splits it, and `salt` deals each left cell to that many keys.
 
-kNN join. `broadcast`: the right keys as arrays on every executor, allowed up to the setting
-join.broadcastRows (counted first). `grid`: exact for any size. Cells double in width until the block of cells around
+kNN join. `broadcast`: the right keys as arrays on every executor, allowed up to the settings
+join.broadcastRows and join.broadcastBytes (measured first). `grid`: exact for any size. Cells double in width until the block of cells around
 a left cell holds k right rows; the k-th distance is then at most twice the cell's diagonal, which
 bounds the cells that are joined. It takes a job for each doubling. Right rows in one place are cut to the k first by tiebreak before
 anything is shuffled (no left row can have more of them). `nested_loop`: cross join and window.
@@ -45,10 +46,15 @@ def _named(left: DataFrame, right: DataFrame, suffixes: tuple[str, str]) -> tupl
     return left.select(*[F.col(f"`{c}`").alias(n) for c, n in a.items()]), right.select(*[F.col(f"`{c}`").alias(n) for c, n in b.items()]), a, b
 
 
-def _keys(df: DataFrame, keys: list[str], names: dict) -> list[Column]:
-    missing = [k for k in keys if k not in names]
+Keys = list[str] | tuple[str, int]
+
+
+def _keys(df: DataFrame, keys: Keys, names: dict) -> list[Column]:
+    missing = [k for k in (keys[:1] if isinstance(keys, tuple) else keys) if k not in names]
     if missing:
         raise ValueError(f"no such columns: {missing}")
+    if isinstance(keys, tuple):
+        return g.Point.from_array(F.col(f"`{names[keys[0]]}`"), keys[1]).coords
     return [F.col(f"`{names[k]}`").cast("double") for k in keys]
 
 
@@ -56,7 +62,7 @@ def _cell(x: Column, width: float) -> Column:
     return F.floor(F.least(F.greatest(x / F.lit(width), F.lit(-_FAR)), F.lit(_FAR))).cast("long")
 
 
-def distance_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], r: float, strategy: str = "auto", suffixes: tuple[str, str] = ("_l", "_r"), dist_col: str | None = None, salt: int = 1) -> DataFrame:
+def distance_join(left: DataFrame, right: DataFrame, left_keys: Keys, right_keys: Keys, r: float, strategy: str = "auto", suffixes: tuple[str, str] = ("_l", "_r"), dist_col: str | None = None, salt: int = 1) -> DataFrame:
     """Pairs at distance r or less."""
     if strategy not in ("auto", "grid", "nested_loop", "broadcast"):
         raise ValueError(f"unknown strategy: {strategy}")
@@ -91,7 +97,7 @@ def distance_join(left: DataFrame, right: DataFrame, left_keys: list[str], right
     return pairs.select(*[F.col(f"`{n}`") for n in names], *([dist.alias(dist_col)] if dist_col else []))
 
 
-def knn_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], k: int, tiebreak: list[str] = (), strategy: str = "auto", suffixes: tuple[str, str] = ("_l", "_r"), dist_col: str | None = None) -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame, left_keys: Keys, right_keys: Keys, k: int, tiebreak: list[str] = (), strategy: str = "auto", suffixes: tuple[str, str] = ("_l", "_r"), dist_col: str | None = None) -> DataFrame:
     """For each left row, its k nearest right rows; ties by the right columns of `tiebreak`. Left duplicates each get theirs."""
     if strategy not in ("auto", "grid", "nested_loop", "broadcast", "zorder"):
         raise ValueError(f"unknown strategy: {strategy}")
@@ -113,7 +119,10 @@ def knn_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys
     right = right.withColumn("__place", F.row_number().over(first)).where(F.col("__place") <= k).drop("__place")
     if strategy == "auto":
         most = config.get("join.broadcastRows")
-        strategy = "broadcast" if right.limit(most + 1).count() <= most else "grid"
+        # The rows as text are longer than as values, so this is a bound of what is sent.
+        text = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in right.columns])))
+        n, size = right.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(text), F.lit(0))).first()
+        strategy = "broadcast" if n <= most and size <= config.get("join.broadcastBytes") else "grid"
     if strategy == "broadcast":
         return _broadcast_knn(left, right, lk, rk, k, ties).select(*out)
     left = left.withColumn("__id", F.monotonically_increasing_id())
@@ -236,7 +245,7 @@ def _grid_candidates(left: DataFrame, right: DataFrame, lk: list[Column], rk: li
     return pairs
 
 
-def zknn_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], k: int, tiebreak: list[str] = (), shifts: int | None = None, seed: int = 42, suffixes: tuple[str, str] = ("_l", "_r"), dist_col: str | None = None) -> DataFrame:
+def zknn_join(left: DataFrame, right: DataFrame, left_keys: Keys, right_keys: Keys, k: int, tiebreak: list[str] = (), shifts: int | None = None, seed: int = 42, suffixes: tuple[str, str] = ("_l", "_r"), dist_col: str | None = None) -> DataFrame:
     """An approximate kNN join: candidates are the k right rows before and after each left row on 1 + `shifts` shifted z-curves.
 
     Curves are cut into buckets at quantiles; a right row is also in the buckets beside its own, so a

@@ -29,6 +29,7 @@ SETTINGS = {
     "join.distance": _choice("strategy of the distance join", "auto", "auto", "grid", "nested_loop", "broadcast"),
     "join.knn": _choice("strategy of the kNN join", "auto", "auto", "grid", "nested_loop", "broadcast", "zorder"),
     "join.broadcastRows": _whole("right rows up to which a kNN join broadcasts", 1_000_000),
+    "join.broadcastBytes": _whole("bytes of right rows up to which a kNN join broadcasts by itself", 256 << 20),
     "zorder.shifts": _whole("shifted curves of an approximate kNN join", 2),
     "voronoi.pivots": _whole("pivots of a Voronoi partitioning", 10),
     "sample.rate": Setting(0.01, float, lambda v: 0 < v <= 1, "share of rows in a selectivity estimate"),

@@ -33,7 +33,7 @@ class Index:
     source: DataFrame | None = None
     level: StorageLevel = field(default_factory=lambda: StorageLevel.MEMORY_AND_DISK)
     path: str = ""
-    #: By tile: its extent, for pruning by tile number. As many rows as tiles.
+    #: By tile: its number, low and high corner and rows, for pruning by tile number. As many rows as tiles.
     extents: list[tuple] = field(default_factory=list)
 
     def rows(self) -> DataFrame:
@@ -43,7 +43,7 @@ class Index:
         """The data, restricted to the tiles whose extent passes the test (low, high)."""
         if not self.extents:
             return self.rows()
-        hit = [t for t, low, high in self.extents if test(low, high)]
+        hit = [t for t, low, high, _ in self.extents if test(low, high)]
         return self.data.where(F.col(_TILE).isin(hit) if hit else F.lit(False)).drop(_TILE)
 
     def range(self, low: list[float], high: list[float]) -> DataFrame:
@@ -58,7 +58,15 @@ class Index:
         return filters.circle_range(pruned, self.columns, center, radius)
 
     def knn(self, target: list[float], k: int, tiebreak: list[str] = (), keep_ties: bool = False) -> DataFrame:
-        return filters.knn(self.rows(), self.columns, target, k, tiebreak, keep_ties)
+        """The k nearest rows, from the tiles that can hold them: those that start no farther away than enough whole tiles end."""
+        reach, held = math.inf, 0
+        for far, n in sorted((_reach(target, low, high)[1], n) for _, low, high, n in self.extents):
+            held += n
+            if held >= k:
+                reach = far * (1 + 1e-9)
+                break
+        pruned = self._tiles(lambda a, b: _reach(target, a, b)[0] <= reach)
+        return filters.knn(pruned, self.columns, target, k, tiebreak, keep_ties)
 
     def equals(self, value) -> DataFrame:
         return self.rows().where(F.col(self.columns[0]) == value)
@@ -139,7 +147,7 @@ class Registry:
         """Registers a written index, under a new name if one is given. Its rows are read where they lie."""
         about = json.loads(self.spark.read.text(f"{path}/about").first()[0])
         data = self.spark.read.parquet(f"{path}/data")
-        index = Index(about["table"], name or about["name"], about["kind"], about["columns"], data, None, StorageLevel.NONE, path, [(t, a, b) for t, a, b in about["extents"]])
+        index = Index(about["table"], name or about["name"], about["kind"], about["columns"], data, None, StorageLevel.NONE, path, [tuple(x) for x in about["extents"]])
         self._indexes[index.table, index.name] = index
         return index
 
@@ -164,7 +172,13 @@ class Registry:
             self.drop(*key)
 
 
+def _reach(target: list[float], low: list[float], high: list[float]) -> tuple[float, float]:
+    """The least and the greatest distance of a point from a box."""
+    sides = list(zip(target, low, high, strict=True))
+    return math.sqrt(sum(max(a - x, 0, x - b) ** 2 for x, a, b in sides)), math.sqrt(sum(max(abs(x - a), abs(b - x)) ** 2 for x, a, b in sides))
+
+
 def _extents(data: DataFrame, columns: list[str]) -> list[tuple]:
     ends = [f(F.col(c).cast("double")) for c in columns for f in (F.min, F.max)]
-    rows = data.where(F.col(_TILE) >= 0).groupBy(_TILE).agg(*ends).collect()
-    return [(r[0], list(r[1::2]), list(r[2::2])) for r in rows]
+    rows = data.where(F.col(_TILE) >= 0).groupBy(_TILE).agg(*ends, F.count("*")).collect()
+    return [(r[0], list(r[1:-1:2]), list(r[2:-1:2]), r[-1]) for r in rows]

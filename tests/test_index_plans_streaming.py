@@ -7,7 +7,7 @@ from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from quadrille.functions import sql as sql_functions
-from quadrille.operators import partition
+from quadrille.operators import filters, partition
 from quadrille.operators.joins import knn_join
 from quadrille.plans.config import Config
 from quadrille.plans.predicates import And, Interval, Leaf, Not, Or, intervals, leaf_interval, partitions_for, to_cnf, to_dnf
@@ -42,6 +42,18 @@ def test_tiled_indexes(spark, points, kind, tmp_path):
     assert sorted(again.rows().columns) == sorted(points.columns)
 
 
+@pytest.mark.parametrize("kind", ["rtree", "quadtree"])
+def test_index_neighbours_come_from_few_tiles(spark, points, kind):
+    index = Registry(spark).create(points, kind, "near", ["x", "y"], 16)
+    for target, k in (([5, 5], 7), ([-30, 90], 1), ([20, 20], 40), ([5, 5], 10_000), ([0, 0], 0)):
+        for ties in (False, True):
+            found = index.knn(target, k, ["id"], ties)
+            assert ids(found) == ids(filters.knn(points, ["x", "y"], target, k, ["id"], ties))
+    plan = index.knn([5, 5], 7, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "__tile" in plan.split("Filter")[1]
+    assert sum(n for *_, n in index.extents) == 602
+
+
 @pytest.mark.parametrize("kind", ["treap", "treemap", "hashmap"])
 def test_key_indexes_keep_repeated_keys(spark, points, kind):
     index = Registry(spark).create(points, kind, "key", ["x"], 4)

@@ -7,6 +7,7 @@ import pytest
 
 from quadrille.functions import geometry as g
 from quadrille.operators import filters, joins
+from quadrille.plans.config import Config
 
 SIX = [(float(k), float(k), 3.0, str(n)) for n, k in enumerate((1, 2, 2, 2, 3, 4), 1)]
 
@@ -154,3 +155,28 @@ def test_join_errors(spark):
         joins.knn_join(df, df, ["k0"], ["k0", "k1"], 1)
     with pytest.raises(ValueError):
         joins.knn_join(df, df, ["k0"], ["k0"], 1, strategy="magic")
+
+
+def test_joins_on_a_column_of_points(spark):
+    left = spark.createDataFrame([(1, [0.0, 0.0]), (2, [5.0, None]), (3, None), (4, [9.0, 9.0])], "a long, at array<double>")
+    right = spark.createDataFrame([(1, [0.0, 1.0]), (2, [9.0, 8.5]), (3, [float("nan"), 0.0])], "b long, at array<double>")
+    pairs = joins.distance_join(left, right, ("at", 2), ("at", 2), 1.0)
+    assert sorted((r["a"], r["b"], r["at_l"]) for r in pairs.collect()) == [(1, 1, [0.0, 0.0]), (4, 2, [9.0, 9.0])]
+    near = joins.knn_join(left, right, ("at", 2), ("at", 2), 1, ["b"])
+    assert sorted((r["a"], r["b"]) for r in near.collect()) == [(1, 1), (4, 2)]
+    with pytest.raises(ValueError):
+        joins.distance_join(left, right, ("no", 2), ("at", 2), 1.0)
+
+
+def test_wide_right_rows_are_not_broadcast(spark):
+    left = spark.createDataFrame([(k, float(k % 7), float(k % 5)) for k in range(30)], "a long, x double, y double")
+    right = spark.createDataFrame([(k, float(k % 11), float(k % 3), "w" * 50) for k in range(40)], "b long, x double, y double, load string")
+    config = Config(spark)
+    want = sorted((r["a"], r["b"]) for r in joins.knn_join(left, right, ["x", "y"], ["x", "y"], 3, ["b"]).collect())
+    config.set("join.broadcastBytes", 1000)
+    try:
+        near = joins.knn_join(left, right, ["x", "y"], ["x", "y"], 3, ["b"])
+        assert "MapInPandas" not in near._jdf.queryExecution().toString()
+        assert sorted((r["a"], r["b"]) for r in near.collect()) == want
+    finally:
+        config.unset("join.broadcastBytes")
