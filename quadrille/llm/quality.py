@@ -10,6 +10,8 @@ The first cutoff that fails ends its sequence, so the sequence needs no further
 with a confidence of 1 - `error` no stratum loses more than `risk` of its good documents to the
 rules together. Of the certified cutoffs the most lenient is taken that rejects almost as
 many bad tuning documents as any. A stratum with too few labels certifies nothing and keeps all.
+Rules are then taken up from the one that rejects the most bad tuning documents on; a rule that adds
+less than MIN_GAIN of them to those before it is left out, as it could only cost good documents.
 
 Strata are a fixed list, so what the driver gets is a fixed number of counts; they are taken
 over all labelled documents.
@@ -35,6 +37,8 @@ STRATA = ("en", "de", "fr", "es", "other")
 RISK, ERROR = 0.05, 0.05
 #: Labelled documents of which one in this many tunes; the others are the holdout.
 TUNE_ONE_IN = 4
+#: The share of a stratum's bad tuning documents that a rule must add to what the others reject.
+MIN_GAIN = 0.01
 
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 STATS_DDL = ", ".join(f"{f} long" for f in FIELDS)
@@ -141,10 +145,24 @@ def choose_cutoff(grid, tune_good, tune_bad, n_tune_good, hold_good, n_hold_good
     return next(grid[i] for i in certified if tune_bad[i] >= enough)
 
 
+def needed_rules(rejected: dict[frozenset[str], int]) -> set[str]:
+    """The rules worth having, from the number of bad documents that exactly a set of rules rejects (the empty set's too)."""
+    least = MIN_GAIN * sum(rejected.values())
+    kept: set[str] = set()
+    left = dict(rejected)
+    while True:
+        gains = {rule: sum(n for x, n in left.items() if rule in x) for rule in sorted(set().union(*left) - kept)} if left else {}
+        best = max(gains, key=gains.get, default=None)
+        if best is None or gains[best] < max(1, least):
+            return kept
+        kept.add(best)
+        left = {x: n for x, n in left.items() if best not in x}
+
+
 def calibrate(stats: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[str, dict[str, float]]:
     """Cutoffs by stratum and rule, from rows (doc_id, lang, the FIELDS) and labels (doc_id, quality)."""
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min((F.col("quality") > 0).cast("int")).alias("_good"))
-    rows = (
+    rows = checkpointed(
         stats.join(good, "doc_id")
         .where(~base_failed())
         .withColumn("_stratum", stratum(F.col("lang")))
@@ -166,7 +184,10 @@ def calibrate(stats: DataFrame, labels: DataFrame, risk: float = RISK, error: fl
             cutoff = choose_cutoff(grid, tune_good, tune_bad, n_tune, hold_good, n_hold, risk / len(RULES), error / (len(STRATA) * len(RULES)))
             if cutoff is not None:
                 cutoffs[s][name] = cutoff
-    return cutoffs
+    # At most a row for each stratum and set of rules.
+    sets = rows.where("_part = 1 and _good = 0").groupBy("_stratum", failed_rules(cutoffs, F.col("lang")).alias("rules")).agg(F.count("*").alias("n")).collect()
+    needed = {s: needed_rules({frozenset(r["rules"]): r["n"] for r in sets if r["_stratum"] == s}) for s in STRATA}
+    return {s: {name: c for name, c in found.items() if name in needed[s]} for s, found in cutoffs.items()}
 
 
 def failed_rules(cutoffs: dict[str, dict[str, float]], lang: Column) -> Column:

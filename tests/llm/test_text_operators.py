@@ -75,6 +75,12 @@ def test_false_rejection_is_limited():
     assert wrong <= 20
 
 
+def test_rules_that_add_nothing_are_left_out():
+    counts = {frozenset(): 10, frozenset({"a"}): 60, frozenset({"a", "b"}): 120, frozenset({"c"}): 8, frozenset({"b"}): 1, frozenset({"b", "d"}): 0}
+    assert quality.needed_rules(counts) == {"a", "c"}
+    assert quality.needed_rules({}) == quality.needed_rules({frozenset(): 5}) == set()
+
+
 def test_keep_good(spark):
     r = random.Random(3)
     rows, labels = [], []
