@@ -1,4 +1,4 @@
-"""Language-model scoring by a weighted backoff automaton.
+"""Language-model scoring by backoff weights of n-grams.
 
 The model is trained on the documents whose crc32(doc_id as text) mod 10 is not 0. Words are
 between white space after lower-casing A-Z, and an end closes each text.
@@ -6,18 +6,18 @@ between white space after lower-casing A-Z, and an end closes each text.
 Unigrams: P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)) over every word of every training document (the
 base score is their sum of logarithms). Longer n-grams are smoothed by absolute discounting: in a
 context h of count c(h), a kept n-gram h w has (c(h w) - D) / c(h) of its own, and what is left over,
-b(h), goes to the context without its first word: P(w | h) = own(h w) + b(h) P(w | h'). The automaton
-has a state for each kept n-gram, arcs with the logarithm of P for kept continuations, and failure
-arcs with that of b. One pass over a text, left to right, carries the state: where it has no arc
-for the next word, the failure arc is followed and its weight added.
-
-Counts cover all training documents. Which n-grams become states is bounded, as the automaton is
-broadcast: the STATE_WORDS most frequent words (words of over MAX_WORD bytes aside) have unigram
-states, contexts and continuations come from the first GRAM_WORDS of them, n-grams are kept from
-MIN_COUNT on, the MAX_ARCS most frequent of each order.
-This is the model's pruning, stated here; it drops no word of a text. Unigram counts are unbounded:
-those of state words are broadcast, and every other word of a document, so rare that it ranks after
-them, is joined to the table of counts by a shuffle.
+b(h), goes to the context without its first word: P(w | h) = own(h w) + b(h) P(w | h'). A context
+without kept n-grams, and one that isn't kept itself, leaves everything: b(h) = 1.
+
+Every bigram and trigram of words up to MAX_WORD bytes with MIN_COUNT occurrences is kept, however
+many there are; all tables of the model are DataFrames and grow with the corpus. The logarithm of P
+along a text is a sum of one value for each n-gram in it: a kept n-gram h w has
+log P(w | h) - log b(h) - log P(w | h'), and a context adds its log b(h). So scoring looks up values by
+key. Broadcast are caches only: the most frequent words and values, and a filter of the kept keys by
+which n-grams that can't be kept are left out (a false hit costs a look-up, no result). What a
+cache hasn't got is joined to the whole tables by a shuffle.
+
+A word is known in n-grams by its 64-bit XXH64, and an n-gram by that of its context and suffix.
 
 Defined results: a null or empty text has one token, its end; a null id counts as the empty text and
 is held out; repeated rows are scored (and counted) one by one; an empty training part gives N = 0
@@ -26,30 +26,32 @@ and P = 0.1 / 0.1 for any word; an empty table gives an empty table; other colum
 
 from __future__ import annotations
 
-import math
+import gc
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import compress, repeat
 from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import BATCH_ROWS, arrow_schema, bound_batches, checkpointed, table
 
 ADD = 0.1
-ORDER = 3
 DISCOUNT = 0.5
-STATE_WORDS, GRAM_WORDS, MAX_WORD = 1 << 17, 1 << 15, 40
-MIN_COUNT, MAX_ARCS = 3, 200_000
+MIN_COUNT, MAX_WORD = 3, 40
+#: Entries of the caches of words and of n-grams' values, and bits of the filter of kept keys at most.
+STATE_WORDS, CACHED, FILTER_BITS = 1 << 17, 1 << 21, 1 << 28
 #: Words that a worker counts, and n-grams that it gathers, before it hands their counts on.
 COUNTED, SORTED = 400_000, 2_000_000
-#: Words without a state after which a batch of scored rows is closed.
-RARE_WORDS = 200_000
+#: Tokens after which a worker looks up what it holds.
+CHUNK = 500_000
 END = b""  # no word is empty
-_BITS = 32
+SEED = 42  # of Spark's xxhash64
 
 
 def held_out() -> Column:
@@ -92,207 +94,289 @@ def _counted(counts: dict, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000], f.type) for x, f in zip((keys, values), arrow, strict=True)], schema=arrow)
 
 
-class Automaton:
-    """States, arcs and failure arcs.
-
-    State 0 is the empty context; a word's number, from 1, is its own state; longer n-grams follow,
-    those of an order in the order of `grams`: for each, the sorted keys (state << 32 | word) and the
-    number of its first state. own: log10 P of each kept n-gram, by its state.
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+
+def _hash_long(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """XXH64 of longs as Spark has it."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = seed + p5 + np.uint64(8)
+    h = _rotated(h ^ _rotated(x * p2, 31) * p1, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return h ^ h >> np.uint64(32)
+
+
+def gram_keys(contexts: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
+    """xxhash64(ctx, suffix), from unsigned keys."""
+    return _hash_long(suffixes, _hash_long(contexts, np.full(1, SEED, np.uint64)))
+
+
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """The words' XXH64, 0 for words that are in no n-gram."""
+    keys = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+    keys[np.fromiter(map(len, words), np.int64, len(words)) > MAX_WORD] = 0
+    return keys
+
+
+def grams_of(keys: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of texts, from the words' keys and whether each is an end: if a bigram starts there, its key, if a trigram does, its key."""
+    whole = (keys[:-1] != 0) & (keys[1:] != 0) & ~ends[:-1]  # nothing follows an end
+    two = gram_keys(keys[:-1], keys[1:])
+    return whole, two, whole[:-1] & whole[1:], gram_keys(two[:-1], two[1:])
+
+
+class Filter:
+    """A bit for each of the keys, modulo the number of bits."""
+
+    def __init__(self, keys: DataFrame) -> None:
+        size = 64
+        n = keys.count()
+        while size < 16 * n and size < FILTER_BITS:
+            size *= 2
+        place = F.col("key").bitwiseAND(F.lit(size - 1))
+        slots = keys.select(F.shiftright(place, 6).alias("slot"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+        self.bits = np.zeros(size // 64, np.uint64)
+        self.bits[np.array(slots["slot"], np.int64)] = np.array(slots["bits"], np.int64).view(np.uint64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        place = keys & np.uint64(64 * len(self.bits) - 1)
+        return (self.bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+class Cache:
+    """Values by key, in tables of one slot a key: the most frequent of the keys that fall on one stay there, the others go to the next table."""
+
+    LEVELS = 4
+
+    def __init__(self, values: pa.Table) -> None:
+        order = np.argsort(np.array(values["c"], np.int64), kind="stable")
+        keys = np.array(values["key"], np.int64)[order].view(np.uint64)
+        values = np.array(values["v"], np.float64)[order]
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(keys) and len(self.tables) < self.LEVELS:
+            size = 64
+            while size < len(keys):
+                size *= 2
+            at = keys >> np.uint64(8 * len(self.tables)) & np.uint64(size - 1)
+            slots, held = np.zeros(size, np.uint64), np.zeros(size)
+            slots[at] = keys  # the last one stays
+            held[at] = values
+            self.tables.append((slots, held))
+            left = slots[at] != keys
+            keys, values = keys[left], values[left]
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are there, and their values, 0 for the others."""
+        there, found = np.zeros(len(keys), bool), np.zeros(len(keys))
+        left = np.arange(len(keys))
+        for k, (slots, held) in enumerate(self.tables):
+            some = keys[left]
+            at = some >> np.uint64(8 * k) & np.uint64(len(slots) - 1)
+            hit = slots[at] == some
+            found[left[hit]] = held[at[hit]]
+            there[left[hit]] = True
+            left = left[~hit]
+        return there, found
+
+
+def release(df: DataFrame) -> None:
+    """Has Spark delete the shuffle files of tables that are written: else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def kept_grams(texts: DataFrame, order: int, shorter: Filter) -> DataFrame:
+    """(ctx, suffix, c) of the n-grams of order 2 or 3 with MIN_COUNT occurrences. Checkpointed.
+
+    ctx and suffix are the keys of an n-gram without its last and without its first word. shorter: the
+    keys of n-grams an order less with MIN_COUNT occurrences, as longer ones are no more frequent.
     """
-
-    def __init__(self, words: list[bytes], counts: list[int], total: int, kinds: int) -> None:
-        self.total, self.base = total, total + ADD * (kinds + 1)
-        self.words = words
-        #: Of words that have no number, the unigram is added later.
-        self.log_p = [0.0, *(math.log10((c + ADD) / self.base) for c in counts)]
-        n = len(words) + 1
-        self.failure, self.back = np.zeros(n, np.int64), np.zeros(n)
-        self.counts = np.array([total, *counts], np.int64)
-        self.own = np.zeros(n)
-        self.grams: list[tuple[np.ndarray, int]] = []
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("numbers", "gram_numbers", "tables")}
-
-    def __getattr__(self, name: str):
-        """What each process builds for itself: the numbers by word (of all, and of those in n-grams), and the tables of `walk`."""
-        if name == "numbers":
-            self.numbers = {w: k for k, w in enumerate(self.words, 1)}
-        elif name == "gram_numbers":
-            self.gram_numbers = {w: k for k, w in enumerate(self.words[:GRAM_WORDS], 1)}
-        elif name == "tables":
-            self.tables = self._tables()
-        else:
-            raise AttributeError(name)
-        return self.__dict__[name]
-
-    def _tables(self) -> tuple[list, list, list, list]:
-        """arcs (by state: word to (log10 P, next state), or None), failure weights, failure arcs, and where each state lands.
-
-        A state without arcs has the failure weight 0, so arcs lead past it to the first state on its
-        failure path that has some.
-        """
-        arcs: list[dict | None] = [None] * len(self.back)
-        for keys, _ in self.grams:
-            for state in np.unique(keys >> _BITS).tolist():
-                arcs[state] = {}
-        failure = self.failure.tolist()
-        lands = list(range(len(arcs)))
-        for state in range(1, len(arcs)):
-            if arcs[state] is None:
-                lands[state] = lands[failure[state]]  # a failure arc leads to a state of a lower order, so a smaller number
-            failure[state] = lands[failure[state]]
-        for keys, first in self.grams:
-            steps = zip((keys >> _BITS).tolist(), (keys & ((1 << _BITS) - 1)).tolist(), self.own[first : first + len(keys)].tolist(), lands[first : first + len(keys)])
-            for state, word, weight, to in steps:
-                arcs[state][word] = weight, to
-        return arcs, self.back.tolist(), failure, lands
-
-    def walk(self, words: list[int], logs: list[float]) -> float:
-        """The sum of log10 P along the words (numbers, 0 for a word without one, and their unigrams' log10 P): one pass that carries the state."""
-        arcs, back, failure, lands = self.tables
-        total, state = 0.0, 0
-        for word, log_p in zip(words, logs):
-            while state:
-                arc = arcs[state].get(word)
-                if arc:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += back[state]
-                state = failure[state]
-            else:
-                total += log_p
-                state = lands[word]
-        return total
-
-    def extend(self, grams: np.ndarray, counts: np.ndarray) -> None:
-        """Adds the kept n-grams (state << 32 | word) of the next order."""
-        order = np.argsort(grams)
-        grams, counts = grams[order], counts[order]
-        states, words = grams >> _BITS, grams & ((1 << _BITS) - 1)
-        share = (counts - DISCOUNT) / self.counts[states]
-        used = np.bincount(states, weights=share, minlength=len(self.back))
-        left = np.maximum(1e-12, 1 - used)
-        # The state and the probability of the word after the context without its first word.
-        lower, fallback = np.array(self.log_p)[words], words
-        if self.grams:
-            keys, first = self.grams[-1]
-            shorter = self.failure[states]
-            key = shorter << _BITS | words
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            found = keys[at] == key
-            lower = np.where(found, self.own[first + at], self.back[shorter] + lower)
-            fallback = np.where(found, first + at, words)
-        self.back[np.unique(states)] = np.log10(left[np.unique(states)])
-        if not len(grams):
-            return
-        self.grams.append((grams, len(self.back)))
-        self.own = np.concatenate([self.own, np.log10(share + left[states] * 10**lower)])
-        self.failure = np.concatenate([self.failure, fallback])
-        self.back = np.concatenate([self.back, np.zeros(len(grams))])
-        self.counts = np.concatenate([self.counts, counts])
-
-
-def next_grams(texts: DataFrame, model, order: int) -> DataFrame:
-    """(gram, c), gram = state << 32 | word: how often a state of order - 1 words is followed by a word, over all texts."""
-    schema = "gram long, c long"
+    shared = texts.sparkSession.sparkContext.broadcast(shorter)
+    schema = "ctx long, suffix long, c long"
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = model.value
-        get, end, states = automaton.gram_numbers.get, automaton.gram_numbers.get(END, 0), automaton.grams
-        held, size = [], 0
+        held, size, words = [], 0, []
+
+        def gather() -> None:
+            nonlocal size
+            keys = word_keys(words)
+            ends = np.fromiter(map(not_, words), bool, len(words))
+            words.clear()
+            if order == 2:
+                lower, kept = keys, (keys != 0) & shared.value.has(keys)
+                both = kept[:-1] & kept[1:] & ~ends[:-1]  # nothing follows an end
+            else:
+                whole, lower, _, _ = grams_of(keys, ends)
+                kept = whole & shared.value.has(lower)
+                both = kept[:-1] & kept[1:]
+            held.append(np.stack([lower[:-1][both], lower[1:][both]]))
+            size += held[-1].shape[1]
+
         for batch in batches:
-            words: list[bytes] = []
             for text in batch.column(0):
                 words += words_of(text.as_py())
-            ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
-            # A context is kept words in a row; nothing follows an end.
-            state = np.where(ids == end, 0, ids)
-            for k in range(order - 2):
-                keys, first = states[k]
-                gram = state[:-1] << _BITS | ids[k + 1 :]
-                at = np.searchsorted(keys, gram)
-                at[at == len(keys)] = 0
-                found = (keys[at] == gram) if len(keys) else np.zeros(len(gram), bool)
-                state = np.where(found & (ids[k + 1 :] != end), at + first, 0)
-            gram = (state[:-1] << _BITS | ids[order - 1 :])[(state[:-1] > 0) & (ids[order - 1 :] > 0)]
-            held.append(gram)
-            size += len(gram)
-            if size >= SORTED:
-                yield from _unique(held, arrow)
-                held, size = [], 0
+                if len(words) >= CHUNK:
+                    gather()
+                    if size >= SORTED:
+                        yield from _unique(held, arrow)
+                        held, size = [], 0
+        if words:
+            gather()
         yield from _unique(held, arrow)
 
-    return _map(texts.select("text"), run, schema).groupBy("gram").agg(F.sum("c").alias("c"))
+    counted = _map(texts.select("text"), run, schema).groupBy("ctx", "suffix").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_COUNT)
+    counted = checkpointed(counted)
+    shared.unpersist()
+    release(texts)
+    return counted
 
 
 def _unique(parts: list[np.ndarray], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
     if parts:
-        grams, counts = np.unique(np.concatenate(parts), return_counts=True)
-        for k in range(0, len(grams), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(grams[k : k + 50_000]), pa.array(counts[k : k + 50_000])], schema=arrow)
+        contexts, suffixes = np.concatenate(parts, axis=1)
+        _, first, counts = np.unique(gram_keys(contexts, suffixes), return_index=True, return_counts=True)
+        columns = contexts[first].view(np.int64), suffixes[first].view(np.int64), counts
+        for k in range(0, len(first), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in columns], schema=arrow)
 
 
-def most_frequent(counts: DataFrame, least: int, most: int) -> pa.Table:
-    """The rows of a checkpointed table with c >= least; if over `most`, those above the smallest count that leaves no more."""
-    kinds = counts.where(F.col("c") >= least).groupBy("c").agg(F.count("*").alias("n"))
+def most_frequent(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """About `most` of the rows of a checkpointed table with the highest c: part of the class of equal counts that crosses the limit, by the key (a hash)."""
     upto = Window.orderBy(F.desc("c"))
     # One row per different count goes through the window.
-    fits = kinds.withColumn("n", F.sum("n").over(upto)).where(F.col("n") <= most).agg(F.min("c")).first()[0]
-    return counts.where(F.col("c") >= (fits if fits is not None else 1 << 62)).toArrow()
+    crossing = rows.groupBy("c").agg(F.count("*").alias("n")).withColumn("sum", F.sum("n").over(upto)).where(F.col("sum") > most).orderBy("sum").first()
+    if not crossing:
+        return rows
+    share = int(1024 * (most - crossing["sum"] + crossing["n"]) / crossing["n"])
+    return rows.where((F.col("c") > crossing["c"]) | ((F.col("c") == crossing["c"]) & (F.pmod(F.shiftright(key, 32), F.lit(1024)) < share)))
+
 
+def smoothed(grams: DataFrame, lower: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From n-grams (ctx, suffix, c) and those of an order less (key, c, p): (key, back), the log b of each context, and (key, c, p, v) of each n-gram."""
+    left = F.greatest(F.lit(1e-12), 1 - F.col("used") / F.col("total"))
+    contexts = grams.groupBy("ctx").agg(F.sum(F.col("c") - DISCOUNT).alias("used")).join(lower.select(F.col("key").alias("ctx"), F.col("c").alias("total")), "ctx").select("ctx", "total", left.alias("left"))
+    contexts = checkpointed(contexts)
+    p = (F.col("c") - DISCOUNT) / F.col("total") + F.col("left") * F.col("lower")
+    rows = grams.join(contexts, "ctx").join(lower.select(F.col("key").alias("suffix"), F.col("p").alias("lower")), "suffix").withColumn("p", p)
+    value = F.log10("p") - F.log10("lower") - F.log10("left")
+    return contexts.select(F.col("ctx").alias("key"), F.log10("left").alias("back")), rows.select(F.xxhash64("ctx", "suffix").alias("key"), "c", "p", value.alias("v"))
 
-def train(counts: DataFrame, texts: DataFrame, order: int = ORDER) -> Automaton:
-    """The automaton, from checkpointed word counts and the training texts."""
-    spark = counts.sparkSession
+
+@dataclass
+class Model:
+    """words: (word, c, back) of every word; values: (key, c, v) of every kept n-gram; base: the divisor of unigrams. Both tables are checkpointed."""
+
+    total: int
+    base: float
+    words: DataFrame
+    values: DataFrame
+
+
+def train(counts: DataFrame, texts: DataFrame) -> Model:
+    """The model, from checkpointed word counts and the training texts."""
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    found = most_frequent(counts.where(F.length("word") <= MAX_WORD), 1, STATE_WORDS)
-    words = sorted(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
-    automaton = Automaton([w for w, _ in words], [c for _, c in words], total, kinds)
-    for n in range(2, order + 1):
-        shared = spark.sparkContext.broadcast(automaton)
-        kept = most_frequent(checkpointed(next_grams(texts, shared, n).where(F.col("c") >= MIN_COUNT)), MIN_COUNT, MAX_ARCS)
-        shared.unpersist()
-        automaton.extend(np.array(kept["gram"], np.int64), np.array(kept["c"], np.int64))
-    return automaton
-
-
-def score(docs: DataFrame, counts: DataFrame, automaton: Automaton) -> DataFrame:
+    base = total + ADD * (kinds + 1)
+    key = F.xxhash64("ctx", "suffix").alias("key")
+    word = F.when(F.length("word") <= MAX_WORD, F.xxhash64("word"))
+    two = kept_grams(texts, 2, Filter(counts.where(F.col("c") >= MIN_COUNT).select(word.alias("key")).where("key is not null")))
+    three = kept_grams(texts, 3, Filter(two.select(key)))
+    words = counts.where(F.col("c") >= MIN_COUNT).select(word.alias("key"), "c", ((F.col("c") + ADD) / base).alias("p")).where("key is not null")
+    back, grams = smoothed(two, words)
+    grams = checkpointed(grams)
+    more, longer = smoothed(three, grams)
+    values = grams.join(more, "key", "left").select("key", "c", (F.col("v") + F.coalesce("back", F.lit(0.0))).alias("v")).unionByName(longer.select("key", "c", "v"))
+    known = counts.withColumn("key", word).join(back, "key", "left").select("word", "c", F.coalesce("back", F.lit(0.0)).alias("back"))
+    known, values = checkpointed(known), checkpointed(values)
+    del two, three, words, back, grams, more, longer
+    release(counts)
+    return Model(total, base, known, values)
+
+
+class Tables:
+    """What is broadcast for scoring: the caches of words and values, and the filter of kept keys."""
+
+    def __init__(self, model: Model) -> None:
+        found = most_frequent(model.words.where(F.length("word") <= MAX_WORD), F.xxhash64("word"), STATE_WORDS).toArrow()
+        self.words = found["word"].to_pylist()
+        # Number 0 is that of words which are looked up later.
+        self.log_p = np.concatenate([[0.0], np.log10((np.array(found["c"], np.float64) + ADD) / model.base)])
+        self.back = np.concatenate([[0.0], np.array(found["back"], np.float64)])
+        self.keys = np.concatenate([np.zeros(1, np.uint64), word_keys(self.words)])
+        self.cache = Cache(most_frequent(model.values, F.col("key"), CACHED).toArrow())
+        self.kept = Filter(model.values.select("key"))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "numbers"}
+
+    def __getattr__(self, name: str):
+        """The numbers of words, which each process builds for itself."""
+        if name != "numbers":
+            raise AttributeError(name)
+        self.numbers = {w: k for k, w in enumerate(self.words, 1)}
+        return self.numbers
+
+
+def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     kind = dict(docs.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word: binary, n: int>>"
+    shared = docs.sparkSession.sparkContext.broadcast(Tables(model))
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word: binary, n: int>>, grams array<long>"
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        get, log_p = model.numbers.get, model.log_p
-        rows, words_left, times, offsets = [], [], [], [0]
+        tables = shared.value
+        rows, words, lengths = [], [], []
 
         def flush() -> pa.RecordBatch:
-            left = pa.StructArray.from_arrays([pa.array(words_left, pa.binary()), pa.array(times, pa.int32())], ["word", "n"])
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=False)]
-            batch = pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), left).cast(arrow.field("rare").type)], schema=arrow)
-            for held in (rows, words_left, times):
+            n = len(rows)
+            ids = np.fromiter(map(tables.numbers.get, words, repeat(0)), np.int64, len(words))
+            row = np.repeat(np.arange(n), lengths)
+            sums = lambda at, x: np.bincount(at, x, n)
+            unknown = ids == 0
+            rest = list(compress(words, unknown.tolist()))
+            rest_keys, keys = word_keys(rest), tables.keys[ids]
+            keys[unknown] = rest_keys
+            ends = np.zeros(len(words), bool)
+            ends[np.cumsum(lengths) - 1] = True
+            base = sums(row, tables.log_p[ids])
+            total = base + sums(row, tables.back[ids])
+            places, missed = [], []
+            two_whole, two, three_whole, three = grams_of(keys, ends)
+            # A trigram is kept only if its bigrams are.
+            likely = two_whole & tables.kept.has(two)
+            three_whole = likely[:-1] & likely[1:]
+            for whole, all_keys in ((likely, two), (three_whole, three)):
+                at = np.flatnonzero(whole)
+                some = all_keys[at]
+                there, values = tables.cache.get(some)
+                total += sums(row[at], values)
+                left = np.flatnonzero(~there)
+                left = left[tables.kept.has(some[left])]
+                places.append(row[at][left])
+                missed.append(some[left])
+            place, missing = np.concatenate(places), np.concatenate(missed)
+            missing = missing[np.argsort(place, kind="stable")].view(np.int64)
+            offsets = lambda per_row: pa.array(np.concatenate([[0], np.cumsum(per_row)]), pa.int32())
+            grams = pa.ListArray.from_arrays(offsets(np.bincount(place, minlength=n)), pa.array(missing))
+            rare = Counter(zip(row[unknown].tolist(), rest, strict=True))  # in the order of rows
+            left = pa.StructArray.from_arrays([pa.array([w for _, w in rare], pa.binary()), pa.array(rare.values(), pa.int32())], ["word", "n"])
+            rare = pa.ListArray.from_arrays(offsets(np.bincount(np.fromiter((k for k, _ in rare), np.int64, len(rare)), minlength=n)), left)
+            known = np.bincount(row, ~unknown, n).astype(np.int64)
+            columns = [*(pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), arrow, strict=False)), pa.array(lengths, pa.int64()), pa.array(known), pa.array(base), pa.array(total), rare.cast(arrow.field("rare").type), grams.cast(arrow.field("grams").type)]
+            for held in (rows, words, lengths):
                 held.clear()
-            offsets[:] = [0]
-            return batch
+            return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
         for batch in batches:
             for text, key, out in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = words_of(text.as_py())
-                ids = list(map(get, words, repeat(0)))
-                unknown = ids.count(0)
-                if unknown:  # their counts are joined later
-                    rare = Counter(compress(words, map(not_, ids)))
-                    words_left += rare
-                    times += rare.values()
-                offsets.append(len(words_left))
-                logs = list(map(log_p.__getitem__, ids))
-                rows.append((key, out, len(words), len(words) - unknown, sum(logs), model.walk(ids, logs)))
-                if len(rows) >= BATCH_ROWS or len(words_left) >= RARE_WORDS:
+                before = len(words)
+                words += words_of(text.as_py())
+                lengths.append(len(words) - before)
+                rows.append((key, out))
+                if len(rows) >= BATCH_ROWS or len(words) >= CHUNK:
                     yield flush()
         if rows:
             yield flush()
@@ -300,12 +384,13 @@ def score(docs: DataFrame, counts: DataFrame, automaton: Automaton) -> DataFrame
     walked = _map(docs.select("text", "doc_id", held_out().alias("out")), run, schema)
     walked = checkpointed(walked.select(F.monotonically_increasing_id().alias("row"), "*"))
     rare = walked.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    logs = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10((c + ADD) / automaton.base)).alias("logs"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"))
-    logs_or_none = F.coalesce("logs", F.lit(0.0))
-    total = automaton.total
-    return walked.drop("rare").join(logs, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + logs_or_none).alias("base_score"), (F.col("score") + logs_or_none).alias("score")
+    c, n = F.coalesce(F.col("c"), F.lit(0)), F.col("n")
+    logs = rare.join(model.words, "word", "left").groupBy("row").agg(F.sum(n * F.log10((c + ADD) / model.base)).alias("logs"), F.sum(n * F.coalesce("back", F.lit(0.0))).alias("backs"), F.sum(F.when(c > 0, n).otherwise(0)).alias("more"))
+    sums = walked.select("row", F.explode("grams").alias("key")).join(model.values, "key").groupBy("row").agg(F.sum("v").alias("v"))
+    none = F.lit(0.0)
+    logs_or_none = F.coalesce("logs", none)
+    return walked.drop("rare", "grams").join(logs, "row", "left").join(sums, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base_score") + logs_or_none).alias("base_score"), (F.col("score") + logs_or_none + F.coalesce("backs", none) + F.coalesce("v", none)).alias("score")
     )
 
 
