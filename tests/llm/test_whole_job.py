@@ -24,6 +24,13 @@ def trained_ids(spark, n):
     return [x[0] for x in spark.range(10 * n).select(F.col("id").alias("doc_id")).where(~lm.held_out()).limit(n).collect()]
 
 
+@pytest.mark.parametrize("texts", [[None, "", " "] * 20, ["one short document"], ["a b c"] * 2])
+def test_lm_without_kept_ngrams(spark, texts):
+    got = lm_scores(spark, texts, trained_ids(spark, len(texts)))
+    assert len(got) == len(texts)
+    assert all(x["score"] == pytest.approx(x["base_score"]) for x in got.values())
+
+
 def test_lm_keeps_a_huge_tie_class(spark):
     """210,000 bigrams and as many trigrams of one count over as many words, all kept."""
     n = 210_000
