@@ -1,11 +1,10 @@
 """Licence scans by a positional rare-token index, with DataFrame operations only.
 
 The templates below are short notices and the openings of licences. Their words other than STOP
-words are the index's tokens; a posting is (token, template, position). Of each file the licence
-words with the highest IDF are looked up (IDF from the number of documents that have the word, over
-all documents), each hit votes for the offset at which the template would start, and the votes of a
-template and offset are added up by IDF: hits at the right relative positions meet at one offset. A
-template is found where it gets MIN_SCORE of the weight of its own highest-IDF words and all its
+words are the index's tokens; a posting is (token, template, position). All licence words of a file
+are looked up. Each hit votes for the offset at which the template would start, and the votes of a
+template and offset are added up by IDF (from the number of documents that have the word, over all
+documents): hits at the right relative positions meet at one offset. A template is found where it gets MIN_SCORE of the weight of its own highest-IDF words and all its
 mandatory key phrases stand at their places.
 
 The templates bound the postings, the IDF table and the key phrases, so these are broadcast. Texts
@@ -31,7 +30,7 @@ from quadrille.llm.common import checkpointed, table
 WORDS = "[0-9a-z\u0080-\U0010ffff]+"
 WORDS_ANY_CASE = "[0-9A-Za-z\u0080-\U0010ffff]+"
 
-#: Highest-IDF words of a file (and of a template) that count, and the share of a template's weight that finds it.
+#: Highest-IDF words of a template that count for its weight, and the share of that weight that finds it.
 TOP_WORDS, MIN_SCORE = 12, 0.6
 
 #: Phrases whose places are counted, by label.
@@ -139,10 +138,7 @@ def found_templates(rows: DataFrame, index: Index) -> DataFrame:
     postings = spark.createDataFrame([(w, t, at, weight[w] / total[t]) for w, t, at in index.postings], "w string, template int, at int, share double")
     keys = spark.createDataFrame([(t, at, w, sum(k[0] == t for k in index.keys)) for t, at, w in index.keys], "template int, at int, key string, n_keys int")
 
-    ranks = F.create_map(*[x for k, w in enumerate(sorted(index.tokens, key=lambda w: (-weight[w], w))) for x in (F.lit(w), F.lit(k))])
-    tokens = F.array_distinct(F.transform(F.filter("hits", lambda hit: hit["w"].isin(index.tokens)), lambda hit: hit["w"]))
-    top = F.transform(F.slice(F.array_sort(F.transform(tokens, lambda w: F.struct(ranks[w].alias("rank"), w.alias("w")))), 1, TOP_WORDS), lambda x: x["w"])
-    looked_up = some.select("row", "hits", top.alias("top")).select("row", F.explode(F.filter("hits", lambda hit: F.array_contains(F.col("top"), hit["w"]))).alias("hit"))
+    looked_up = some.select("row", F.explode(F.filter("hits", lambda hit: hit["w"].isin(index.tokens))).alias("hit"))
     votes = looked_up.select("row", "hit.pos", "hit.w").join(F.broadcast(postings), "w").select("row", "template", (F.col("pos") - F.col("at")).alias("offset"), "share")
     aligned = votes.groupBy("row", "template", "offset").agg(F.least(F.sum("share"), F.lit(1.0)).alias("score")).where(F.col("score") >= MIN_SCORE)
     wanted = aligned.join(F.broadcast(keys), "template").withColumn("pos", F.col("offset") + F.col("at"))

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quadrille.llm import lm
+from quadrille.llm import license_scan, lm
 
 # Language model
 
@@ -63,3 +63,15 @@ def test_lm_keys_are_spark_s(spark):
     assert keys.view(np.int64).tolist() == [x[0] for x in rows]
     pairs = spark.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(zip(keys[:-1].view(np.int64), keys[1:].view(np.int64)))], "k int, ctx long, suffix long").orderBy("k")
     assert lm.gram_keys(keys[:-1], keys[1:]).view(np.int64).tolist() == [x[0] for x in pairs.select(F.xxhash64("ctx", "suffix")).collect()]
+
+
+# Licence scans
+
+
+def test_all_licences_of_one_text_are_found(spark):
+    """Words of the longest templates don't push out those of the others."""
+    long = [text for label, text, _ in license_scan.TEMPLATES if label in ("mit", "bsd", "isc") and len(text.split()) > 15]
+    short = ["licensed under the gnu general public license version 3", "released under the mit license", "licensed under cc by 4 0", "licensed under the apache license version 2 0"]
+    rows = [(0, " . ".join([*long, *short])), *[(k, "licensed license gnu general public apache mit cc plain words") for k in range(1, 40)]]
+    got = {x["doc_id"]: x["labels"] for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got[0].split(",")) >= {"mit", "bsd", "isc", "gpl", "gpl-3.0", "cc-by", "cc-by-4.0", "apache-2.0"}
