@@ -60,8 +60,8 @@ def read_wav(media: bytes) -> bytes:
 def band_peaks(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The strongest bin of each band and its power, by frame: two arrays of frames x bands."""
     samples = np.frombuffer(payload, np.uint8).astype(np.float32) - 128
-    if len(samples) < FRAME:
-        samples = np.pad(samples, (0, FRAME - len(samples)))
+    # Silence fills the last frame, so every sample is in one.
+    samples = np.pad(samples, (0, FRAME - len(samples) if len(samples) < FRAME else -(len(samples) - FRAME) % HOP))
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     bins = np.empty((len(frames), len(BANDS)), np.int64)
     power = np.empty((len(frames), len(BANDS)))

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quadrille.llm import license_scan, lm
+from quadrille.llm import license_scan, lm, media
 
 # Language model
 
@@ -75,3 +75,15 @@ def test_all_licences_of_one_text_are_found(spark):
     rows = [(0, " . ".join([*long, *short])), *[(k, "licensed license gnu general public apache mit cc plain words") for k in range(1, 40)]]
     got = {x["doc_id"]: x["labels"] for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(got[0].split(",")) >= {"mit", "bsd", "isc", "gpl", "gpl-3.0", "cc-by", "cc-by-4.0", "apache-2.0"}
+
+
+# Media
+
+
+def test_fingerprint_covers_the_last_samples():
+    r = np.random.default_rng(1)
+    for size in (256, 320, 384, 448, 5 * 64 + 128 * 9):
+        payload = r.integers(0, 256, size).astype(np.uint8)
+        other = payload.copy()
+        other[-64:] = r.integers(0, 256, 64)
+        assert not np.array_equal(media.band_peaks(payload.tobytes())[1], media.band_peaks(other.tobytes())[1])
