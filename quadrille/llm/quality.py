@@ -11,7 +11,7 @@ with a confidence of 1 - `error` no stratum loses more than `risk` of its good d
 rules together. Of the certified cutoffs the most lenient is taken that rejects almost as
 many bad tuning documents as any. A stratum with too few labels certifies nothing and keeps all.
 Rules are then taken up from the one that rejects the most bad tuning documents on; a rule that adds
-less than MIN_GAIN of them to those before it is left out, as it could only cost good documents.
+none to those before it is left out, as it could only cost good documents.
 
 Strata are a fixed list, so what the driver gets is a fixed number of counts; they are taken
 over all labelled documents.
@@ -37,7 +37,7 @@ STRATA = ("en", "de", "fr", "es", "other")
 RISK, ERROR = 0.05, 0.05
 #: Labelled documents of which one in this many tunes; the others are the holdout.
 TUNE_ONE_IN = 4
-#: The share of a stratum's bad tuning documents that a rule must add to what the others reject.
+#: The share of bad documents that a rule must add to what the others reject, unless `needed_rules` is told another; calibration keeps every rule that adds one.
 MIN_GAIN = 0.01
 
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
@@ -145,9 +145,9 @@ def choose_cutoff(grid, tune_good, tune_bad, n_tune_good, hold_good, n_hold_good
     return next(grid[i] for i in certified if tune_bad[i] >= enough)
 
 
-def needed_rules(rejected: dict[frozenset[str], int]) -> set[str]:
-    """The rules worth having, from the number of bad documents that exactly a set of rules rejects (the empty set's too)."""
-    least = MIN_GAIN * sum(rejected.values())
+def needed_rules(rejected: dict[frozenset[str], int], min_gain: float = MIN_GAIN) -> set[str]:
+    """The rules worth having, from the number of bad documents that exactly a set of rules rejects (the empty set's too); each adds one and a share of min_gain at least."""
+    least = min_gain * sum(rejected.values())
     kept: set[str] = set()
     left = dict(rejected)
     while True:
@@ -186,7 +186,7 @@ def calibrate(stats: DataFrame, labels: DataFrame, risk: float = RISK, error: fl
                 cutoffs[s][name] = cutoff
     # At most a row for each stratum and set of rules.
     sets = rows.where("_part = 1 and _good = 0").groupBy("_stratum", failed_rules(cutoffs, F.col("lang")).alias("rules")).agg(F.count("*").alias("n")).collect()
-    needed = {s: needed_rules({frozenset(r["rules"]): r["n"] for r in sets if r["_stratum"] == s}) for s in STRATA}
+    needed = {s: needed_rules({frozenset(r["rules"]): r["n"] for r in sets if r["_stratum"] == s}, 0) for s in STRATA}
     return {s: {name: c for name, c in found.items() if name in needed[s]} for s, found in cutoffs.items()}
 
 

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quadrille.llm import license_scan, lm, media
+from quadrille.llm import license_scan, lm, media, quality
 
 # Language model
 
@@ -87,3 +87,20 @@ def test_fingerprint_covers_the_last_samples():
         other = payload.copy()
         other[-64:] = r.integers(0, 256, 64)
         assert not np.array_equal(media.band_peaks(payload.tobytes())[1], media.band_peaks(other.tobytes())[1])
+
+
+# Quality rules
+
+
+def test_rules_with_a_rare_gain_of_their_own_stay():
+    counts = {frozenset({"a"}): 991, frozenset({"b"}): 9, frozenset({"a", "c"}): 5}
+    assert quality.needed_rules(counts, 0) == {"a", "b"}
+
+
+def test_calibration_keeps_rules_with_a_rare_gain(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(quality, "needed_rules", lambda rejected, min_gain=quality.MIN_GAIN: asked.append(min_gain) or set())
+    r = random.Random(7)
+    stats = spark.createDataFrame([(k, "en", *(float(r.randint(1, 9)) + 1e3 * (k % 2) for _ in quality.FIELDS)) for k in range(4000)], f"doc_id long, lang string, {', '.join(f'{x} double' for x in quality.FIELDS)}")
+    quality.calibrate(stats, spark.createDataFrame([(k, 1 - k % 2) for k in range(4000)], "doc_id long, quality int"))
+    assert set(asked) <= {0}
