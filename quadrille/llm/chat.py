@@ -132,6 +132,36 @@ def prefix_examples(turns: DataFrame, inline_chars: int = INLINE_CHARS) -> DataF
     return dealt.select("conv_id", "role", "text").mapInArrow(run, schema)
 
 
+def whole_examples(examples: DataFrame) -> DataFrame:
+    """The examples without `parent`, each with the whole text of its conversation up to its reply; the rows as prefix_examples gives them.
+
+    A worker holds one text at a time, and a conversation's texts together are quadratic in its length.
+    """
+    kind = dict(examples.dtypes)["conv_id"]
+    schema = f"conv_id {kind}, example_no long, text string, loss_start long, loss_end long"
+    arrow = arrow_schema(schema)
+    bound_batches(examples.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held, context, last, at = [], 0, "", "", None
+        for conv, number, parent, text, start, end in _by_conversation(batches):
+            if parent is None:
+                context = ""
+            elif parent != at:  # a new part: its parent is the row before
+                context = last
+            at, last = parent, context + text
+            shift = len(context)
+            rows.append((conv, number, last, None if start is None else start + shift, None if end is None else end + shift))
+            held += len(last)
+            if len(rows) >= BATCH_ROWS or held >= BATCH_CHARS:
+                yield make_batch(rows, arrow)
+                rows, held = [], 0
+        if rows:
+            yield make_batch(rows, arrow)
+
+    return examples.select("conv_id", "example_no", "parent", "text", "loss_start", "loss_end").mapInArrow(run, schema)
+
+
 class _Digest:
     """What op2 returns of one conversation, fed with its example rows in order."""
 

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quadrille.llm import license_scan, lm, media, quality
+from quadrille.llm import chat, license_scan, lm, media, quality
 
 # Language model
 
@@ -104,3 +104,22 @@ def test_calibration_keeps_rules_with_a_rare_gain(spark, monkeypatch):
     stats = spark.createDataFrame([(k, "en", *(float(r.randint(1, 9)) + 1e3 * (k % 2) for _ in quality.FIELDS)) for k in range(4000)], f"doc_id long, lang string, {', '.join(f'{x} double' for x in quality.FIELDS)}")
     quality.calibrate(stats, spark.createDataFrame([(k, 1 - k % 2) for k in range(4000)], "doc_id long, quality int"))
     assert set(asked) <= {0}
+
+
+# Chat
+
+
+def test_whole_examples_have_all_turns_before(spark):
+    turns = [(c, k, "assistant" if k % 3 == 2 else "user", f"turn {k} " * 40) for c in (1, 2) for k in range(20)] + [(3, 0, "user", "only this")]
+    examples = chat.prefix_examples(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), 700)
+    assert examples.where("parent is not null").count()
+    rows = chat.whole_examples(examples).collect()
+    replies = {}
+    for x in rows:
+        mine = [(role, text) for c, _, role, text in turns if c == x["conv_id"]]
+        said = chat.parse_turns(x["text"])
+        assert said == mine[: len(said)]
+        if x["loss_start"] is not None:
+            assert chat.unescape(x["text"][x["loss_start"] : x["loss_end"]]) == said[-1][1]
+            replies.setdefault(x["conv_id"], []).append(len(said))
+    assert replies == {c: [k + 1 for k in range(20) if k % 3 == 2] for c in (1, 2)}
