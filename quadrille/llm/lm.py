@@ -1,23 +1,26 @@
-"""Language-model scoring by backoff weights of n-grams.
+"""Language-model scoring by a weighted backoff automaton over every n-gram of the corpus.
 
 The model is trained on the documents whose crc32(doc_id as text) mod 10 is not 0. Words are
 between white space after lower-casing A-Z, and an end closes each text.
 
 Unigrams: P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)) over every word of every training document (the
-base score is their sum of logarithms). Longer n-grams are smoothed by absolute discounting: in a
-context h of count c(h), a kept n-gram h w has (c(h w) - D) / c(h) of its own, and what is left over,
-b(h), goes to the context without its first word: P(w | h) = own(h w) + b(h) P(w | h'). A context
-without kept n-grams, and one that isn't kept itself, leaves everything: b(h) = 1.
-
-Every bigram and trigram of words up to MAX_WORD bytes with MIN_COUNT occurrences is kept, however
-many there are; all tables of the model are DataFrames and grow with the corpus. The logarithm of P
-along a text is a sum of one value for each n-gram in it: a kept n-gram h w has
-log P(w | h) - log b(h) - log P(w | h'), and a context adds its log b(h). So scoring looks up values by
-key. Broadcast are caches only: the most frequent words and values, and a filter of the kept keys by
-which n-grams that can't be kept are left out (a false hit costs a look-up, no result). What a
-cache hasn't got is joined to the whole tables by a shuffle.
-
-A word is known in n-grams by its 64-bit XXH64, and an n-gram by that of its context and suffix.
+base score is their sum of logarithms). Longer n-grams, up to trigrams, are smoothed by Dirichlet
+priors: P(w | h) = (c(h w) + m P(w | h')) / (c(h) + m), h' being the context without its first word
+and m the prior of the order. As an automaton: a state for each context, an arc for each n-gram that
+was seen, with log P(w | h), and from each state a failure arc to that of h', with log m / (c(h) + m);
+the root takes every word. A text is one left-to-right walk that carries its state and adds up the
+weights of the arcs that it takes.
+
+All n-grams count, of all words and from one occurrence on, and nothing of the model is broadcast or
+gathered. Texts are tokenised once into buckets of some BUCKET_TOKENS. A bucket sends each shard of
+the key space the n-grams that it needs (all it has, once each) with its own training counts; the
+shard adds up the buckets' counts and answers with the totals; the bucket builds the automaton of
+just its n-grams and walks its texts. An n-gram comes to its shard once from each bucket at most,
+so none makes a shard hot. Buckets, shards and their messages are of bounded size; their number
+grows with the corpus. Messages are sorted keys as compressed differences.
+
+Words are known by 63-bit hashes, longer n-grams by hashes that have KEY_SLACK bits more than it takes
+to number those of the corpus, so at any size about one of these in 2^20 shares its count with another.
 
 Defined results: a null or empty text has one token, its end; a null id counts as the empty text and
 is held out; repeated rows are scored (and counted) one by one; an empty training part gives N = 0
@@ -26,376 +29,357 @@ and P = 0.1 / 0.1 for any word; an empty table gives an empty table; other colum
 
 from __future__ import annotations
 
-import gc
+import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import compress, repeat
-from operator import not_
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import BATCH_ROWS, arrow_schema, bound_batches, checkpointed, table
+from quadrille.llm.common import arrow_schema, bound_batches, table
 
 ADD = 0.1
-DISCOUNT = 0.5
-MIN_COUNT, MAX_WORD = 3, 40
-#: Entries of the caches of words and of n-grams' values, and bits of the filter of kept keys at most.
-STATE_WORDS, CACHED, FILTER_BITS = 1 << 17, 1 << 21, 1 << 28
-#: Words that a worker counts, and n-grams that it gathers, before it hands their counts on.
-COUNTED, SORTED = 400_000, 2_000_000
-#: Tokens after which a worker looks up what it holds.
-CHUNK = 500_000
+#: Weight of the next shorter context, as so many occurrences of the context, for bigrams and trigrams (of nine pairs that with the highest held-out score on the table of 25 MB).
+PRIORS = (60.0, 3.0)
+#: Tokens after which a bucket is closed, and n-grams of all buckets in a shard (on average).
+BUCKET_TOKENS, SHARD_KEYS = 1 << 21, 1 << 22
+#: Bytes after which a long text is cut at the next white space. It keeps its context over the cut.
+PIECE_BYTES = 8 << 20
+WORD_BITS, KEY_SLACK = 63, 20
+#: Different words that a worker counts before it hands their counts on.
+COUNTED = 400_000
 END = b""  # no word is empty
-SEED = 42  # of Spark's xxhash64
+SEED = 42
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
+def pieces(text: str | None, size: int = PIECE_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text, and the end after the last; long texts in pieces."""
+    data = (text or "").encode().lower()
+    at = 0
+    while len(data) - at > size:
+        blank = _BLANK.search(data, at + size)
+        if not blank:
+            break
+        yield data[at : blank.start()].split()
+        at = blank.start()
+    words = data[at:].split()
+    words.append(END)
+    yield words
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words and the end."""
-    words = (text or "").encode().lower().split()
-    words.append(END)
-    return words
+    return [w for piece in pieces(text) for w in piece]
 
 
-def _map(rows: DataFrame, run, schema: str) -> DataFrame:
-    bound_batches(rows.sparkSession)
-    return rows.mapInArrow(run, schema)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word binary, c) over the column text; words are pre-counted in each worker."""
-    schema = "word binary, c long"
+def corpus_size(training: DataFrame) -> tuple[int, int]:
+    """N and V: the tokens of the column text, and the different ones. Nothing else is gathered."""
+    schema = "key long, n long"
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            columns = word_hashes(list(counts)).view(np.int64), np.fromiter(counts.values(), np.int64, len(counts))
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=arrow)
+
         for batch in batches:
             for text in batch.column(0):
-                counts.update(words_of(text.as_py()))
-                if len(counts) > COUNTED:
-                    yield from _counted(counts, arrow)
-                    counts = Counter()
-        yield from _counted(counts, arrow)
+                for piece in pieces(text.as_py()):
+                    counts.update(piece)
+                    if len(counts) > COUNTED:
+                        yield flush()
+        if counts:
+            yield flush()
 
-    return _map(texts.select("text"), run, schema).groupBy("word").agg(F.sum("c").alias("c"))
+    bound_batches(training.sparkSession)
+    words = training.select("text").mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n"))
+    return tuple(words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
 
 
-def _counted(counts: dict, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
-    keys, values = list(counts), list(counts.values())
-    for k in range(0, len(keys), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000], f.type) for x, f in zip((keys, values), arrow, strict=True)], schema=arrow)
+# Keys and messages
 
 
-def _rotated(x: np.ndarray, n: int) -> np.ndarray:
-    return x << np.uint64(n) | x >> np.uint64(64 - n)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers that spreads every bit (the finaliser of MurmurHash3)."""
+    x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ x >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ x >> np.uint64(33)
 
 
-def _hash_long(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
-    """XXH64 of longs as Spark has it."""
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    h = seed + p5 + np.uint64(8)
-    h = _rotated(h ^ _rotated(x * p2, 31) * p1, 27) * p1 + p4
-    h = (h ^ h >> np.uint64(33)) * p2
-    h = (h ^ h >> np.uint64(29)) * p3
-    return h ^ h >> np.uint64(32)
+def _joined(context: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
+    return _mixed(context * np.uint64(0x9E3779B97F4A7C15) + word * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(order))
 
 
-def gram_keys(contexts: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
-    """xxhash64(ctx, suffix), from unsigned keys."""
-    return _hash_long(suffixes, _hash_long(contexts, np.full(1, SEED, np.uint64)))
+def key_bits(tokens: int) -> int:
+    return min(63, KEY_SLACK + (2 * tokens + 1).bit_length())
 
 
 def word_keys(words: list[bytes]) -> np.ndarray:
-    """The words' XXH64, 0 for words that are in no n-gram."""
-    keys = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
-    keys[np.fromiter(map(len, words), np.int64, len(words)) > MAX_WORD] = 0
-    return keys
-
-
-def grams_of(keys: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each word of texts, from the words' keys and whether each is an end: if a bigram starts there, its key, if a trigram does, its key."""
-    whole = (keys[:-1] != 0) & (keys[1:] != 0) & ~ends[:-1]  # nothing follows an end
-    two = gram_keys(keys[:-1], keys[1:])
-    return whole, two, whole[:-1] & whole[1:], gram_keys(two[:-1], two[1:])
-
-
-class Filter:
-    """A bit for each of the keys, modulo the number of bits."""
-
-    def __init__(self, keys: DataFrame) -> None:
-        size = 64
-        n = keys.count()
-        while size < 16 * n and size < FILTER_BITS:
-            size *= 2
-        place = F.col("key").bitwiseAND(F.lit(size - 1))
-        slots = keys.select(F.shiftright(place, 6).alias("slot"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
-        self.bits = np.zeros(size // 64, np.uint64)
-        self.bits[np.array(slots["slot"], np.int64)] = np.array(slots["bits"], np.int64).view(np.uint64)
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        place = keys & np.uint64(64 * len(self.bits) - 1)
-        return (self.bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
-class Cache:
-    """Values by key, in tables of one slot a key: the most frequent of the keys that fall on one stay there, the others go to the next table."""
-
-    LEVELS = 4
-
-    def __init__(self, values: pa.Table) -> None:
-        order = np.argsort(np.array(values["c"], np.int64), kind="stable")
-        keys = np.array(values["key"], np.int64)[order].view(np.uint64)
-        values = np.array(values["v"], np.float64)[order]
-        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(keys) and len(self.tables) < self.LEVELS:
-            size = 64
-            while size < len(keys):
-                size *= 2
-            at = keys >> np.uint64(8 * len(self.tables)) & np.uint64(size - 1)
-            slots, held = np.zeros(size, np.uint64), np.zeros(size)
-            slots[at] = keys  # the last one stays
-            held[at] = values
-            self.tables.append((slots, held))
-            left = slots[at] != keys
-            keys, values = keys[left], values[left]
-
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are there, and their values, 0 for the others."""
-        there, found = np.zeros(len(keys), bool), np.zeros(len(keys))
-        left = np.arange(len(keys))
-        for k, (slots, held) in enumerate(self.tables):
-            some = keys[left]
-            at = some >> np.uint64(8 * k) & np.uint64(len(slots) - 1)
-            hit = slots[at] == some
-            found[left[hit]] = held[at[hit]]
-            there[left[hit]] = True
-            left = left[~hit]
-        return there, found
-
-
-def release(df: DataFrame) -> None:
-    """Has Spark delete the shuffle files of tables that are written: else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
-def kept_grams(texts: DataFrame, order: int, shorter: Filter) -> DataFrame:
-    """(ctx, suffix, c) of the n-grams of order 2 or 3 with MIN_COUNT occurrences. Checkpointed.
-
-    ctx and suffix are the keys of an n-gram without its last and without its first word. shorter: the
-    keys of n-grams an order less with MIN_COUNT occurrences, as longer ones are no more frequent.
-    """
-    shared = texts.sparkSession.sparkContext.broadcast(shorter)
-    schema = "ctx long, suffix long, c long"
-    arrow = arrow_schema(schema)
+    return word_hashes(words) >> np.uint64(64 - WORD_BITS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, words = [], 0, []
-
-        def gather() -> None:
-            nonlocal size
-            keys = word_keys(words)
-            ends = np.fromiter(map(not_, words), bool, len(words))
-            words.clear()
-            if order == 2:
-                lower, kept = keys, (keys != 0) & shared.value.has(keys)
-                both = kept[:-1] & kept[1:] & ~ends[:-1]  # nothing follows an end
-            else:
-                whole, lower, _, _ = grams_of(keys, ends)
-                kept = whole & shared.value.has(lower)
-                both = kept[:-1] & kept[1:]
-            held.append(np.stack([lower[:-1][both], lower[1:][both]]))
-            size += held[-1].shape[1]
 
-        for batch in batches:
-            for text in batch.column(0):
-                words += words_of(text.as_py())
-                if len(words) >= CHUNK:
-                    gather()
-                    if size >= SORTED:
-                        yield from _unique(held, arrow)
-                        held, size = [], 0
-        if words:
-            gather()
-        yield from _unique(held, arrow)
-
-    counted = _map(texts.select("text"), run, schema).groupBy("ctx", "suffix").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_COUNT)
-    counted = checkpointed(counted)
-    shared.unpersist()
-    release(texts)
-    return counted
-
-
-def _unique(parts: list[np.ndarray], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
-    if parts:
-        contexts, suffixes = np.concatenate(parts, axis=1)
-        _, first, counts = np.unique(gram_keys(contexts, suffixes), return_index=True, return_counts=True)
-        columns = contexts[first].view(np.int64), suffixes[first].view(np.int64), counts
-        for k in range(0, len(first), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in columns], schema=arrow)
-
-
-def most_frequent(rows: DataFrame, key: Column, most: int) -> DataFrame:
-    """About `most` of the rows of a checkpointed table with the highest c: part of the class of equal counts that crosses the limit, by the key (a hash)."""
-    upto = Window.orderBy(F.desc("c"))
-    # One row per different count goes through the window.
-    crossing = rows.groupBy("c").agg(F.count("*").alias("n")).withColumn("sum", F.sum("n").over(upto)).where(F.col("sum") > most).orderBy("sum").first()
-    if not crossing:
-        return rows
-    share = int(1024 * (most - crossing["sum"] + crossing["n"]) / crossing["n"])
-    return rows.where((F.col("c") > crossing["c"]) | ((F.col("c") == crossing["c"]) & (F.pmod(F.shiftright(key, 32), F.lit(1024)) < share)))
+class Grams:
+    """The n-grams at each position of a bucket's segments (pieces of texts), from the words' keys there.
 
+    keys[k]: the keys of the n-grams of order k + 1 that end at the positions at[k].
+    """
 
-def smoothed(grams: DataFrame, lower: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From n-grams (ctx, suffix, c) and those of an order less (key, c, p): (key, back), the log b of each context, and (key, c, p, v) of each n-gram."""
-    left = F.greatest(F.lit(1e-12), 1 - F.col("used") / F.col("total"))
-    contexts = grams.groupBy("ctx").agg(F.sum(F.col("c") - DISCOUNT).alias("used")).join(lower.select(F.col("key").alias("ctx"), F.col("c").alias("total")), "ctx").select("ctx", "total", left.alias("left"))
-    contexts = checkpointed(contexts)
-    p = (F.col("c") - DISCOUNT) / F.col("total") + F.col("left") * F.col("lower")
-    rows = grams.join(contexts, "ctx").join(lower.select(F.col("key").alias("suffix"), F.col("p").alias("lower")), "suffix").withColumn("p", p)
-    value = F.log10("p") - F.log10("lower") - F.log10("left")
-    return contexts.select(F.col("ctx").alias("key"), F.log10("left").alias("back")), rows.select(F.xxhash64("ctx", "suffix").alias("key"), "c", "p", value.alias("v"))
-
-
-@dataclass
-class Model:
-    """words: (word, c, back) of every word; values: (key, c, v) of every kept n-gram; base: the divisor of unigrams. Both tables are checkpointed."""
-
-    total: int
-    base: float
-    words: DataFrame
-    values: DataFrame
-
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, bits: int) -> None:
+        cut = np.uint64(64 - bits)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        two = _joined(words[:-1], words[1:], 2)
+        three = _joined(two[:-1], words[2:], 3)
+        self.at = [np.arange(len(words)), *(np.flatnonzero(place >= k) for k in (1, 2))]
+        self.keys = [words, two[self.at[1] - 1] >> cut, three[self.at[2] - 2] >> cut]
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers as compressed byte planes, without the empty ones."""
+    width = max(1, (int(numbers.max()).bit_length() + 7) // 8) if len(numbers) else 1
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    numbers = np.zeros((planes.shape[1], 8), np.uint8)
+    numbers[:, : data[0]] = planes.T
+    return numbers.view("<u8").ravel().astype(np.uint64)
+
+
+def pack_sorted(numbers: np.ndarray) -> bytes:
+    return pack(np.diff(numbers, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
+def shard_edges(shards: int, bits: int) -> np.ndarray:
+    """Where the shards of a key space begin, but for the first."""
+    return np.array([(k << bits) // shards for k in range(1, shards)], np.uint64)
+
+
+def counted(keys: list[np.ndarray], idle: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and how many occurrences of each are not idle."""
+    flagged = np.sort(np.concatenate([x << np.uint64(1) | y for x, y in zip(keys, idle, strict=True)]))
+    keys = flagged >> np.uint64(1)
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    counts = np.add.reduceat((flagged & np.uint64(1)) ^ np.uint64(1), first) if len(first) else first.astype(np.uint64)
+    return keys[first], counts
+
+
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class Bucket:
+    """Texts of one task, in segments: pieces that begin with up to two words of context (`skip`)."""
+
+    def __init__(self) -> None:
+        self.numbers = _Numbers()
+        self.ids: list[np.ndarray] = []
+        self.docs: list[tuple] = []  # row, id, held out, length, skip
+        self.tokens = 0
+
+    def add(self, row: int, key, out: bool, context: list[bytes], piece: list[bytes]) -> None:
+        words = context + piece
+        self.ids.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
+        self.docs.append((row, key, out, len(words), len(context)))
+        self.tokens += len(words)
+
+    def messages(self, bucket: int, bits: int, shards: tuple[int, int], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """Its words and its longer n-grams, a row for each of their `shards`, and the texts as word numbers, for itself."""
+        ids = np.concatenate(self.ids)
+        rows, names, out, lengths, skip = zip(*self.docs, strict=True)
+        lengths, skip = np.array(lengths), np.array(skip)
+        # Frequent words get small numbers, which pack well.
+        order = np.argsort(-np.bincount(ids), kind="stable")
+        known = word_keys(list(self.numbers))[order]
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order))
+        ids = number[ids]
+        grams = Grams(known[ids], lengths, bits)
+        # Idle occurrences don't count: those held out, and those of a context, which were counted before.
+        idle = np.repeat(np.array(out, np.uint64), lengths)
+        for k in range(2):
+            idle[(np.cumsum(lengths) - lengths + k)[skip > k]] = 1
+        idle = [idle[at] for at in grams.at]
+        parts = []
+        for (keys, n), (some, space) in zip((counted(grams.keys[:1], idle[:1]), counted(grams.keys[1:], idle[1:])), zip(shards, (WORD_BITS, bits), strict=True), strict=True):
+            edges = np.searchsorted(keys, shard_edges(some, space))
+            parts += zip(np.split(keys, edges), np.split(n, edges), strict=True)
+        of = pa.struct(list(arrow.field("docs").type.value_type))
+        doc_arrays = [pa.array(x, f.type) for x, f in zip((rows, names, out, lengths, skip), of, strict=True)]
+        docs = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), pa.StructArray.from_arrays(doc_arrays, fields=list(of)))
+        own = -1 - int(_mixed(np.array([bucket], np.uint64))[0] % np.uint64(len(parts)))
+        yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([own], pa.int32()), pa.array([pack(known)]), pa.array([pack(ids)]), docs.cast(arrow.field("docs").type)], schema=arrow)
+        for shard, (keys, n) in enumerate(parts):
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([shard], pa.int32()), pa.array([pack_sorted(keys)]), pa.array([pack(n)]), pa.nulls(1, arrow.field("docs").type)], schema=arrow)
+
+
+def add_up(rows: pa.Table) -> pa.Table:
+    """The rows of one shard: each bucket's counts are replaced by the corpus's. A bucket's own rows (shards below 0) pass."""
+    if rows["shard"][0].as_py() < 0:
+        return rows
+    keys = [unpack_sorted(x.as_py()) for x in rows["a"]]
+    counts = np.concatenate([unpack(x.as_py()) for x in rows["b"]])
+    ends = np.cumsum([len(x) for x in keys])[:-1]
+    keys = np.concatenate(keys)
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.diff(keys, prepend=~keys[:1]) != 0
+    del keys
+    totals = np.add.reduceat(counts[order], np.flatnonzero(new))
+    counts[order] = totals[np.cumsum(new) - 1]
+    answers = [pack(x) for x in np.split(counts, ends)]
+    return pa.table([rows["bucket"], rows["shard"], pa.array(answers, pa.binary()), pa.nulls(len(answers), pa.binary()), rows["docs"]], schema=rows.schema)
+
+
+class Automaton:
+    """The backoff automaton of a bucket's n-grams, which are its states and arcs by their places among the sorted keys.
+
+    arc: the weight of the n-gram's arc from its context. seen: whether there is such an arc. back, fail:
+    the weight of the failure arc of the n-gram as a state, and the state that it leads to (-1: the root).
+    """
 
-def train(counts: DataFrame, texts: DataFrame) -> Model:
-    """The model, from checkpointed word counts and the training texts."""
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    base = total + ADD * (kinds + 1)
-    key = F.xxhash64("ctx", "suffix").alias("key")
-    word = F.when(F.length("word") <= MAX_WORD, F.xxhash64("word"))
-    two = kept_grams(texts, 2, Filter(counts.where(F.col("c") >= MIN_COUNT).select(word.alias("key")).where("key is not null")))
-    three = kept_grams(texts, 3, Filter(two.select(key)))
-    words = counts.where(F.col("c") >= MIN_COUNT).select(word.alias("key"), "c", ((F.col("c") + ADD) / base).alias("p")).where("key is not null")
-    back, grams = smoothed(two, words)
-    grams = checkpointed(grams)
-    more, longer = smoothed(three, grams)
-    values = grams.join(more, "key", "left").select("key", "c", (F.col("v") + F.coalesce("back", F.lit(0.0))).alias("v")).unionByName(longer.select("key", "c", "v"))
-    known = counts.withColumn("key", word).join(back, "key", "left").select("word", "c", F.coalesce("back", F.lit(0.0)).alias("back"))
-    known, values = checkpointed(known), checkpointed(values)
-    del two, three, words, back, grams, more, longer
-    release(counts)
-    return Model(total, base, known, values)
-
-
-class Tables:
-    """What is broadcast for scoring: the caches of words and values, and the filter of kept keys."""
-
-    def __init__(self, model: Model) -> None:
-        found = most_frequent(model.words.where(F.length("word") <= MAX_WORD), F.xxhash64("word"), STATE_WORDS).toArrow()
-        self.words = found["word"].to_pylist()
-        # Number 0 is that of words which are looked up later.
-        self.log_p = np.concatenate([[0.0], np.log10((np.array(found["c"], np.float64) + ADD) / model.base)])
-        self.back = np.concatenate([[0.0], np.array(found["back"], np.float64)])
-        self.keys = np.concatenate([np.zeros(1, np.uint64), word_keys(self.words)])
-        self.cache = Cache(most_frequent(model.values, F.col("key"), CACHED).toArrow())
-        self.kept = Filter(model.values.select("key"))
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "numbers"}
-
-    def __getattr__(self, name: str):
-        """The numbers of words, which each process builds for itself."""
-        if name != "numbers":
-            raise AttributeError(name)
-        self.numbers = {w: k for k, w in enumerate(self.words, 1)}
-        return self.numbers
-
-
-def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
+    def __init__(self, grams: Grams, places: list[np.ndarray], counts: np.ndarray, base: float, priors: tuple[float, float]) -> None:
+        n = len(counts)
+        self.seen = counts > 0
+        self.arc, self.back = np.zeros(n), np.zeros(n)
+        self.fail = np.full(n, -1)
+        p = np.zeros(n)
+        for k in range(3):
+            order = k + 1
+            first = np.empty(n, np.int64)
+            first[places[k]] = np.arange(len(places[k]))  # any position of each n-gram
+            mine = np.zeros(n, bool)
+            mine[places[k]] = True
+            mine = np.flatnonzero(mine)
+            where = first[mine]
+            if order == 1:
+                p[mine] = (counts[mine] + ADD) / base
+            else:
+                # Among the n-grams an order lower: the one that ends here, and the one that ends a word before.
+                here = np.searchsorted(grams.at[k - 1], grams.at[k][where])
+                shorter, context = places[k - 1][here], places[k - 1][here - 1]
+                prior = priors[order - 2]
+                p[mine] = (counts[mine] + prior * p[shorter]) / (counts[context] + prior)
+                self.fail[mine] = shorter
+            self.arc[mine] = np.log10(p[mine])
+            if order < 3:
+                prior = priors[order - 1]
+                self.back[mine] = np.log10(prior / (counts[mine] + prior))
+
+    def walk(self, grams: Grams, places: list[np.ndarray]) -> np.ndarray:
+        """The weight of each position's step: of its arc, and of the failure arcs before it.
+
+        Two words of context fix a state, so those of all positions are known at once; the walk goes
+        through the failure arcs in step, at most two.
+        """
+        n = len(grams.at[0])
+        state, wanted = np.full(n, -1), np.empty(n, np.int64)
+        steps = np.zeros(n)
+        wanted[:] = places[0]
+        for k in (1, 2):  # the longest context that there is, and the n-gram that it makes with the word
+            at = grams.at[k]
+            before = np.searchsorted(grams.at[k - 1], at) - 1
+            state[at], wanted[at] = places[k - 1][before], places[k]
+        left = np.flatnonzero((state >= 0) & ~self.seen[wanted])
+        while len(left):
+            steps[left] += self.back[state[left]]
+            state[left], wanted[left] = self.fail[state[left]], self.fail[wanted[left]]
+            left = left[(state[left] >= 0) & ~self.seen[wanted[left]]]
+        return steps + self.arc[wanted]
+
+
+def walk_bucket(rows: pa.Table, bits: int, base: float, priors: tuple[float, float], arrow: pa.Schema) -> pa.Table:
+    """From a bucket's rows: row, id, held out, tokens, known ones, and the scores, of each segment."""
+    shards = np.array(rows["shard"])
+    own = int(np.argmin(shards))
+    docs = rows["docs"][own].values
+    lengths, skip = np.array(docs.field("length")), np.array(docs.field("skip"))
+    known, ids = unpack(rows["a"][own].as_py()), unpack(rows["b"][own].as_py())
+    counts = np.concatenate([unpack(rows["a"][int(k)].as_py()) for k in np.argsort(shards) if k != own]).astype(np.float64)
+    grams = Grams(known[ids], lengths, bits)
+    words, word_places = np.unique(grams.keys[0], return_inverse=True)
+    longer, places = np.unique(np.concatenate(grams.keys[1:]), return_inverse=True)
+    if len(words) + len(longer) != len(counts):
+        raise ValueError(f"{len(counts)} counts for {len(words)} words and {len(longer)} n-grams")
+    places = [word_places, *np.split(places + len(words), [len(grams.keys[1])])]
+    automaton = Automaton(grams, places, counts, base, priors)
+    n = len(lengths)
+    segment = np.repeat(np.arange(n), lengths)
+    own_words = np.ones(len(ids), bool)
+    for k in range(2):
+        own_words[(np.cumsum(lengths) - lengths + k)[skip > k]] = False
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        return np.bincount(segment, values * own_words, n)
+
+    scores = sums(automaton.seen[places[0]]).astype(np.int64), sums(automaton.arc[places[0]]), sums(automaton.walk(grams, places))
+    columns = [docs.field("row"), docs.field("id"), docs.field("out"), pa.array(lengths - skip), *map(pa.array, scores)]
+    return pa.table([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+
+def score(docs: DataFrame, total: int, kinds: int, priors: tuple[float, float] = PRIORS, bucket_tokens: int = BUCKET_TOKENS, shard_keys: int = SHARD_KEYS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row; total, kinds: N and V of the training part of docs."""
     kind = dict(docs.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(Tables(model))
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word: binary, n: int>>, grams array<long>"
+    schema = f"bucket long, shard int, a binary, b binary, docs array<struct<row: long, id: {kind}, out: boolean, length: long, skip: int>>"
     arrow = arrow_schema(schema)
+    bits, shards = key_bits(total), (total // shard_keys + 1, 2 * total // shard_keys + 1)
+    base = total + ADD * (kinds + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
-        rows, words, lengths = [], [], []
-
-        def flush() -> pa.RecordBatch:
-            n = len(rows)
-            ids = np.fromiter(map(tables.numbers.get, words, repeat(0)), np.int64, len(words))
-            row = np.repeat(np.arange(n), lengths)
-            sums = lambda at, x: np.bincount(at, x, n)
-            unknown = ids == 0
-            rest = list(compress(words, unknown.tolist()))
-            rest_keys, keys = word_keys(rest), tables.keys[ids]
-            keys[unknown] = rest_keys
-            ends = np.zeros(len(words), bool)
-            ends[np.cumsum(lengths) - 1] = True
-            base = sums(row, tables.log_p[ids])
-            total = base + sums(row, tables.back[ids])
-            places, missed = [], []
-            two_whole, two, three_whole, three = grams_of(keys, ends)
-            # A trigram is kept only if its bigrams are.
-            likely = two_whole & tables.kept.has(two)
-            three_whole = likely[:-1] & likely[1:]
-            for whole, all_keys in ((likely, two), (three_whole, three)):
-                at = np.flatnonzero(whole)
-                some = all_keys[at]
-                there, values = tables.cache.get(some)
-                total += sums(row[at], values)
-                left = np.flatnonzero(~there)
-                left = left[tables.kept.has(some[left])]
-                places.append(row[at][left])
-                missed.append(some[left])
-            place, missing = np.concatenate(places), np.concatenate(missed)
-            missing = missing[np.argsort(place, kind="stable")].view(np.int64)
-            offsets = lambda per_row: pa.array(np.concatenate([[0], np.cumsum(per_row)]), pa.int32())
-            grams = pa.ListArray.from_arrays(offsets(np.bincount(place, minlength=n)), pa.array(missing))
-            rare = Counter(zip(row[unknown].tolist(), rest, strict=True))  # in the order of rows
-            left = pa.StructArray.from_arrays([pa.array([w for _, w in rare], pa.binary()), pa.array(rare.values(), pa.int32())], ["word", "n"])
-            rare = pa.ListArray.from_arrays(offsets(np.bincount(np.fromiter((k for k, _ in rare), np.int64, len(rare)), minlength=n)), left)
-            known = np.bincount(row, ~unknown, n).astype(np.int64)
-            columns = [*(pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), arrow, strict=False)), pa.array(lengths, pa.int64()), pa.array(known), pa.array(base), pa.array(total), rare.cast(arrow.field("rare").type), grams.cast(arrow.field("grams").type)]
-            for held in (rows, words, lengths):
-                held.clear()
-            return pa.RecordBatch.from_arrays(columns, schema=arrow)
-
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 33
+        bucket, number, row = Bucket(), task, task
         for batch in batches:
             for text, key, out in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                before = len(words)
-                words += words_of(text.as_py())
-                lengths.append(len(words) - before)
-                rows.append((key, out))
-                if len(rows) >= BATCH_ROWS or len(words) >= CHUNK:
-                    yield flush()
-        if rows:
-            yield flush()
-
-    walked = _map(docs.select("text", "doc_id", held_out().alias("out")), run, schema)
-    walked = checkpointed(walked.select(F.monotonically_increasing_id().alias("row"), "*"))
-    rare = walked.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    c, n = F.coalesce(F.col("c"), F.lit(0)), F.col("n")
-    logs = rare.join(model.words, "word", "left").groupBy("row").agg(F.sum(n * F.log10((c + ADD) / model.base)).alias("logs"), F.sum(n * F.coalesce("back", F.lit(0.0))).alias("backs"), F.sum(F.when(c > 0, n).otherwise(0)).alias("more"))
-    sums = walked.select("row", F.explode("grams").alias("key")).join(model.values, "key").groupBy("row").agg(F.sum("v").alias("v"))
-    none = F.lit(0.0)
-    logs_or_none = F.coalesce("logs", none)
-    return walked.drop("rare", "grams").join(logs, "row", "left").join(sums, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base_score") + logs_or_none).alias("base_score"), (F.col("score") + logs_or_none + F.coalesce("backs", none) + F.coalesce("v", none)).alias("score")
-    )
+                context: list[bytes] = []
+                for piece in pieces(text.as_py(), piece_bytes):
+                    if bucket.tokens >= bucket_tokens:
+                        yield from bucket.messages(number, bits, shards, arrow)
+                        bucket, number = Bucket(), number + 1
+                    bucket.add(row, key, out, context, piece)
+                    context = (context + piece)[-2:]
+                row += 1
+        if bucket.docs:
+            yield from bucket.messages(number, bits, shards, arrow)
+
+    bound_batches(docs.sparkSession)
+    walked = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    walked_arrow = arrow_schema(walked)
+    sent = docs.select("text", "doc_id", held_out().alias("out")).mapInArrow(gather, schema)
+    answered = sent.groupBy("shard").applyInArrow(add_up, schema)
+    segments = answered.groupBy("bucket").applyInArrow(lambda rows: walk_bucket(rows, bits, base, priors, walked_arrow), walked)
+    firsts = [F.first(c).alias(c) for c in ("doc_id", "held_out")]
+    sums = {c: F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")}
+    return segments.groupBy("row").agg(*firsts, *sums.values()).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_lm_scoring(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    training = docs.where(~held_out())
-    counts = checkpointed(word_counts(training))
-    return score(docs, counts, train(counts, training))
+    return score(docs, *corpus_size(docs.where(~held_out())))

@@ -141,78 +141,85 @@ def brute_lm(rows):
     return counts, n, v, lambda w: math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1)))
 
 
-def test_lm_scores(spark):
-    r = random.Random(5)
-    texts = [*ODD, *[" ".join(r.choice(["A", "b", "c d", "the cat", "sat on"]) for _ in range(r.randint(0, 60))) for _ in range(150)], *ODD]
-    docs = documents(spark, texts)
-    rows = [(k if k != 3 else None, t) for k, t in enumerate(texts)]
-    training = docs.where(~lm.held_out())
-    counts = lm.checkpointed(lm.word_counts(training))
-    model = lm.train(counts, training)
-    got = sorted(lm.score(docs, counts, model).collect(), key=lambda x: (x["doc_id"] is None, x["doc_id"]))
-    c, n, _, log_p = brute_lm(rows)
-    for x, (key, text) in zip(got, sorted(rows, key=lambda x: (x[0] is None, x[0])), strict=True):
+class PlainModel:
+    """The smoothing by its definition, from plain dictionaries."""
+
+    def __init__(self, rows, priors):
+        self.counts, _, _, self.log_p = brute_lm(rows)
+        self.grams, self.priors = Counter(), priors
+        for key, text in rows:
+            if zlib.crc32(b"" if key is None else str(key).encode()) % 10:
+                words = lm.words_of(text)
+                self.grams.update(tuple(words[i : i + k]) for k in (1, 2, 3) for i in range(len(words) - k + 1))
+
+    def p(self, gram):
+        if len(gram) == 1:
+            return 10 ** self.log_p(gram[0])
+        prior = self.priors[len(gram) - 2]
+        return (self.grams[gram] + prior * self.p(gram[1:])) / (self.grams[gram[:-1]] + prior)
+
+    def score(self, text):
         words = lm.words_of(text)
-        assert x["held_out"] == (zlib.crc32(b"" if key is None else str(key).encode()) % 10 == 0)
-        assert (x["n_tokens"], x["n_known"], x["train_tokens"]) == (len(words), sum(c[w] > 0 for w in words), n)
-        assert x["base_score"] == pytest.approx(sum(map(log_p, words)), abs=1e-9)
-        assert x["score"] == pytest.approx(reference_score(rows, words), abs=1e-6)
-    held = [x for x in got if x["held_out"]]
-    assert sum(x["score"] for x in held) > sum(x["base_score"] for x in held)
+        return sum(math.log10(self.p(tuple(words[max(0, i - 2) : i + 1]))) for i in range(len(words)))
 
 
-_models = {}
+def lm_rows(n=150):
+    r = random.Random(5)
+    texts = [*ODD, *[" ".join(r.choice(["A", "b", "c d", "the cat", "sat on", f"rare{r.randint(0, 400)}"]) for _ in range(r.randint(0, 60))) for _ in range(n)], *ODD]
+    return [(k if k != 3 else None, t) for k, t in enumerate(texts)]
+
+
+def by_id(rows):
+    return sorted(rows, key=lambda x: (x[0] is None, x[0]))
+
+
+@pytest.mark.parametrize("sizes", [{}, {"bucket_tokens": 50, "shard_keys": 90, "piece_bytes": 40}, {"bucket_tokens": 1, "piece_bytes": 1}])
+def test_lm_scores(spark, sizes):
+    """n-grams seen once and twice, buckets, shards and pieces of any size: all as plain dictionaries have it."""
+    rows = lm_rows() if len(sizes) != 2 else [(k, t if t is None or len(t) < 500 else t[:90]) for k, t in lm_rows(20)]
+    docs = spark.createDataFrame([(*row, "clash", 0) for row in rows], "doc_id long, text string, score string, shard int")
+    total, kinds = lm.corpus_size(docs.where(~lm.held_out()))
+    got = by_id([tuple(x) for x in lm.score(docs, total, kinds, (6.0, 3.0), **sizes).collect()])
+    c, n, v, log_p = brute_lm(rows)
+    assert (total, kinds) == (n, v)
+    model = PlainModel(rows, (6.0, 3.0))
+    assert {1, 2} <= set(model.grams.values())
+    for x, (key, text) in zip(got, by_id(rows), strict=True):
+        words = lm.words_of(text)
+        assert x[:5] == (key, zlib.crc32(b"" if key is None else str(key).encode()) % 10 == 0, len(words), sum(c[w] > 0 for w in words), n)
+        assert x[5] == pytest.approx(sum(map(log_p, words)), abs=1e-6)
+        assert x[6] == pytest.approx(model.score(text), abs=1e-6)
+    held = [x for x in got if x[1]]
+    if not sizes:
+        assert sum(x[6] for x in held) > sum(x[5] for x in held)
 
 
-def reference_score(rows, words):
-    """Absolute discounting by its definition, from plain dictionaries."""
-    if "m" not in _models:
-        c, _, _, log_p = brute_lm(rows)
-        grams = {2: Counter(), 3: Counter()}
-        for key, text in rows:
-            if zlib.crc32(b"" if key is None else str(key).encode()) % 10:
-                w = lm.words_of(text)
-                w = [x if len(x) <= lm.MAX_WORD else None for x in w]
-                for k in (2, 3):
-                    grams[k].update(g for g in zip(*[w[i:] for i in range(k)]) if None not in g)
-        two = {g: n for g, n in grams[2].items() if n >= lm.MIN_COUNT}
-        three = {g: n for g, n in grams[3].items() if n >= lm.MIN_COUNT and g[:2] in two}
-        _models["m"] = c, log_p, two, three
-    c, log_p, two, three = _models["m"]
-
-    def one(w):
-        return 10 ** log_p(w)
-
-    def left(grams, h, total):
-        return max(1e-12, 1 - sum((n - lm.DISCOUNT) / total for g, n in grams.items() if g[:-1] == h))
-
-    def bigram(a, w):
-        if (a, w) in two:
-            return (two[a, w] - lm.DISCOUNT) / c[a] + left(two, (a,), c[a]) * one(w)
-        return left(two, (a,), c[a]) * one(w) if any(g[0] == a for g in two) else one(w)
-
-    total, before = 0.0, []
-    for w in words:
-        h = tuple(before[-2:])
-        if len(h) == 2 and h in two:
-            kept = any(g[:2] == h for g in three)
-            if h + (w,) in three:
-                p = (three[h + (w,)] - lm.DISCOUNT) / two[h] + left(three, h, two[h]) * bigram(h[1], w)
-            else:
-                p = (left(three, h, two[h]) if kept else 1) * bigram(h[1], w)
-        elif before:
-            p = bigram(before[-1], w)
-        else:
-            p = one(w)
-        total += math.log10(p)
-        before.append(w)
-    return total
+def test_lm_probabilities_add_up_to_one():
+    rows = [(1, "a b a c"), (2, "b a"), (3, "a b")]
+    model = PlainModel(rows, (2.0, 1.0))
+    for context in ((b"a",), (b"b",), (b"a", b"b"), (b"b", b"a"), (b"x", b"y")):
+        known = sum(model.p((*context, w)) for w in model.counts)
+        unseen = model.p((*context, b"?"))  # the one word that stands for all unseen ones
+        assert known + unseen == pytest.approx(1.0)
 
 
 def test_lm_of_nothing(spark):
     docs = documents(spark, ["a b"]).limit(0)
-    counts = lm.checkpointed(lm.word_counts(docs))
-    assert lm.score(docs, counts, lm.train(counts, docs)).count() == 0
+    assert lm.corpus_size(docs) == (0, 0)
+    assert lm.score(docs, 0, 0).count() == 0
+    held = [k for k in range(100) if zlib.crc32(str(k).encode()) % 10 == 0][:2]
+    docs = spark.createDataFrame(list(zip(held, ["a b", None], strict=True)), "doc_id long, text string")
+    assert [tuple(x) for x in lm.score(docs, 0, 0).orderBy("n_tokens").collect()] == [(held[1], True, 1, 0, 0, 0.0, 0.0), (held[0], True, 3, 0, 0, 0.0, 0.0)]
+
+
+def test_lm_messages():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 5, 3000):
+        for top in (1, 300, 1 << 62):
+            x = r.integers(0, top, n).astype(np.uint64)
+            assert (lm.unpack(lm.pack(x)) == x).all()
+            x.sort()
+            assert (lm.unpack_sorted(lm.pack_sorted(x)) == x).all()
 
 
 # Media

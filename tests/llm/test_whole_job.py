@@ -5,7 +5,6 @@ import random
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from quadrille.llm import chat, license_scan, lm, media, quality
@@ -13,11 +12,10 @@ from quadrille.llm import chat, license_scan, lm, media, quality
 # Language model
 
 
-def lm_scores(spark, texts, ids=None):
-    docs = spark.createDataFrame(list(zip(ids or range(len(texts)), texts, strict=True)), "doc_id long, text string")
-    training = docs.where(~lm.held_out())
-    counts = lm.checkpointed(lm.word_counts(training))
-    return {x["doc_id"]: x for x in lm.score(docs, counts, lm.train(counts, training)).collect()}
+def lm_scores(spark, rows, **sizes):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    total, kinds = lm.corpus_size(docs.where(~lm.held_out()))
+    return {x["doc_id"]: x for x in lm.score(docs, total, kinds, (6.0, 3.0), **sizes).collect()}
 
 
 def trained_ids(spark, n):
@@ -25,44 +23,34 @@ def trained_ids(spark, n):
 
 
 @pytest.mark.parametrize("texts", [[None, "", " "] * 20, ["one short document"], ["a b c"] * 2])
-def test_lm_without_kept_ngrams(spark, texts):
-    got = lm_scores(spark, texts, trained_ids(spark, len(texts)))
+def test_lm_of_few_ngrams(spark, texts):
+    got = lm_scores(spark, list(zip(trained_ids(spark, len(texts)), texts, strict=True)))
     assert len(got) == len(texts)
-    assert all(x["score"] == pytest.approx(x["base_score"]) for x in got.values())
+    assert all(math.isfinite(x["score"]) and x["n_known"] == x["n_tokens"] for x in got.values())
 
 
-def test_lm_keeps_a_huge_tie_class(spark):
-    """210,000 bigrams and as many trigrams of one count over as many words, all kept."""
+@pytest.mark.parametrize("copies", [1, 2])
+def test_lm_keeps_every_rare_ngram(spark, copies):
+    """210,000 bigrams and as many trigrams that occur once or twice, all counted."""
     n = 210_000
-    got = lm_scores(spark, [" ".join(f"w{k}" for k in range(n))] * 3, trained_ids(spark, 3))
-    total = 3 * (n + 1)
-    one = 3.1 / (total + 0.1 * (n + 2))
-    two = 2.5 / 3 + 0.5 / 3 * one
-    three = 2.5 / 3 + 0.5 / 3 * two
+    got = lm_scores(spark, [(k, " ".join(f"w{k}" for k in range(n))) for k in trained_ids(spark, copies)], shard_keys=100_000)
+    total = copies * (n + 1)
+    one = (copies + 0.1) / (total + 0.1 * (n + 2))
+    two = (copies + 6 * one) / (copies + 6)
+    three = (copies + 3 * two) / (copies + 3)
     for x in got.values():
         assert x["n_known"] == x["n_tokens"] == n + 1
-        assert x["score"] == pytest.approx(math.log10(one) + math.log10(two) + (n - 1) * math.log10(three), rel=1e-9)
+        assert x["score"] == pytest.approx(math.log10(one) + math.log10(two) + (n - 1) * math.log10(three), rel=1e-6)
 
 
-def test_lm_scores_do_not_depend_on_caches(spark, monkeypatch):
+def test_lm_tells_documents_that_occur_twice(spark):
+    """A model of the whole corpus scores the words of a text that it saw twice above those of one that it saw once."""
     r = random.Random(6)
-    texts = [" ".join(r.choice(["a", "b", "c d", "the cat", "sat on"]) for _ in range(r.randint(0, 40))) for _ in range(120)]
-    whole = lm_scores(spark, texts)
-    for name, value in {"STATE_WORDS": 2, "CACHED": 3, "FILTER_BITS": 64}.items():
-        monkeypatch.setattr(lm, name, value)
-    small = lm_scores(spark, texts)
-    for k, x in whole.items():
-        assert tuple(small[k])[:5] == tuple(x)[:5]
-        assert (small[k]["base_score"], small[k]["score"]) == pytest.approx((x["base_score"], x["score"]), abs=1e-9)
-
-
-def test_lm_keys_are_spark_s(spark):
-    words = [b"", b"a", "é".encode(), b"x" * 31, b"x" * 32, b"y" * 40]
-    rows = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, w binary").orderBy("k").select(F.xxhash64("w")).collect()
-    keys = np.array([xxhash.xxh64_intdigest(w, lm.SEED) for w in words], np.uint64)
-    assert keys.view(np.int64).tolist() == [x[0] for x in rows]
-    pairs = spark.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(zip(keys[:-1].view(np.int64), keys[1:].view(np.int64)))], "k int, ctx long, suffix long").orderBy("k")
-    assert lm.gram_keys(keys[:-1], keys[1:]).view(np.int64).tolist() == [x[0] for x in pairs.select(F.xxhash64("ctx", "suffix")).collect()]
+    texts = [" ".join(f"w{r.randint(0, 500)}" for _ in range(60)) for _ in range(300)]
+    ids = trained_ids(spark, 320)
+    got = lm_scores(spark, list(zip(ids, texts + texts[:20], strict=True)))
+    mean = [got[k]["score"] / got[k]["n_tokens"] for k in ids[:300]]
+    assert min(mean[:20]) > max(mean[20:])
 
 
 # Licence scans
