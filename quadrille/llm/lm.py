@@ -42,13 +42,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import arrow_schema, bound_batches, table
+from quadrille.llm.common import arrow_schema, bound_batches, make_batch, table
 
 ADD = 0.1
 #: Weight of the next shorter context, as so many occurrences of the context, for bigrams and trigrams (of nine pairs that with the highest held-out score on the table of 25 MB).
 PRIORS = (60.0, 3.0)
 #: Tokens after which a bucket is closed, and n-grams of all buckets in a shard (on average).
-BUCKET_TOKENS, SHARD_KEYS = 1 << 21, 1 << 22
+BUCKET_TOKENS, SHARD_KEYS = 3 << 19, 1 << 22
 #: Bytes after which a long text is cut at the next white space. It keeps its context over the cut.
 PIECE_BYTES = 8 << 20
 WORD_BITS, KEY_SLACK = 63, 20
@@ -87,33 +87,6 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
 
 
-def corpus_size(training: DataFrame) -> tuple[int, int]:
-    """N and V: the tokens of the column text, and the different ones. Nothing else is gathered."""
-    schema = "key long, n long"
-    arrow = arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            columns = word_hashes(list(counts)).view(np.int64), np.fromiter(counts.values(), np.int64, len(counts))
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=arrow)
-
-        for batch in batches:
-            for text in batch.column(0):
-                for piece in pieces(text.as_py()):
-                    counts.update(piece)
-                    if len(counts) > COUNTED:
-                        yield flush()
-        if counts:
-            yield flush()
-
-    bound_batches(training.sparkSession)
-    words = training.select("text").mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n"))
-    return tuple(words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
-
-
 # Keys and messages
 
 
@@ -187,6 +160,45 @@ def counted(keys: list[np.ndarray], idle: list[np.ndarray]) -> tuple[np.ndarray,
     return keys[first], counts
 
 
+def corpus_size(training: DataFrame) -> tuple[int, int]:
+    """N and V: the tokens of the column text, and the different ones. Two numbers are gathered.
+
+    Words are sent by shard of their keys, of which there are as many as partitions.
+    """
+    schema = "shard int, n long, a binary"
+    arrow = arrow_schema(schema)
+    texts = training.select("text")
+    edges = shard_edges(texts.rdd.getNumPartitions(), WORD_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            keys, order = np.unique(word_keys(list(counts)), return_index=True)
+            times = np.fromiter(counts.values(), np.int64, len(counts))[order]
+            counts.clear()
+            at = np.searchsorted(keys, edges)
+            parts = [(k, int(n.sum()), pack_sorted(x)) for k, (x, n) in enumerate(zip(np.split(keys, at), np.split(times, at), strict=True)) if len(x)]
+            return make_batch(parts, arrow)
+
+        for batch in batches:
+            for text in batch.column(0):
+                for piece in pieces(text.as_py()):
+                    counts.update(piece)
+                    if len(counts) > COUNTED:
+                        yield flush()
+        if counts:
+            yield flush()
+
+    def count(rows: pa.Table) -> pa.Table:
+        kinds = len(np.unique(np.concatenate([unpack_sorted(x.as_py()) for x in rows["a"]])))
+        return pa.table({"n": [sum(rows["n"].to_pylist())], "kinds": [kinds]})
+
+    bound_batches(training.sparkSession)
+    sizes = texts.mapInArrow(run, schema).groupBy("shard").applyInArrow(count, "n long, kinds long")
+    return tuple(sizes.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "kinds")]).first())
+
+
 class _Numbers(dict):
     """Numbers words as they come."""
 
@@ -215,8 +227,10 @@ class Bucket:
         ids = np.concatenate(self.ids)
         rows, names, out, lengths, skip = zip(*self.docs, strict=True)
         lengths, skip = np.array(lengths), np.array(skip)
-        # Frequent words get small numbers, which pack well.
-        order = np.argsort(-np.bincount(ids), kind="stable")
+        # Frequent words get small numbers, which pack well. Those that come once follow in order, so a mark in place of the number does.
+        times = np.bincount(ids)
+        order = np.argsort(-times, kind="stable")
+        often = int(np.count_nonzero(times > 1))
         known = word_keys(list(self.numbers))[order]
         number = np.empty(len(order), np.int32)
         number[order] = np.arange(len(order))
@@ -235,7 +249,7 @@ class Bucket:
         doc_arrays = [pa.array(x, f.type) for x, f in zip((rows, names, out, lengths, skip), of, strict=True)]
         docs = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), pa.StructArray.from_arrays(doc_arrays, fields=list(of)))
         own = -1 - int(_mixed(np.array([bucket], np.uint64))[0] % np.uint64(len(parts)))
-        yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([own], pa.int32()), pa.array([pack(known)]), pa.array([pack(ids)]), docs.cast(arrow.field("docs").type)], schema=arrow)
+        yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([own], pa.int32()), pa.array([pack(known)]), pa.array([pack(np.append(np.minimum(ids, often), often))]), docs.cast(arrow.field("docs").type)], schema=arrow)
         for shard, (keys, n) in enumerate(parts):
             if len(keys):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([shard], pa.int32()), pa.array([pack_sorted(keys)]), pa.array([pack(n)]), pa.nulls(1, arrow.field("docs").type)], schema=arrow)
@@ -270,11 +284,11 @@ class Automaton:
         n = len(counts)
         self.seen = counts > 0
         self.arc, self.back = np.zeros(n), np.zeros(n)
-        self.fail = np.full(n, -1)
+        self.fail = np.full(n, -1, np.int32)
         p = np.zeros(n)
         for k in range(3):
             order = k + 1
-            first = np.empty(n, np.int64)
+            first = np.empty(n, np.int32)
             first[places[k]] = np.arange(len(places[k]))  # any position of each n-gram
             mine = np.zeros(n, bool)
             mine[places[k]] = True
@@ -301,7 +315,7 @@ class Automaton:
         through the failure arcs in step, at most two.
         """
         n = len(grams.at[0])
-        state, wanted = np.full(n, -1), np.empty(n, np.int64)
+        state, wanted = np.full(n, -1, np.int32), np.empty(n, np.int32)
         steps = np.zeros(n)
         wanted[:] = places[0]
         for k in (1, 2):  # the longest context that there is, and the n-gram that it makes with the word
@@ -322,14 +336,18 @@ def walk_bucket(rows: pa.Table, bits: int, base: float, priors: tuple[float, flo
     own = int(np.argmin(shards))
     docs = rows["docs"][own].values
     lengths, skip = np.array(docs.field("length")), np.array(docs.field("skip"))
-    known, ids = unpack(rows["a"][own].as_py()), unpack(rows["b"][own].as_py())
+    known, ids = unpack(rows["a"][own].as_py()), unpack(rows["b"][own].as_py()).astype(np.int32)
+    ids, often = ids[:-1], ids[-1]
+    ids[ids == often] = np.arange(often, len(known))
     counts = np.concatenate([unpack(rows["a"][int(k)].as_py()) for k in np.argsort(shards) if k != own]).astype(np.float64)
     grams = Grams(known[ids], lengths, bits)
-    words, word_places = np.unique(grams.keys[0], return_inverse=True)
-    longer, places = np.unique(np.concatenate(grams.keys[1:]), return_inverse=True)
+    words, first = np.unique(grams.keys[0], return_inverse=True)
+    longer, others = np.unique(np.concatenate(grams.keys[1:]), return_inverse=True)
     if len(words) + len(longer) != len(counts):
         raise ValueError(f"{len(counts)} counts for {len(words)} words and {len(longer)} n-grams")
-    places = [word_places, *np.split(places + len(words), [len(grams.keys[1])])]
+    places = [first.astype(np.int32), *np.split((others + len(words)).astype(np.int32), [len(grams.keys[1])])]
+    del words, longer, first, others
+    grams.keys.clear()
     automaton = Automaton(grams, places, counts, base, priors)
     n = len(lengths)
     segment = np.repeat(np.arange(n), lengths)
