@@ -9,14 +9,19 @@ marginal, and the text blocks whose marginal is above one half are the main text
 
 The weights (html_weights.py) were trained by html_training.py from labelled pages.
 
+Reading a page takes time in proportion to its length, whatever it holds.
+
 Defined results: a null or empty page, or one without content, gives an empty text; broken markup
-is repaired as browsers do (implied end tags, unknown end tags ignored, raw text up to its end tag);
-repeated rows are extracted one by one; an empty table gives an empty table; nothing is cut short.
+is repaired as browsers do (implied end tags, unknown end tags ignored, raw text up to its end tag),
+but a tag that nothing closes is text; white space is what str.split takes for it, no-break spaces
+included; repeated rows are extracted one by one; an empty table gives an empty table; other columns
+are ignored; nothing is cut short.
 """
 
 from __future__ import annotations
 
 import re
+from functools import cache
 from html import unescape
 from math import exp, log
 
@@ -26,8 +31,10 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import map_rows, table
 from quadrille.llm.html_weights import WEIGHTS
 
-_TAG = re.compile(r"""<!--(?:.*?--!?>|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_NAME_END = re.compile(r"[\s/>]")
+#: The next attribute from inside a tag, or the tag's end. A quote that nothing closes is an ordinary character.
+_ATTRIBUTE = re.compile(r"""[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?)""")
+_SAYING = frozenset(["class", "id", "role", "aria-label"])
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -105,58 +112,49 @@ class Page:
 
     def _build(self, html: str) -> None:
         self._add(-1, "html", ["tag:root"], "plain", None)
-        #: Open elements: (name, node or -1 for an inline one). run: the pieces of the current block; links: characters of it in links.
-        stack: list[tuple[str, int]] = [("html", 0)]
+        scan = _Scanner(html)
+        open_ = _Open()
+        #: The pieces of the current block, and the characters of it in links.
         run: list[str] = []
-        links, in_link, at, end = 0, 0, 0, len(html)
-        search = _TAG.search
+        links = 0
 
         def close_run() -> None:
             nonlocal links
             if run:
                 text = " ".join(unescape("".join(run)).split())
                 if text:
-                    node = next(n for _, n in reversed(stack) if n >= 0)
+                    node = open_.node()
                     self._add(node, "#text", _text_features(text, links, self.tag[node]), "text", text)
                 run.clear()
             links = 0
 
         def pop_to(k: int) -> None:
-            nonlocal in_link
-            if any(n >= 0 for _, n in stack[k:]):
+            if open_.blocks[-1] >= k:
                 close_run()
-            in_link -= sum(name == "a" for name, _ in stack[k:])
-            del stack[k:]
+            open_.pop_to(k)
 
-        while at < end:
-            m = search(html, at)
-            piece = html[at : m.start() if m else end]
+        while True:
+            piece, name, is_end, attributes = scan.next()
             if piece:
                 run.append(piece)
-                if in_link:
+                if open_.count("a"):
                     links += len(piece)
-            if not m:
+            if name is None:
                 break
-            at = m.end()
-            name = m[2]
-            if not name:
-                continue
-            name = name.lower()
-            if m[1]:
+            if is_end:
                 if name in ("html", "body"):
                     continue
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
+                k = open_.last(name)
                 # An inline end tag doesn't reach out of its block.
-                if k and (name not in _INLINE or all(n < 0 for _, n in stack[k + 1 :])):
+                if k and (name not in _INLINE or open_.blocks[-1] <= k):
                     pop_to(k)
                 elif name == "p":
                     close_run()
                 continue
-            attributes = m[3]
-            if name in _DROPPED and not attributes.endswith("/"):
+            if name in _DROPPED and not scan.closed_itself:
                 if name not in ("script", "style"):
                     run.append(" ")
-                at = _after(html, at, name)
+                scan.skip(name)
                 continue
             if name == "br":
                 run.append(" ")
@@ -167,23 +165,18 @@ class Page:
                 continue
             says = _attribute_words(attributes) if attributes else ()
             if name in _CLOSES_P:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in ("p", "button")), 0)
+                k = max(open_.last("p"), open_.last("button"))
                 if k:
                     pop_to(k)
-                if name[0] == "h" and name[1:].isdigit() and stack[-1][0][0] == "h" and stack[-1][0][1:].isdigit():
-                    pop_to(len(stack) - 1)
+                if _is_heading(name) and _is_heading(open_.names[-1]):
+                    pop_to(len(open_.names) - 1)
             elif name in _IMPLIED:
                 names, stop = _IMPLIED[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in names:
-                        pop_to(k)
-                        break
-                    if stack[k][0] in stop:
-                        break
-            if name == "a":
-                in_link += 1
+                k = max(map(open_.last, names))
+                if k > max(map(open_.last, stop)):
+                    pop_to(k)
             if name in _INLINE and not any(s not in ("content", "share", "header") for s in says):
-                stack.append((name, -1))
+                open_.push(name, -1, False)
                 continue
             if name in ("html", "body"):
                 close_run()
@@ -191,49 +184,195 @@ class Page:
                     self.features[0] = ["tag:root", *(f"says:{s}" for s in says)]
                 continue
             close_run()
-            parent = next(n for _, n in reversed(stack) if n >= 0)
             group = _GROUPS.get(name, "div")
             features = [f"tag:{group}", *(f"says:{s}" for s in sorted(says))]
             if "content" in says and len(says) > 1:
                 features.remove("says:content")
-            if group in ("article", "main") and not any(n > 0 and self.kind[n] == "region" for _, n in stack):
+            if group in ("article", "main") and not open_.regions:
                 features.append(f"top:{group}")
             region = group in ("nav", "header", "footer", "aside", "form", "dialog") or any(s != "content" for s in says)
-            stack.append((name, self._add(parent, name, features, "region" if region else "plain", None)))
+            open_.push(name, self._add(open_.node(), name, features, "region" if region else "plain", None), region)
         close_run()
 
 
-def _after(html: str, at: int, name: str) -> int:
-    """Where the content of a dropped element that starts at `at` ends, its end tag included; elements of the same name nest unless raw."""
-    if name == "head":
-        m = re.compile(r"</head\s*>|(?=<body\b)", re.I).search(html, at)
-        return m.end() if m else at
-    if name in _RAW:
-        m = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
-        return m.end() if m else len(html)
-    depth = 1
-    for m in re.compile(rf"<(/?){name}\b[^>]*>", re.I).finditer(html, at):
-        depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
-        if not depth:
-            return m.end()
-    return at
+def _is_heading(name: str) -> bool:
+    return name[0] == "h" and name[1:].isdigit()
+
+
+class _Open:
+    """The open elements, with what is asked of them kept up to date.
+
+    blocks: the places of those that are nodes; regions: how many are regions.
+    """
+
+    def __init__(self) -> None:
+        self.names, self.nodes, self.is_region = ["html"], [0], [False]
+        self.places: dict[str, list[int]] = {}
+        self.blocks, self.regions = [0], 0
 
+    def push(self, name: str, node: int, region: bool) -> None:
+        place = len(self.names)
+        self.names.append(name)
+        self.nodes.append(node)
+        self.is_region.append(region)
+        self.places.setdefault(name, []).append(place)
+        if node >= 0:
+            self.blocks.append(place)
+            self.regions += region
 
-def _attribute_words(attributes: str) -> set[str]:
+    def pop_to(self, k: int) -> None:
+        while len(self.names) > k:
+            self.places[self.names.pop()].pop()
+            if self.nodes.pop() >= 0:
+                self.blocks.pop()
+            self.regions -= self.is_region.pop()
+
+    def last(self, name: str) -> int:
+        """The place of the last open element of a name, or 0."""
+        places = self.places.get(name)
+        return places[-1] if places else 0
+
+    def count(self, name: str) -> int:
+        return len(self.places.get(name, ()))
+
+    def node(self) -> int:
+        return self.nodes[self.blocks[-1]]
+
+
+class _Scanner:
+    """Text and tags in order. What was looked for once and isn't there is not looked for again."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.at, self.lower = html, 0, None
+        self.last_gt = html.rfind(">")
+        self.quotes = True
+        self.closed_itself = False
+        #: By name: where the content of nested elements that start at a place ends; names whose end tag doesn't come any more.
+        self.ends: dict[str, dict[int, int]] = {}
+        self.without_end: set[str] = set()
+
+    def next(self) -> tuple[str, str | None, bool, list[tuple[str, str]]]:
+        """The text up to the next tag, and the tag: its name (None at the end of the page), whether it is an end tag, its attributes."""
+        html, start = self.html, self.at
+        look = start
+        while True:
+            lt = html.find("<", look)
+            if lt < 0 or lt > self.last_gt and not html.startswith("<!--", lt):
+                self.at = len(html)
+                return html[start:], None, False, []
+            first = html[lt + 1 : lt + 2]
+            if first in ("!", "?"):
+                piece = html[start:lt]
+                if html.startswith("<!--", lt):
+                    m = _COMMENT_END.search(html, lt + 4)
+                    self.at = m.end() if m else len(html)
+                else:
+                    self.at = html.index(">", lt) + 1
+                if piece:
+                    return piece, "!", True, []  # an end tag that nothing opens
+                start = look = self.at
+                continue
+            is_end = first == "/"
+            if not _LETTER.match(html, lt + 1 + is_end):
+                look = lt + 1
+                continue
+            end = _NAME_END.search(html, lt + 2)
+            if is_end:
+                end = _NAME_END.search(html, lt + 3)
+            name = html[lt + 1 + is_end : end.start()].lower()
+            self.closed_itself = False
+            attributes = self._attributes(end.start())
+            return html[start:lt], name, is_end, attributes
+
+    def _attributes(self, at: int) -> list[tuple[str, str]]:
+        """Reads a tag to its end, from behind its name."""
+        html, found, start = self.html, [], at
+        while self.quotes:
+            m = _ATTRIBUTE.match(html, at)
+            if not m:  # the page ends in a quoted value that opened by mistake: from here on, tags end at the next >
+                self.quotes = False
+                break
+            at = m.end()
+            if m[1]:
+                self.at = at
+                self.closed_itself = html[at - 2] == "/"
+                return found
+            found.append((m[2].lower(), m[3] or m[4] or m[5] or ""))
+        self.at = html.index(">", start) + 1
+        self.closed_itself = html[self.at - 2] == "/"
+        return []
+
+    def skip(self, name: str) -> None:
+        """Goes behind the content and end tag of a dropped element, whose start tag was read last; elements of the same name nest unless raw."""
+        if name in self.without_end:
+            if name in _RAW:
+                self.at = len(self.html)
+            return
+        if self.lower is None:
+            self.lower = _lowered(self.html)
+        if name == "head":
+            m = _HEAD_END.search(self.html, self.at)
+            if m:
+                self.at = m.end()
+            else:
+                self.without_end.add(name)
+        elif name in _RAW:
+            m = _pattern(rf"</{name}(?=[\s/>])").search(self.lower, self.at)
+            if m and m.end() <= self.last_gt:
+                self.at = self.html.index(">", m.end()) + 1
+            else:
+                self.without_end.add(name)
+                self.at = len(self.html)
+        else:
+            if name not in self.ends:
+                self.ends[name] = self._nested(name)
+            self.at = self.ends[name].get(self.at, self.at)
+
+    def _nested(self, name: str) -> dict[int, int]:
+        """For each start tag of a name from here on that has an end tag: where its content begins, and where the end tag ends."""
+        starts, ends, gt = [self.at], {}, self.at
+        for m in _pattern(rf"<(/?){name}(?=[\s/>])").finditer(self.lower, self.at):
+            if m.end() > self.last_gt:
+                break
+            if gt <= m.end():
+                gt = self.html.index(">", m.end()) + 1
+            if not m[1]:
+                if self.html[gt - 2] != "/":
+                    starts.append(gt)
+            elif starts:
+                ends[starts.pop()] = gt
+        return ends
+
+
+_COMMENT_END = re.compile(r"--!?>")
+_LETTER = re.compile(r"[a-zA-Z]")
+_HEAD_END = re.compile(r"</head\s*>|(?=<body\b)", re.I)
+
+
+@cache
+def _pattern(text: str) -> re.Pattern:
+    return re.compile(text)
+
+
+def _lowered(html: str) -> str:
+    """A-Z lower-cased, so that places stay."""
+    return html.translate(_TO_LOWER)
+
+
+_TO_LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+def _attribute_words(attributes: list[tuple[str, str]]) -> set[str]:
     """What class, id, role and label say; a hidden element counts as a notice."""
     says = set()
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "style":
-            if "display:none" in value.replace(" ", "").lower():
-                says.add("notice")
-        elif name == "hidden":
-            says.add("notice")
-        else:
+    for name, value in attributes:
+        if name in _SAYING:
             for word in _NAME.findall(value):
                 said = _said(word.lower())
                 if said:
                     says.add(said)
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
+            says.add("notice")
     return says
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -246,10 +247,50 @@ def test_broken_markup_does_not_fail():
     html_extract.extract("<div>" * 3000 + "deep" + "<" * 3000)
 
 
+LONG = ["<div>", "<button>", "<a ", "<button ", "<b>", "<svg", "<!", "<!--", "<a x=\"", "'\"<a x=", "<script", "</script", "<head>", "</b>", "<b><p></b>", "<h1><a href='x>", "<article>", "<ul><li>", "<svg><svg>x</svg>", " ", "&"]
+
+
+@pytest.mark.parametrize("tail", ["", ">"])
+@pytest.mark.parametrize("what", LONG)
+def test_reading_takes_time_in_proportion(what, tail):
+    took = []
+    for size in (50_000, 400_000):
+        page = "<article><p>" + what * (size // len(what)) + tail
+        began = time.process_time()
+        html_extract.extract(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.1  # eight times as long; quadratic would be 64
+
+
+ARTICLE = "<h1>The title of it</h1><p>Some long text, that goes on for a while, and ends here. Another sentence that is long enough.</p><p>And more of the text follows here.</p>"
+
+
+@pytest.mark.parametrize("attribute", ['aria-hidden="false"', 'data-state="not hidden yet"', 'data-id="footer"', 'data-role="menu"', 'data-style="display:none"', 'title="a > b"', "title='class=\"footer\"'"])
+def test_attributes_are_read_by_their_own_names(attribute):
+    page = f"<body><nav><a href=x>n</a></nav><div {attribute}>{ARTICLE}</div><footer>x y z</footer>"
+    assert html_extract.extract(page).startswith("The title of it Some long text") and html_extract.extract(page).endswith("follows here.")
+
+
+@pytest.mark.parametrize("attribute", ["hidden", 'aria-hidden="true"', "style='display: none'", "class=footer", 'ID="cookie-notice"'])
+def test_hidden_elements_are_no_content(attribute):
+    assert "secret" not in html_extract.extract(f"<article>{ARTICLE}</article><div {attribute}>A secret part, that nobody sees.</div>")
+
+
+def test_tags_that_nothing_closes_are_text():
+    assert html_extract.extract(f"<article>{ARTICLE} if a <b then c").endswith("if a <b then c")
+    assert html_extract.extract(f"<article><a title=\"open>{ARTICLE}").endswith("follows here.")
+
+
 def test_weights_find_blocks_of_other_pages():
     assert html_training.accuracy(WEIGHTS, range(20_000, 20_060)) > 0.99
 
 
+@pytest.mark.parametrize("half, share", [(0, 0.9), (1, 0.7)])
+def test_weights_find_blocks_of_layouts_left_out(half, share):
+    """Trained on one half of the layouts, tested on the other. The second half has no plain paragraphs and no article element, so its weights know less."""
+    assert html_training.accuracy(html_training.train(pages=100, rounds=50, half=half), range(40_000, 40_100), 1 - half) > share
+
+
 def test_messages_give_exact_marginals():
     from math import exp, log
 
