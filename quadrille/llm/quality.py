@@ -1,25 +1,27 @@
 """Quality rules with risk-controlled cutoffs.
 
 Each rule rejects a document whose statistic is above a cutoff. Cutoffs are not set by hand:
-labelled documents of a stratum (a language) are split by hash into a tuning part, which
-proposes for each rule a sequence of cutoffs from lenient to strict, and a holdout, which
-certifies them in that order. A cutoff is certified if, were the rule to reject a good document
-with a probability above `risk` / number of rules, as few rejected good documents as the holdout
-shows would come up with a probability (exact binomial) of `error` / (strata x rules) at most.
-The first cutoff that fails ends its sequence, so the sequence needs no further correction, and
-with a confidence of 1 - `error` no stratum loses more than `risk` of its good documents to the
-rules together. Of the certified cutoffs the most lenient is taken that rejects almost as
-many bad tuning documents as any. A stratum with too few labels certifies nothing and keeps all.
-Rules are then taken up from the one that rejects the most bad tuning documents on; a rule that adds
-none to those before it is left out, as it could only cost good documents.
-
-Strata are a fixed list, so what the driver gets is a fixed number of counts; they are taken
-over all labelled documents.
+labelled documents of a stratum (a language) are split by hash into a tuning part and a holdout.
+The tuning part proposes one sequence for all rules together, from lenient to strict: each step
+tightens the rule that rejects the most bad documents more for each good one, and the documents
+rejected are those of any rule. The holdout certifies the steps in order. A step is certified if, were
+the rules together to reject a good document with a probability above `risk`, as few rejected good
+documents as the holdout shows would come up with a probability (exact binomial) of `error` / strata
+at most. The first step that fails ends the sequence, so the sequence needs no further correction, and
+with a confidence of 1 - `error` no stratum loses more than `risk` of its good documents. The last
+certified step gives the cutoffs. With risk and error of 5 % and five strata, 90 good documents without
+a rejection certify a step; a stratum with fewer certifies nothing and keeps all.
+
+Texts are split and counted by their hash: copies are on one side, and count once, as the bound is for
+independent documents. Near copies still count one by one.
+
+Strata are a fixed list, and documents are counted by the places of their statistics between the
+cutoffs, so what the driver gets is bounded by the grids; it is taken over all labelled documents.
 
 Defined results: a null or empty text has no words and fails the base rule; a null or unlisted
-language belongs to the stratum `other`; a document with several labels is good if all say so;
-repeated rows are judged alike; an empty table gives an empty table; without labels, only the
-base rule decides.
+language belongs to the stratum `other`; a document with several labels, and a text of several
+documents, is good if all say so; repeated rows are judged alike; an empty table gives an empty table;
+without labels, only the base rule decides; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ STRATA = ("en", "de", "fr", "es", "other")
 RISK, ERROR = 0.05, 0.05
 #: Labelled documents of which one in this many tunes; the others are the holdout.
 TUNE_ONE_IN = 4
-#: The share of bad documents that a rule must add to what the others reject, unless `needed_rules` is told another; calibration keeps every rule that adds one.
-MIN_GAIN = 0.01
+#: Bad tuning documents that a step must reject for each good one.
+MIN_ODDS = 10
 
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 STATS_DDL = ", ".join(f"{f} long" for f in FIELDS)
@@ -130,64 +132,79 @@ def binomial_at_most(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def choose_cutoff(grid, tune_good, tune_bad, n_tune_good, hold_good, n_hold_good, risk: float, error: float) -> float | None:
-    """The cutoff for one rule and stratum; tune_good and so on: documents rejected at each cutoff of the grid."""
-    certified = []
-    for i in range(len(grid)):
-        if not tune_bad[i]:
-            continue  # rejects nothing bad, so isn't proposed
-        if tune_good[i] > risk * n_tune_good or binomial_at_most(hold_good[i], n_hold_good, risk) > error:
-            break
-        certified.append(i)
-    if not certified:
-        return None
-    enough = 0.99 * max(tune_bad[i] for i in certified)
-    return next(grid[i] for i in certified if tune_bad[i] >= enough)
-
-
-def needed_rules(rejected: dict[frozenset[str], int], min_gain: float = MIN_GAIN) -> set[str]:
-    """The rules worth having, from the number of bad documents that exactly a set of rules rejects (the empty set's too); each adds one and a share of min_gain at least."""
-    least = min_gain * sum(rejected.values())
-    kept: set[str] = set()
-    left = dict(rejected)
+def levels() -> list[Column]:
+    """For each rule, how many cutoffs of its grid do not reject the document: the rest of the grid does."""
+
+    def level(value: Column, grid: tuple[float, ...]) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, grid)), lambda c: c >= value))
+
+    return [level(value(), grid) for _, value, grid in RULES]
+
+
+def proposed(places: np.ndarray, good: np.ndarray, bad: np.ndarray, sizes: list[int], risk: float, min_odds: float = MIN_ODDS) -> list[tuple[int, ...]]:
+    """The sequence of steps: for each rule the place of its cutoff in the grid, -1 for none.
+
+    places: a row for each kind of tuning document, by rule; good, bad: how many there are of it; sizes: of the grids.
+    """
+    cuts, steps = [-1] * len(sizes), []
+    left, lost = np.ones(len(places), bool), 0
     while True:
-        gains = {rule: sum(n for x, n in left.items() if rule in x) for rule in sorted(set().union(*left) - kept)} if left else {}
-        best = max(gains, key=gains.get, default=None)
-        if best is None or gains[best] < max(1, least):
-            return kept
-        kept.add(best)
-        left = {x: n for x, n in left.items() if best not in x}
+        best = None
+        for rule, size in enumerate(sizes):
+            at = places[left, rule]
+            lose, gain = (np.bincount(at, n[left], size + 1).cumsum() for n in (good, bad))
+            for cut in range(cuts[rule] + 1, size):
+                if gain[cut] and gain[cut] >= min_odds * lose[cut]:
+                    value = gain[cut] / (lose[cut] + 1)
+                    if best is None or value > best[0]:
+                        best = value, rule, cut
+                    break  # the most lenient one
+        if best is None:
+            return steps
+        _, rule, cut = best
+        cuts[rule] = cut
+        gone = left & (places[:, rule] <= cut)
+        lost += good[gone].sum()
+        if lost > risk * good.sum():
+            return steps
+        left &= ~gone
+        steps.append(tuple(cuts))
+
+
+def certified(steps: list[tuple[int, ...]], places: np.ndarray, good: np.ndarray, risk: float, error: float) -> tuple[int, ...] | None:
+    """The last step of the sequence before the first that the holdout's good documents (as for `proposed`) don't certify."""
+    found = None
+    for cuts in steps:
+        rejected = int(good[(places <= np.array(cuts)).any(axis=1)].sum()) if len(good) else 0
+        if binomial_at_most(rejected, int(good.sum()), risk) > error:
+            break
+        found = cuts
+    return found
 
 
 def calibrate(stats: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule, from rows (doc_id, lang, the FIELDS) and labels (doc_id, quality)."""
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min((F.col("quality") > 0).cast("int")).alias("_good"))
-    rows = checkpointed(
+    """Cutoffs by stratum and rule, from rows (doc_id, lang, text_hash, the FIELDS) and labels (doc_id, quality)."""
+    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min((F.col("quality") > 0).cast("int")).alias("good"))
+    names = [f"level_{k}" for k in range(len(RULES))]
+    texts = (
         stats.join(good, "doc_id")
         .where(~base_failed())
-        .withColumn("_stratum", stratum(F.col("lang")))
-        .withColumn("_part", (F.pmod(F.xxhash64("doc_id"), F.lit(TUNE_ONE_IN)) == 0).cast("int"))
+        .groupBy("text_hash", stratum(F.col("lang")).alias("stratum"), *[x.alias(n) for x, n in zip(levels(), names, strict=True)])
+        .agg(F.min("good").alias("good"))
     )
-    sums = [F.sum((value() > c).cast("long")).alias(f"{name}_{i}") for name, value, grid in RULES for i, c in enumerate(grid)]
-    found = {(r["_stratum"], r["_part"], r["_good"]): r for r in rows.groupBy("_stratum", "_part", "_good").agg(F.count("*").alias("n"), *sums).collect()}
+    tunes = (F.pmod(F.col("text_hash"), F.lit(TUNE_ONE_IN)) == 0).alias("tunes")
+    found = texts.groupBy("stratum", tunes, *names).agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")).orderBy("stratum", *names).collect()
 
-    def counts(key, name, grid):
-        row = found.get(key)
-        return ([row[f"{name}_{i}"] for i in range(len(grid))], row["n"]) if row else ([0] * len(grid), 0)
+    def part(s: str, tunes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = [r for r in found if (r["stratum"], r["tunes"]) == (s, tunes)]
+        return np.array([[r[n] for n in names] for r in rows], np.int64).reshape(-1, len(RULES)), *(np.array([r[c] for r in rows], np.int64) for c in ("good", "bad"))
 
-    cutoffs: dict[str, dict[str, float]] = {s: {} for s in STRATA}
+    cutoffs: dict[str, dict[str, float]] = {}
     for s in STRATA:
-        for name, _, grid in RULES:
-            tune_good, n_tune = counts((s, 1, 1), name, grid)
-            tune_bad, _ = counts((s, 1, 0), name, grid)
-            hold_good, n_hold = counts((s, 0, 1), name, grid)
-            cutoff = choose_cutoff(grid, tune_good, tune_bad, n_tune, hold_good, n_hold, risk / len(RULES), error / (len(STRATA) * len(RULES)))
-            if cutoff is not None:
-                cutoffs[s][name] = cutoff
-    # At most a row for each stratum and set of rules.
-    sets = rows.where("_part = 1 and _good = 0").groupBy("_stratum", failed_rules(cutoffs, F.col("lang")).alias("rules")).agg(F.count("*").alias("n")).collect()
-    needed = {s: needed_rules({frozenset(r["rules"]): r["n"] for r in sets if r["_stratum"] == s}, 0) for s in STRATA}
-    return {s: {name: c for name, c in found.items() if name in needed[s]} for s, found in cutoffs.items()}
+        steps = proposed(*part(s, True), [len(grid) for _, _, grid in RULES], risk)
+        cuts = certified(steps, *part(s, False)[:2], risk, error / len(STRATA)) or ()
+        cutoffs[s] = {name: grid[cut] for (name, _, grid), cut in zip(RULES, cuts, strict=False) if cut >= 0}
+    return cutoffs
 
 
 def failed_rules(cutoffs: dict[str, dict[str, float]], lang: Column) -> Column:
@@ -205,9 +222,10 @@ def failed_rules(cutoffs: dict[str, dict[str, float]], lang: Column) -> Column:
 
 
 def stats_table(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the FIELDS of each row's whole text."""
+    """doc_id, lang, text_hash and the FIELDS of each row's whole text."""
     kind = dict(docs.dtypes)["doc_id"]
-    return map_rows(docs, [F.col("text"), F.col("doc_id"), F.col("lang")], f"doc_id {kind}, lang string, {STATS_DDL}", lambda: lambda text, key, lang: (key, lang, *text_stats(text)))
+    columns = [F.col("text"), F.col("doc_id"), F.col("lang"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))]
+    return map_rows(docs, columns, f"doc_id {kind}, lang string, text_hash long, {STATS_DDL}", lambda: lambda text, key, lang, h: (key, lang, h, *text_stats(text)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
@@ -215,12 +233,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: flo
     cutoffs = calibrate(stats_table(docs), labels, risk, error)
     bound_batches(docs.sparkSession)
     stats = F.arrow_udf(stats_column, f"struct<{', '.join(f'{f}: bigint' for f in FIELDS)}>")
-    judged = docs.withColumn("__stats", stats(F.col("text")))
-    fields = judged.select("*", *[F.col(f"__stats.{f}").alias(f"__{f}") for f in FIELDS])
-    # The rules name the fields; those of the input keep their own names under another prefix.
-    inner = fields.select(F.struct(*quoted(docs)).alias("__row"), *[F.col(f"__{f}").alias(f) for f in FIELDS])
-    kept = inner.where(~base_failed() & (F.size(failed_rules(cutoffs, F.col("__row.lang"))) == 0))
-    return kept.select("__row.*")
+    # The row as one column, so that no name in it can clash with a field.
+    judged = docs.select(F.struct(*quoted(docs)).alias("row"), stats(F.col("text")).alias("stats")).select("row", "stats.*")
+    return judged.where(~base_failed() & (F.size(failed_rules(cutoffs, F.col("row.lang"))) == 0)).select("row.*")
 
 
 def op1_quality_rules(spark, sf_dir):

@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from quadrille.llm import bpe, license_scan, lm, media, quality
 
@@ -56,29 +57,102 @@ def test_binomial_tail():
             assert quality.binomial_at_most(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
 
 
-def test_cutoffs_stop_at_the_first_failure():
-    grid = (3, 2, 1)
-    choose = lambda hold: quality.choose_cutoff(grid, [0, 0, 0], [5, 9, 10], 100, hold, 1000, 0.01, 0.01)
-    assert choose([0, 0, 0]) == 1
-    assert choose([0, 0, 30]) == 2
-    assert choose([0, 30, 0]) == 3  # what follows a failure isn't tested
-    assert choose([30, 0, 0]) is None
-    assert quality.choose_cutoff(grid, [0] * 3, [5, 9, 10], 100, [0] * 3, 20, 0.01, 0.01) is None  # too few labels certify nothing
+def test_certification_stops_at_the_first_failure():
+    places, steps = np.array([[0], [1], [2]]), [(0,), (1,), (2,)]
+    certified = lambda *rejected, n=1000: quality.certified(steps, np.vstack([places, [[3]]]), np.array([*rejected, n - sum(rejected)]), 0.01, 0.01)
+    assert certified(0, 0, 0) == (2,)
+    assert certified(0, 0, 30) == (1,)
+    assert certified(0, 30, 0) == (0,)  # what follows a failure isn't tested
+    assert certified(30, 0, 0) is None
+    assert certified(0, 0, 0, n=20) is None  # too few labels certify nothing
+    assert quality.certified(steps, np.zeros((0, 1), int), np.zeros(0, int), 0.01, 0.01) is None
+
+
+def test_ninety_good_documents_certify():
+    assert quality.binomial_at_most(0, 90, quality.RISK) <= quality.ERROR / len(quality.STRATA) < quality.binomial_at_most(0, 89, quality.RISK)
 
 
 def test_false_rejection_is_limited():
-    """Over many random holdouts a rule whose true false rejection is above the risk is rarely certified."""
+    """Over many random holdouts, rules whose true false rejection together is above the risk are rarely certified."""
     r, wrong = random.Random(2), 0
     for _ in range(400):
-        hold = [sum(r.random() < 0.03 for _ in range(600))]
-        wrong += quality.choose_cutoff((1,), [0], [5], 100, hold, 600, 0.02, 0.05) is not None
+        kinds = Counter((int(r.random() < 0.985), int(r.random() < 0.985)) for _ in range(600))  # either rule rejects 1.5 %, both 3 %
+        places, good = np.array(list(kinds)), np.array(list(kinds.values()))
+        wrong += quality.certified([(0, -1), (0, 0)], places, good, 0.02, 0.05) == (0, 0)
     assert wrong <= 20
 
 
-def test_rules_that_add_nothing_are_left_out():
-    counts = {frozenset(): 10, frozenset({"a"}): 60, frozenset({"a", "b"}): 120, frozenset({"c"}): 8, frozenset({"b"}): 1, frozenset({"b", "d"}): 0}
-    assert quality.needed_rules(counts) == {"a", "c"}
-    assert quality.needed_rules({}) == quality.needed_rules({frozenset(): 5}) == set()
+def slow_cutoffs(rows, risk, error):
+    """The certified cutoffs from documents (stratum, tunes, values, good) one by one."""
+    grids, found = [grid for _, _, grid in quality.RULES], {}
+    for s in quality.STRATA:
+        tune, hold = ([(v, good) for t, part, v, good in rows if (t, part) == (s, side)] for side in (True, False))
+        cuts, chosen = [-1] * len(grids), None
+        hit = lambda v, c: any(k >= 0 and x > g[k] for x, g, k in zip(v, grids, c, strict=True))
+        while True:
+            best = None
+            for rule, grid in enumerate(grids):
+                for k in range(cuts[rule] + 1, len(grid)):
+                    new = [good for v, good in tune if v[rule] > grid[k] and not hit(v, cuts)]
+                    gain, lose = new.count(0), new.count(1)
+                    if gain and gain >= quality.MIN_ODDS * lose:
+                        if best is None or gain / (lose + 1) > best[0]:
+                            best = gain / (lose + 1), rule, k
+                        break
+            if best is None:
+                break
+            cuts[best[1]] = best[2]
+            if sum(good and hit(v, cuts) for v, good in tune) > risk * sum(good for _, good in tune):
+                break
+            n, k = sum(good for _, good in hold), sum(good and hit(v, cuts) for v, good in hold)
+            if quality.binomial_at_most(k, n, risk) > error / len(quality.STRATA):
+                break
+            chosen = list(cuts)
+        found[s] = {name: grid[c] for (name, _, grid), c in zip(quality.RULES, chosen or [], strict=False) if c >= 0}
+    return found
+
+
+def test_verdicts_are_those_of_brute_force(spark):
+    """Cutoffs and kept over documents of several languages, with copies, defects of all kinds and good documents that have them too."""
+    r, rows, labels = random.Random(4), [], []
+    for k in range(3000):
+        kind, lang = r.randrange(6), r.choice(["en", "en", "de", "fr", "xx", None])
+        words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+        defect = r.random() if r.random() < 0.5 else 0
+        if kind == 1:
+            words = [w + ("#" if r.random() < 2 * defect else "") for w in words]
+        if kind == 2:
+            words = [w.upper() if r.random() < defect else w for w in words]
+        if kind == 3:
+            words = ["\n" + " ".join(words[:6]) if r.random() < defect / 2 else w for w in words]
+        text = " ".join(words)
+        if kind == 5 and rows:
+            text, lang = r.choice(rows)[1:3]
+        rows.append((k, text, lang, "s", 0))
+        if r.random() < 0.9:
+            labels.append((k, int(r.random() < 0.995 if defect < 0.2 else r.random() < 0.02)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stats = quality.checkpointed(quality.stats_table(docs))
+    cutoffs = quality.calibrate(stats, spark.createDataFrame(labels, "doc_id long, quality int"))
+
+    good, texts = dict(labels), {}
+    for x in stats.collect():
+        if x["doc_id"] in good and x["n_words"] >= 50 and 2 * x["n_repeat_words"] <= x["n_words"]:
+            values = (x["n_symbols"] / x["n_words"], x["n_dup_lines"] / x["n_lines"], x["n_repeat_words"] / x["n_words"], x["n_capitals"] / x["word_chars"])
+            s = x["lang"] if x["lang"] in quality.STRATA else "other"
+            texts.setdefault((x["text_hash"], s, values), []).append(good[x["doc_id"]])
+    expected = slow_cutoffs([(s, h % quality.TUNE_ONE_IN == 0, v, min(g)) for (h, s, v), g in texts.items()], quality.RISK, quality.ERROR)
+    assert cutoffs == expected
+    assert all(expected[s] for s in ("en", "de", "fr", "other"))
+    for x in stats.withColumn("rules", quality.failed_rules(cutoffs, F.col("lang"))).collect():
+        s = x["lang"] if x["lang"] in quality.STRATA else "other"
+        values = dict(zip(("symbols", "dup_lines", "repeats", "capitals"), (x["n_symbols"] / max(x["n_words"], 1), x["n_dup_lines"] / max(x["n_lines"], 1), x["n_repeat_words"] / max(x["n_words"], 1), x["n_capitals"] / max(x["word_chars"], 1)), strict=True))
+        assert set(x["rules"]) == {name for name, c in expected[s].items() if values[name] > c}
+    # Good documents that the holdout shows as rejected keep to the risk.
+    for s in quality.STRATA:
+        hold = [v for (h, t, v), g in texts.items() if t == s and h % quality.TUNE_ONE_IN and min(g)]
+        limits = [expected[s].get(name, math.inf) for name, _, _ in quality.RULES]
+        assert sum(any(x > c for x, c in zip(v, limits, strict=True)) for v in hold) <= quality.RISK * len(hold)
 
 
 def test_keep_good(spark):

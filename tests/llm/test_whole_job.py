@@ -80,18 +80,17 @@ def test_fingerprint_covers_the_last_samples():
 # Quality rules
 
 
-def test_rules_with_a_rare_gain_of_their_own_stay():
-    counts = {frozenset({"a"}): 991, frozenset({"b"}): 9, frozenset({"a", "c"}): 5}
-    assert quality.needed_rules(counts, 0) == {"a", "b"}
-
-
-def test_calibration_keeps_rules_with_a_rare_gain(spark, monkeypatch):
-    asked = []
-    monkeypatch.setattr(quality, "needed_rules", lambda rejected, min_gain=quality.MIN_GAIN: asked.append(min_gain) or set())
-    r = random.Random(7)
-    stats = spark.createDataFrame([(k, "en", *(float(r.randint(1, 9)) + 1e3 * (k % 2) for _ in quality.FIELDS)) for k in range(4000)], f"doc_id long, lang string, {', '.join(f'{x} double' for x in quality.FIELDS)}")
-    quality.calibrate(stats, spark.createDataFrame([(k, 1 - k % 2) for k in range(4000)], "doc_id long, quality int"))
-    assert set(asked) <= {0}
+def test_a_rule_with_a_rare_gain_of_its_own_is_proposed():
+    places = np.array([[0, 1], [1, 0], [1, 1]])
+    assert quality.proposed(places, np.array([0, 0, 500]), np.array([991, 1, 0]), [1, 1], 0.05) == [(0, -1), (0, 0)]
+
+
+def test_copies_count_once(spark):
+    """A good text that many documents share doesn't certify anything."""
+    stats = spark.createDataFrame([(k, "en", 7 if k < 1000 else k, *(60 if f in ("n_words", "word_chars") else 0 if k < 1000 or f == "n_repeat_words" else 200 for f in quality.FIELDS)) for k in range(1100)], f"doc_id long, lang string, text_hash long, {quality.STATS_DDL}")
+    labels = spark.createDataFrame([(k, int(k < 1000)) for k in range(1100)], "doc_id long, quality int")
+    assert not any(quality.calibrate(stats, labels).values())
+    assert any(quality.calibrate(stats.withColumn("text_hash", F.col("doc_id")), labels).values())
 
 
 # Chat
