@@ -1,20 +1,24 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame operations only.
 
 Every source gets a target in words: its share, by weight, of `epochs` times all words, stopped
-at `cap` times its own size, the excess reshared by weight among the others. A document of a
-source with ratio r = target / size is taken floor(r) times for certain. The rest of the target
-is filled by one more copy of some documents: each has the inclusion probability p = r - floor(r)
-and the rank (u / (1 - u)) / (p / (1 - p)) with u uniform, and the lowest ranks whose words add
-up nearest to what is left are taken. The sample's size is fixed in words, so a source misses
-its target by half a document at most.
-
-u comes from the md5 of the document's id, so reruns agree. No source is sorted whole: words are
-added up by source and rank bin, and only the bin that holds the cut is ordered. One row per
-source passes through a single task; it is of fixed width and sorted with spilling.
+at `cap` times its own size, the excess reshared by weight among the others. Within a source a
+document's expected copies grow with its length class (the binary digits of its size): they are
+min(cap, level x class), with the level at which they add up to the target. The whole copies are
+allocated for certain. What is left over of a document's expected copies is its inclusion probability
+p for one copy more, and its rank is (u / (1 - u)) / (p / (1 - p)) with u uniform; the lowest ranks whose
+words add up nearest to what is left of the target are taken. The sample's size is fixed in words, so
+a source misses its target by half a document at most.
+
+u comes from the md5 of the document's id (of its text if it has none), so reruns agree. No source is
+sorted whole: words are added up by source and bins of the rank, twice, and only a bin of a bin, with the cut,
+is ordered. What is decided of a source is one row of fixed width, the last rank included; each document then
+finds its copies from that row alone, so texts are not shuffled. One row per source passes through a
+single task; it is sorted with spilling.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order;
-an empty text is taken 0 words; repeated rows share a rank and are told apart by size; no words
-at all give targets of 0; empty tables give empty tables.
+an empty text is taken 0 words; rows with the same id and size share a rank and stand together, of
+which the first ones by text hash are taken if the cut falls among them; no words at all give targets
+of 0; empty tables give empty tables; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import WORD, checkpointed, quoted, table
 
 BINS = 4096
-#: Sources up to which their table is broadcast (about 100 bytes each); beyond, Spark chooses the join.
+#: Sources up to which their table is broadcast (about 200 bytes each); beyond, Spark chooses the join.
 BROADCAST_SOURCES = 100_000
 
 
@@ -39,8 +43,18 @@ def uniform(key: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("long").cast("double") + 0.5) / float(2**52)
 
 
+def length_class(size: Column) -> Column:
+    """The binary digits of the size, 1 at least."""
+    return F.length(F.bin(size)).cast("long")
+
+
+def described(docs: DataFrame) -> list[Column]:
+    """id, source, size and u of documents (doc_id, source, text)."""
+    return [F.col("doc_id").alias("id"), F.col("source"), word_count(F.col("text")).alias("size"), uniform(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))).alias("u")]
+
+
 def source_targets(sizes: DataFrame, weights: list[int], epochs: float, cap: int) -> DataFrame:
-    """From rows (source, size): source, source_size, target, whole (certain copies), rest (words left), p."""
+    """From rows (source, size): source, source_size and target."""
     ordered = Window.orderBy(F.col("source").asc_nulls_last())
     by_room = Window.orderBy("room", F.col("source").asc_nulls_last())
     earlier = by_room.rowsBetween(Window.unboundedPreceding, -1)
@@ -58,87 +72,120 @@ def source_targets(sizes: DataFrame, weights: list[int], epochs: float, cap: int
         # Up to the first source that is not capped, the level at each source takes all before it as capped.
         .withColumn("level", F.min(F.when(F.col("level") < F.col("room"), F.struct("place", "level"))).over(everything)["level"])
         .withColumn("target", F.coalesce(F.least(F.col("most").cast("double"), F.col("level") * F.col("weight")), F.col("most").cast("double")))
-        .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-        .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0)))
-        .select("source", "source_size", "target", "whole", "rest", "p")
+        .select("source", "source_size", "target")
     )
 
 
-def copies(sizes: DataFrame, weights: list[int] = (3, 1, 2), epochs: float = 1.5, cap: int = 2) -> DataFrame:
-    """From rows (id, source, size and any others): the rows with source_size, target and copies.
-
-    `sizes` is read three times: pass a checkpointed table. Its other columns are kept and must
-    not be named source_size, target or copies.
-    """
-    names = sizes.columns
-    targets = checkpointed(source_targets(sizes.select("source", "size"), list(weights), epochs, cap))
-    small = targets.count() <= BROADCAST_SOURCES
-
-    def with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
-        sources = sources.withColumnRenamed("source", "_source")
-        return rows.join(F.broadcast(sources) if small else sources, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-
-    u, p = uniform(F.col("id")), F.col("p")
-    rank = F.when((p > 0) & (p < 1), (u / (1 - u)) / (p / (1 - p)))
-    ranked = with_sources(sizes, targets).withColumn("_rank", rank).withColumn("_bin", F.floor(F.col("_rank") / (1 + F.col("_rank")) * BINS))
-    so_far = Window.partitionBy("source").orderBy("_bin")
-    cut = (
-        ranked.where("_bin is not null")
-        .groupBy("source", "_bin")
-        .agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-        .withColumn("upto", F.sum("words").over(so_far))
-        .where("upto > rest")
-        .groupBy("source")
-        .agg(F.min(F.struct("_bin", (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
-        .select("source", F.col("cut._bin").alias("_cut"), F.col("cut.before").alias("_before"))
-    )
-    rows = with_sources(ranked, cut)
-    kept = [*names, "source_size", "target"]
-    whole = F.col("whole")
-    plain = rows.where("_bin is null or _cut is null or _bin <> _cut").select(*kept, (whole + F.when(F.col("_bin") < F.coalesce(F.col("_cut"), F.lit(BINS + 1)), 1).otherwise(0)).alias("copies"))
-    before = Window.partitionBy("source").orderBy("_rank", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (
-        rows.where("_bin = _cut")
-        .withColumn("_done", F.col("_before") + F.coalesce(F.sum("size").over(before), F.lit(0)))
-        .select(*kept, (whole + F.when(F.col("_done") + F.col("size") / 2 <= F.col("rest"), 1).otherwise(0)).alias("copies"))
+def source_levels(sizes: DataFrame, weights: list[int], epochs: float, cap: int) -> DataFrame:
+    """source, source_size, target, level (null: cap copies of every document) and rest, the words left after the whole copies. Checkpointed."""
+    classes = checkpointed(sizes.groupBy("source", length_class(F.col("size")).alias("class")).agg(F.sum("size").alias("size")))
+    targets = source_targets(classes, weights, epochs, cap).withColumnRenamed("source", "_source")
+    longest = Window.partitionBy("source").orderBy(F.desc("class"))
+    earlier, onward = longest.rowsBetween(Window.unboundedPreceding, -1), longest.rowsBetween(0, Window.unboundedFollowing)
+    level = (F.col("target") - cap * F.coalesce(F.sum("size").over(earlier), F.lit(0))) / F.sum(F.col("class") * F.col("size")).over(onward)
+    # The level at each class takes all longer ones as capped; the first that stays below the cap itself is right.
+    known = (
+        classes.join(targets, F.col("source").eqNullSafe(F.col("_source")))
+        .withColumn("level", F.when(F.sum("size").over(onward) > 0, level))
+        .withColumn("level", F.min(F.when(F.col("level") * F.col("class") <= cap, F.struct((-F.col("class")).alias("place"), "level"))).over(Window.partitionBy("source"))["level"])
+        .withColumn("whole", F.floor(expected_copies(F.col("class"), cap)).cast("long") * F.col("size"))
     )
-    return plain.unionByName(edge)
+    rest = F.col("target") - F.sum("whole")
+    return checkpointed(known.groupBy("source", "source_size", "target", "level").agg(rest.alias("rest")))
 
 
-def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), epochs: float = 1.5, cap: int = 2) -> DataFrame:
-    """The rows of docs (doc_id, source, text and any others), each as often as the mix takes it.
+def expected_copies(length: Column, cap: int) -> Column:
+    return F.coalesce(F.least(F.lit(float(cap)), F.col("level") * length), F.lit(float(cap)))
+
+
+def _with_sources(rows: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
+    """rows with the columns of their source."""
+    sources = sources.withColumnRenamed("source", "_source")
+    return rows.join(F.broadcast(sources) if small else sources, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
 
-    Decisions are made on a narrow table and joined back by id, source and size: rows that agree in
-    these share the copies that they got together, in equal parts and the rest by text.
+
+def _ranked(rows: DataFrame, sources: DataFrame, cap: int, small: bool) -> DataFrame:
+    """rows (id, source, size, u) with those of their source, the certain copies, and `mark`: (rank, id, size) if there may be one more."""
+    share = expected_copies(length_class(F.col("size")), cap)
+    u, p = F.col("u"), F.col("p")
+    rank = (u / (1 - u)) / (p / (1 - p))
+    found = _with_sources(rows, sources, small).withColumn("whole", F.floor(share).cast("long")).withColumn("p", share - F.floor(share))
+    return found.withColumn("mark", F.when((p > 0) & (p < 1), F.struct(rank.alias("rank"), "id", "size")))
+
+
+def _first_above(words: DataFrame, place: str) -> DataFrame:
+    """(source, at, before): of rows (source, place, words, rest, before), the first place by which the words exceed the rest, and the words before it."""
+    upto = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy(place))
+    above = words.withColumn("upto", upto).where("upto > rest")
+    return above.groupBy("source").agg(F.min(F.struct(F.col(place).alias("at"), (F.col("upto") - F.col("words")).alias("before"), "rest")).alias("cut")).select("source", "cut.*")
+
+
+def plan_sources(sizes: DataFrame, weights: list[int], epochs: float, cap: int) -> DataFrame:
+    """For each source: source_size, target, level, the mark at the cut, and how many of the rows with this mark are taken. Checkpointed.
+
+    sizes: checkpointed rows (id, source, size, u).
     """
-    key = [F.col("doc_id").alias("id"), F.col("source"), word_count(F.col("text")).alias("size")]
-    sizes = checkpointed(docs.select(*key))
-    taken = copies(sizes, weights, epochs, cap).groupBy("id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
-    taken = checkpointed(taken).select(*[F.col(c).alias(f"__{c}") for c in ("id", "source", "size", "copies", "n")])
-    whole = docs.withColumn("__words", word_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    # Nearly all rows are alone with their key; only the others are numbered.
-    alone = whole.join(taken.where("__n = 1 and __copies > 0"), same).select(*quoted(docs), F.col("__copies").alias("__times"))
-    together = taken.where("__n > 1 and __copies > 0")
-    if not together.isEmpty():
-        place = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64("text")))
-        shared = whole.join(together, same).withColumn("__place", place)
-        times = F.floor(F.col("__copies") / F.col("__n")) + (F.col("__place") <= F.col("__copies") % F.col("__n")).cast("long")
-        alone = alone.unionByName(shared.select(*quoted(docs), times.alias("__times")))
-    return alone.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*quoted(docs))
+    sources = source_levels(sizes, weights, epochs, cap)
+    small = sources.count() <= BROADCAST_SOURCES
+    place = F.col("mark.rank") / (1 + F.col("mark.rank"))
+    ranked = _ranked(sizes, sources, cap, small).where("mark is not null").withColumns({"bin": F.floor(place * BINS), "sub": F.floor(place * (BINS * BINS))})
+    first = F.first("rest").alias("rest")
+
+    def in_cut(rows: DataFrame, cut: DataFrame, column: str) -> DataFrame:
+        return _with_sources(rows.drop("rest"), cut, small).where(F.col(column) == F.col("at")).drop("at")
+
+    cut = _first_above(ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), first, F.lit(0).alias("before")), "bin")
+    some = in_cut(ranked, cut, "bin")
+    cut = _first_above(some.groupBy("source", "sub").agg(F.sum("size").alias("words"), first, F.first("before").alias("before")), "sub")
+    some = in_cut(some.drop("before"), cut, "sub")
+    marks = some.groupBy("source", "mark").agg(F.sum("size").alias("words"), first, F.first("before").alias("before"), F.count("*").alias("n"))
+    cut = _first_above(marks, "mark")
+    size = F.col("cut.size")
+    among = F.greatest(F.lit(0), F.floor((F.col("rest") - F.col("before") - size / 2) / size) + 1).cast("long")
+    cut = cut.join(marks.select(F.col("source").alias("_source"), F.col("mark").alias("_mark"), "n"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("at") == F.col("_mark")))
+    cut = cut.select("source", F.col("at").alias("cut"), "before", "rest", "n").withColumn("among", among).select("source", "cut", F.least("among", "n").alias("among"), "n")
+    return checkpointed(_with_sources(sources.drop("rest"), cut, small))
+
+
+def taken(rows: DataFrame, plan: DataFrame, cap: int, tell_apart: Column) -> DataFrame:
+    """rows (id, source, size, u and any others) with source_size, target and copies."""
+    small = plan.count() <= BROADCAST_SOURCES
+    ranked = _ranked(rows, plan, cap, small)
+    at_cut = F.col("cut").isNotNull() & F.col("mark").isNotNull() & F.col("mark").eqNullSafe(F.col("cut"))
+    more = F.when(F.col("mark").isNull(), 0).when(F.col("cut").isNull() | (F.col("mark") < F.col("cut")), 1).otherwise(F.when(at_cut & (F.col("among") > 0), 1).otherwise(0))
+    columns = [*rows.columns, "source_size", "target"]
+    if plan.where("among > 0 and among < n").isEmpty():  # no cut among rows that share its mark
+        return ranked.select(*columns, (F.col("whole") + more).alias("copies"))
+    parted = at_cut & (F.col("among") < F.col("n"))
+    number = F.row_number().over(Window.partitionBy("source").orderBy(tell_apart))
+    some = ranked.where(parted).withColumn("place", number).select(*columns, (F.col("whole") + (F.col("place") <= F.col("among")).cast("long")).alias("copies"))
+    return ranked.where(~parted).select(*columns, (F.col("whole") + more).alias("copies")).unionByName(some)
+
+
+def copies(sizes: DataFrame, weights: list[int] = (3, 1, 2), epochs: float = 1.5, cap: int = 2) -> DataFrame:
+    """From checkpointed rows (id, source, size, u): the rows with source_size, target and copies."""
+    return taken(sizes, plan_sources(sizes, list(weights), epochs, cap), cap, F.col("id"))
+
+
+def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), epochs: float = 1.5, cap: int = 2) -> DataFrame:
+    """The rows of docs (doc_id, source, text and any others), each as often as the mix takes it."""
+    plan = plan_sources(checkpointed(docs.select(*described(docs))), list(weights), epochs, cap)
+    # The row as one column, so that no name in it can clash.
+    rows = docs.select(F.struct(*quoted(docs)).alias("row"), *described(docs))
+    mixed = taken(rows, plan, cap, F.xxhash64("row.text"))
+    return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op7_pareto_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    sizes = checkpointed(docs.select(F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size")))
+    sizes = checkpointed(docs.select(*described(docs)))
     return copies(sizes).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP7_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+    (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
   FROM documents),
 s1 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 s2 AS (SELECT *, source_size * 2 AS most, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s1),
@@ -148,14 +195,27 @@ s4 AS (SELECT *, row_number() OVER (ORDER BY room, source NULLS LAST) AS place,
   / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY room, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS level FROM s3),
 s5 AS (SELECT source, source_size, least(most::DOUBLE, (SELECT arg_min(level, place) FROM s4 WHERE level < room) * weight) AS target FROM s4),
 s6 AS (SELECT source, source_size, coalesce(target, 2.0::DOUBLE * source_size) AS target FROM s5),
-s7 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM s6),
-s8 AS (SELECT *, target - (whole * source_size)::DOUBLE AS rest FROM s7),
-s9 AS (SELECT *, CASE WHEN source_size > 0 THEN rest / source_size ELSE 0 END AS p FROM s8),
+classes AS (
+  SELECT sizes.source, length(bin(size)) AS class, CAST(sum(size) AS BIGINT) AS words, any_value(target) AS target
+  FROM sizes JOIN s6 ON sizes.source IS NOT DISTINCT FROM s6.source GROUP BY 1, 2),
+c1 AS (
+  SELECT *, CASE WHEN sum(words) OVER onward > 0 THEN (target - (2 * coalesce(sum(words) OVER earlier, 0))::DOUBLE) / (sum(class * words) OVER onward)::DOUBLE END AS level
+  FROM classes
+  WINDOW onward AS (PARTITION BY source ORDER BY class DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+    earlier AS (PARTITION BY source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c2 AS (SELECT source, arg_max(level, class) FILTER (level * class <= 2) AS level FROM c1 GROUP BY source),
+c3 AS (
+  SELECT classes.*, c2.level, coalesce(least(2.0::DOUBLE, c2.level * class), 2.0::DOUBLE) AS expected
+  FROM classes JOIN c2 ON classes.source IS NOT DISTINCT FROM c2.source),
+s7 AS (SELECT source, any_value(level) AS level, any_value(target) - sum(CAST(floor(expected) AS BIGINT) * words)::DOUBLE AS rest FROM c3 GROUP BY source),
+shares AS (
+  SELECT sizes.*, s6.source_size, s6.target, s7.rest, coalesce(least(2.0::DOUBLE, level * length(bin(size))), 2.0::DOUBLE) AS expected
+  FROM sizes JOIN s6 ON sizes.source IS NOT DISTINCT FROM s6.source JOIN s7 ON sizes.source IS NOT DISTINCT FROM s7.source),
 ranked AS (
-  SELECT sizes.*, s9.source_size, s9.target, s9.whole, s9.rest, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS q
-  FROM sizes JOIN s9 ON sizes.source IS NOT DISTINCT FROM s9.source),
+  SELECT *, CAST(floor(expected) AS BIGINT) AS whole, expected - floor(expected) AS p,
+    CASE WHEN expected > floor(expected) THEN (u / (1 - u)) / ((expected - floor(expected)) / (1 - (expected - floor(expected)))) END AS q FROM shares),
 done AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before FROM ranked)
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before FROM ranked)
 SELECT doc_id, size, source_size, target,
   CAST((whole + CASE WHEN q IS NOT NULL AND before + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM done
 """

@@ -1,6 +1,7 @@
 """Chat formatting, near-dedup, mixing, HTML, URL filters and the pipeline against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -207,12 +208,59 @@ def test_targets(spark):
         assert got == pytest.approx(slow_targets(sizes))
 
 
-def test_pareto_inclusion_is_even(spark):
-    """Over many seeds, equal documents of a source are included equally often."""
-    rows = [(k, "s", 1) for k in range(4000)] + [(10_000 + k, "t", 1) for k in range(400)]
-    got = mixing.copies(mixing.checkpointed(spark.createDataFrame(rows, "id long, source string, size long")), (1, 1, 1)).collect()
-    halves = [sum(x["copies"] for x in got if x["source"] == "s" and (x["id"] < 2000) == low) for low in (True, False)]
-    assert abs(halves[0] - halves[1]) < 200
+def slow_copies(rows, target):
+    """Copies of one source's (id, size) rows by the definition: expected copies by length class, whole ones, then Pareto ranks."""
+    def u(key):
+        return (int(hashlib.md5(str(key).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+    low, high = 0.0, 1e9
+    for _ in range(200):  # the level by bisection
+        level = (low + high) / 2
+        if sum(min(2, level * max(1, n.bit_length())) * n for _, n in rows) < target:
+            low = level
+        else:
+            high = level
+    expected = {x: min(2, high * max(1, x[1].bit_length())) for x in rows}
+    got = {x: math.floor(e + 1e-9) for x, e in expected.items()}
+    rest = target - sum(c * x[1] for x, c in got.items())
+    p = {x: e - got[x] for x, e in expected.items()}
+    order = sorted((u(x[0]) / (1 - u(x[0])) / (p[x] / (1 - p[x])), *x) for x in rows if p[x] > 1e-9)
+    done = 0
+    for _, key, n in order:
+        got[key, n] += done + n / 2 <= rest
+        done += n
+    return got, p
+
+
+@pytest.mark.parametrize("epochs", [0.3, 0.8, 1.5, 1.95])
+def test_copies_are_those_of_the_definition(spark, epochs):
+    r = random.Random(9)
+    rows = [(k, r.choice([0, 1, 3, 20, 50, 200, 1000])) for k in range(600)]
+    table = spark.createDataFrame([(k, "s", n) for k, n in rows], "id long, source string, size long").withColumn("u", mixing.uniform(F.col("id")))
+    got = {(x["id"], x["size"]): x["copies"] for x in mixing.copies(mixing.checkpointed(table), epochs=epochs).collect()}
+    expected, _ = slow_copies(rows, epochs * sum(n for _, n in rows))
+    assert got == expected
+    assert abs(sum(c * n for (_, n), c in got.items()) - epochs * sum(n for _, n in rows)) <= 500
+
+
+def test_inclusion_follows_the_probabilities(spark):
+    """Longer documents have the higher inclusion probability, and are included in proportion to it."""
+    rows = [(k, 1 if k % 2 else 255) for k in range(20_000)]
+    table = spark.createDataFrame([(k, "s", n) for k, n in rows], "id long, source string, size long").withColumn("u", mixing.uniform(F.col("id")))
+    got = {x["id"]: x["copies"] for x in mixing.copies(mixing.checkpointed(table), epochs=0.4).collect()}
+    _, p = slow_copies(rows, 0.4 * sum(n for _, n in rows))
+    for n in (1, 255):
+        mine = [got[k] for k, size in rows if size == n]
+        assert abs(sum(mine) / len(mine) - p[int(n == 1), n]) < 0.02
+    assert p[0, 255] > 4 * p[1, 1]
+
+
+def test_a_cut_among_rows_of_one_id(spark):
+    """A third of the rows share id and size: as many of them are taken as the target asks for."""
+    rows = [(None, "w w", "s")] * 300 + [(k, "w w", "s") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for epochs in (0.2, 0.5, 0.9, 1.3):
+        assert abs(mixing.mix(docs, (1,), epochs).count() - 900 * epochs) <= 1
 
 
 # HTML
