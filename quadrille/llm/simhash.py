@@ -13,11 +13,14 @@ each of them linked to the others. So the work stays in proportion to the number
 and no link is lost.
 
 Components are found by alternating large-star and small-star rounds on the links, each round
-checkpointed in the shared folder; nothing but counts comes to the driver.
+checkpointed in the shared folder; nothing but counts comes to the driver. The least neighbour of each
+node is written before it is joined back, so both sides of that join are dealt out for it and adaptive
+execution can split the node of a giant component.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other; texts of
 fewer than three words have one shingle; repeated rows get the same values; a component's id is its
-smallest doc_id, null ids aside (null only if all are null); an empty table gives an empty table.
+smallest doc_id, null ids aside (null only if all are null); an empty table gives an empty table; other
+columns are ignored or, by `keep_one`, kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -80,6 +83,8 @@ CASE WHEN bit_count((a ^ b) & 4294967295L) = 0 THEN 0
 
 def links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """Links (a, b), a < b, of different fingerprints (column fp, without repeats): all of them, or a star in place of a clique of up to four."""
+    # Each fingerprint becomes 64 rows, so few partitions would make long tasks.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     variants = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select("fp", F.expr(_VARIANT).alias("key"))
     shared = checkpointed(variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     first = F.expr(_FIRST) == F.shiftright("key", 32)
@@ -109,9 +114,9 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = tuple(count)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = checkpointed(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
         edges = checkpointed(small.distinct())
 
@@ -121,7 +126,7 @@ def component_table(prints: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFram
     fps = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     stars = components(links(fps.select("fp"), hot_bucket)).withColumnRenamed("node", "fp")
     linked = checkpointed(fps.join(stars, "fp"))
-    ids = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
+    ids = checkpointed(linked.groupBy("root").agg(F.min("rep").alias("component_id")))
     found = linked.join(ids, "root").select("fp", "component_id")
     rest = fps.join(found.select("fp"), "fp", "left_anti").select("fp", F.col("rep").alias("component_id"))
     return checkpointed(rest.unionByName(found))
@@ -142,16 +147,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keys = checkpointed(keys)
     # Written, so that both sides of the join are dealt out for it and a large component can be split.
     best = checkpointed(keys.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash")).alias("best")))
-    judged = keys.join(best, "component").withColumn("__stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")))
-    # Only what goes, or is there more than once, is joined to the documents.
-    odd = checkpointed(judged.where("not __stays or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__stays"))
-    columns = quoted(docs)
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    judged = keys.join(best, "component").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "n", stays.alias("stays"))
+    # Only what goes, or is there more than once, is joined to the documents: their rows as one column, so that no name in it can clash.
+    odd = checkpointed(judged.where("not stays or n > 1").drop("n"))
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    joined = docs.withColumn("__text_hash", text_hash).join(odd, (F.col("__text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    single = joined.where("__stays is null").select(*columns)
-    if odd.where("__stays").isEmpty():
+    rows = docs.select(F.struct(*quoted(docs)).alias("row"), F.col("doc_id"), text_hash.alias("text_hash"))
+    joined = rows.join(odd, (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    single = joined.where("stays is null").select("row.*")
+    if odd.where("stays").isEmpty():
         return single
-    return single.unionByName(joined.where("__stays").dropDuplicates(["doc_id", "__text_hash"]).select(*columns))
+    return single.unionByName(joined.where("stays").dropDuplicates(["doc_id", "text_hash"]).select("row.*"))
 
 
 def op6_simhash_dedup(spark, sf_dir):
