@@ -8,12 +8,14 @@ table has every pair of tokens whose bytes together are a token, with that token
 the result is that of the rank file's own encoder. Decoding joins the ids to the vocabulary and
 aggregates the bytes in order.
 
-Words of over SQL_WORD bytes would need as many rounds as bytes; they take the same contraction,
-leftmost minimum first, from a heap. What a worker remembers, gathers and sends to DuckDB is bounded;
-long texts are encoded in pieces, at word ends.
+A round of SQL merges one pair of each word, so words of over SQL_WORD bytes would need as many rounds
+as bytes over as many rows; they take the same contraction, leftmost minimum first, from a heap. What a
+worker remembers (in bytes), gathers and sends to DuckDB is bounded; long texts are encoded in pieces, at
+word ends.
 
 Defined results: a null or empty text has no tokens; repeated rows are encoded alike; an empty table
-gives an empty table; other columns are ignored or, by `with_tokens`, kept.
+gives an empty table; other columns are ignored or, by `with_tokens`, kept, whatever their names, but
+columns called n_tokens and tokens get an underscore.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from itertools import batched, islice
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -30,17 +32,19 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quadrille.llm.common import BATCH_ROWS, arrow_schema, bound_batches, make_batch, table
 
-SQL_WORD = 48
-#: Words in a DuckDB query, in the cache, and in a piece of a long text.
-QUERY_WORDS, CACHE_WORDS, PIECE_WORDS = 40_000, 1_000_000, 200_000
+SQL_WORD = 256
+#: Words in a DuckDB query and in a piece of a long text, and bytes of them; words in the cache, and what its strings take.
+QUERY_WORDS, PIECE_WORDS, QUERY_BYTES = 40_000, 200_000, 4_000_000
+CACHE_WORDS, CACHE_BYTES = 1_000_000, 256_000_000
 #: Characters of text that are gathered before DuckDB is asked about their new words.
 GATHER_CHARS = 2_000_000
 DUCKDB_MEMORY = "200MB"
 
-#: k is word << 8 | position. A word without a mergeable pair gets step -1 and takes no part in the next round.
+#: k is word << 32 | position. A word without a mergeable pair gets step -1 and takes no part in the next round.
 _ENCODE = """
 INSERT INTO encoded
 WITH RECURSIVE steps(i, k, t) AS (
@@ -50,13 +54,13 @@ WITH RECURSIVE steps(i, k, t) AS (
       SELECT i, k, t, lead(t) OVER place AS right_t, lead(k) OVER place AS right_k, lag(k) OVER place AS left_k
       FROM steps WHERE i >= 0 WINDOW place AS (ORDER BY k)),
     best AS (
-      SELECT near.k >> 8 AS w, min((m.n::BIGINT << 32) | near.k) AS best
+      SELECT near.k >> 32 AS w, min((m.n::BIGINT << 32) | (near.k & 4294967295)) AS best
       FROM near JOIN merges m ON m.ab = ((near.t::BIGINT << 32) | near.right_t)
-      WHERE near.right_k >> 8 = near.k >> 8 GROUP BY near.k >> 8)
-    SELECT CASE WHEN best IS NULL THEN -1 ELSE i + 1 END, k, CASE WHEN k = best & 4294967295 THEN (best >> 32)::INTEGER ELSE t END
-    FROM near LEFT JOIN best ON near.k >> 8 = best.w
-    WHERE best IS NULL OR left_k IS DISTINCT FROM best & 4294967295))
-SELECT k >> 8, k & 255, t FROM steps WHERE i < 0
+      WHERE near.right_k >> 32 = near.k >> 32 GROUP BY near.k >> 32)
+    SELECT CASE WHEN best IS NULL THEN -1 ELSE i + 1 END, k, CASE WHEN k & 4294967295 = best & 4294967295 THEN (best >> 32)::INTEGER ELSE t END
+    FROM near LEFT JOIN best ON near.k >> 32 = best.w
+    WHERE best IS NULL OR left_k IS NULL OR left_k >> 32 <> k >> 32 OR left_k & 4294967295 <> best & 4294967295))
+SELECT (k >> 32)::INTEGER, (k & 4294967295)::INTEGER, t FROM steps WHERE i < 0
 """
 _IDS = "SELECT w, string_agg(t::VARCHAR, ' ' ORDER BY p) AS ids FROM encoded GROUP BY w"
 _DECODE = "SELECT w, string_agg(hex, '' ORDER BY p) AS hex FROM encoded JOIN vocabulary ON t = id GROUP BY w"
@@ -106,9 +110,9 @@ class Bpe:
             some = [words[w] for w in short]
             lengths = np.fromiter(map(len, some), np.int64, len(some))
             starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-            k = (np.repeat(np.array(short), lengths) << 8) + np.arange(len(starts)) - starts
+            k = (np.repeat(np.array(short, np.int64), lengths) << 32) + np.arange(len(starts)) - starts
             tokens = self.byte_ids[np.frombuffer(b"".join(some), np.uint8)]
-            self._load("bytes_of_words", pa.table({"k": k.astype(np.int32), "t": tokens}))
+            self._load("bytes_of_words", pa.table({"k": k, "t": tokens}))
             self.db.execute(_ENCODE)
 
     def _insert(self, w, p, t) -> None:
@@ -170,30 +174,54 @@ class Bpe:
 
 
 class CachedBpe:
-    """A Bpe that remembers the ids, and the bytes decoded from them, of up to CACHE_WORDS words.
+    """A Bpe that remembers the ids, and the bytes decoded from them, of up to CACHE_WORDS words of CACHE_BYTES.
 
     When it is full, the half that it met first stays: frequent words are met early.
     """
 
     def __init__(self, path: str) -> None:
-        self.bpe, self.ids, self.decoded = Bpe(path), {}, {}
+        self.bpe, self.ids, self.decoded, self.size = Bpe(path), {}, {}, 0
 
     def learn(self, words: set[str]) -> None:
         """Afterwards `ids` and `decoded` have each of the words."""
         new = words - self.ids.keys()
-        if len(self.ids) + len(new) > CACHE_WORDS:
-            self.ids, self.decoded = (dict(islice(x.items(), CACHE_WORDS // 2)) for x in (self.ids, self.decoded))
+        if len(self.ids) + len(new) > CACHE_WORDS or self.size > CACHE_BYTES:
+            self._forget()
             new = words - self.ids.keys()
-        for some in batched(new, QUERY_WORDS):
+        for some in _bounded(new):
             ids, decoded = self.bpe.round_trip([w.encode() for w in some])
             self.ids.update(zip(some, ids, strict=True))
             self.decoded.update(zip(some, decoded, strict=True))
+            self.size += sum(map(len, ids)) + 2 * sum(map(len, decoded))
+
+    def _forget(self) -> None:
+        kept, size = 0, 0
+        for word, ids in self.ids.items():
+            size += len(ids) + 2 * len(self.decoded[word])
+            if kept >= CACHE_WORDS // 2 or size > CACHE_BYTES // 2:
+                break
+            kept, self.size = kept + 1, size
+        self.ids, self.decoded = (dict(islice(x.items(), kept)) for x in (self.ids, self.decoded))
+        self.size = self.size if kept else 0
 
     def encode(self, words: list[str]) -> tuple[str, bytes]:
         """The ids of learnt words in order, joined by spaces, and the bytes decoded from them."""
         return " ".join(map(self.ids.__getitem__, words)), b"".join(map(self.decoded.__getitem__, words))
 
 
+def _bounded(words: set[str]) -> Iterator[list[str]]:
+    """The words in lists of QUERY_WORDS, and of QUERY_BYTES and a word, at most."""
+    some, size = [], 0
+    for word in words:
+        some.append(word)
+        size += len(word)
+        if len(some) >= QUERY_WORDS or size >= QUERY_BYTES:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 _ENCODERS: dict[str, CachedBpe] = {}
 
 
@@ -204,7 +232,7 @@ def encoder(path: str) -> CachedBpe:
 
 
 def pieces(text: str, pattern) -> Iterator[list[str]]:
-    """The words of a text, all at once or, if it is long, in pieces."""
+    """The words of a text, all at once or, if it is long, in pieces of PIECE_WORDS."""
     if len(text) < GATHER_CHARS:
         yield pattern.findall(text)
         return
@@ -254,7 +282,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, str]]:
             yield tuple(c[k] for c in others), text.as_py() or ""
 
 
-def _mapped(rows: DataFrame, schema: str, path: str, pattern: str, finish) -> DataFrame:
+def _mapped(rows: DataFrame, schema: str | StructType, path: str, pattern: str, finish) -> DataFrame:
     """Rows (text, ...) through `encoded`; finish(key, pieces) gives the row that comes out."""
     arrow = arrow_schema(schema)
     bound_batches(rows.sparkSession)
@@ -275,9 +303,8 @@ def _mapped(rows: DataFrame, schema: str, path: str, pattern: str, finish) -> Da
 
 
 def with_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs with n_tokens (long) and tokens (array of int); the text column must be named text."""
-    others = [c for c in docs.columns if c not in ("text", "n_tokens", "tokens")]
-    kinds = dict(docs.dtypes)
+    """docs, the text first, with n_tokens (long) and tokens (array of int); the text column must be named text."""
+    renamed = {c: f"{c}_" if c in ("n_tokens", "tokens") else c for c in docs.columns if c != "text"}
 
     def finish(key, parts):
         tokens: list[int] = []
@@ -287,8 +314,11 @@ def with_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             data += decoded
         return (data.decode(), *key, len(tokens), tokens), 4 * len(tokens)
 
-    schema = ", ".join(["text string", *[f"`{c}` {kinds[c]}" for c in others], "n_tokens long", "tokens array<int>"])
-    return _mapped(docs.select("text", *[F.col(f"`{c}`") for c in others]), schema, path, pattern, finish)
+    # The other columns as one, so that no name in it can clash.
+    rows = docs.select("text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c.replace('`', '``')}`").alias(f"c{k}") for k, c in enumerate(renamed)]).alias("row"))
+    schema = StructType([rows.schema["text"], rows.schema["row"], *StructType.fromDDL("n_tokens long, tokens array<int>")])
+    found = _mapped(rows, schema, path, pattern, finish)
+    return found.select("text", *[F.col(f"row.c{k}").alias(c) for k, c in enumerate(renamed.values())], "n_tokens", "tokens")
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
