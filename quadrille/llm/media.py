@@ -122,9 +122,10 @@ def op5_media_columns(spark, sf_dir):
     def make():
         def work(wav, key, n_bytes):
             payload = read_wav(wav)
-            return key, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(wav), hashlib.sha256(wav).hexdigest(), digest(fingerprint(payload))
+            pairs = fingerprint(payload)
+            return key, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(wav), hashlib.sha256(wav).hexdigest(), digest(pairs), pairs.tolist()
 
         return work
 
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, fingerprint array<long>"
     return map_rows(store_media(docs, "doc_id", "text"), [F.col("media"), F.col("doc_id"), F.col("n_bytes")], schema, make)
