@@ -11,14 +11,16 @@ points of `text`). A long conversation would repeat its context without bound, s
 `inline_chars` of context at most and a turn: beyond that the conversation goes on in a new part,
 and a row's context is then the whole text of the row `parent` (an example_no of the same
 conversation), with that row's own context before it, followed by the row's own text. Contexts stay
-whole and rows bounded. Turns after the last reply come in a last row without a loss mask.
+whole and rows bounded; `whole_examples` puts them together, and with `inline_chars` None every row
+has its whole context from the start, however long. Turns after the last reply come in a last row without a loss mask.
 
 Rows are dealt by conversation, sorted with spilling and read as a stream, so a conversation of any
 length is never held: only its current part is.
 
 Defined results: turns go by turn, role and text, nulls first; a null role or text is empty; null
 ids are one conversation; repeated turns count as often as they stand; a conversation without an
-assistant has one row without a mask; an empty table gives an empty table.
+assistant has one row without a mask; an empty table gives an empty table. The query's own
+conversation -7 is one with the table's, should that have one of this number.
 """
 
 from __future__ import annotations
@@ -70,11 +72,11 @@ def parse_turns(text: str) -> list[tuple[str, str]]:
     return turns
 
 
-def expand(turns: Iterator[tuple[str, str]], inline_chars: int = INLINE_CHARS) -> Iterator[tuple]:
+def expand(turns: Iterator[tuple[str, str]], inline_chars: int | None = INLINE_CHARS) -> Iterator[tuple]:
     """(example_no, parent, text, loss_start, loss_end) for each reply, and a last one for what follows the last reply."""
     part, size, parent, number, pending = [], 0, None, 0, False
     for role, text in turns:
-        if size > inline_chars:
+        if inline_chars is not None and size > inline_chars:
             if pending:  # the part ends without a reply: its turns get a row of their own
                 yield number, parent, "".join(part), None, None
                 number, pending = number + 1, False
@@ -97,7 +99,7 @@ def _by_conversation(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
 
 
-def prefix_examples(turns: DataFrame, inline_chars: int = INLINE_CHARS) -> DataFrame:
+def prefix_examples(turns: DataFrame, inline_chars: int | None = INLINE_CHARS) -> DataFrame:
     """Rows of EXAMPLES_DDL, those of a conversation together and in order, from (conv_id, turn, role, text)."""
     kind = dict(turns.dtypes)["conv_id"]
     schema = EXAMPLES_DDL.format(kind=kind)
