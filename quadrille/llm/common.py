@@ -34,7 +34,7 @@ def quoted(df: DataFrame) -> list[Column]:
 def checkpoint_folder(spark: SparkSession) -> str:
     """A new folder for tables under the shared one of spark.checkpoint.dir.
 
-    A folder of its own is set only where the session names none, as in tests.
+    A folder of its own is set only where the session names none and has no executors elsewhere, as in tests.
     """
     return f"{_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
 
@@ -42,7 +42,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def _checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -99,8 +102,9 @@ def _values(column: pa.Array) -> Iterator:
     return iter(column.to_pylist())
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    return pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(ddl)])
+def arrow_schema(schema: str | StructType) -> pa.Schema:
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in fields])
 
 
 def make_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -51,7 +51,7 @@ def by_conversation():
     return found
 
 
-@pytest.mark.parametrize("inline_chars", [1 << 20, 700])
+@pytest.mark.parametrize("inline_chars", [1 << 20, 700, None])
 def test_prefix_examples(spark, inline_chars):
     turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumn("parent", F.lit("clash"))
     examples = chat.prefix_examples(turns, inline_chars)
@@ -71,8 +71,9 @@ def test_prefix_examples(spark, inline_chars):
         for x, k in zip(replies, at, strict=True):
             assert chat.parse_turns(whole(x)) == expected[: k + 1]  # all turns before, and the reply
             assert chat.unescape(x["text"][x["loss_start"] : x["loss_end"]]) == expected[k][1]
-            assert len(x["text"]) <= inline_chars + 2 * max(len(chat.format_turn(*t)[0]) for t in expected)
+            assert inline_chars is None or len(x["text"]) <= inline_chars + 2 * max(len(chat.format_turn(*t)[0]) for t in expected)
         assert chat.parse_turns(whole(mine[-1])) == expected
+        assert inline_chars or all(x["parent"] is None for x in mine)
         said = "".join(t for r, t in expected if r == "assistant")
         d = described[conv]
         assert d["n_turns"] == len(expected)

@@ -339,11 +339,11 @@ def test_bpe_is_the_library_s(spark, reference):
     docs = documents(spark, texts).selectExpr("row as doc_id", "text", "source as tokens", "lang")
     got = {x["doc_id"]: x for x in bpe.token_digests(docs, PATH, public_tokenizers.PATTERN).collect()}
     full = bpe.with_tokens(docs, PATH, public_tokenizers.PATTERN)
-    assert full.columns == ["text", "doc_id", "lang", "n_tokens", "tokens"]
+    assert full.columns == ["text", "doc_id", "tokens_", "lang", "n_tokens", "tokens"]
     tokens = {x["doc_id"]: x for x in full.collect()}
     for k, text in enumerate(texts):
         ids = reference.encode_ordinary(text or "")
-        assert tokens[k]["tokens"] == ids and tokens[k]["text"] == (text or "")
+        assert tokens[k]["tokens"] == ids and tokens[k]["text"] == (text or "") and tokens[k]["tokens_"] == "src"
         assert got[k]["n_tokens"] == len(ids)
         assert got[k]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[k]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
@@ -354,6 +354,8 @@ def test_long_words_and_long_texts(reference, monkeypatch):
     monkeypatch.setattr(bpe, "GATHER_CHARS", 50)
     monkeypatch.setattr(bpe, "PIECE_WORDS", 3)
     monkeypatch.setattr(bpe, "CACHE_WORDS", 10)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 300)
+    monkeypatch.setattr(bpe, "QUERY_BYTES", 20)
     r = random.Random(8)
     texts = [" ".join("".join(r.choice("thers ing") for _ in range(r.randint(1, 90))) for _ in range(r.randint(0, 20))) for _ in range(30)]
     for (key,), parts in bpe.encoded((((k,), t) for k, t in enumerate(texts)), PATH, public_tokenizers.PATTERN):
@@ -364,7 +366,7 @@ def test_long_words_and_long_texts(reference, monkeypatch):
 
 def test_both_ways_of_merging_agree(reference):
     own, r = bpe.Bpe(PATH), random.Random(9)
-    words = [bytes(r.choice(b"etaoinshr \xc3\xa9") for _ in range(r.randint(1, bpe.SQL_WORD))) for _ in range(300)]
+    words = [bytes(r.choice(b"etaoinshr \xc3\xa9") for _ in range(r.randint(1, 60))) for _ in range(300)] + [bytes(r.choice(b"etaoinshr") for _ in range(n)) for n in (255, bpe.SQL_WORD)]
     ids = own.encode_words(words)
     assert ids == [" ".join(map(str, own.merge_long(w))) for w in words] == [" ".join(map(str, reference._encode_single_piece(w))) for w in words]
     assert own.decode(ids) == words
