@@ -56,13 +56,46 @@ def test_lm_tells_documents_that_occur_twice(spark):
 # Licence scans
 
 
+PLAIN = [(k, "licensed license gnu general public apache mit cc software warranty plain words") for k in range(100, 140)]
+
+
+def labels_of(spark, texts):
+    rows = [*enumerate(texts), *PLAIN]
+    got = {x["doc_id"]: set(x["labels"].split(",")) for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[k] - {""} for k, _ in PLAIN)
+    return [got[k] for k in range(len(texts))]
+
+
 def test_all_licences_of_one_text_are_found(spark):
     """Words of the longest templates don't push out those of the others."""
-    long = [text for label, text, _ in license_scan.TEMPLATES if label in ("mit", "bsd", "isc") and len(text.split()) > 15]
+    long = [license_scan.MIT, license_scan.BSD, license_scan.ISC, license_scan.UNLICENSE, license_scan.ZLIB]
     short = ["licensed under the gnu general public license version 3", "released under the mit license", "licensed under cc by 4 0", "licensed under the apache license version 2 0"]
-    rows = [(0, " . ".join([*long, *short])), *[(k, "licensed license gnu general public apache mit cc plain words") for k in range(1, 40)]]
-    got = {x["doc_id"]: x["labels"] for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert set(got[0].split(",")) >= {"mit", "bsd", "isc", "gpl", "gpl-3.0", "cc-by", "cc-by-4.0", "apache-2.0"}
+    (got,) = labels_of(spark, [" . ".join([*long, *short])])
+    assert got >= {"mit", "bsd", "isc", "gpl", "gpl-3.0", "cc-by", "cc-by-4.0", "apache-2.0", "unlicense", "zlib"}
+
+
+WHOLE = {"mit": license_scan.MIT, "bsd": license_scan.BSD, "isc": license_scan.ISC, "apache-2.0": license_scan.APACHE, "gpl-3.0": license_scan.GPL.format(3), "unlicense": license_scan.UNLICENSE, "zlib": license_scan.ZLIB}
+
+
+def test_licences_with_words_put_in_and_left_out(spark):
+    """Words inserted or missing between the key phrases, several at a time; without a key phrase nothing is found."""
+    r, texts, expected = random.Random(11), [], []
+    for label, text in WHOLE.items():
+        phrases = [set(range(k, k + len(p.split()))) for l, t, ps in license_scan.TEMPLATES if l == label and len(t) > 200 for p in ps for k in range(len(license_scan.template_words(text))) if license_scan.template_words(text)[k : k + len(p.split())] == p.split()]
+        free = sorted(set(range(8, len(license_scan.template_words(text)) - 3)) - set().union(*phrases))
+        for inserted, missing in ((1, 0), (0, 1), (1, 1), (4, 3)):
+            words = license_scan.template_words(text)
+            for k in r.sample(free, missing):
+                words[k] = ""
+            for k in sorted(r.sample(free, inserted), reverse=True):
+                if not any({k - 1, k} <= p for p in phrases):
+                    words.insert(k, "really")
+            texts.append("x " * r.randint(0, 30) + " ".join(w for w in words if w))
+            expected.append(label)
+    texts.append(" ".join(w for w in license_scan.MIT.split() if w not in ("hereby", "substantial")))
+    got = labels_of(spark, texts)
+    assert all(label in found for label, found in zip(expected, got, strict=False))
+    assert "mit" not in got[-1]
 
 
 # Media
