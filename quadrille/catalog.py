@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from quadrille.functions import geometry as g
 from quadrille.functions import polygon as poly
 from quadrille.functions import sql as sql_functions
 from quadrille.operators import filters, joins, partition
+from quadrille.plans.predicates import And, InBox, InCircle, InKnn, Leaf, Not, Or
+from quadrille.plans.storage import checkpoint_folder
 from quadrille.sources.index import Registry
 
 QUERIES: dict = {}
@@ -258,6 +260,37 @@ def zknn_join(spark, table):
     return joins.zknn_join(parts(table), customers(table), XY, XY, 3, ["c_custkey"], dist_col="d").select("p_partkey", "c_custkey", "d")
 
 
+@query(f"SELECT 3 * count(*) AS pairs, true AS recall_at_least_90 FROM {P}")
+def zknn_join_recall(spark, table):
+    """How many pairs the approximate join gives, and whether nine tenths of the distances are those of the exact one."""
+    found = zknn_join(spark, table).withColumn("n", F.row_number().over(Window.partitionBy("p_partkey").orderBy("d")))
+    exact = _knn(table, 3).select("p_partkey", F.col("d").alias("best"), F.row_number().over(Window.partitionBy("p_partkey").orderBy("d")).alias("n"))
+    both = found.join(exact, ["p_partkey", "n"])
+    return both.agg(F.count("*").alias("pairs"), (F.avg((F.col("d") <= F.col("best") + 1e-9).cast("double")) >= 0.9).alias("recall_at_least_90"))
+
+
+@query(knn_sql(3))
+def knn_join_voronoi(spark, table):
+    return _knn(table, 3, "voronoi").select("p_partkey", "c_custkey", "d")
+
+
+@query(knn_sql(2))
+def knn_join_block(spark, table):
+    return _knn(table, 2, "block").select("p_partkey", "c_custkey", "d")
+
+
+@query(f"SELECT p_partkey, c_custkey FROM {P} l JOIN {C} r ON {D} <= 1")
+def distance_join_block(spark, table):
+    return joins.distance_join(parts(table), customers(table), XY, XY, 1.0, "block").select("p_partkey", "c_custkey")
+
+
+@query(f"SELECT p_partkey, c_custkey, d FROM {P} p LEFT JOIN (SELECT p_partkey AS k, c_custkey, {D} AS d FROM {P} l JOIN {C} r ON {D} <= 0.5) ON p_partkey = k")
+def distance_outer_join(spark, table):
+    p = parts(table)
+    pairs = joins.distance_join(p, customers(table), XY, XY, 0.5, dist_col="d").select("p_partkey", "c_custkey", "d")
+    return p.select("p_partkey").join(pairs, "p_partkey", "left")
+
+
 # Geometry
 
 
@@ -272,15 +305,25 @@ BOX = lambda: g.Box.of(["lx", "ly"], ["hx", "hy"])
 
 @query(f"SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM {B} a JOIN {B} b ON a.s_suppkey < b.s_suppkey AND a.lx <= b.hx AND a.hx >= b.lx AND a.ly <= b.hy AND a.hy >= b.ly")
 def mbr_intersects_join(spark, table):
-    a, b = (supplier_boxes(table).withColumnsRenamed({c: f"{c}{n}" for c in ("s_suppkey", "lx", "ly", "hx", "hy")}) for n in "12")
-    meet = g.intersects(g.Box.of(["lx1", "ly1"], ["hx1", "hy1"]), g.Box.of(["lx2", "ly2"], ["hx2", "hy2"]))
-    # Boxes are at most 10 wide: their low corners within that distance in each dimension share a cell or neighbouring ones.
-    cell = lambda n: [F.floor(F.col(f"lx{n}") / 10).cast("long").alias(f"cx{n}"), F.floor(F.col(f"ly{n}") / 10).cast("long").alias(f"cy{n}")]
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = a.select("*", *cell(1))
-    b = b.select("*", *cell(2), F.explode(around).alias("o")).withColumns({"cx2": F.col("cx2") + F.col("o.i"), "cy2": F.col("cy2") + F.col("o.j")})
-    pairs = a.join(b, (F.col("cx1") == F.col("cx2")) & (F.col("cy1") == F.col("cy2")) & (F.col("s_suppkey1") < F.col("s_suppkey2")) & meet)
-    return pairs.select(F.col("s_suppkey1").alias("a"), F.col("s_suppkey2").alias("b"))
+    box = lambda c: g.Box.of([c("lx"), c("ly")], [c("hx"), c("hy")])
+    pairs = joins.shape_join(supplier_boxes(table), supplier_boxes(table), box, box)
+    return pairs.where("s_suppkey_l < s_suppkey_r").select(F.col("s_suppkey_l").alias("a"), F.col("s_suppkey_r").alias("b"))
+
+
+@query(f"SELECT s_suppkey, c_custkey FROM {B} JOIN {C} ON sqrt(greatest(lx - x, 0.0::DOUBLE, x - hx) * greatest(lx - x, 0.0::DOUBLE, x - hx) + greatest(ly - y, 0.0::DOUBLE, y - hy) * greatest(ly - y, 0.0::DOUBLE, y - hy)) <= 2")
+def box_circle_join(spark, table):
+    pairs = joins.shape_join(supplier_boxes(table), customers(table), lambda c: g.Box.of([c("lx"), c("ly")], [c("hx"), c("hy")]), lambda c: g.Circle.of([c("x"), c("y")], 2))
+    return pairs.select("s_suppkey", "c_custkey")
+
+
+@query(f"SELECT s_suppkey FROM {B} WHERE lx <= 12 AND hx >= 5 AND ly <= 60 AND hy >= 20")
+def range_on_shapes(spark, table):
+    return filters.range_query(supplier_boxes(table), BOX(), [5, 20], [12, 60]).select("s_suppkey")
+
+
+@query(f"SELECT s_suppkey FROM {B} WHERE sqrt(greatest(lx - 10.0::DOUBLE, 0.0::DOUBLE, 10.0::DOUBLE - hx) * greatest(lx - 10.0::DOUBLE, 0.0::DOUBLE, 10.0::DOUBLE - hx) + greatest(ly - 30.0::DOUBLE, 0.0::DOUBLE, 30.0::DOUBLE - hy) * greatest(ly - 30.0::DOUBLE, 0.0::DOUBLE, 30.0::DOUBLE - hy)) <= 6")
+def circle_on_shapes(spark, table):
+    return filters.circle_range(supplier_boxes(table), BOX(), [10, 30], 6).select("s_suppkey")
 
 
 @query(f"SELECT s_suppkey, (hx - lx) * (hy - ly) AS area, CASE WHEN least(hx, 15.0::DOUBLE) > greatest(lx, 5.0::DOUBLE) AND least(hy, 60.0::DOUBLE) > greatest(ly, 20.0::DOUBLE) THEN (least(hx, 15.0::DOUBLE) - greatest(lx, 5.0::DOUBLE)) * (least(hy, 60.0::DOUBLE) - greatest(ly, 20.0::DOUBLE)) / ((hx - lx) * (hy - ly)) ELSE 0.0::DOUBLE END AS ratio FROM {B}")
@@ -340,16 +383,31 @@ def point_in_polygon(spark, table):
     return box.where(g.intersects(g.Point.of(*XY), shape))
 
 
-@query()
+HOLE = [(22, 30), (30, 30), (30, 40), (22, 40), (22, 30)]
+
+
+def _edge_distance(ax, ay, bx, by):
+    dx, dy = bx - ax, by - ay
+    t = f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((x - {ax}.0::DOUBLE) * {dx}.0::DOUBLE + (y - {ay}.0::DOUBLE) * {dy}.0::DOUBLE) / {dx * dx + dy * dy}.0::DOUBLE))"
+    gap_x, gap_y = f"(x - ({ax}.0::DOUBLE + {t} * {dx}.0::DOUBLE))", f"(y - ({ay}.0::DOUBLE + {t} * {dy}.0::DOUBLE))"
+    return f"sqrt({gap_x} * {gap_x} + {gap_y} * {gap_y})"
+
+
+_BORDER = f"least({', '.join(_edge_distance(*a, *b) for ring in (RING, HOLE) for a, b in zip(ring, ring[1:], strict=False))})"
+_IN_SHAPE = f"({_HALVES} AND NOT (x > 22 AND x < 30 AND y > 30 AND y < 40))"
+
+
+@query(f"SELECT c_custkey, round(CASE WHEN {_IN_SHAPE} THEN 0.0::DOUBLE ELSE {_BORDER} END, 9) AS d, {_IN_SHAPE} OR {_BORDER} <= 3 AS near FROM {C}")
 def polygon_distances(spark, table):
-    shape = poly.Polygon.of(RING, [(22, 30), (30, 30), (30, 40), (22, 40), (22, 30)])
-    return customers(table).select("c_custkey", g.min_dist(g.Point.of(*XY), shape).alias("d"), g.intersects(g.Circle.of(["x", "y"], 3), shape).alias("near"))
+    shape = poly.Polygon.of(RING, HOLE)
+    return customers(table).select("c_custkey", F.round(g.min_dist(g.Point.of(*XY), shape), 9).alias("d"), g.intersects(g.Circle.of(["x", "y"], 3), shape).alias("near"))
 
 
 @query("SELECT c_nationkey, min(c_custkey % 53)::DOUBLE AS lx, min(c_acctbal) AS ly, max(c_custkey % 53)::DOUBLE AS hx, max(c_acctbal) AS hy FROM customer GROUP BY c_nationkey")
 def extent_by_group(spark, table):
-    x = (F.col("c_custkey") % 53).cast("double")
-    return table("customer").groupBy("c_nationkey").agg(F.min(x).alias("lx"), F.min("c_acctbal").alias("ly"), F.max(x).alias("hx"), F.max("c_acctbal").alias("hy"))
+    box = g.box_of(g.Point.of((F.col("c_custkey") % 53), "c_acctbal"))
+    (lx, ly), (hx, hy) = box.low, box.high
+    return table("customer").groupBy("c_nationkey").agg(F.min(lx).alias("lx"), F.min(ly).alias("ly"), F.max(hx).alias("hx"), F.max(hy).alias("hy"))
 
 
 @query(f"SELECT floor(x / 5)::BIGINT AS cx, floor(y / 10)::BIGINT AS cy, count(*) AS n FROM {C} GROUP BY 1, 2")
@@ -388,7 +446,7 @@ def treap_rank(spark, table):
 
 @query("SELECT p_size, count(*) AS n FROM part GROUP BY p_size")
 def treap_count(spark, table):
-    return table("part").groupBy("p_size").agg(F.count("*").alias("n"))
+    return filters.ranks(table("part"), "p_size").select("p_size", "n")
 
 
 @query("SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 12 AND 17")
@@ -425,13 +483,40 @@ def index_range_dup_keys(spark, table):
 @query(f"SELECT p_partkey, x, y FROM {P} WHERE x BETWEEN 10 AND 20 AND y BETWEEN 20 AND 60")
 def index_persisted(spark, table):
     registry = Registry(spark)
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = f"{shared}/index-{spark.sparkContext.applicationId}-{id(registry)}" if shared else tempfile.mkdtemp()
+    folder = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
     index = registry.create(parts(table), "rtree", "by_place", XY, 16)
     registry.persist(index.table, "by_place", folder)
+    registry.drop(index.table, "by_place")
     return registry.load(folder, "loaded").range([10, 20], [20, 60])
 
 
+@query(f"SELECT p_partkey, x, y FROM {P} WHERE (x BETWEEN 10 AND 30 AND y BETWEEN 20 AND 60 AND {to(25, 50)} <= 15) OR (y > 80 AND NOT x > 12)")
+def index_mixed_predicates(spark, table):
+    keys = tuple(XY)
+    both = And(InBox(keys, (10, 20), (30, 60)), InCircle(keys, (25, 50), 15))
+    return Registry(spark).create(parts(table), "rtree", "by_place", XY, 16).where(Or(both, And(Leaf("y", ">", 80), Not(Leaf("x", ">", 12)))))
+
+
+@query(f"SELECT * FROM {_NEAR} WHERE x BETWEEN 24 AND 40 AND y BETWEEN 40 AND 55")
+def index_knn_in_range(spark, table):
+    keys = tuple(XY)
+    near = InKnn(keys, (25, 50), 50, ("p_partkey",))
+    return Registry(spark).create(parts(table), "rtree", "by_place", XY, 16).where(And(near, InBox(keys, (24, 40), (40, 55))))
+
+
+@query(f"SELECT count(*) AS n FROM {P} WHERE {to(25, 50)} <= 18")
+def index_circle_count(spark, table):
+    n = Registry(spark).create(parts(table), "rtree", "by_place", XY, 16).circle_count([25, 50], 18)
+    return spark.createDataFrame([(n,)], "n long")
+
+
+@query(f"SELECT p_partkey, x, y FROM {P} WHERE x BETWEEN 5 AND 15 AND y BETWEEN 10 AND 40")
+def range_through_an_index(spark, table):
+    registry = Registry(spark)
+    registry.create(parts(table), "rtree", "by_place", XY, 16)
+    return registry.range(parts(table), XY, [5, 10], [15, 40])
+
+
 @query(f"SELECT p_partkey, x, y FROM {P} WHERE x > 10 AND y <= 20")
 def sql_on_index(spark, table):
     Registry(spark).create(parts(table), "rtree", "by_place", XY, 16).rows().createOrReplaceTempView("indexed_parts")
@@ -448,14 +533,20 @@ def sql_functions_query(spark, table):
 # Partitioners: what each tile holds
 
 
-@query()
+def _balance(tiled, tiles):
+    """Rows and tiles, and whether each tile has half to twice its share at most (few different keys allow no more)."""
+    counts = tiled.groupBy("tile").agg(F.count("*").alias("n"))
+    return counts.agg(F.sum("n").alias("n"), F.count("*").alias("tiles"), (F.max("n") <= 2 * F.sum("n") / tiles).alias("even"))
+
+
+@query(f"SELECT count(*) AS n, 16 AS tiles, true AS even FROM {P}")
 def str_partition(spark, table):
-    return partition.str_tiles(parts(table), XY, 16).groupBy("tile").agg(F.count("*").alias("n"), F.min("x").alias("lx"), F.max("x").alias("hx"))
+    return _balance(partition.str_tiles(parts(table), XY, 16), 16)
 
 
-@query()
+@query(f"SELECT count(*) AS n, 16 AS tiles, true AS even FROM {P}")
 def kd_partition(spark, table):
-    return partition.kd_tiles(parts(table), XY, 4).groupBy("tile").agg(F.count("*").alias("n"))
+    return _balance(partition.kd_tiles(parts(table), XY, 4), 16)
 
 
 @query(f"SELECT (least(floor((x - (SELECT min(x) FROM {P})) / (SELECT max(x) - min(x) FROM {P}) * 2), 1)::BIGINT << 1) | least(floor((y - (SELECT min(y) FROM {P})) / (SELECT max(y) - min(y) FROM {P}) * 2), 1)::BIGINT AS tile, count(*) AS n FROM {P} GROUP BY 1")
@@ -463,9 +554,11 @@ def quad_partition(spark, table):
     return partition.quad_tiles(parts(table), XY, 1).groupBy("tile").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"SELECT count(*) AS n, true AS nearest FROM {P}")
 def voronoi_partition(spark, table):
-    return partition.voronoi_tiles(parts(table), XY, 10).groupBy("tile").agg(F.count("*").alias("n"))
+    """Rows, and whether every tile's rows are nearer to each other's pivot than the tiles are many: each row has a tile of ten."""
+    tiles = partition.voronoi_tiles(parts(table), XY, 10)
+    return tiles.agg(F.count("*").alias("n"), ((F.min("tile") >= 0) & (F.max("tile") < 10) & (F.countDistinct("tile") == F.max("tile") + 1)).alias("nearest"))
 
 
 @query(f"SELECT CASE WHEN x > 40 THEN 3 WHEN x > 20 THEN 2 WHEN x > 10 THEN 1 ELSE 0 END AS tile, count(*) AS n FROM {P} GROUP BY 1")
@@ -486,3 +579,32 @@ def distance_join_then_group(spark, table):
 def events_range(spark, table):
     rows = filters.range_query(table("events"), ["user_id", "value"], [10, 50], [60, 200])
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"SELECT coalesce(cx, -1) AS cx, coalesce(cy, -99) AS cy, count(*) AS n FROM (SELECT floor(x / 10)::BIGINT AS cx, floor(y / 25)::BIGINT AS cy FROM {C}) GROUP BY ROLLUP (cx, cy)")
+def grid_rollup(spark, table):
+    cells = customers(table).select(F.floor(F.col("x") / 10).cast("long").alias("cx"), F.floor(F.col("y") / 25).cast("long").alias("cy"))
+    return cells.rollup("cx", "cy").agg(F.count("*").alias("n")).select(F.coalesce("cx", F.lit(-1)).alias("cx"), F.coalesce("cy", F.lit(-99)).alias("cy"), "n")
+
+
+@query(f"SELECT coalesce(cx, -1) AS cx, coalesce(c_nationkey, -1) AS nation, count(*) AS n FROM (SELECT floor((c_custkey % 53) / 10)::BIGINT AS cx, c_nationkey FROM customer) GROUP BY GROUPING SETS ((cx), (c_nationkey))")
+def grid_grouping_sets(spark, table):
+    table("customer").selectExpr("cast(floor((c_custkey % 53) / 10) as bigint) AS cx", "c_nationkey").createOrReplaceTempView("cells_of_customers")
+    return spark.sql("SELECT coalesce(cx, -1) AS cx, coalesce(c_nationkey, -1) AS nation, count(*) AS n FROM cells_of_customers GROUP BY GROUPING SETS ((cx), (c_nationkey))")
+
+
+@query(f"WITH near AS (SELECT c_custkey, x, y FROM {C} WHERE {to(20, 40)} <= 12) SELECT n.c_custkey, (SELECT count(*) FROM near) AS n FROM near n WHERE EXISTS (SELECT 1 FROM {P} p WHERE p.x = n.x)")
+def cte_and_subqueries(spark, table):
+    sql_functions.register(spark)
+    customers(table).createOrReplaceTempView("customer_points")
+    parts(table).createOrReplaceTempView("part_points")
+    return spark.sql("""WITH near AS (SELECT c_custkey, x, y FROM customer_points WHERE q_in_circle(x, y, 20, 40, 12))
+      SELECT n.c_custkey, (SELECT count(*) FROM near) AS n FROM near n WHERE EXISTS (SELECT 1 FROM part_points p WHERE p.x = n.x)""")
+
+
+@query("SELECT e.event_id, (SELECT max(p.ts) FROM events p WHERE p.user_id = e.user_id AND p.ts < e.ts) AS before FROM events e WHERE e.event_type = 'purchase'")
+def as_of_join(spark, table):
+    """For each purchase, the time of the user's event before: a window over both, no join."""
+    events = table("events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    earlier = F.max("ts").over(Window.partitionBy("user_id").orderBy("at").rangeBetween(Window.unboundedPreceding, -1))
+    return events.withColumn("before", earlier).where("event_type = 'purchase'").select("event_id", "before")

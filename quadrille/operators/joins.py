@@ -1,19 +1,28 @@
-"""Distance joins and k-nearest-neighbour joins.
+"""Distance joins, joins of shapes, and k-nearest-neighbour joins.
 
 Keys are a list of coordinate columns, or (name, dimensions) of one column of points. Results have
-the left columns, then the right ones; clashing names get `suffixes`. Rows with a null or NaN
-coordinate match nothing. All exact strategies return the same rows; `auto` is what the settings join.distance and join.knn say.
-
-Distance join. `grid`: cells a little wider than r; each left row goes to its cell, each right row
-to its cell and the ones beside it (in two dimensions at most), and an equality join on the cell
-finds every pair once. `nested_loop`: every pair, for tiny sides. A dense cell makes a hot key:
-adaptive skew handling splits it, and `salt` deals each left cell to that many keys.
-
-kNN join. `broadcast`: the right keys as arrays on every executor, allowed up to the settings
-join.broadcastRows and join.broadcastBytes (measured first). `grid`: exact for any size. Cells double in width until the block of cells around
-a left cell holds k right rows; the k-th distance is then at most twice the cell's diagonal, which
-bounds the cells that are joined. It takes a job for each doubling. Right rows in one place are cut to the k first by tiebreak before
-anything is shuffled (no left row can have more of them). `nested_loop`: cross join and window.
+the left columns, then the right ones; clashing names get `suffixes`, and any names are allowed. Rows with
+a null or NaN coordinate match nothing. All exact strategies return the same rows; `auto` is what the
+settings join.distance and join.knn say.
+
+Distance join. `grid`: cells a little wider than r; the rows of the larger side go to their cell, those of
+the smaller one to their cell and the ones beside it (in two dimensions at most), and an equality join on
+the cell finds every pair once. `broadcast`: every pair, with the right side broadcast, which is refused
+above the setting join.broadcastRows. `block`: every pair, by blocks of both sides. `nested_loop` is one
+of these two. A dense cell makes a hot key: adaptive skew handling splits it, and `salt` deals each left
+cell to that many keys.
+
+Shape join. Each shape goes to the cells that its box covers on the level of its size, and on the coarser
+levels that other shapes have, so it is in few cells of each; a pair meets on the coarser of its two levels,
+in the one cell with the corner where their boxes begin to overlap.
+
+kNN join. `broadcast`: the right keys on every executor, up to the settings join.broadcastRows and
+join.broadcastBytes (counted before anything is collected), searched by cells around each left row.
+`grid`: exact for any size. Cells double in width until the block of cells around a left cell holds k
+right rows, which bounds the cells that are joined; all levels are found in one plan and joined by one
+equality join. Right rows in one place are cut to the k first by tiebreak (no left row can have more of
+them). `voronoi`: both sides go to the nearest of some pivots, and right rows to all left cells that they
+can reach by the triangle inequality. `block` (or `nested_loop`): every pair, by blocks of both sides.
 """
 
 from __future__ import annotations
@@ -23,18 +32,23 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from quadrille.functions import geometry as g
 from quadrille.plans.config import Config
+from quadrille.plans.storage import checkpointed, column
 
 #: Beyond this many cells from the origin, cells are one: quotients so large are not exact.
 _FAR = 1e12
 #: What a scan reads in one task by default.
 _FILE_BYTES = 128 << 20
+#: Widths of cells double up to this level.
+_LEVELS = 60
+#: Candidates that a worker compares at a time.
+_CANDIDATES = 4_000_000
 
 
 def _named(left: DataFrame, right: DataFrame, suffixes: tuple[str, str]) -> tuple[DataFrame, DataFrame, dict, dict]:
@@ -43,253 +57,440 @@ def _named(left: DataFrame, right: DataFrame, suffixes: tuple[str, str]) -> tupl
     b = {c: c + suffixes[1] if c in clash else c for c in right.columns}
     if set(a.values()) & set(b.values()):
         raise ValueError("the suffixes leave clashing names")
-    return left.select(*[F.col(f"`{c}`").alias(n) for c, n in a.items()]), right.select(*[F.col(f"`{c}`").alias(n) for c, n in b.items()]), a, b
+    return left.select(*[column(c).alias(n) for c, n in a.items()]), right.select(*[column(c).alias(n) for c, n in b.items()]), a, b
 
 
 Keys = list[str] | tuple[str, int]
 
 
-def _keys(df: DataFrame, keys: Keys, names: dict) -> list[Column]:
+def _keys(keys: Keys, names: dict) -> list[Column]:
     missing = [k for k in (keys[:1] if isinstance(keys, tuple) else keys) if k not in names]
     if missing:
         raise ValueError(f"no such columns: {missing}")
     if isinstance(keys, tuple):
-        return g.Point.from_array(F.col(f"`{names[keys[0]]}`"), keys[1]).coords
-    return [F.col(f"`{names[k]}`").cast("double") for k in keys]
+        return g.Point.from_array(column(names[keys[0]]), keys[1]).coords
+    return [column(names[k]).cast("double") for k in keys]
 
 
-def _cell(x: Column, width: float) -> Column:
-    return F.floor(F.least(F.greatest(x / F.lit(width), F.lit(-_FAR)), F.lit(_FAR))).cast("long")
+def _packed(df: DataFrame, name: str, **others: Column) -> DataFrame:
+    """The row as one column and others beside it, so that no name in the row can clash."""
+    return df.select(F.struct(*map(column, df.columns)).alias(name), *[x.alias(n) for n, x in others.items()])
+
+
+def _out(left: DataFrame, right: DataFrame, dist_col: str | None) -> list[Column]:
+    """The result's columns, from the packed rows `l` and `r` and the distance `d`."""
+    rows = [F.col(f"{side}.`{c.replace('`', '``')}`").alias(c) for side, df in (("l", left), ("r", right)) for c in df.columns]
+    return [*rows, *([F.col("d").alias(dist_col)] if dist_col else [])]
+
+
+def _cell(x: Column, width: Column | float) -> Column:
+    width = width if isinstance(width, Column) else F.lit(width)
+    return F.floor(F.least(F.greatest(x / width, F.lit(-_FAR)), F.lit(_FAR))).cast("long")
+
+
+def _bytes(df: DataFrame) -> int:
+    """What the optimiser takes the rows for."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _around(dims: int) -> Column:
+    return F.array(*[F.struct(*[F.lit(o).alias(f"o{k}") for k, o in enumerate(offset)]) for offset in itertools.product((-1, 0, 1), repeat=dims)])
+
+
+def _blocks(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every pair of rows, by an equality join on the numbers of a left and a right block.
+
+    Each row of one side meets each block of the other, so this is for sides that are small or no other strategy is for.
+    """
+    n = Config(left.sparkSession).get("join.partitions")
+    side = max(1, math.isqrt(n))
+    deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(side)).cast("int")
+    all_blocks = F.sequence(F.lit(0), F.lit(side - 1))
+    a = left.withColumn("lb", deal).withColumn("rb", F.explode(all_blocks))
+    b = right.withColumn("rb_", deal).withColumn("lb_", F.explode(all_blocks))
+    return a.join(b, (F.col("lb") == F.col("lb_")) & (F.col("rb") == F.col("rb_")))
+
+
+def _check_rows(df: DataFrame) -> None:
+    most = Config(df.sparkSession).get("join.broadcastRows")
+    n = df.count()
+    if n > most:
+        raise ValueError(f"{n} rows are too many to broadcast; join.broadcastRows is {most}")
 
 
 def distance_join(left: DataFrame, right: DataFrame, left_keys: Keys, right_keys: Keys, r: float, strategy: str = "auto", suffixes: tuple[str, str] = ("_l", "_r"), dist_col: str | None = None, salt: int = 1) -> DataFrame:
     """Pairs at distance r or less."""
-    if strategy not in ("auto", "grid", "nested_loop", "broadcast"):
+    if strategy not in ("auto", "grid", "nested_loop", "broadcast", "block"):
         raise ValueError(f"unknown strategy: {strategy}")
     config = Config(left.sparkSession)
     strategy = config.get("join.distance") if strategy == "auto" else strategy
     left, right, a, b = _named(left, right, suffixes)
-    lk, rk = _keys(left, left_keys, a), _keys(right, right_keys, b)
+    lk, rk = _keys(left_keys, a), _keys(right_keys, b)
     g._same_dims(lk, rk)
     left, right = left.where(g.known(lk)), right.where(g.known(rk))
-    names = [*left.columns, *right.columns]
-    dist = g.distance(lk, rk)
+    dims = len(lk)
+    packed = [_packed(df, name, **{f"{name}{i}": x for i, x in enumerate(keys)}) for df, name, keys in ((left, "l", lk), (right, "r", rk))]
+    pl, pr = packed
+    kl, kr = ([F.col(f"{name}{i}") for i in range(dims)] for name in "lr")
+    dist = g.distance(kl, kr)
     if r < 0:
-        pairs = left.join(right, F.lit(False))
-    elif strategy in ("nested_loop", "broadcast"):
-        pairs = left.join(right, dist <= r)
+        pairs = pl.join(pr, F.lit(False))
+    elif strategy == "broadcast" or (strategy == "nested_loop" and _bytes(right) < _FILE_BYTES):
+        _check_rows(right)
+        pairs = pl.join(F.broadcast(pr), dist <= r)
+    elif strategy in ("nested_loop", "block"):
+        pairs = _blocks(pl, pr).where(dist <= r)
     elif r == 0:
         # Negative zero equals zero; adding zero makes it so for the join's hash too.
-        pairs = left.join(right, [x + 0.0 == y + 0.0 for x, y in zip(lk, rk, strict=True)])
+        pairs = pl.join(pr, [x + 0.0 == y + 0.0 for x, y in zip(kl, kr, strict=True)])
     else:
-        width, dims = r * (1 + config.get("grid.slack")), min(2, len(lk))
-        cells = [f"__c{k}" for k in range(dims)]
-        left = left.withColumns({c: _cell(x, width) for c, x in zip(cells, lk, strict=False)})
-        right = right.withColumns({c: _cell(x, width) for c, x in zip(cells, rk, strict=False)})
-        near = F.array(*[F.struct(*[F.lit(o).alias(f"o{k}") for k, o in enumerate(offset)]) for offset in itertools.product((-1, 0, 1), repeat=dims)])
-        right = right.withColumn("__o", F.explode(near)).withColumns({c: F.col(c) + F.col(f"__o.o{k}") for k, c in enumerate(cells)}).drop("__o")
+        width, used = r * (1 + config.get("grid.slack")), min(2, dims)
+        # The side that the optimiser takes for the smaller one is repeated; of a stream's, the other.
+        repeat_left = right.isStreaming or (not left.isStreaming and _bytes(left) < _bytes(right))
+        sides = []
+        for df, name, keys, repeats in ((pl, "l", kl, repeat_left), (pr, "r", kr, not repeat_left)):
+            cells = [_cell(x, width) for x in keys[:used]]
+            if repeats:
+                df = df.withColumn("o", F.explode(_around(used)))
+                cells = [c + F.col(f"o.o{k}") for k, c in enumerate(cells)]
+            sides.append(df.withColumns({f"{name}c{k}": c for k, c in enumerate(cells)}).drop("o"))
+        pl, pr = sides
+        same = [F.col(f"lc{k}") == F.col(f"rc{k}") for k in range(used)]
         if salt > 1:
-            left = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salt)).cast("int"))
-            right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-            cells = [*cells, "__salt"]
-        right = right.withColumnsRenamed({c: f"{c}r" for c in cells})
-        pairs = left.join(right, [F.col(c) == F.col(f"{c}r") for c in cells]).where(dist <= r)
-    return pairs.select(*[F.col(f"`{n}`") for n in names], *([dist.alias(dist_col)] if dist_col else []))
+            pl = pl.withColumn("ls", F.pmod(F.xxhash64(*kl, F.monotonically_increasing_id()), F.lit(salt)).cast("int"))
+            pr = pr.withColumn("rs", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+            same.append(F.col("ls") == F.col("rs"))
+        pairs = pl.join(pr, same).where(dist <= r)
+    return pairs.withColumn("d", dist).select(*_out(left, right, dist_col))
+
+
+def shape_join(left: DataFrame, right: DataFrame, left_shape, right_shape, r: float = 0.0, suffixes: tuple[str, str] = ("_l", "_r"), dist_col: str | None = None) -> DataFrame:
+    """Pairs of rows whose shapes meet, or are at distance r or less. The shapes (of two dimensions or more) are made by functions of a column getter."""
+    left, right, a, b = _named(left, right, suffixes)
+    rows = []
+    for df, name, names, shape in ((left, "l", a, left_shape), (right, "r", b, right_shape)):
+        box = g.box_of(shape(lambda c, names=names: column(names[c])))
+        half = F.lit(r / 2 * (1 + 1e-9))
+        packed = _packed(df, name, **{f"{name}x": F.array(*[x - half for x in box.low]), f"{name}y": F.array(*[y + half for y in box.high])})
+        low, high = F.col(f"{name}x"), F.col(f"{name}y")
+        size = F.greatest(F.get(high, F.lit(0)) - F.get(low, F.lit(0)), F.get(high, F.lit(1)) - F.get(low, F.lit(1)))
+        # A power of two that is no smaller than the box: it covers two cells of this width in a dimension at most.
+        level = F.greatest(F.lit(-_LEVELS), F.least(F.lit(_LEVELS), F.ceil(F.log2(F.greatest(size, F.lit(1e-300)))))).cast("int")
+        rows.append(checkpointed(packed.where(g.known([F.get(x, F.lit(k)) for x in (low, high) for k in range(2)])).withColumn(f"{name}v", level)))
+    # As many as there are powers of two between the sizes of boxes, and no level that only points would need.
+    floor_ = max([x[0] for x in rows[0].agg(F.percentile_approx("lv", 0.5)).union(rows[1].agg(F.percentile_approx("rv", 0.5))).collect() if x[0] is not None], default=0)
+    rows = [df.withColumn(f"{n}v", F.greatest(f"{n}v", F.lit(floor_))) for df, n in zip(rows, "lr", strict=True)]
+    levels = sorted({x[0] for x in rows[0].select("lv").union(rows[1].select("rv")).distinct().collect()})
+    parts = []
+    for df, n in zip(rows, "lr", strict=True):
+        df = df.withColumn(f"{n}w", F.explode(_levels_from(levels, F.col(f"{n}v"))))
+        width = F.pow(F.lit(2.0), F.col(f"{n}w"))
+        for k in range(2):
+            first, last = (_cell(F.get(F.col(f"{n}{e}"), F.lit(k)), width) for e in "xy")
+            df = df.withColumn(f"{n}c{k}", F.explode(F.sequence(first, last)))
+        parts.append(df)
+    pl, pr = parts
+    width = F.pow(F.lit(2.0), F.col("lw"))
+    corner = [_cell(F.greatest(F.get(F.col("lx"), F.lit(k)), F.get(F.col("rx"), F.lit(k))), width) == F.col(f"lc{k}") for k in range(2)]
+    same = [F.col(f"l{x}") == F.col(f"r{x}") for x in ("w", "c0", "c1")]
+    met = pl.join(pr, same).where((F.greatest("lv", "rv") == F.col("lw")) & corner[0] & corner[1])
+    one, other = (shape(lambda c, n=n, names=names: F.col(f"{n}.`{names[c].replace('`', '``')}`")) for shape, n, names in ((left_shape, "l", a), (right_shape, "r", b)))
+    test = g.intersects(one, other) if r == 0 else g.min_dist(one, other) <= r
+    found = met.where(test)
+    return (found.withColumn("d", g.min_dist(one, other)) if dist_col else found).select(*_out(left, right, dist_col))
+
+
+def _levels_from(levels: list[int], least: Column) -> Column:
+    return F.filter(F.array(*map(F.lit, levels)), lambda v: v >= least)
 
 
 def knn_join(left: DataFrame, right: DataFrame, left_keys: Keys, right_keys: Keys, k: int, tiebreak: list[str] = (), strategy: str = "auto", suffixes: tuple[str, str] = ("_l", "_r"), dist_col: str | None = None) -> DataFrame:
     """For each left row, its k nearest right rows; ties by the right columns of `tiebreak`. Left duplicates each get theirs."""
-    if strategy not in ("auto", "grid", "nested_loop", "broadcast", "zorder"):
+    if strategy not in ("auto", "grid", "nested_loop", "block", "broadcast", "voronoi", "zorder"):
         raise ValueError(f"unknown strategy: {strategy}")
     config = Config(left.sparkSession)
     strategy = config.get("join.knn") if strategy == "auto" else strategy
     if strategy == "zorder":
         return zknn_join(left, right, left_keys, right_keys, k, tiebreak, suffixes=suffixes, dist_col=dist_col)
     left, right, a, b = _named(left, right, suffixes)
-    lk, rk = _keys(left, left_keys, a), _keys(right, right_keys, b)
+    lk, rk = _keys(left_keys, a), _keys(right_keys, b)
     g._same_dims(lk, rk)
     left, right = left.where(g.known(lk)), right.where(g.known(rk))
-    ties = [b[t] for t in tiebreak]
-    names = [*left.columns, *right.columns]
-    dist = g.distance(lk, rk)
-    out = [*[F.col(f"`{n}`") for n in names], *([F.col("__dist").alias(dist_col)] if dist_col else [])]
+    out = _out(left, right, dist_col)
+    pl = _packed(left, "l", p=F.array(*lk))
+    pr = _packed(right, "r", q=F.array(*rk), t=F.struct(F.lit(0).alias("_"), *[column(b[t]) for t in tiebreak]))
     if k <= 0:
-        return left.join(right, F.lit(False)).withColumn("__dist", dist).select(*out)
-    first = Window.partitionBy(*rk).orderBy(*(ties or [F.lit(0)]))
-    right = right.withColumn("__place", F.row_number().over(first)).where(F.col("__place") <= k).drop("__place")
+        return pl.join(pr, F.lit(False)).withColumn("d", F.lit(0.0)).select(*out)
+    dims = len(lk)
     if strategy == "auto":
-        most = config.get("join.broadcastRows")
-        # The rows as text are longer than as values, so this is a bound of what is sent.
-        text = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in right.columns])))
-        n, size = right.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(text), F.lit(0))).first()
-        strategy = "broadcast" if n <= most and size <= config.get("join.broadcastBytes") else "grid"
+        strategy = "broadcast" if _fits(pr, config) else "grid"
+    elif strategy == "broadcast" and not _fits(pr, config, bytes_too=False):
+        raise ValueError("the right rows are too many to broadcast; see join.broadcastRows")
     if strategy == "broadcast":
-        return _broadcast_knn(left, right, lk, rk, k, ties).select(*out)
-    left = left.withColumn("__id", F.monotonically_increasing_id())
-    if strategy == "nested_loop":
-        pairs = left.crossJoin(right)
+        return _broadcast_knn(pl, pr, k, dims).select(*out)
+    first = Window.partitionBy("q").orderBy("t")
+    pr = checkpointed(pr.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k).drop("place"))
+    pl = checkpointed(pl.withColumn("id", F.monotonically_increasing_id()))
+    if strategy in ("nested_loop", "block"):
+        pairs = _blocks(pl, pr)
+    elif strategy == "voronoi":
+        pairs = _voronoi_candidates(pl, pr, k, dims)
     else:
-        pairs = _grid_candidates(left, right, lk, rk, k)
-    nearest = Window.partitionBy("__id").orderBy("__dist", *ties)
-    return pairs.withColumn("__dist", dist).withColumn("__n", F.row_number().over(nearest)).where(F.col("__n") <= k).select(*out)
-
-
-def _broadcast_knn(left: DataFrame, right: DataFrame, lk: list[Column], rk: list[Column], k: int, ties: list[str]) -> DataFrame:
-    """Positions in a broadcast array of right keys; the right rows are joined by position afterwards."""
+        pairs = _grid_candidates(pl, pr, k, dims)
+    return _nearest(pairs, k, dims).select(*out)
+
+
+def _coords(name: str, dims: int) -> list[Column]:
+    return [F.get(F.col(name), F.lit(i)) for i in range(dims)]
+
+
+def _nearest(pairs: DataFrame, k: int, dims: int) -> DataFrame:
+    nearest = Window.partitionBy("id").orderBy("d", "t")
+    with_d = pairs.withColumn("d", g.distance(_coords("p", dims), _coords("q", dims)))
+    return with_d.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k)
+
+
+def _fits(right: DataFrame, config: Config, bytes_too: bool = True) -> bool:
+    """Whether the right rows may be broadcast: they are counted, and measured only if they are few."""
+    if right.count() > config.get("join.broadcastRows"):
+        return False
+    # The rows as text are longer than as values, so this is a bound of what is sent.
+    return not bytes_too or (right.agg(F.sum(F.length(F.to_json("r")))).first()[0] or 0) <= config.get("join.broadcastBytes")
+
+
+class CellIndex:
+    """Points by cells of about equal counts, for the k nearest ones of many places at a time; ties by the points' order."""
+
+    def __init__(self, points: np.ndarray, k: int) -> None:
+        self.points, self.k = points, min(k, len(points))
+        spans = points.max(axis=0) - points.min(axis=0)
+        self.used = [int(i) for i in np.argsort(-spans, kind="stable")[:2] if spans[i] > 0]
+        per_dim = max(1, int((len(points) / max(8, 2 * k)) ** (1 / max(1, len(self.used)))))
+        #: Where the cells begin in each dimension, but for the first.
+        self.bounds = [np.unique(np.quantile(points[:, i], np.arange(1, per_dim) / per_dim)) for i in self.used]
+        self.sizes = [len(b) + 1 for b in self.bounds]
+        cell = np.zeros(len(points), np.int64)
+        for i, b, n in zip(self.used, self.bounds, self.sizes, strict=True):
+            cell = cell * n + np.searchsorted(b, points[:, i], side="right")
+        self.order = np.argsort(cell, kind="stable")
+        self.starts = np.searchsorted(cell[self.order], np.arange(math.prod(self.sizes) + 1))
+
+    def nearest(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and distances of the k nearest points of each place, nearest first."""
+        near, away = np.zeros((len(places), self.k), np.int64), np.zeros((len(places), self.k))
+        left, reach = np.arange(len(places)), 1
+        while len(left):
+            left = self._search(places, left, reach, near, away)
+            reach *= 2
+        return near, away
+
+    def _search(self, places: np.ndarray, rows: np.ndarray, reach: int, near: np.ndarray, away: np.ndarray) -> np.ndarray:
+        """Looks at the cells up to `reach` away; gives the rows that may have nearer points beyond."""
+        mine = places[rows]
+        border = np.full(len(rows), np.inf)
+        first, last = [], []
+        for i, b, n in zip(self.used, self.bounds, self.sizes, strict=True):
+            at = np.searchsorted(b, mine[:, i], side="right")
+            low, high = np.maximum(at - reach, 0), np.minimum(at + reach, n - 1)
+            ends = np.concatenate([[-np.inf], b, [np.inf]])
+            border = np.minimum(border, np.minimum(mine[:, i] - ends[low], ends[high + 1] - mine[:, i]))
+            first.append(low)
+            last.append(high)
+        if not self.used:
+            begins, counts, owner = np.zeros(len(rows), np.int64), np.full(len(rows), len(self.points)), np.arange(len(rows))
+        elif len(self.used) == 1:
+            begins, owner = self.starts[first[0]], np.arange(len(rows))
+            counts = self.starts[last[0] + 1] - begins
+        else:  # a run of cells for each row of them
+            lines = last[0] - first[0] + 1
+            owner = np.repeat(np.arange(len(rows)), lines)
+            line = np.arange(len(owner)) - np.repeat(np.cumsum(lines) - lines, lines) + first[0][owner]
+            begins = self.starts[line * self.sizes[1] + first[1][owner]]
+            counts = self.starts[line * self.sizes[1] + last[1][owner] + 1] - begins
+        totals = np.bincount(owner, counts, len(rows)).astype(np.int64)
+        done = np.zeros(len(rows), bool)
+        begin = 0
+        upto, runs = np.cumsum(totals), np.searchsorted(owner, np.arange(len(rows) + 1))
+        while begin < len(rows):  # as many rows at a time as bound the candidates
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + _CANDIDATES, side="right")))
+            some = slice(runs[begin], runs[end])
+            n = counts[some]
+            at = np.repeat(begins[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            row, point = np.repeat(owner[some], n), self.order[at]
+            square = np.zeros(len(row))
+            for i in range(self.points.shape[1]):
+                gap = mine[row, i] - self.points[point, i]
+                square += gap * gap
+            d = np.sqrt(square)
+            by = np.lexsort((point, d, row))
+            row, point, d = row[by], point[by], d[by]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = place < self.k
+            near[rows[row[keep]], place[keep]], away[rows[row[keep]], place[keep]] = point[keep], d[keep]
+            enough = np.flatnonzero(totals[begin:end] >= self.k) + begin
+            # A point in a cell beyond is at the border at least; at just that distance it may win a tie.
+            done[enough] = (away[rows[enough], self.k - 1] < border[enough]) | (border[enough] == np.inf)
+            begin = end
+        return rows[~done]
+
+
+def _broadcast_knn(left: DataFrame, right: DataFrame, k: int, dims: int) -> DataFrame:
+    """The right keys, in tiebreak order, are searched on every executor; the right rows are joined by number afterwards."""
     spark = left.sparkSession
-    rows = right.orderBy(*ties) if ties else right
-    # One row per position, in tiebreak order: a stable sort by distance then breaks ties rightly.
-    keys = rows.select(F.array(*rk).alias("__k"), F.struct(*[F.col(f"`{c}`") for c in right.columns]).alias("__row"))
-    table = keys.toArrow()
-    if table.num_rows > Config(spark).get("join.broadcastRows"):
-        raise ValueError(f"{table.num_rows} rows are too many to broadcast")
-    if not table.num_rows:
-        return left.join(right, F.lit(False)).withColumn("__dist", F.lit(0.0))
-    points = np.array(table["__k"].to_pylist(), dtype=float).reshape(table.num_rows, len(rk))
-    shared = spark.sparkContext.broadcast(points)
-    columns = [f"__x{i}" for i in range(len(rk))]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields)
-    schema = f"{fields}, `__at` array<int>, `__d` array<double>"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        all_points = shared.value
+    right = checkpointed(right.withColumn("rid", F.monotonically_increasing_id()))
+    keys = right.orderBy("t", "rid").select("rid", "q").toArrow()
+    if not keys.num_rows:
+        return left.join(right, F.lit(False)).withColumn("d", F.lit(0.0))
+    ids = keys["rid"].to_numpy()
+    points = np.array(keys["q"].combine_chunks().flatten()).reshape(-1, dims)
+    shared = spark.sparkContext.broadcast((ids, points))
+    schema = left.select("l").schema.add("near", ArrayType(LongType())).add("away", ArrayType(DoubleType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, there = shared.value
+        index = CellIndex(there, k)
         for batch in batches:
-            mine = batch[columns].to_numpy(float)
-            at, away = [], []
-            step = max(1, 2_000_000 // max(1, len(all_points)))
-            for s in range(0, len(mine), step):
-                square = np.zeros((len(mine[s : s + step]), len(all_points)))
-                for i in range(len(columns)):
-                    gap = mine[s : s + step, i : i + 1] - all_points[:, i]
-                    square += gap * gap
-                d = np.sqrt(square)
-                n = min(k, d.shape[1])
-                limit = np.partition(d, n - 1, axis=1)[:, n - 1]
-                row, col = np.nonzero(d <= limit[:, None])
-                order = np.lexsort((col, d[row, col], row))
-                row, col = row[order], col[order]
-                # The first n of each row, of which ties may have more.
-                first = np.searchsorted(row, np.arange(len(d)))
-                take = first[:, None] + np.arange(n)
-                near = col[take]
-                at += near.tolist()
-                away += np.take_along_axis(d, near, axis=1).tolist()
-            out = batch.drop(columns=columns)
-            out["__at"], out["__d"] = at, away
-            yield out
-
-    # Each left row costs as much as there are right rows, so all cores should share a small left side, which may be one file.
+            mine = np.array(batch.column(1).flatten()).reshape(-1, dims)
+            near, away = index.nearest(mine)
+            offsets = pa.array(np.arange(len(mine) + 1, dtype=np.int32) * index.k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(numbers[near].ravel())), pa.ListArray.from_arrays(offsets, pa.array(away.ravel()))], ["l", "near", "away"])
+
+    # All cores should share a small left side, which may be one file.
     cores = spark.sparkContext.defaultParallelism
-    size = int(str(left._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    left = left.repartition(cores) if size < cores * _FILE_BYTES else left
-    found = left.select("*", *[x.alias(c) for x, c in zip(lk, columns, strict=True)]).mapInPandas(run, schema)
-    pairs = found.withColumn("__p", F.explode(F.arrays_zip("__at", "__d"))).select(*[F.col(f"`{c}`") for c in left.columns], F.col("__p.__at").alias("__pos"), F.col("__p.__d").alias("__dist"))
-    positions = spark.createDataFrame(table.drop_columns(["__k"]).append_column("__pos", pa.array(range(table.num_rows), pa.int32())))
-    return pairs.join(positions, "__pos").select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(f"__row.`{c}`") for c in right.columns], "__dist")
+    left = left.repartition(cores) if _bytes(left) < cores * _FILE_BYTES else left
+    found = left.select("l", "p").mapInArrow(run, schema)
+    pairs = found.select("l", F.explode(F.arrays_zip("near", "away")).alias("m")).select("l", F.col("m.near").alias("rid"), F.col("m.away").alias("d"))
+    return pairs.join(right, "rid")
 
 
-def _grid_candidates(left: DataFrame, right: DataFrame, lk: list[Column], rk: list[Column], k: int) -> DataFrame:
-    """Pairs that hold the k nearest right rows of every left row."""
-    right = right.persist()
+def _grid_candidates(left: DataFrame, right: DataFrame, k: int, dims: int) -> DataFrame:
+    """Pairs that hold the k nearest right rows of every left row. Both sides are checkpointed."""
+    lk, rk = _coords("p", dims), _coords("q", dims)
     ends = right.agg(F.count("*"), *[f(x) for x in rk for f in (F.min, F.max)]).first()
     n = ends[0]
     low, high = ends[1::2], ends[2::2]
     if n <= k:  # as right rows in one place are k at most, more than k rows have an extent
-        return left.crossJoin(F.broadcast(right))
-    used = [i for i in range(len(rk)) if high[i] > low[i]][:3]
+        return left.join(F.broadcast(right), F.lit(True))
+    used = [i for i in range(dims) if high[i] > low[i]][:3]
     width = (math.prod(high[i] - low[i] for i in used) * k / n) ** (1 / len(used)) / 2
-    names = [f"c{j}" for j in range(len(used))]
+    # On the last level a block of cells covers everything.
+    levels = list(range(max(1, math.ceil(math.log2(max((high[i] - low[i]) / width for i in used))) + 2)))
+    cells, at, beside = ([f"{c}{j}" for j in range(len(used))] for c in "cab")
 
     def inside(i: int) -> Column:
         return F.greatest(F.lit(low[i]), F.least(F.lit(high[i]), lk[i]))
 
+    def on_level(names: list[str], level: Column, out: list[str]) -> list[Column]:
+        return [F.floor(F.col(c) / F.pow(F.lit(2.0), level)).cast("long").alias(x) for c, x in zip(names, out, strict=True)]
+
     # Left points are moved to the right rows' extent, in the dimensions that have cells.
-    left = left.withColumns({f"__{c}": _cell(inside(i), width) for c, i in zip(names, used, strict=True)})
-    waiting = left.select(*[F.col(f"__{c}").alias(c) for c in names]).distinct().persist()
-    counts = right.groupBy(*[_cell(rk[i], width).alias(c) for c, i in zip(names, used, strict=True)]).agg(F.count("*").alias("n")).persist()
-    block = F.array(*[F.struct(*[F.lit(o).alias(f"o{j}") for j, o in enumerate(off)]) for off in itertools.product((-1, 0, 1), repeat=len(used))])
-    at, beside = [f"p{j}" for j in range(len(used))], [f"q{j}" for j in range(len(used))]
-    resolved, level = None, 0
-    while not waiting.isEmpty():
-        coarse = [F.floor(F.col(c) / 2**level).cast("long") for c in names]
-        cells = waiting.select(*names, *[x.alias(p) for x, p in zip(coarse, at, strict=True)])
-        around = cells.select(*at).distinct().withColumn("o", F.explode(block))
-        around = around.select(*at, *[(F.col(p) + F.col(f"o.o{j}")).alias(q) for j, (p, q) in enumerate(zip(at, beside, strict=True))])
-        sums = counts.groupBy(*[x.alias(q) for x, q in zip(coarse, beside, strict=True)]).agg(F.sum("n").alias("n"))
-        full = around.join(sums, beside).groupBy(*at).agg(F.sum("n").alias("n")).where(F.col("n") >= k)
-        marked = cells.join(full, at, "left").persist()
-        done = marked.where("n is not null").select(*[F.col(c).alias(f"__{c}") for c in names], F.lit(level).alias("__level"))
-        resolved = done if resolved is None else resolved.unionByName(done)
-        waiting, level = marked.where("n is null").select(*names).persist(), level + 1
-    if resolved is None:
-        return left.drop(*[f"__{c}" for c in names]).join(right, F.lit(False))
+    left = left.withColumns({c: _cell(inside(i), width) for c, i in zip(cells, used, strict=True)})
+    every = F.explode(F.array(*map(F.lit, levels))).alias("level")
+    counts = right.groupBy(*[_cell(rk[i], width).alias(c) for c, i in zip(cells, used, strict=True)]).agg(F.count("*").alias("n"))
+    sums = counts.select("*", every).groupBy("level", *on_level(cells, F.col("level"), beside)).agg(F.sum("n").alias("n"))
+    # Coarser cells are fewer, so those of all levels are about as many as the finest.
+    wanted = checkpointed(left.select(*cells).distinct())
+    up = wanted.select(*cells, every).select("level", *cells, *on_level(cells, F.col("level"), at))
+    around = up.select("level", *at).distinct().withColumn("o", F.explode(_around(len(used))))
+    around = around.select("level", *at, *[(F.col(p) + F.col(f"o.o{j}")).alias(q) for j, (p, q) in enumerate(zip(at, beside, strict=True))])
+    full = around.join(sums, ["level", *beside]).groupBy("level", *at).agg(F.sum("n").alias("n")).where(F.col("n") >= k)
+    resolved = up.join(full, ["level", *at]).groupBy(*cells).agg(F.min("level").alias("level"))
     # k right rows lie within two cell widths of the moved point in each such dimension, and within the extent in the others.
     shift = F.sqrt(sum([(lk[i] - inside(i)) * (lk[i] - inside(i)) for i in used], F.lit(0.0)))
-    others = [F.greatest(F.abs(lk[i] - low[i]), F.abs(lk[i] - high[i])) for i in range(len(rk)) if i not in used]
+    others = [F.greatest(F.abs(lk[i] - low[i]), F.abs(lk[i] - high[i])) for i in range(dims) if i not in used]
     rest = F.sqrt(sum([x * x for x in others], F.lit(0.0)))
-    reach = 2 * math.sqrt(len(used)) * width * F.pow(F.lit(2.0), F.col("__level"))
-    here = left.join(resolved, [f"__{c}" for c in names]).withColumn("__bound", (reach + shift + rest) * (1 + 1e-9))
+    reach = 2 * math.sqrt(len(used)) * width * F.pow(F.lit(2.0), F.col("level"))
+    here = left.join(resolved, cells).withColumn("bound", (reach + shift + rest) * (1 + 1e-9))
     # Cells are at least a third of the bound wide, so a row meets eight of them in a dimension at most.
-    here = here.withColumn("__join", F.greatest(F.col("__level"), F.ceil(F.log2(F.col("__bound") / (3 * width))).cast("int"))).persist()
-    pairs = None
-    for row in here.select("__join").distinct().collect():  # as many as levels
-        w = width * 2.0 ** row[0]
-        some, there = here.where(F.col("__join") == row[0]), right
-        for j, i in enumerate(used):
-            first = _cell(F.greatest(F.lit(low[i]), F.least(F.lit(high[i]), lk[i] - F.col("__bound"))), w)
-            last = _cell(F.greatest(F.lit(low[i]), F.least(F.lit(high[i]), lk[i] + F.col("__bound"))), w)
-            some = some.withColumn(f"__g{j}", F.explode(F.sequence(first, last)))
-            there = there.withColumn(f"__h{j}", _cell(rk[i], w))
-        some = some.join(there, [F.col(f"__g{j}") == F.col(f"__h{j}") for j in range(len(used))]).select(*[F.col(f"`{c}`") for c in [*left.columns, *right.columns] if c not in {f"__{c}" for c in names}])
-        pairs = some if pairs is None else pairs.unionByName(some)
-    return pairs
-
-
-def zknn_join(left: DataFrame, right: DataFrame, left_keys: Keys, right_keys: Keys, k: int, tiebreak: list[str] = (), shifts: int | None = None, seed: int = 42, suffixes: tuple[str, str] = ("_l", "_r"), dist_col: str | None = None) -> DataFrame:
-    """An approximate kNN join: candidates are the k right rows before and after each left row on 1 + `shifts` shifted z-curves.
-
-    Curves are cut into buckets at quantiles; a right row is also in the buckets beside its own, so a
-    bucket's edge loses no neighbour unless its neighbours' buckets hold fewer than k rows. Positions on
-    the curve are row numbers within a bucket and candidates come by an equality join on them, so no
-    bucket is gathered in memory. Every left row gets min(k, right rows) matches at best.
+    here = here.withColumn("level", F.greatest(F.col("level"), F.ceil(F.log2(F.col("bound") / (3 * width))).cast("int")))
+    here = checkpointed(here.drop(*cells))
+    in_use = [r[0] for r in here.select("level").distinct().collect()]  # as many as levels
+    if not in_use:
+        return left.drop(*cells).join(right, F.lit(False))
+    w = F.lit(width) * F.pow(F.lit(2.0), F.col("level"))
+    there = right.withColumn("level", F.explode(F.array(*map(F.lit, in_use))))
+    for j, i in enumerate(used):
+        first, last = (_cell(F.greatest(F.lit(low[i]), F.least(F.lit(high[i]), x)), w) for x in (lk[i] - F.col("bound"), lk[i] + F.col("bound")))
+        here = here.withColumn(f"g{j}", F.explode(F.sequence(first, last)))
+        there = there.withColumn(f"g{j}", _cell(rk[i], w))
+    return here.join(there, ["level", *[f"g{j}" for j in range(len(used))]])
+
+
+def _voronoi_candidates(left: DataFrame, right: DataFrame, k: int, dims: int) -> DataFrame:
+    """Pairs that hold the k nearest right rows of every left row, by cells around pivots. Both sides are checkpointed."""
+    spark = left.sparkSession
+    n = Config(spark).get("voronoi.pivots")
+    if right.count() <= k:
+        return left.join(F.broadcast(right), F.lit(True))
+    picked = right.select("q").orderBy(F.xxhash64("q"), "q").limit(n).collect()
+    pivots = np.array(sorted({tuple(x[0]) for x in picked}))
+    near = lambda point: F.array_min(F.array(*[F.struct(g.distance(_coords(point, dims), [F.lit(float(x)) for x in p]).alias("d"), F.lit(i).alias("i")) for i, p in enumerate(pivots)]))
+    left = checkpointed(left.withColumn("m", near("p")).select("*", F.col("m.i").alias("i"), F.col("m.d").alias("away")).drop("m"))
+    right = checkpointed(right.withColumn("m", near("q")).select("*", F.col("m.i").alias("j"), F.col("m.d").alias("off")).drop("m"))
+    widest = {x["i"]: x["u"] for x in left.groupBy("i").agg(F.max("away").alias("u")).collect()}
+    order = Window.partitionBy("j").orderBy("off")
+    # The k smallest distances from each pivot: pivots x k numbers.
+    closest = right.select("j", "off", F.row_number().over(order).alias("n")).where(F.col("n") <= k).collect()
+    table = []
+    for i, u in widest.items():
+        between = np.sqrt(((pivots - pivots[i]) ** 2).sum(axis=1))
+        bound = sorted(u + between[x["j"]] + x["off"] for x in closest)[k - 1] * (1 + 1e-9)
+        table += [(int(i), int(j), float(between[j] - u - bound)) for j in range(len(pivots))]
+    if not table:
+        return left.drop("i", "away").join(right.drop("j", "off"), F.lit(False))
+    reach = spark.createDataFrame(table, "i int, j int, least double")
+    sent = right.join(F.broadcast(reach), "j").where(F.col("off") >= F.col("least")).drop("j", "off", "least")
+    return left.drop("away").join(sent, "i")
+
+
+def _positions(marks: DataFrame) -> DataFrame:
+    """marks (z, kind, id) with `place`: how many of kind 0 stand before, in the order of z, kind and id. No task sees more than a range."""
+    order = ["z", "kind", "id"]
+    parts = checkpointed(marks.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    own = (1 - F.col("kind")).cast("long")
+    totals = parts.groupBy("part").agg(F.sum(own).alias("n"))
+    before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    upto = F.coalesce(F.sum(own).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn("upto", upto).join(F.broadcast(before), "part").select(*order, (F.col("upto") + F.col("before")).alias("place"))
+
+
+def zknn_join(left: DataFrame, right: DataFrame, left_keys: Keys, right_keys: Keys, k: int, tiebreak: list[str] = (), shifts: int | None = None, seed: int = 42, reach: int | None = None, suffixes: tuple[str, str] = ("_l", "_r"), dist_col: str | None = None) -> DataFrame:
+    """An approximate kNN join: candidates are the right rows next to each left row on 1 + `shifts` shifted z-curves, `reach` before and as many after (k if it is larger).
+
+    Both sides are sorted along a curve in ranges, each row gets its position among the right rows from its
+    range's offset, and candidates come by an equality join on positions. Every left row gets min(k, right rows) matches.
     """
-    shifts = Config(left.sparkSession).get("zorder.shifts") if shifts is None else shifts
+    config = Config(left.sparkSession)
+    shifts = config.get("zorder.shifts") if shifts is None else shifts
+    reach = max(k, config.get("zorder.reach") if reach is None else reach)
     left, right, a, b = _named(left, right, suffixes)
-    lk, rk = _keys(left, left_keys, a), _keys(right, right_keys, b)
-    left = left.where(g.known(lk)).withColumn("__id", F.monotonically_increasing_id()).persist()
-    right = right.where(g.known(rk)).withColumn("__rid", F.monotonically_increasing_id()).persist()
-    out = [*[F.col(f"`{n}`") for n in [*a.values(), *b.values()]], *([F.col("__dist").alias(dist_col)] if dist_col else [])]
+    lk, rk = _keys(left_keys, a), _keys(right_keys, b)
+    out = _out(left, right, dist_col)
+    dims = len(lk)
+    left = _packed(left.where(g.known(lk)), "l", p=F.array(*lk)).withColumn("id", F.monotonically_increasing_id())
+    right = _packed(right.where(g.known(rk)), "r", q=F.array(*rk), t=F.struct(F.lit(0).alias("_"), *[column(b[t]) for t in tiebreak])).withColumn("rid", F.monotonically_increasing_id())
+    left, right = checkpointed(left), checkpointed(right)
     n = right.count()
-    dist = g.distance(lk, rk)
     if n == 0 or k <= 0:
-        return left.join(right, F.lit(False)).withColumn("__dist", dist).select(*out)
-    ends = [df.agg(*[f(x) for x in keys for f in (F.min, F.max)]).first() for df, keys in ((left, lk), (right, rk))]
-    d = len(lk)
-    bits = min(20, 62 // d)
-    lows = [min(e[2 * i] for e in ends if e[2 * i] is not None) for i in range(d)]
+        return left.join(right, F.lit(False)).withColumn("d", F.lit(0.0)).select(*out)
+    ends = [df.agg(*[f(x) for x in _coords(c, dims) for f in (F.min, F.max)]).first() for df, c in ((left, "p"), (right, "q"))]
+    bits = min(20, 62 // dims)
+    lows = [min(e[2 * i] for e in ends if e[2 * i] is not None) for i in range(dims)]
     spans = [max(e[2 * i + 1] for e in ends if e[2 * i + 1] is not None) - lo or 1.0 for i, lo in enumerate(lows)]
     rng = np.random.default_rng(seed)
     found = None
     for s in range(shifts + 1):
-        offset = [0.0] * d if s == 0 else rng.random(d).tolist()
-
-        def curve(keys, offset=offset):
-            return g.z_value([F.floor((((x - lo) / span + o) / 2) * (2**bits - 1)).cast("long") for x, lo, span, o in zip(keys, lows, spans, offset, strict=True)], bits)
-
-        zl, zr = left.select("__id", curve(lk).alias("z")), right.select("__rid", curve(rk).alias("z"))
-        m = max(1, n // 20_000)
-        cuts = sorted(set(zr.approxQuantile("z", [i / m for i in range(1, m)], 0.25 / m))) if m > 1 else []
-        bucket = sum([(F.col("z") >= c).cast("int") for c in cuts], F.lit(0))
-        zl = zl.withColumn("bucket", bucket)
-        zr = zr.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-        order = Window.partitionBy("bucket").orderBy("z", "__rid")
-        numbered = zr.withColumn("place", F.row_number().over(order))
-        marks = numbered.select("bucket", "z", F.lit(None).cast("long").alias("__id")).unionByName(zl.select("bucket", "z", "__id"))
-        upto = Window.partitionBy("bucket").orderBy("z").rangeBetween(Window.unboundedPreceding, 0)
-        placed = marks.withColumn("upto", F.sum(F.col("__id").isNull().cast("int")).over(upto)).where("__id is not null")
-        wanted = placed.withColumn("place", F.explode(F.sequence(F.col("upto") - k + 1, F.col("upto") + k)))
-        some = wanted.join(numbered, ["bucket", "place"]).select("__id", "__rid")
+        offset = [0.0] * dims if s == 0 else rng.random(dims).tolist()
+
+        def curve(name, offset=offset):
+            return g.z_value([F.floor((((x - lo) / span + o) / 2) * (2**bits - 1)).cast("long") for x, lo, span, o in zip(_coords(name, dims), lows, spans, offset, strict=True)], bits)
+
+        marks = right.select(curve("q").alias("z"), F.lit(0).alias("kind"), F.col("rid").alias("id")).unionByName(left.select(curve("p").alias("z"), F.lit(1).alias("kind"), "id"))
+        placed = _positions(marks)
+        # At the curve's ends the places beyond are taken from the other side.
+        start = F.greatest(F.lit(0), F.least(F.col("place") - reach, F.lit(n - 2 * reach)))
+        wanted = placed.where("kind = 1").select("id", F.explode(F.sequence(start, F.least(start + 2 * reach - 1, F.lit(n - 1)))).alias("place"))
+        some = wanted.join(placed.where("kind = 0").select(F.col("id").alias("rid"), "place"), "place").select("id", "rid")
         found = some if found is None else found.union(some)
-    pairs = found.distinct().join(left, "__id").join(right, "__rid")
-    nearest = Window.partitionBy("__id").orderBy("__dist", *[b[t] for t in tiebreak])
-    return pairs.withColumn("__dist", dist).withColumn("__n", F.row_number().over(nearest)).where(F.col("__n") <= k).select(*out)
+    pairs = found.distinct().join(left, "id").join(right, "rid")
+    return _nearest(pairs, k, dims).select(*out)

@@ -51,18 +51,32 @@ def str_tiles(df: DataFrame, keys: list[str], tiles: int, name: str = "tile") ->
 
 
 def kd_tiles(df: DataFrame, keys: list[str], depth: int, name: str = "tile") -> DataFrame:
-    """Median splits, the keys in turn: 2 ** depth tiles."""
+    """Median splits, the keys in turn: 2 ** depth tiles.
+
+    The medians are a tree in one array (a node's halves are at 2 n + 1 and 2 n + 2), which each row walks
+    down, so the expression grows with the number of tiles and no more.
+    """
     coords = [F.col(k).cast("double") for k in keys]
     known = df.where(g.known(coords))
-    tile = F.lit(0)
+    tree: list[float] = []
+
+    def node(levels: int) -> Column:
+        if not levels:
+            return F.lit(0)
+        medians, point = F.array(*map(F.lit, tree)), F.array(*coords)
+
+        def step(at: Column, level: Column) -> Column:
+            x = F.get(point, F.pmod(level, F.lit(len(coords))))
+            return at * 2 + F.when(x > F.get(medians, at), 2).otherwise(1)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), F.lit(0), step)
+
     for level in range(depth):
         x = coords[level % len(coords)]
-        medians = {r["t"]: r["m"] for r in known.groupBy(tile.alias("t")).agg(F.percentile_approx(x, 0.5, 1000).alias("m")).collect()}
-        side = F.lit(0)
-        for t, m in medians.items():
-            side = F.when(tile == t, (x > m).cast("int")).otherwise(side)
-        tile = tile * 2 + side
-    return df.withColumn(name, F.when(g.known(coords), tile).otherwise(F.lit(-1)))
+        found = {r["t"]: r["m"] for r in known.groupBy(node(level).alias("t")).agg(F.percentile_approx(x, 0.5, 1000).alias("m")).collect()}
+        # A node without rows has no median; nothing comes by it.
+        tree += [found.get(t, math.inf) for t in range(2**level - 1, 2 ** (level + 1) - 1)]
+    return df.withColumn(name, F.when(g.known(coords), node(depth) - (2**depth - 1)).otherwise(F.lit(-1)))
 
 
 def quad_tiles(df: DataFrame, keys: list[str], depth: int, name: str = "tile") -> DataFrame:

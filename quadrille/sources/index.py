@@ -11,13 +11,17 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.functions import geometry as g
 from quadrille.operators import filters, partition
+from quadrille.plans import predicates
 from quadrille.plans.config import Config
+from quadrille.plans.storage import column
 
 KINDS = ("rtree", "quadtree", "treap", "treemap", "hashmap")
 _TILE = "__tile"
@@ -68,6 +72,57 @@ class Index:
         pruned = self._tiles(lambda a, b: _reach(target, a, b)[0] <= reach)
         return filters.knn(pruned, self.columns, target, k, tiebreak, keep_ties)
 
+    def circles(self, balls: list[tuple[list[float], float]]) -> DataFrame:
+        """Rows in all balls, from the tiles that meet each of them."""
+        pruned = self._tiles(lambda a, b: all(_reach(center, a, b)[0] <= radius * (1 + 1e-9) for center, radius in balls))
+        return filters.circles(pruned, self.columns, balls)
+
+    def circle_count(self, center: list[float], radius: float) -> int:
+        """How many rows are in the ball. Tiles that are all inside are counted by their extents and not read."""
+        whole = [(t, n) for t, low, high, n in self.extents if _reach(center, low, high)[1] <= radius * (1 - 1e-9)]
+        inside = {t for t, _ in whole}
+        border = [t for t, low, high, _ in self.extents if t not in inside and _reach(center, low, high)[0] <= radius * (1 + 1e-9)]
+        if not self.extents:
+            return filters.circle_range(self.rows(), self.columns, center, radius).count()
+        rest = filters.circle_range(self.data.where(F.col(_TILE).isin(border)), self.columns, center, radius).count() if border and radius >= 0 else 0
+        return sum(n for _, n in whole) + rest
+
+    def where(self, predicate) -> DataFrame:
+        """Rows that satisfy a tree of plans.predicates, from the tiles that its disjunctive normal form leaves.
+
+        Nearest neighbours are those of the whole table, whatever stands beside them. The rows of a predicate
+        without them are one scan; with them, results of several conjunctions are united as sets.
+        """
+        config = Config(self.data.sparkSession)
+        plain, found = [], None
+        for conjunction in predicates.to_dnf(predicate, config.get("predicates.maxTerms")):
+            near = [p for p in conjunction if isinstance(p, predicates.InKnn)]
+            if any(isinstance(p, predicates.Not) and isinstance(p.a, predicates.InKnn) for p in conjunction):
+                raise ValueError("the rows that are no nearest neighbours are filters.without(...)")
+            if not near:
+                plain.append(conjunction)
+                continue
+            rows = self.knn(list(near[0].target), near[0].k, list(near[0].tiebreak))
+            for p in near[1:]:
+                rows = filters.both(rows, self.knn(list(p.target), p.k, list(p.tiebreak)))
+            rows = rows.where(_condition([p for p in conjunction if p not in near]))
+            found = rows if found is None else filters.either(found, rows)
+        if plain:
+            bounds = [(predicates.intervals(c, self.columns)[0], [p for p in c if isinstance(p, predicates.InCircle) and list(p.columns) == self.columns]) for c in plain]
+
+            def may_hold(low, high) -> bool:
+                return any(
+                    all(not i.empty() and x <= i.high and y >= i.low for x, y, i in zip(low, high, intervals, strict=True)) and all(_reach(list(p.center), low, high)[0] <= p.radius * (1 + 1e-9) for p in balls)
+                    for intervals, balls in bounds
+                )
+
+            test = reduce(lambda a, b: a | b, map(_condition, plain))
+            outside = set(self.columns) - {c for p in plain for leaf in p for c in _leaf_columns(leaf)}
+            # A row without a tile has an unknown coordinate, and may satisfy what doesn't ask for that.
+            rows = (self.rows() if outside or not self.extents else self._tiles(may_hold)).where(test)
+            found = rows if found is None else filters.either(found, rows)
+        return found
+
     def equals(self, value) -> DataFrame:
         return self.rows().where(F.col(self.columns[0]) == value)
 
@@ -130,6 +185,23 @@ class Registry:
                 return index
         return None
 
+    def for_query(self, df: DataFrame, columns: list[str]) -> Index | None:
+        """The index by which a query on these columns of a DataFrame may be answered."""
+        return next((i for i in self._indexes.values() if i.source is not None and i.columns == list(columns) and i.source.sameSemantics(df)), None)
+
+    def range(self, df: DataFrame, columns: list[str], low: list[float], high: list[float]) -> DataFrame:
+        """filters.range_query of a DataFrame, through an index of it if there is one; so are the others."""
+        index = self.for_query(df, columns)
+        return index.range(low, high) if index and index.kind != "hashmap" else filters.range_query(df, columns, low, high)
+
+    def circle(self, df: DataFrame, columns: list[str], center: list[float], radius: float) -> DataFrame:
+        index = self.for_query(df, columns)
+        return index.circle(center, radius) if index and index.extents else filters.circle_range(df, columns, center, radius)
+
+    def knn(self, df: DataFrame, columns: list[str], target: list[float], k: int, tiebreak: list[str] = ()) -> DataFrame:
+        index = self.for_query(df, columns)
+        return index.knn(target, k, tiebreak) if index and index.extents else filters.knn(df, columns, target, k, tiebreak)
+
     def show(self, table: str | None = None) -> DataFrame:
         rows = [(i.table, i.name, ",".join(i.columns), i.kind, i.path, str(i.level)) for i in self._indexes.values() if table in (None, i.table)]
         return self.spark.createDataFrame(rows, "table string, name string, columns string, type string, path string, storage string")
@@ -182,3 +254,26 @@ def _extents(data: DataFrame, columns: list[str]) -> list[tuple]:
     ends = [f(F.col(c).cast("double")) for c in columns for f in (F.min, F.max)]
     rows = data.where(F.col(_TILE) >= 0).groupBy(_TILE).agg(*ends, F.count("*")).collect()
     return [(r[0], list(r[1:-1:2]), list(r[2:-1:2]), r[-1]) for r in rows]
+
+
+def _leaf_columns(p) -> tuple[str, ...]:
+    p = p.a if isinstance(p, predicates.Not) else p
+    return (p.column,) if isinstance(p, predicates.Leaf) else tuple(p.columns)
+
+
+def _condition(conjunction: list):
+    """The Column of a conjunction of leaves."""
+    tests = [F.lit(True)]
+    for p in conjunction:
+        inner = p.a if isinstance(p, predicates.Not) else p
+        if isinstance(inner, predicates.Leaf):
+            x = column(inner.column)
+            test = {"=": x == inner.value, "<": x < inner.value, "<=": x <= inner.value, ">": x > inner.value, ">=": x >= inner.value}[inner.op]
+        elif isinstance(inner, predicates.InBox):
+            test = g.intersects(g.Point([column(c).cast("double") for c in inner.columns]), g.Box.of(list(inner.low), list(inner.high)))
+        elif isinstance(inner, predicates.InCircle):
+            test = g.intersects(g.Point([column(c).cast("double") for c in inner.columns]), g.Circle.of(list(inner.center), inner.radius))
+        else:
+            raise ValueError(f"not a predicate: {p}")
+        tests.append(~test if isinstance(p, predicates.Not) else test)
+    return reduce(lambda a, b: a & b, tests)

@@ -1,5 +1,6 @@
 """Indexes, partitioners, predicates, settings, SQL functions and streams."""
 
+import math
 import random
 
 import pytest
@@ -10,7 +11,7 @@ from quadrille.functions import sql as sql_functions
 from quadrille.operators import filters, partition
 from quadrille.operators.joins import knn_join
 from quadrille.plans.config import Config
-from quadrille.plans.predicates import And, Interval, Leaf, Not, Or, intervals, leaf_interval, partitions_for, to_cnf, to_dnf
+from quadrille.plans.predicates import And, InBox, InCircle, InKnn, Interval, Leaf, Not, Or, intervals, leaf_interval, partitions_for, to_cnf, to_dnf
 from quadrille.sources.index import Registry
 from quadrille.streaming import spatial
 
@@ -197,3 +198,89 @@ def test_streams(spark, tmp_path):
     from quadrille.operators.filters import knn
 
     assert last["ids"] == sorted(r["event_id"] for r in knn(events, keys, [30, 100], 5, ["event_id"]).collect())
+
+
+def test_deep_kd_tiles(spark):
+    """256 tiles of equal counts over 20,000 rows, and fewer where rows share places."""
+    r = random.Random(12)
+    rows = [(r.random(), r.random()) for _ in range(20_000)]
+    counts = [x["count"] for x in partition.kd_tiles(spark.createDataFrame(rows, "x double, y double"), ["x", "y"], 8).groupBy("tile").count().collect()]
+    assert len(counts) == 256 and sum(counts) == 20_000 and max(counts) < 1.5 * 20_000 / 256
+    same = partition.kd_tiles(spark.createDataFrame([(1.0, 1.0)] * 50 + [(2.0, None)], "x double, y double"), ["x", "y"], 5).groupBy("tile").count().collect()
+    assert sorted(x["count"] for x in same) == [1, 50]
+
+
+def test_normal_forms_are_bounded():
+    p = Leaf("a", "=", 0)
+    for k in range(20):
+        p = And(p, Or(Leaf("a", "<", k), Leaf("b", ">", k)))
+    with pytest.raises(ValueError, match="terms"):
+        to_dnf(p)
+    assert len(to_cnf(p)) == 21
+
+
+def test_mixed_predicates_on_an_index(spark):
+    """Random trees of comparisons, boxes, balls and nearest neighbours against the same on plain rows."""
+    r = random.Random(13)
+    rows = [(k, r.uniform(0, 10), r.uniform(0, 10), r.randint(0, 5)) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, n int")
+    index = Registry(spark).create(df, "rtree", "mixed", ["x", "y"], 16)
+    keys = ("x", "y")
+    near = lambda p: {x[0] for x in sorted(rows, key=lambda x: (math.hypot(x[1] - p.target[0], x[2] - p.target[1]), x[0]))[: p.k]}
+
+    def leaf():
+        a, b = r.uniform(0, 10), r.uniform(0, 10)
+        return r.choice([Leaf(r.choice(["x", "y", "n"]), r.choice(["<", "<=", ">", ">=", "="]), r.choice([a, 3])), InBox(keys, (a, b), (a + 3, b + 4)), InCircle(keys, (a, b), 2.5), InKnn(keys, (a, b), 30, ("id",))])
+
+    def tree(depth):
+        if not depth:
+            return leaf()
+        a, b = tree(depth - 1), tree(depth - 1)
+        return r.choice([And(a, b), Or(a, b), And(a, b) if isinstance(b, InKnn) or depth > 1 else And(a, Not(b))])
+
+    def holds(p, row):
+        if isinstance(p, And):
+            return holds(p.a, row) and holds(p.b, row)
+        if isinstance(p, Or):
+            return holds(p.a, row) or holds(p.b, row)
+        if isinstance(p, Not):
+            return not holds(p.a, row)
+        if isinstance(p, InKnn):
+            return row[0] in near(p)
+        _, x, y, n = row
+        if isinstance(p, Leaf):
+            return leaf_interval(p).holds({"x": x, "y": y, "n": n}[p.column])
+        if isinstance(p, InBox):
+            return p.low[0] <= x <= p.high[0] and p.low[1] <= y <= p.high[1]
+        return math.hypot(x - p.center[0], y - p.center[1]) <= p.radius
+
+    for k in range(12):
+        p = tree(k % 3)
+        assert sorted(x["id"] for x in index.where(p).collect()) == [row[0] for row in rows if holds(p, row)], p
+    box = And(InBox(keys, (1, 1), (2, 2)), InCircle(keys, (1.5, 1.5), 0.5))
+    assert "tile" in index.where(box)._jdf.queryExecution().optimizedPlan().toString()
+    for center, radius in (([5, 5], 3.0), ([5, 5], 30.0), ([0, 0], 0.0), ([5, 5], -1.0)):
+        assert index.circle_count(center, radius) == sum(math.hypot(x - center[0], y - center[1]) <= radius for _, x, y, _ in rows)
+    balls = [([5, 5], 3.0), ([6, 5], 3.0)]
+    assert index.circles(balls).count() == sum(all(math.hypot(x - c[0], y - c[1]) <= d for c, d in balls) for _, x, y, _ in rows)
+
+
+def test_queries_find_their_index(spark):
+    df = spark.range(200).selectExpr("id", "id % 17 * 1.0 AS x", "id % 13 * 1.0 AS y")
+    registry = Registry(spark)
+    want = [sorted(x["id"] for x in q.collect()) for q in (registry.range(df, ["x", "y"], [2, 2], [5, 9]), registry.circle(df, ["x", "y"], [4, 4], 2.5), registry.knn(df, ["x", "y"], [4, 4], 9, ["id"]))]
+    registry.create(df, "rtree", "found", ["x", "y"], 9)
+    again = spark.range(200).selectExpr("id", "id % 17 * 1.0 AS x", "id % 13 * 1.0 AS y")
+    found = registry.range(again, ["x", "y"], [2, 2], [5, 9]), registry.circle(again, ["x", "y"], [4, 4], 2.5), registry.knn(again, ["x", "y"], [4, 4], 9, ["id"])
+    assert [sorted(x["id"] for x in q.collect()) for q in found] == want
+    assert all("InMemoryRelation" in q._jdf.queryExecution().optimizedPlan().toString() or "__tile" in q._jdf.queryExecution().toString() for q in found)
+    assert registry.for_query(again, ["y", "x"]) is None and registry.for_query(again.where("x > 1"), ["x", "y"]) is None
+
+
+def test_settings_of_the_session_are_checked(spark):
+    spark.conf.set("quadrille.join.knn", "magic")
+    try:
+        with pytest.raises(ValueError):
+            Config(spark).get("join.knn")
+    finally:
+        spark.conf.unset("quadrille.join.knn")

@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from quadrille.functions import geometry as g
@@ -97,7 +99,7 @@ def test_distance_join_strategies(spark, dims, r):
     left, right = lattice(1, 60, dims), lattice(2, 50, dims)
     expected = sorted((a[0], b[0], dist(a, b)) for a in left for b in right if good(a) and good(b) and dist(a, b) <= r)
     keys = [f"k{d}" for d in range(dims)]
-    for strategy, salt in (("grid", 1), ("grid", 3), ("nested_loop", 1)):
+    for strategy, salt in (("grid", 1), ("grid", 3), ("nested_loop", 1), ("block", 1), ("broadcast", 1)):
         got = joins.distance_join(frame(spark, left, dims), frame(spark, right, dims), keys, keys, r, strategy, dist_col="d", salt=salt)
         assert got.columns == ["id_l", *[f"{k}_l" for k in keys], "id_r", *[f"{k}_r" for k in keys], "d"]
         assert sorted((x["id_l"], x["id_r"], x["d"]) for x in got.collect()) == expected
@@ -123,7 +125,7 @@ def test_knn_join_strategies(spark, dims, k):
             near = sorted((dist(a, b), b[0]) for b in right if good(b))[:k]
             expected += [(a[0], b, d) for d, b in near]
     keys = [f"k{d}" for d in range(dims)]
-    for strategy in ("grid", "broadcast", "nested_loop"):
+    for strategy in ("grid", "broadcast", "nested_loop", "voronoi"):
         got = joins.knn_join(frame(spark, left, dims), frame(spark, right, dims), keys, keys, k, ["id"], strategy, dist_col="d")
         assert sorted((x["id_l"], x["id_r"], x["d"]) for x in got.collect()) == sorted(expected), strategy
 
@@ -133,18 +135,94 @@ def test_joins_with_empty_sides(spark):
     keys = ["k0", "k1"]
     for a, b in ((some, none), (none, some)):
         assert joins.distance_join(a, b, keys, keys, 1.0).count() == 0
-        for strategy in ("grid", "broadcast", "nested_loop", "zorder"):
+        for strategy in ("grid", "broadcast", "nested_loop", "voronoi", "zorder"):
             assert joins.knn_join(a, b, keys, keys, 2, strategy=strategy).count() == 0
 
 
-def test_z_order_recall(spark):
-    r = random.Random(6)
-    left = [(k, r.uniform(-5, 5), r.uniform(-5, 5)) for k in range(200)]
-    right = [(k, r.uniform(-5, 5), r.uniform(-5, 5)) for k in range(400)]
-    exact = {(a[0], b) for a in left for _, b in sorted((dist(a, b), b[0]) for b in right)[:5]}
+@pytest.mark.parametrize("seed", [6, 7])
+@pytest.mark.parametrize("n", [400, 3000])
+def test_z_order_recall(spark, seed, n):
+    r = np.random.default_rng(seed)
+    a, b = r.uniform(-5, 5, (200, 2)), np.concatenate([r.uniform(-5, 5, (n // 2, 2)), r.normal(1, 0.1, (n // 2, 2))])
+    left, right = ([(k, *map(float, x)) for k, x in enumerate(rows)] for rows in (a, b))
+    near = np.argsort(((a[:, None] - b[None]) ** 2).sum(axis=2), axis=1)[:, :5]
+    exact = {(k, int(x)) for k, row in enumerate(near) for x in row}
     got = {(x["id_l"], x["id_r"]) for x in joins.zknn_join(frame(spark, left, 2), frame(spark, right, 2), ["k0", "k1"], ["k0", "k1"], 5, ["id"]).collect()}
     assert len(got) == 1000
-    assert len(got & exact) / len(exact) >= 0.85
+    assert len(got & exact) / len(exact) >= 0.9
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "grid", "auto"])
+def test_knn_join_over_many_right_rows(spark, strategy):
+    """300,000 right rows, a third of them in one small place."""
+    r = np.random.default_rng(8)
+    b = np.concatenate([r.uniform(0, 100, (200_000, 2)), r.normal(20, 0.01, (100_000, 2))])
+    a = np.concatenate([r.uniform(-10, 110, (60, 2)), r.normal(20, 0.01, (20, 2))])
+    tables = [spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "k0": x[:, 0], "k1": x[:, 1]})) for x in (a, b)]
+    got = joins.knn_join(*tables, ["k0", "k1"], ["k0", "k1"], 4, ["id"], strategy).select("id_l", "id_r").collect()
+    d = np.sqrt(((a[:, None, :] - b[None]) ** 2).sum(axis=2))
+    assert {tuple(x) for x in got} == {(k, int(x)) for k, row in enumerate(np.argsort(d, axis=1)[:, :4]) for x in row}
+
+
+def test_cells_find_what_all_points_do():
+    r = np.random.default_rng(9)
+    for dims, n, k in ((1, 500, 3), (2, 2000, 5), (3, 700, 4), (2, 4, 9), (2, 300, 300)):
+        points = np.round(r.normal(0, 3, (n, dims)), 1)  # many ties
+        places = np.concatenate([np.round(r.normal(0, 4, (100, dims)), 1), np.full((1, dims), 1e6)])
+        near, away = joins.CellIndex(points, k).nearest(places)
+        d = np.sqrt(sum((places[:, None, i] - points[None, :, i]) ** 2 for i in range(dims)))
+        want = np.argsort(d, axis=1, kind="stable")[:, : min(k, n)]
+        assert (near == want).all()
+        assert (away == np.take_along_axis(d, want, axis=1)).all()
+
+
+def test_too_large_sides_are_not_broadcast(spark):
+    df, config = frame(spark, lattice(5, 30, 2), 2), Config(spark)
+    config.set("join.broadcastRows", 5)
+    try:
+        for join in (lambda: joins.knn_join(df, df, ["k0"], ["k0"], 1, strategy="broadcast"), lambda: joins.distance_join(df, df, ["k0"], ["k0"], 1.0, "broadcast")):
+            with pytest.raises(ValueError, match="too many to broadcast"):
+                join()
+        assert joins.knn_join(df, df, ["k0"], ["k0"], 1, ["id"]).count() == 30 + 1
+    finally:
+        config.unset("join.broadcastRows")
+
+
+ODD_NAMES = ["__c0", "__o", "__salt", "__id", "l", "r", "p", "q", "d", "t", "id", "rid", "place", "level", "a.b", "c`d"]
+
+
+def test_joins_keep_columns_of_any_name(spark):
+    left, right = (spark.createDataFrame([(float(k % 5), *range(k, k + len(ODD_NAMES))) for k in range(n)], ", ".join(["x double", *[f"`{c.replace('`', '``')}` long" for c in ODD_NAMES]])) for n in (20, 12))
+    for pairs in (
+        *[joins.distance_join(left, right, ["x"], ["x"], 1.0, s, salt=2) for s in ("grid", "block", "broadcast")],
+        *[joins.knn_join(left, right, ["x"], ["x"], 2, ["__id"], s) for s in ("grid", "broadcast", "voronoi", "block", "zorder")],
+        joins.shape_join(left, right, lambda c: g.Box.of([c("x"), c("x")], [c("x") + 1, c("x") + 1]), lambda c: g.Point.of(c("x"), c("x"))),
+    ):
+        assert pairs.columns == [f"{c}{s}" for s in ("_l", "_r") for c in ["x", *ODD_NAMES]]
+        rows = pairs.collect()
+        assert rows
+        for row in rows:
+            for s in ("_l", "_r"):
+                first = row[f"{ODD_NAMES[0]}{s}"]
+                assert [row[f"{c}{s}"] for c in ODD_NAMES] == list(range(first, first + len(ODD_NAMES)))
+
+
+def test_shape_join(spark):
+    """Boxes of sizes that differ by four powers of ten, and circles."""
+    r = random.Random(10)
+    boxes = [(k, x := r.uniform(-50, 50), y := r.uniform(-50, 50), x + 10 ** r.uniform(-2, 2), y + 10 ** r.uniform(-2, 2)) for k in range(120)] + [(500, None, 1.0, 2.0, 2.0), (501, 0.0, 0.0, 0.0, 0.0), (502, -1e4, -1e4, 1e4, 1e4)]
+    a = spark.createDataFrame(boxes, "id long, lx double, ly double, hx double, hy double")
+    box = lambda c: g.Box.of([c("lx"), c("ly")], [c("hx"), c("hy")])
+    known = [b for b in boxes if None not in b]
+    meet = lambda p, q, r=0: math.hypot(max(q[1] - p[3], p[1] - q[3], 0), max(q[2] - p[4], p[2] - q[4], 0)) <= r
+    for reach in (0, 3.0):
+        got = sorted((x["id_l"], x["id_r"]) for x in joins.shape_join(a, a, box, box, reach).collect())
+        assert got == sorted((p[0], q[0]) for p in known for q in known if meet(p, q, reach))
+    circle = lambda c: g.Circle.of([c("lx"), c("ly")], c("hx") - c("lx"))
+    got = sorted((x["id_l"], x["id_r"]) for x in joins.shape_join(a, a, box, circle, dist_col="far").collect())
+    apart = lambda p, q: math.hypot(max(p[1] - q[1], q[1] - p[3], 0), max(p[2] - q[2], q[2] - p[4], 0))
+    assert got == sorted((p[0], q[0]) for p in known for q in known if apart(p, q) <= q[3] - q[1])
+    assert joins.shape_join(a.limit(0), a, box, box).count() == 0
 
 
 def test_join_errors(spark):
@@ -176,7 +254,7 @@ def test_wide_right_rows_are_not_broadcast(spark):
     config.set("join.broadcastBytes", 1000)
     try:
         near = joins.knn_join(left, right, ["x", "y"], ["x", "y"], 3, ["b"])
-        assert "MapInPandas" not in near._jdf.queryExecution().toString()
+        assert "MapInArrow" not in near._jdf.queryExecution().toString()
         assert sorted((r["a"], r["b"]) for r in near.collect()) == want
     finally:
         config.unset("join.broadcastBytes")
