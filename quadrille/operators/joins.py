@@ -176,11 +176,19 @@ def shape_join(left: DataFrame, right: DataFrame, left_shape, right_shape, r: fl
         size = F.greatest(F.get(high, F.lit(0)) - F.get(low, F.lit(0)), F.get(high, F.lit(1)) - F.get(low, F.lit(1)))
         # A power of two that is no smaller than the box: it covers two cells of this width in a dimension at most.
         level = F.greatest(F.lit(-_LEVELS), F.least(F.lit(_LEVELS), F.ceil(F.log2(F.greatest(size, F.lit(1e-300)))))).cast("int")
-        rows.append(checkpointed(packed.where(g.known([F.get(x, F.lit(k)) for x in (low, high) for k in range(2)])).withColumn(f"{name}v", level)))
-    # As many as there are powers of two between the sizes of boxes, and no level that only points would need.
-    floor_ = max([x[0] for x in rows[0].agg(F.percentile_approx("lv", 0.5)).union(rows[1].agg(F.percentile_approx("rv", 0.5))).collect() if x[0] is not None], default=0)
-    rows = [df.withColumn(f"{n}v", F.greatest(f"{n}v", F.lit(floor_))) for df, n in zip(rows, "lr", strict=True)]
-    levels = sorted({x[0] for x in rows[0].select("lv").union(rows[1].select("rv")).distinct().collect()})
+        rows.append(packed.where(g.known([F.get(x, F.lit(k)) for x in (low, high) for k in range(2)])).withColumn(f"{name}v", level))
+    # As many rows as there are powers of two between the sizes of boxes. No level is finer than half of the boxes of a side need.
+    sizes = rows[0].select(F.lit(0).alias("side"), F.col("lv").alias("v")).unionByName(rows[1].select(F.lit(1).alias("side"), F.col("rv").alias("v")))
+    found = sizes.groupBy("side", "v").agg(F.count("*").alias("n")).orderBy("side", "v").collect()
+    finest = -_LEVELS
+    for side in range(2):
+        mine = [(x["v"], x["n"]) for x in found if x["side"] == side]
+        upto = itertools.accumulate(n for _, n in mine)
+        finest = max([finest, *[v for (v, _), so_far in zip(mine, upto, strict=True) if 2 * so_far >= sum(n for _, n in mine)][:1]])
+    levels = sorted({max(x["v"], finest) for x in found})
+    rows = [df.withColumn(f"{n}v", F.greatest(f"{n}v", F.lit(finest))) for df, n in zip(rows, "lr", strict=True)]
+    if not levels:
+        levels = [0]
     parts = []
     for df, n in zip(rows, "lr", strict=True):
         df = df.withColumn(f"{n}w", F.explode(_levels_from(levels, F.col(f"{n}v"))))
@@ -444,8 +452,8 @@ def _voronoi_candidates(left: DataFrame, right: DataFrame, k: int, dims: int) ->
 
 
 def _positions(marks: DataFrame) -> DataFrame:
-    """marks (z, kind, id) with `place`: how many of kind 0 stand before, in the order of z, kind and id. No task sees more than a range."""
-    order = ["z", "kind", "id"]
+    """marks (curve, z, kind, id) with `place`: how many of kind 0 stand before, in the order of these. No task sees more than a range."""
+    order = ["curve", "z", "kind", "id"]
     parts = checkpointed(marks.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     own = (1 - F.col("kind")).cast("long")
     totals = parts.groupBy("part").agg(F.sum(own).alias("n"))
@@ -478,19 +486,18 @@ def zknn_join(left: DataFrame, right: DataFrame, left_keys: Keys, right_keys: Ke
     lows = [min(e[2 * i] for e in ends if e[2 * i] is not None) for i in range(dims)]
     spans = [max(e[2 * i + 1] for e in ends if e[2 * i + 1] is not None) - lo or 1.0 for i, lo in enumerate(lows)]
     rng = np.random.default_rng(seed)
-    found = None
-    for s in range(shifts + 1):
-        offset = [0.0] * dims if s == 0 else rng.random(dims).tolist()
-
-        def curve(name, offset=offset):
-            return g.z_value([F.floor((((x - lo) / span + o) / 2) * (2**bits - 1)).cast("long") for x, lo, span, o in zip(_coords(name, dims), lows, spans, offset, strict=True)], bits)
-
-        marks = right.select(curve("q").alias("z"), F.lit(0).alias("kind"), F.col("rid").alias("id")).unionByName(left.select(curve("p").alias("z"), F.lit(1).alias("kind"), "id"))
-        placed = _positions(marks)
-        # At the curve's ends the places beyond are taken from the other side.
-        start = F.greatest(F.lit(0), F.least(F.col("place") - reach, F.lit(n - 2 * reach)))
-        wanted = placed.where("kind = 1").select("id", F.explode(F.sequence(start, F.least(start + 2 * reach - 1, F.lit(n - 1)))).alias("place"))
-        some = wanted.join(placed.where("kind = 0").select(F.col("id").alias("rid"), "place"), "place").select("id", "rid")
-        found = some if found is None else found.union(some)
+    offsets = [[0.0] * dims, *(rng.random(dims).tolist() for _ in range(shifts))]
+
+    def curves(name: str) -> Column:
+        """(curve, z) of a point, for every curve."""
+        steps = lambda offset: [F.floor((((x - lo) / span + o) / 2) * (2**bits - 1)).cast("long") for x, lo, span, o in zip(_coords(name, dims), lows, spans, offset, strict=True)]
+        return F.explode(F.array(*[F.struct(F.lit(s).alias("curve"), g.z_value(steps(offset), bits).alias("z")) for s, offset in enumerate(offsets)])).alias("c")
+
+    marks = right.select(curves("q"), F.lit(0).alias("kind"), F.col("rid").alias("id")).unionByName(left.select(curves("p"), F.lit(1).alias("kind"), "id"))
+    # The n right rows of each curve stand together. At a curve's ends the places beyond are taken from the other side.
+    placed = _positions(marks.select("c.curve", "c.z", "kind", "id")).withColumn("place", F.col("place") - F.col("curve") * n)
+    start = F.greatest(F.lit(0), F.least(F.col("place") - reach, F.lit(n - 2 * reach)))
+    wanted = placed.where("kind = 1").select("curve", "id", F.explode(F.sequence(start, F.least(start + 2 * reach - 1, F.lit(n - 1)))).alias("place"))
+    found = wanted.join(placed.where("kind = 0").select("curve", F.col("id").alias("rid"), "place"), ["curve", "place"]).select("id", "rid")
     pairs = found.distinct().join(left, "id").join(right, "rid")
     return _nearest(pairs, k, dims).select(*out)
