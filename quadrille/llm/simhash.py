@@ -91,7 +91,8 @@ def links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     close = F.expr("bit_count(a ^ b) <= 2")
     twos = shared.where("n = 2").where(close & first).select("a", "b")
 
-    few = variants.join(shared.where((F.col("n") > 2) & (F.col("n") <= hot_bucket)).select("key"), "key", "left_semi")
+    # Shuffled at every size: the join of few with itself then needs no shuffle of its own.
+    few = variants.join(shared.where((F.col("n") > 2) & (F.col("n") <= hot_bucket)).select("key").hint("merge"), "key", "left_semi")
     left, right = few.withColumnRenamed("fp", "a"), few.withColumnRenamed("fp", "b").withColumnRenamed("key", "key2")
     pairs = left.join(right, (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & close & first).select("a", "b")
 
