@@ -25,6 +25,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from itertools import islice
+from sys import getsizeof
 
 import duckdb
 import numpy as np
@@ -37,9 +38,11 @@ from pyspark.sql.types import StructType
 from quadrille.llm.common import BATCH_ROWS, arrow_schema, bound_batches, make_batch, table
 
 SQL_WORD = 256
-#: Words in a DuckDB query and in a piece of a long text, and bytes of them; words in the cache, and what its strings take.
+#: Words in a DuckDB query and in a piece of a long text, and bytes of them; words in the cache, and bytes of memory that it takes.
 QUERY_WORDS, PIECE_WORDS, QUERY_BYTES = 40_000, 200_000, 4_000_000
-CACHE_WORDS, CACHE_BYTES = 1_000_000, 256_000_000
+CACHE_WORDS, CACHE_BYTES = 1_000_000, 64_000_000
+#: Bytes of a word's entries in the two dictionaries: 24 and an index of 4 each, in tables that are half empty on average.
+ENTRY_BYTES = 2 * 2 * (24 + 4)
 #: Characters of text that are gathered before DuckDB is asked about their new words.
 GATHER_CHARS = 2_000_000
 DUCKDB_MEMORY = "200MB"
@@ -174,9 +177,10 @@ class Bpe:
 
 
 class CachedBpe:
-    """A Bpe that remembers the ids, and the bytes decoded from them, of up to CACHE_WORDS words of CACHE_BYTES.
+    """A Bpe that remembers the ids, and the bytes decoded from them, of up to CACHE_WORDS words in CACHE_BYTES of memory.
 
-    When it is full, the half that it met first stays: frequent words are met early.
+    When it is full, the half that it met first stays: frequent words are met early. What the words of one
+    call of `learn` take comes on top, as the caller needs them all.
     """
 
     def __init__(self, path: str) -> None:
@@ -192,12 +196,12 @@ class CachedBpe:
             ids, decoded = self.bpe.round_trip([w.encode() for w in some])
             self.ids.update(zip(some, ids, strict=True))
             self.decoded.update(zip(some, decoded, strict=True))
-            self.size += sum(map(len, ids)) + 2 * sum(map(len, decoded))
+            self.size += sum(map(_weight, some, ids, decoded))
 
     def _forget(self) -> None:
         kept, size = 0, 0
         for word, ids in self.ids.items():
-            size += len(ids) + 2 * len(self.decoded[word])
+            size += _weight(word, ids, self.decoded[word])
             if kept >= CACHE_WORDS // 2 or size > CACHE_BYTES // 2:
                 break
             kept, self.size = kept + 1, size
@@ -209,6 +213,11 @@ class CachedBpe:
         return " ".join(map(self.ids.__getitem__, words)), b"".join(map(self.decoded.__getitem__, words))
 
 
+def _weight(word: str, ids: str, decoded: bytes) -> int:
+    """Bytes of memory that a word takes in the cache; most words are short, so the objects count for more than what they say."""
+    return getsizeof(word) + getsizeof(ids) + getsizeof(decoded) + ENTRY_BYTES
+
+
 def _bounded(words: set[str]) -> Iterator[list[str]]:
     """The words in lists of QUERY_WORDS, and of QUERY_BYTES and a word, at most."""
     some, size = [], 0

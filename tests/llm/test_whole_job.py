@@ -2,12 +2,14 @@
 
 import math
 import random
+import sys
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.llm import chat, license_scan, lm, media, quality
+from quadrille.llm import bpe, chat, license_scan, lm, media, quality
 
 # Language model
 
@@ -143,3 +145,23 @@ def test_whole_examples_have_all_turns_before(spark):
             assert chat.unescape(x["text"][x["loss_start"] : x["loss_end"]]) == said[-1][1]
             replies.setdefault(x["conv_id"], []).append(len(said))
     assert replies == {c: [k + 1 for k in range(20) if k % 3 == 2] for c in (1, 2)}
+
+
+# Byte pairs
+
+
+def test_bpe_cache_is_bounded_in_memory(monkeypatch):
+    """The bound holds for the objects that the cache keeps, not just for what their strings say; what goes is encoded anew."""
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1_000_000)
+    cache, step = bpe.CachedBpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), 500
+    rounds = [[f" w{k}x" for k in range(n, n + step)] for n in range(0, 8_000, step)]
+    first = None
+    for words in [*rounds, rounds[0], rounds[8]]:
+        cache.learn(set(words))
+        ids, decoded = cache.encode(words)
+        assert decoded.decode() == "".join(words)
+        if words == rounds[8]:
+            first = first or ids
+            assert ids == first
+        held = sum(map(sys.getsizeof, [*cache.ids, *cache.ids.values(), *cache.decoded.values(), cache.ids, cache.decoded]))
+        assert held <= bpe.CACHE_BYTES + 400 * step
