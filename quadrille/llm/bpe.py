@@ -6,7 +6,7 @@ byte at first. A recursive query joins each token and its right neighbour to the
 contracts, in every word, the leftmost pair of minimum rank, until no word has a pair left. The merge
 table has every pair of tokens whose bytes together are a token, with that token's id as its rank, so
 the result is that of the rank file's own encoder. Decoding joins the ids to the vocabulary and
-aggregates the bytes in order.
+aggregates the bytes in order; for a document's ids, a worker looks each id up in the vocabulary once.
 
 A round of SQL merges one pair of each word, so words of over SQL_WORD bytes would need as many rounds
 as bytes over as many rows; they take the same contraction, leftmost minimum first, from a heap. What a
@@ -23,13 +23,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
+from itertools import islice, pairwise
 from sys import getsizeof
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +42,8 @@ SQL_WORD = 256
 #: Words in a DuckDB query and in a piece of a long text, and bytes of them; words in the cache, and bytes of memory that it takes.
 QUERY_WORDS, PIECE_WORDS, QUERY_BYTES = 40_000, 200_000, 4_000_000
 CACHE_WORDS, CACHE_BYTES = 1_000_000, 64_000_000
-#: Bytes of a word's entries in the two dictionaries: 24 and an index of 4 each, in tables that are half empty on average.
-ENTRY_BYTES = 2 * 2 * (24 + 4)
+#: Bytes of a word's entry in the dictionary: 24 and an index of 4, in tables that are half empty on average.
+ENTRY_BYTES = 2 * (24 + 4)
 #: Characters of text that are gathered before DuckDB is asked about their new words.
 GATHER_CHARS = 2_000_000
 DUCKDB_MEMORY = "200MB"
@@ -65,7 +66,7 @@ WITH RECURSIVE steps(i, k, t) AS (
     WHERE best IS NULL OR left_k IS NULL OR left_k >> 32 <> k >> 32 OR left_k & 4294967295 <> best & 4294967295))
 SELECT (k >> 32)::INTEGER, (k & 4294967295)::INTEGER, t FROM steps WHERE i < 0
 """
-_IDS = "SELECT w, string_agg(t::VARCHAR, ' ' ORDER BY p) AS ids FROM encoded GROUP BY w"
+_TOKENS = "SELECT w, t FROM encoded ORDER BY w, p"
 _DECODE = "SELECT w, string_agg(hex, '' ORDER BY p) AS hex FROM encoded JOIN vocabulary ON t = id GROUP BY w"
 
 
@@ -123,17 +124,17 @@ class Bpe:
         self.db.execute("INSERT INTO encoded FROM loaded")
         self.db.unregister("loaded")
 
-    def _read(self, query: str, n: int) -> list[str]:
-        found = self.db.sql(query).to_arrow_table()
-        out = [""] * n
-        for w, x in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
-            out[w] = x
-        return out
+    def tokens(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as packed 32-bit integers."""
+        self._encode(words)
+        found = self.db.sql(_TOKENS).to_arrow_table()
+        ends = np.cumsum(4 * np.bincount(found.column(0).to_numpy(), minlength=len(words))).tolist()
+        packed = found.column(1).to_numpy().astype(np.int32, copy=False).tobytes()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode_words(self, words: list[bytes]) -> list[str]:
         """The decimal ids of each word, joined by spaces."""
-        self._encode(words)
-        return self._read(_IDS, len(words))
+        return [" ".join(map(str, unpacked(x).tolist())) for x in self.tokens(words)]
 
     def decode(self, sequences: list[str]) -> list[bytes]:
         """The bytes of each sequence of decimal ids joined by spaces."""
@@ -141,12 +142,11 @@ class Bpe:
         rows = [(w, p, int(t)) for w, ids in enumerate(sequences) for p, t in enumerate(ids.split())]
         if rows:
             self._insert(*zip(*rows, strict=True))
-        return [bytes.fromhex(x) for x in self._read(_DECODE, len(sequences))]
-
-    def round_trip(self, words: list[bytes]) -> tuple[list[str], list[bytes]]:
-        """The ids of each word and the bytes decoded from them."""
-        self._encode(words)
-        return self._read(_IDS, len(words)), [bytes.fromhex(x) for x in self._read(_DECODE, len(words))]
+        found = self.db.sql(_DECODE).to_arrow_table()
+        out = [b""] * len(sequences)
+        for w, x in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+            out[w] = bytes.fromhex(x)
+        return out
 
     def merge_long(self, word: bytes) -> list[int]:
         """The same contraction for a word of any length, by a heap of (rank, position)."""
@@ -177,45 +177,77 @@ class Bpe:
 
 
 class CachedBpe:
-    """A Bpe that remembers the ids, and the bytes decoded from them, of up to CACHE_WORDS words in CACHE_BYTES of memory.
+    """A Bpe that remembers the ids of up to CACHE_WORDS words in CACHE_BYTES of memory, and the bytes of each id that came up.
 
     When it is full, the half that it met first stays: frequent words are met early. What the words of one
-    call of `learn` take comes on top, as the caller needs them all.
+    call of `learn` take comes on top, as the caller needs them all, and so do the ids' bytes (a vocabulary at most).
     """
 
     def __init__(self, path: str) -> None:
-        self.bpe, self.ids, self.decoded, self.size = Bpe(path), {}, {}, 0
+        self.bpe, self.size = Bpe(path), 0
+        #: A word's ids, packed; an id's bytes.
+        self.ids: dict[str, bytes] = {}
+        self.decoded: dict[int, bytes] = {}
+        #: By id: its decimals and a space; its bytes, null if it did not come up.
+        self.decimals = pa.array([b"%d " % i for i in range(max(self.bpe.ranks.values()) + 1)], pa.large_binary())
+        self.vocabulary = pa.nulls(len(self.decimals), pa.large_binary())
 
     def learn(self, words: set[str]) -> None:
-        """Afterwards `ids` and `decoded` have each of the words."""
+        """Afterwards `ids` has each of the words, and `decoded` each of their ids."""
         new = words - self.ids.keys()
         if len(self.ids) + len(new) > CACHE_WORDS or self.size > CACHE_BYTES:
             self._forget()
             new = words - self.ids.keys()
         for some in _bounded(new):
-            ids, decoded = self.bpe.round_trip([w.encode() for w in some])
-            self.ids.update(zip(some, ids, strict=True))
-            self.decoded.update(zip(some, decoded, strict=True))
-            self.size += sum(map(_weight, some, ids, decoded))
+            tokens = self.bpe.tokens([w.encode() for w in some])
+            self.ids.update(zip(some, tokens, strict=True))
+            self.size += sum(map(getsizeof, some)) + sum(map(getsizeof, tokens)) + ENTRY_BYTES * len(some)
+            if unknown := list(set(unpacked(b"".join(tokens)).tolist()) - self.decoded.keys()):
+                self.decoded.update(zip(unknown, self.bpe.decode(list(map(str, unknown))), strict=True))
+                self.vocabulary = pa.array(map(self.decoded.get, range(len(self.decimals))), pa.large_binary())
 
     def _forget(self) -> None:
         kept, size = 0, 0
         for word, ids in self.ids.items():
-            size += _weight(word, ids, self.decoded[word])
+            size += getsizeof(word) + getsizeof(ids) + ENTRY_BYTES
             if kept >= CACHE_WORDS // 2 or size > CACHE_BYTES // 2:
                 break
             kept, self.size = kept + 1, size
-        self.ids, self.decoded = (dict(islice(x.items(), kept)) for x in (self.ids, self.decoded))
+        self.ids = dict(islice(self.ids.items(), kept))
         self.size = self.size if kept else 0
 
+    def _lists(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """The ids of texts of learnt words, one after the other; where each text starts and ends; the bytes decoded from each one's ids."""
+        parts = [b"".join(map(self.ids.__getitem__, words)) for words in texts]
+        ids = unpacked(b"".join(parts))
+        places = np.cumsum([0, *map(len, parts)]) // 4
+        return ids, places, _joined(self.vocabulary, ids, places)
+
+    def tokens(self, texts: list[list[str]]) -> list[tuple[np.ndarray, bytes]]:
+        """For each text of learnt words: its ids in order, and the bytes decoded from these ids."""
+        ids, places, decoded = self._lists(texts)
+        return list(zip(np.split(ids, places[1:-1]), decoded, strict=True))
+
+    def encode_all(self, texts: list[list[str]]) -> list[tuple[str, bytes]]:
+        """The same, the ids as decimals joined by spaces."""
+        ids, places, decoded = self._lists(texts)
+        return [(x[:-1].decode(), d) for x, d in zip(_joined(self.decimals, ids, places), decoded, strict=True)]
+
     def encode(self, words: list[str]) -> tuple[str, bytes]:
-        """The ids of learnt words in order, joined by spaces, and the bytes decoded from them."""
-        return " ".join(map(self.ids.__getitem__, words)), b"".join(map(self.decoded.__getitem__, words))
+        return self.encode_all([words])[0]
 
 
-def _weight(word: str, ids: str, decoded: bytes) -> int:
-    """Bytes of memory that a word takes in the cache; most words are short, so the objects count for more than what they say."""
-    return getsizeof(word) + getsizeof(ids) + getsizeof(decoded) + ENTRY_BYTES
+def unpacked(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, np.int32)
+
+
+def _joined(values: pa.Array, ids: np.ndarray, places: np.ndarray) -> list[bytes]:
+    """The values of the ids between each two places, in order, end to end."""
+    if not len(ids):
+        return [b""] * (len(places) - 1)
+    _, offsets, data = values.take(pa.array(ids)).buffers()
+    ends, whole = np.frombuffer(offsets, np.int64)[places].tolist(), memoryview(data)
+    return [bytes(whole[a:b]) for a, b in pairwise(ends)]
 
 
 def _bounded(words: set[str]) -> Iterator[list[str]]:
@@ -250,8 +282,8 @@ def pieces(text: str, pattern) -> Iterator[list[str]]:
         yield piece
 
 
-def encoded(texts: Iterator[tuple[tuple, str]], path: str, pattern: str) -> Iterator[tuple[tuple, Iterator[tuple[str, bytes]]]]:
-    """For each (key, text): the key and an iterator of (ids, decoded bytes), a pair for each piece.
+def encoded(texts: Iterator[tuple[tuple, str]], path: str, pattern: str, form: Callable = CachedBpe.encode_all) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """For each (key, text): the key and an iterator of (ids, decoded bytes), a pair for each piece, as form gives it.
 
     Short texts are gathered, so that DuckDB gets many words at a time.
     """
@@ -259,13 +291,13 @@ def encoded(texts: Iterator[tuple[tuple, str]], path: str, pattern: str) -> Iter
 
     def flush(held):
         bpe.learn(set().union(*[words for _, words in held]))
-        for key, words in held:
-            yield key, iter([bpe.encode(words)])
+        for (key, _), part in zip(held, form(bpe, [words for _, words in held]), strict=True):
+            yield key, iter([part])
 
     def long(text):
         for piece in pieces(text, cut):
             bpe.learn(set(piece))
-            yield bpe.encode(piece)
+            yield from form(bpe, [piece])
 
     held: list = []
     size = 0
@@ -291,14 +323,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, str]]:
             yield tuple(c[k] for c in others), text.as_py() or ""
 
 
-def _mapped(rows: DataFrame, schema: str | StructType, path: str, pattern: str, finish) -> DataFrame:
+def _mapped(rows: DataFrame, schema: str | StructType, path: str, pattern: str, finish, form: Callable = CachedBpe.encode_all) -> DataFrame:
     """Rows (text, ...) through `encoded`; finish(key, pieces) gives the row that comes out."""
     arrow = arrow_schema(schema)
     bound_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
-        for key, parts in encoded(_texts(batches), path, pattern):
+        for key, parts in encoded(_texts(batches), path, pattern, form):
             row, size = finish(key, parts)
             out.append(row)
             held += size
@@ -316,17 +348,14 @@ def with_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     renamed = {c: f"{c}_" if c in ("n_tokens", "tokens") else c for c in docs.columns if c != "text"}
 
     def finish(key, parts):
-        tokens: list[int] = []
-        data = bytearray()
-        for ids, decoded in parts:
-            tokens += map(int, ids.split())
-            data += decoded
-        return (data.decode(), *key, len(tokens), tokens), 4 * len(tokens)
+        ids, decoded = zip(*parts, strict=True)
+        tokens = np.concatenate(ids)
+        return (b"".join(decoded).decode(), *key, len(tokens), tokens), 4 * len(tokens)
 
     # The other columns as one, so that no name in it can clash.
     rows = docs.select("text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c.replace('`', '``')}`").alias(f"c{k}") for k, c in enumerate(renamed)]).alias("row"))
     schema = StructType([rows.schema["text"], rows.schema["row"], *StructType.fromDDL("n_tokens long, tokens array<int>")])
-    found = _mapped(rows, schema, path, pattern, finish)
+    found = _mapped(rows, schema, path, pattern, finish, CachedBpe.tokens)
     return found.select("text", *[F.col(f"row.c{k}").alias(c) for k, c in enumerate(renamed.values())], "n_tokens", "tokens")
 
 

@@ -165,3 +165,16 @@ def test_bpe_cache_is_bounded_in_memory(monkeypatch):
             assert ids == first
         held = sum(map(sys.getsizeof, [*cache.ids, *cache.ids.values(), *cache.decoded.values(), cache.ids, cache.decoded]))
         assert held <= bpe.CACHE_BYTES + 400 * step
+
+
+def test_bpe_cache_has_room_for_what_it_encodes(monkeypatch):
+    """A word takes little more than itself and its ids, so that few words are dropped and encoded anew."""
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1_000_000)
+    cache, asked = bpe.CachedBpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), []
+    encode = bpe.Bpe._encode
+    monkeypatch.setattr(bpe.Bpe, "_encode", lambda self, words: (asked.extend(words), encode(self, words))[1])
+    rounds = [[f" w{k}x" for k in range(n, n + 500)] for n in range(0, 5_000, 500)]
+    for words in [*rounds, *rounds]:
+        cache.learn(set(words))
+        assert cache.encode(words)[1] == "".join(words).encode()
+    assert len(asked) == 5_000
