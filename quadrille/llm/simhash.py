@@ -96,7 +96,11 @@ def links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     left, right = few.withColumnRenamed("fp", "a"), few.withColumnRenamed("fp", "b").withColumnRenamed("key", "key2")
     pairs = left.join(right, (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & close & first).select("a", "b")
 
-    hot = variants.join(shared.where(F.col("n") > hot_bucket).select("key"), "key", "left_semi").select("fp").distinct()
+    hot_keys = shared.where(F.col("n") > hot_bucket).select("key")
+    # Asked first: else all variants are shuffled for the join below before Spark sees that there is nothing to join, or not, as the stages happen to end.
+    if hot_keys.isEmpty():
+        return twos.unionByName(pairs)
+    hot = variants.join(hot_keys, "key", "left_semi").select("fp").distinct()
     wild = hot.select("fp", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("i")).select("fp", "i", F.explode(F.expr("sequence(i + 1, 63)")).alias("j"))
     masked = wild.withColumn("rest", F.expr("fp & ~(shiftleft(1L, i) | shiftleft(1L, j))"))
     # At most four share one variant, so the set that is gathered is bounded.

@@ -139,6 +139,16 @@ def test_components(spark, hot):
     assert set(got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("hot", [1024, 3])
+def test_variants_are_shuffled_for_hot_ones_only_where_there_are_some(spark, hot):
+    """Each Repartition is a use of all variants: two sides of one join, and another for hot ones."""
+    prints = (0, 1, 3, 7, 99, 1 << 40)
+    found = simhash.links(simhash.checkpointed(spark.createDataFrame([(f,) for f in prints], "fp long")), hot)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Repartition ") == 2 + (hot == 3)
+    got, linked = {tuple(x) for x in found.collect()}, {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 2}
+    assert got <= linked if hot == 3 else got == linked
+
+
 def test_keep_one(spark):
     rows = [(1, "a b c d", 7), (2, "A b  c d", 8), (None, "x y z w q", 1), (None, "x y z w q", 2), (None, "k l m n o p", 2), (5, None, 1), (5, None, 1), (6, "", 1), (9, "quite another text here", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, stays int")
