@@ -226,7 +226,7 @@ class CachedBpe:
     def tokens(self, texts: list[list[str]]) -> list[tuple[np.ndarray, bytes]]:
         """For each text of learnt words: its ids in order, and the bytes decoded from these ids."""
         ids, places, decoded = self._lists(texts)
-        return list(zip(np.split(ids, places[1:-1]), decoded, strict=True))
+        return list(zip([ids[a:b] for a, b in pairwise(places)], decoded, strict=True))
 
     def encode_all(self, texts: list[list[str]]) -> list[tuple[str, bytes]]:
         """The same, the ids as decimals joined by spaces."""
@@ -348,7 +348,7 @@ def with_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     renamed = {c: f"{c}_" if c in ("n_tokens", "tokens") else c for c in docs.columns if c != "text"}
 
     def finish(key, parts):
-        ids, decoded = zip(*parts, strict=True)
+        ids, decoded = zip((np.empty(0, np.int32), b""), *parts, strict=True)
         tokens = np.concatenate(ids)
         return (b"".join(decoded).decode(), *key, len(tokens), tokens), 4 * len(tokens)
 

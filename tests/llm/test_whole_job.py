@@ -178,3 +178,15 @@ def test_bpe_cache_has_room_for_what_it_encodes(monkeypatch):
         cache.learn(set(words))
         assert cache.encode(words)[1] == "".join(words).encode()
     assert len(asked) == 5_000
+
+
+def test_bpe_of_a_long_text_without_words(spark):
+    docs = spark.createDataFrame([(1, " " * bpe.GATHER_CHARS), (2, "a"), (3, None)], "doc_id long, text string")
+    got = {x["doc_id"]: (x["text"], x["n_tokens"], len(x["tokens"])) for x in bpe.with_tokens(docs.select("text", "doc_id"), public_tokenizers.path("byte_bpe_50k.tiktoken"), r"\S+").collect()}
+    assert got == {1: ("", 0, 0), 2: ("a", 1, 1), 3: ("", 0, 0)}
+
+
+def test_bpe_of_empty_partitions(spark):
+    docs = spark.createDataFrame([("a b", 1)], "text string, doc_id long").repartition(4)
+    assert [tuple(x)[:3] for x in bpe.with_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()] == [("a b", 1, 2)]
+    assert bpe.CachedBpe(public_tokenizers.path("byte_bpe_50k.tiktoken")).tokens([]) == []
