@@ -118,35 +118,42 @@ def _check_rows(df: DataFrame) -> None:
         raise ValueError(f"{n} rows are too many to broadcast; join.broadcastRows is {most}")
 
 
-def distance_join(left: DataFrame, right: DataFrame, left_keys: Keys, right_keys: Keys, r: float, strategy: str = "auto", suffixes: tuple[str, str] = ("_l", "_r"), dist_col: str | None = None, salt: int = 1) -> DataFrame:
-    """Pairs at distance r or less."""
+def distance_join(left: DataFrame, right: DataFrame, left_keys: Keys, right_keys: Keys, r: float, strategy: str = "auto", suffixes: tuple[str, str] = ("_l", "_r"), dist_col: str | None = None, salt: int = 1, how: str = "inner") -> DataFrame:
+    """Pairs at distance r or less. how: also `left` (left rows without a pair too), `left_semi` and `left_anti` (left rows with or without one, with their own columns)."""
     if strategy not in ("auto", "grid", "nested_loop", "broadcast", "block"):
         raise ValueError(f"unknown strategy: {strategy}")
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"unknown kind of join: {how}")
     config = Config(left.sparkSession)
     strategy = config.get("join.distance") if strategy == "auto" else strategy
+    if how != "inner" and strategy in ("nested_loop", "block"):
+        raise ValueError(f"the strategy {strategy} gives pairs only")
+    names = left.columns
     left, right, a, b = _named(left, right, suffixes)
     lk, rk = _keys(left_keys, a), _keys(right_keys, b)
     g._same_dims(lk, rk)
-    left, right = left.where(g.known(lk)), right.where(g.known(rk))
+    right = right.where(g.known(rk))
+    if how in ("inner", "left_semi"):  # the others keep left rows that match nothing
+        left = left.where(g.known(lk))
     dims = len(lk)
     packed = [_packed(df, name, **{f"{name}{i}": x for i, x in enumerate(keys)}) for df, name, keys in ((left, "l", lk), (right, "r", rk))]
     pl, pr = packed
     kl, kr = ([F.col(f"{name}{i}") for i in range(dims)] for name in "lr")
     dist = g.distance(kl, kr)
     if r < 0:
-        pairs = pl.join(pr, F.lit(False))
+        pairs = pl.join(pr, F.lit(False), how)
     elif strategy == "broadcast" or (strategy == "nested_loop" and _bytes(right) < _FILE_BYTES):
         _check_rows(right)
-        pairs = pl.join(F.broadcast(pr), dist <= r)
+        pairs = pl.join(F.broadcast(pr), dist <= r, how)
     elif strategy in ("nested_loop", "block"):
         pairs = _blocks(pl, pr).where(dist <= r)
     elif r == 0:
         # Negative zero equals zero; adding zero makes it so for the join's hash too.
-        pairs = pl.join(pr, [x + 0.0 == y + 0.0 for x, y in zip(kl, kr, strict=True)])
+        pairs = pl.join(pr.hint("merge"), [x + 0.0 == y + 0.0 for x, y in zip(kl, kr, strict=True)], how)
     else:
         width, used = r * (1 + config.get("grid.slack")), min(2, dims)
-        # The side that the optimiser takes for the smaller one is repeated; of a stream's, the other.
-        repeat_left = right.isStreaming or (not left.isStreaming and _bytes(left) < _bytes(right))
+        # The side that the optimiser takes for the smaller one is repeated; of a stream's, the other; the right one where left rows count by themselves.
+        repeat_left = how == "inner" and (right.isStreaming or (not left.isStreaming and _bytes(left) < _bytes(right)))
         sides = []
         for df, name, keys, repeats in ((pl, "l", kl, repeat_left), (pr, "r", kr, not repeat_left)):
             cells = [_cell(x, width) for x in keys[:used]]
@@ -160,7 +167,10 @@ def distance_join(left: DataFrame, right: DataFrame, left_keys: Keys, right_keys
             pl = pl.withColumn("ls", F.pmod(F.xxhash64(*kl, F.monotonically_increasing_id()), F.lit(salt)).cast("int"))
             pr = pr.withColumn("rs", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
             same.append(F.col("ls") == F.col("rs"))
-        pairs = pl.join(pr, same).where(dist <= r)
+        # The optimiser doesn't see that a side is repeated, and would broadcast it by the size of its files.
+        pairs = pl.join(pr.hint("merge"), [*same, dist <= r], how)
+    if how in ("left_semi", "left_anti"):
+        return pairs.select(*[F.col(f"l.`{a[c].replace('`', '``')}`").alias(c) for c in names])
     return pairs.withColumn("d", dist).select(*_out(left, right, dist_col))
 
 

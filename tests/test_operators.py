@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -258,3 +259,23 @@ def test_wide_right_rows_are_not_broadcast(spark):
         assert sorted((r["a"], r["b"]) for r in near.collect()) == want
     finally:
         config.unset("join.broadcastBytes")
+
+
+@pytest.mark.parametrize("r", [0.0, 1.0, -1.0])
+def test_distance_join_kinds(spark, r):
+    """Left rows with or without a pair, those of unknown keys among them; the repeated side isn't broadcast by its files' size."""
+    left, right = lattice(11, 60, 2), lattice(12, 20, 2)
+    pairs = [(a[0], b[0]) for a in left for b in right if good(a) and good(b) and dist(a, b) <= r]
+    alone = [a[0] for a in left if not any(good(a) and good(b) and dist(a, b) <= r for b in right)]
+    matched = [a[0] for a in left if any(good(a) and good(b) and dist(a, b) <= r for b in right)]
+    for strategy, salt in (("grid", 1), ("grid", 3), ("broadcast", 1)):
+        kinds = {how: joins.distance_join(frame(spark, left, 2), frame(spark, right, 2), ["k0", "k1"], ["k0", "k1"], r, strategy, salt=salt, how=how) for how in ("inner", "left", "left_semi", "left_anti")}
+        assert sorted((x["id_l"], x["id_r"]) for x in kinds["inner"].collect()) == sorted(pairs)
+        assert Counter((x["id_l"], x["id_r"]) for x in kinds["left"].collect()) == Counter(pairs + [(a, None) for a in alone])
+        assert kinds["left_semi"].columns == kinds["left_anti"].columns == ["id", "k0", "k1"]
+        assert sorted(x["id"] for x in kinds["left_semi"].collect()) == sorted(matched)
+        assert sorted(x["id"] for x in kinds["left_anti"].collect()) == sorted(alone)
+        if strategy == "grid" and r >= 0:
+            assert not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in kinds.values())
+    with pytest.raises(ValueError):
+        joins.distance_join(frame(spark, left, 2), frame(spark, right, 2), ["k0"], ["k0"], r, "block", how="left")
