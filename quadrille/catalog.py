@@ -207,8 +207,7 @@ def distance_semi_join(spark, table):
 
 @query(f"SELECT p_partkey FROM {P} l WHERE NOT EXISTS (SELECT 1 FROM {C} r WHERE {D} <= 0.5)")
 def distance_anti_join(spark, table):
-    p = parts(table)
-    return p.select("p_partkey").join(joins.distance_join(p, customers(table), XY, XY, 0.5).select("p_partkey"), "p_partkey", "left_anti")
+    return joins.distance_join(parts(table), customers(table), XY, XY, 0.5, how="left_anti").select("p_partkey")
 
 
 def knn_sql(k, left=P, right=C, where=""):
