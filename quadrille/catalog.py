@@ -201,8 +201,7 @@ def distance_join_count_per_left(spark, table):
 
 @query(f"SELECT p_partkey FROM {P} l WHERE EXISTS (SELECT 1 FROM {C} r WHERE {D} <= 0.5)")
 def distance_semi_join(spark, table):
-    p = parts(table)
-    return p.select("p_partkey").join(joins.distance_join(p, customers(table), XY, XY, 0.5).select("p_partkey"), "p_partkey", "left_semi")
+    return joins.distance_join(parts(table), customers(table), XY, XY, 0.5, how="left_semi").select("p_partkey")
 
 
 @query(f"SELECT p_partkey FROM {P} l WHERE NOT EXISTS (SELECT 1 FROM {C} r WHERE {D} <= 0.5)")
