@@ -284,9 +284,7 @@ def distance_join_block(spark, table):
 
 @query(f"SELECT p_partkey, c_custkey, d FROM {P} p LEFT JOIN (SELECT p_partkey AS k, c_custkey, {D} AS d FROM {P} l JOIN {C} r ON {D} <= 0.5) ON p_partkey = k")
 def distance_outer_join(spark, table):
-    p = parts(table)
-    pairs = joins.distance_join(p, customers(table), XY, XY, 0.5, dist_col="d").select("p_partkey", "c_custkey", "d")
-    return p.select("p_partkey").join(pairs, "p_partkey", "left")
+    return joins.distance_join(parts(table), customers(table), XY, XY, 0.5, dist_col="d", how="left").select("p_partkey", "c_custkey", "d")
 
 
 # Geometry
