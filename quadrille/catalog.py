@@ -567,8 +567,8 @@ def range_partition(spark, table):
 
 @query(f"SELECT c_mktsegment, count(DISTINCT c_custkey) AS n FROM customer JOIN (SELECT DISTINCT r.c_custkey AS k FROM {P} l JOIN {C} r ON {D} <= 0.5) ON c_custkey = k GROUP BY c_mktsegment")
 def distance_join_then_group(spark, table):
-    near = joins.distance_join(parts(table), customers(table), XY, XY, 0.5).select("c_custkey").distinct()
-    return table("customer").join(near, "c_custkey").groupBy("c_mktsegment").agg(F.countDistinct("c_custkey").alias("n"))
+    near = joins.distance_join(customers(table), parts(table), XY, XY, 0.5, how="left_semi").select("c_custkey")
+    return table("customer").join(near.hint("merge"), "c_custkey").groupBy("c_mktsegment").agg(F.countDistinct("c_custkey").alias("n"))
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE user_id BETWEEN 10 AND 60 AND value BETWEEN 50 AND 200 GROUP BY event_type")
