@@ -43,12 +43,18 @@ from quadrille.plans.storage import checkpointed, column
 
 #: Beyond this many cells from the origin, cells are one: quotients so large are not exact.
 _FAR = 1e12
+#: Pairs up to which a nested loop compares every one.
+_PAIRS = 100_000_000
 #: What a scan reads in one task by default.
 _FILE_BYTES = 128 << 20
 #: Widths of cells double up to this level.
 _LEVELS = 60
-#: Candidates that a worker compares at a time.
-_CANDIDATES = 4_000_000
+#: Candidates that a worker compares at a time; places that it searches for at a time; right rows that it holds at a time.
+_CANDIDATES, _PLACES, _HELD = 500_000, 2_000, 200_000
+#: Rows of a block: two to the power of this.
+_BLOCK_BITS = 10
+#: Rows to a pivot, and how many pivots there are at most, unless voronoi.pivots is more.
+_PIVOT_ROWS, _PIVOTS = 20_000, 2_000
 
 
 def _named(left: DataFrame, right: DataFrame, suffixes: tuple[str, str]) -> tuple[DataFrame, DataFrame, dict, dict]:
@@ -97,18 +103,65 @@ def _around(dims: int) -> Column:
     return F.array(*[F.struct(*[F.lit(o).alias(f"o{k}") for k, o in enumerate(offset)]) for offset in itertools.product((-1, 0, 1), repeat=dims)])
 
 
-def _blocks(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every pair of rows, by an equality join on the numbers of a left and a right block.
+def _z_order(ends: list, dims: int):
+    """A function of coordinates and offsets that gives a row's value on the z-curve over an extent: (low, high) of each side and dimension."""
+    bits = min(20, 62 // dims)
+    lows = [min((e[2 * i] for e in ends if e[2 * i] is not None), default=0.0) for i in range(dims)]
+    spans = [max((e[2 * i + 1] for e in ends if e[2 * i + 1] is not None), default=0.0) - lo or 1.0 for i, lo in enumerate(lows)]
+    return lambda coords, offset: g.z_value([F.floor((((x - lo) / span + o) / 2) * (2**bits - 1)).cast("long") for x, lo, span, o in zip(coords, lows, spans, offset, strict=True)], bits)
+
+
+def _extent(df: DataFrame, coords: list[Column]) -> tuple:
+    return df.agg(*[f(x) for x in coords for f in (F.min, F.max)]).first()
+
+
+def _blocked(df: DataFrame, name: str, coords: list[Column], z) -> tuple[DataFrame, DataFrame]:
+    """df with the number of each row's block under a name, and the blocks' boxes. A block is 1,024 rows at most that follow each other on the z-curve."""
+    order = [z(coords, [0.0] * len(coords)).alias("z"), F.xxhash64(*coords).alias("h")]
+    dealt = df.select("*", *order).repartitionByRange("z", "h").sortWithinPartitions("z", "h")
+    df = checkpointed(dealt.withColumn(name, F.shiftright(F.monotonically_increasing_id(), _BLOCK_BITS)).drop("z", "h"))
+    ends = F.array(*[f(x) for f in (F.min, F.max) for x in coords])
+    return df, df.groupBy(name).agg(ends.alias("box"), F.count("*").alias("n"))
 
-    Each row of one side meets each block of the other, so this is for sides that are small or no other strategy is for.
+
+def _near_blocks(left: DataFrame, right: DataFrame, dims: int, r: float | None = None, k: int = 0) -> DataFrame:
+    """(lb, rb): the blocks within r of each other, or those that can hold one of the k nearest right rows of a row in the left block.
+
+    The right boxes, one for 1,024 rows, are on every executor.
     """
-    n = Config(left.sparkSession).get("join.partitions")
-    side = max(1, math.isqrt(n))
-    deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(side)).cast("int")
-    all_blocks = F.sequence(F.lit(0), F.lit(side - 1))
-    a = left.withColumn("lb", deal).withColumn("rb", F.explode(all_blocks))
-    b = right.withColumn("rb_", deal).withColumn("lb_", F.explode(all_blocks))
-    return a.join(b, (F.col("lb") == F.col("lb_")) & (F.col("rb") == F.col("rb_")))
+    boxes = right.toArrow()
+    there = boxes["rb"].to_numpy(), np.array(boxes["box"].combine_chunks().flatten()).reshape(-1, 2, dims), boxes["n"].to_numpy()
+    shared = left.sparkSession.sparkContext.broadcast(there)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, corners, counts = shared.value
+        for batch in batches if len(numbers) else ():
+            own = np.array(batch.column(1).flatten()).reshape(-1, 2, dims)
+            for number, (low, high) in zip(batch.column(0).to_numpy(), own, strict=True):
+                gap = np.maximum(np.maximum(corners[:, 0] - high, low - corners[:, 1]), 0)
+                reach = r
+                if reach is None:
+                    far = np.sqrt((np.maximum(corners[:, 1] - low, high - corners[:, 0]) ** 2).sum(axis=1))
+                    by = np.argsort(far)
+                    reach = far[by[min(np.searchsorted(np.cumsum(counts[by]), k), len(by) - 1)]]
+                hit = numbers[np.sqrt((gap**2).sum(axis=1)) <= reach * (1 + 1e-9)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), number)), pa.array(hit)], ["lb", "rb"])
+
+    return checkpointed(left.select("lb", "box").mapInArrow(run, "lb long, rb long"))
+
+
+def _block_pairs(left: DataFrame, right: DataFrame, kl: list[Column], kr: list[Column], r: float) -> DataFrame:
+    """Every pair of rows from blocks within r of each other. Each pair of blocks is a key of its own, so no key has more than 1,024 rows a side."""
+    z = _z_order([_extent(left, kl), _extent(right, kr)], len(kl))
+    (left, own), (right, other) = _blocked(left, "lb", kl, z), _blocked(right, "rb", kr, z)
+    near = _near_blocks(own, other, len(kl), r)
+    return left.join(near.hint("merge"), "lb").join(right.join(near.hint("merge"), "rb").hint("merge"), ["lb", "rb"])
+
+
+def _few_pairs(left: DataFrame, right: DataFrame) -> bool:
+    """Whether every pair of rows may be compared; of a stream's, the right rows are what counts."""
+    n = right.count()
+    return n <= Config(right.sparkSession).get("join.broadcastRows") and (left.isStreaming or n * left.count() <= _PAIRS)
 
 
 def _check_rows(df: DataFrame) -> None:
@@ -142,11 +195,11 @@ def distance_join(left: DataFrame, right: DataFrame, left_keys: Keys, right_keys
     dist = g.distance(kl, kr)
     if r < 0:
         pairs = pl.join(pr, F.lit(False), how)
-    elif strategy == "broadcast" or (strategy == "nested_loop" and _bytes(right) < _FILE_BYTES):
+    elif strategy == "broadcast" or (strategy == "nested_loop" and _few_pairs(left, right)):
         _check_rows(right)
         pairs = pl.join(F.broadcast(pr), dist <= r, how)
     elif strategy in ("nested_loop", "block"):
-        pairs = _blocks(pl, pr).where(dist <= r)
+        pairs = _block_pairs(pl, pr, kl, kr, r).where(dist <= r)
     elif r == 0:
         # Negative zero equals zero; adding zero makes it so for the join's hash too.
         pairs = pl.join(pr.hint("merge"), [x + 0.0 == y + 0.0 for x, y in zip(kl, kr, strict=True)], how)
@@ -246,16 +299,24 @@ def knn_join(left: DataFrame, right: DataFrame, left_keys: Keys, right_keys: Key
         raise ValueError("the right rows are too many to broadcast; see join.broadcastRows")
     if strategy == "broadcast":
         return _broadcast_knn(pl, pr, k, dims).select(*out)
-    first = Window.partitionBy("q").orderBy("t")
-    pr = checkpointed(pr.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k).drop("place"))
-    pl = checkpointed(pl.withColumn("id", F.monotonically_increasing_id()))
+    pl, pr = checkpointed(pl), _numbered(pr, k, bool(tiebreak))
+    # Left rows in one place have the same neighbours, so places are searched for, and not rows.
+    places, points = checkpointed(pl.select("p").distinct()), pr.select("rid", "q")
     if strategy in ("nested_loop", "block"):
-        pairs = _blocks(pl, pr)
+        near = _block_knn(places, points, k, dims)
     elif strategy == "voronoi":
-        pairs = _voronoi_candidates(pl, pr, k, dims)
+        near = _voronoi_knn(places, points, k, dims)
     else:
-        pairs = _grid_candidates(pl, pr, k, dims)
-    return _nearest(pairs, k, dims).select(*out)
+        near = _nearest(_grid_candidates(places, points, k, dims), k, dims)
+    # The optimiser doesn't know the sizes of these, and would broadcast them by those of files.
+    return near.select("p", "rid", "d").join(pl.hint("merge"), "p").join(pr.hint("merge"), "rid").select(*out)
+
+
+def _numbered(right: DataFrame, k: int, ordered: bool) -> DataFrame:
+    """Right rows with numbers `rid` in the order of `t`; of those in one place, the k first (no left row can have more of them)."""
+    first = Window.partitionBy("q").orderBy("t")
+    kept = right.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k).drop("place")
+    return checkpointed((kept.orderBy("t", F.xxhash64("q")) if ordered else kept).withColumn("rid", F.monotonically_increasing_id()))
 
 
 def _coords(name: str, dims: int) -> list[Column]:
@@ -263,11 +324,82 @@ def _coords(name: str, dims: int) -> list[Column]:
 
 
 def _nearest(pairs: DataFrame, k: int, dims: int) -> DataFrame:
-    nearest = Window.partitionBy("id").orderBy("d", "t")
+    """The k nearest right rows of each left place `p`, from candidates (p, q, rid)."""
+    nearest = Window.partitionBy("p").orderBy("d", "rid")
     with_d = pairs.withColumn("d", g.distance(_coords("p", dims), _coords("q", dims)))
     return with_d.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k)
 
 
+def _local_knn(left: DataFrame, right: DataFrame, k: int, dims: int) -> DataFrame:
+    """(p, rid, d): of each left place (g, p) the k nearest of the right rows (g, rid, q) of its group; ties by rid.
+
+    A worker holds the places of one group, their k best and a bounded number of right rows.
+    """
+    spark = left.sparkSession
+    n = max(Config(spark).get("join.partitions"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    both = left.select("g", F.lit(0).alias("side"), F.col("p").alias("x"), F.lit(0).cast("long").alias("rid")).unionByName(right.select("g", F.lit(1).alias("side"), F.col("q").alias("x"), "rid"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, 0
+        places: list[np.ndarray] = []
+        points: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+        near = away = None
+
+        def merge() -> None:
+            nonlocal near, away, held
+            if held and places:
+                numbers, there = np.concatenate(ids), np.concatenate(points)
+                by = np.argsort(numbers)
+                here = places[0] = np.concatenate(places)
+                del places[1:]
+                found, d = CellIndex(there[by], k).nearest(here)
+                found = numbers[by][found]
+                if near is not None:
+                    found, d = np.concatenate([near, found], axis=1), np.concatenate([away, d], axis=1)
+                    best = np.lexsort((found, d), axis=1)[:, :k]
+                    found, d = np.take_along_axis(found, best, axis=1), np.take_along_axis(d, best, axis=1)
+                near, away = found, d
+            held = 0
+            points.clear()
+            ids.clear()
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            nonlocal near, away
+            merge()
+            if near is not None:
+                width = near.shape[1]
+                step = max(1, 100_000 // width)
+                for a in range(0, len(near), step):
+                    some = np.repeat(places[0][a : a + step], width, axis=0)
+                    offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * dims)
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(some.ravel())), pa.array(near[a : a + step].ravel()), pa.array(away[a : a + step].ravel())], ["p", "rid", "d"])
+            near = away = None
+            places.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups, side, numbers = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            x = np.array(batch.column(2).flatten()).reshape(-1, dims)
+            ends = np.flatnonzero((groups[1:] != groups[:-1]) | (side[1:] != side[:-1])) + 1
+            for a, b in itertools.pairwise([0, *ends.tolist(), len(x)]):
+                if groups[a] != group:
+                    yield from finish()
+                    group = groups[a]
+                if side[a] == 0:
+                    places.append(x[a:b])
+                else:
+                    points.append(x[a:b])
+                    ids.append(numbers[a:b])
+                    held += b - a
+                    if held >= _HELD:
+                        merge()
+        yield from finish()
+
+    return both.repartition(n, "g").sortWithinPartitions("g", "side").mapInArrow(run, "p array<double>, rid long, d double")
+
+
 def _fits(right: DataFrame, config: Config, bytes_too: bool = True) -> bool:
     """Whether the right rows may be broadcast: they are counted, and measured only if they are few."""
     if right.count() > config.get("join.broadcastRows"):
@@ -276,11 +408,23 @@ def _fits(right: DataFrame, config: Config, bytes_too: bool = True) -> bool:
     return not bytes_too or (right.agg(F.sum(F.length(F.to_json("r")))).first()[0] or 0) <= config.get("join.broadcastBytes")
 
 
+def _first_of_places(points: np.ndarray, k: int) -> np.ndarray:
+    """The numbers of the points without those that have k before them in the same place."""
+    by = np.lexsort((np.arange(len(points)), *points.T))
+    new = np.ones(len(points), bool)
+    new[1:] = (points[by[1:]] != points[by[:-1]]).any(axis=1)
+    begins = np.flatnonzero(new)
+    place = np.arange(len(points)) - np.repeat(begins, np.diff(np.append(begins, len(points))))
+    return np.sort(by[place < k])
+
+
 class CellIndex:
     """Points by cells of about equal counts, for the k nearest ones of many places at a time; ties by the points' order."""
 
     def __init__(self, points: np.ndarray, k: int) -> None:
-        self.points, self.k = points, min(k, len(points))
+        self.k = min(k, len(points))
+        self.numbers = _first_of_places(points, k)
+        self.points = points = points[self.numbers]
         spans = points.max(axis=0) - points.min(axis=0)
         self.used = [int(i) for i in np.argsort(-spans, kind="stable")[:2] if spans[i] > 0]
         per_dim = max(1, int((len(points) / max(8, 2 * k)) ** (1 / max(1, len(self.used)))))
@@ -296,39 +440,61 @@ class CellIndex:
     def nearest(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and distances of the k nearest points of each place, nearest first."""
         near, away = np.zeros((len(places), self.k), np.int64), np.zeros((len(places), self.k))
-        left, reach = np.arange(len(places)), 1
+        for begin in range(0, len(places), _PLACES):
+            some = slice(begin, begin + _PLACES)
+            self._search(places[some], near[some], away[some])
+        return self.numbers[near], away
+
+    def _search(self, places: np.ndarray, near: np.ndarray, away: np.ndarray) -> None:
+        """Bounds the k-th distance by as many cells around as have k points, and then looks at the cells in that reach."""
+        left, around = np.arange(len(places)), 1
         while len(left):
-            left = self._search(places, left, reach, near, away)
-            reach *= 2
-        return near, away
-
-    def _search(self, places: np.ndarray, rows: np.ndarray, reach: int, near: np.ndarray, away: np.ndarray) -> np.ndarray:
-        """Looks at the cells up to `reach` away; gives the rows that may have nearer points beyond."""
-        mine = places[rows]
-        border = np.full(len(rows), np.inf)
-        first, last = [], []
-        for i, b, n in zip(self.used, self.bounds, self.sizes, strict=True):
-            at = np.searchsorted(b, mine[:, i], side="right")
-            low, high = np.maximum(at - reach, 0), np.minimum(at + reach, n - 1)
-            ends = np.concatenate([[-np.inf], b, [np.inf]])
-            border = np.minimum(border, np.minimum(mine[:, i] - ends[low], ends[high + 1] - mine[:, i]))
-            first.append(low)
-            last.append(high)
+            runs = self._around(places[left], around)
+            totals = np.bincount(runs[0], runs[2], len(left))
+            enough = totals >= self.k
+            mine = enough[runs[0]]
+            self._best(places, left[enough], (np.cumsum(enough) - 1)[runs[0][mine]], runs[1][mine], runs[2][mine], near, away)
+            left, around = left[~enough], around * 2
+        self._best(places, np.arange(len(places)), *self._within(places, away[:, -1]), near, away)
+
+    def _runs(self, first: list[np.ndarray], last: list[np.ndarray], n: int, room=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The runs of cells of each place: its number, where the run's points begin, and how many they are. room(owner, line): the ends of a line's run, if they differ."""
         if not self.used:
-            begins, counts, owner = np.zeros(len(rows), np.int64), np.full(len(rows), len(self.points)), np.arange(len(rows))
-        elif len(self.used) == 1:
-            begins, owner = self.starts[first[0]], np.arange(len(rows))
-            counts = self.starts[last[0] + 1] - begins
-        else:  # a run of cells for each row of them
-            lines = last[0] - first[0] + 1
-            owner = np.repeat(np.arange(len(rows)), lines)
-            line = np.arange(len(owner)) - np.repeat(np.cumsum(lines) - lines, lines) + first[0][owner]
-            begins = self.starts[line * self.sizes[1] + first[1][owner]]
-            counts = self.starts[line * self.sizes[1] + last[1][owner] + 1] - begins
-        totals = np.bincount(owner, counts, len(rows)).astype(np.int64)
-        done = np.zeros(len(rows), bool)
+            return np.arange(n), np.zeros(n, np.int64), np.full(n, len(self.points))
+        if len(self.used) == 1:
+            begins = self.starts[first[0]]
+            return np.arange(n), begins, self.starts[last[0] + 1] - begins
+        lines = last[0] - first[0] + 1
+        owner = np.repeat(np.arange(n), lines)
+        line = np.arange(len(owner)) - np.repeat(np.cumsum(lines) - lines, lines) + first[0][owner]
+        low, high = room(owner, line) if room else (first[1][owner], last[1][owner])
+        begins = self.starts[line * self.sizes[1] + low]
+        return owner, begins, self.starts[line * self.sizes[1] + high + 1] - begins
+
+    def _around(self, places: np.ndarray, around: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = [np.searchsorted(b, places[:, i], side="right") for i, b in zip(self.used, self.bounds, strict=True)]
+        return self._runs([np.maximum(a - around, 0) for a in at], [np.minimum(a + around, n - 1) for a, n in zip(at, self.sizes, strict=True)], len(places))
+
+    def _within(self, places: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The cells that may have a point at the reach or nearer; one at just that distance may win a tie."""
+        reach = reach * (1 + 1e-9)
+        ends = [[np.searchsorted(b, places[:, i] + side * reach, side="right") for side in (-1, 1)] for i, b in zip(self.used, self.bounds, strict=True)]
+
+        def room(owner: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            (i, j), edges = self.used, np.concatenate([[-np.inf], self.bounds[0], [np.inf]])
+            x = places[owner, i]
+            gap = np.maximum(np.maximum(edges[line] - x, x - edges[line + 1]), 0)
+            square = reach[owner] * reach[owner]
+            rest = np.where(np.isfinite(square), np.sqrt(np.maximum(square - gap * gap, 0)) * (1 + 1e-9), np.inf)
+            return tuple(np.searchsorted(self.bounds[1], places[owner, j] + side * rest, side="right") for side in (-1, 1))
+
+        return self._runs([e[0] for e in ends], [e[1] for e in ends], len(places), room)
+
+    def _best(self, places: np.ndarray, rows: np.ndarray, owner: np.ndarray, begins: np.ndarray, counts: np.ndarray, near: np.ndarray, away: np.ndarray) -> None:
+        """The k nearest points of the runs of each of the rows, which all have k or more."""
+        mine = places[rows]
+        upto, runs = np.cumsum(np.bincount(owner, counts, len(rows)).astype(np.int64)), np.searchsorted(owner, np.arange(len(rows) + 1))
         begin = 0
-        upto, runs = np.cumsum(totals), np.searchsorted(owner, np.arange(len(rows) + 1))
         while begin < len(rows):  # as many rows at a time as bound the candidates
             end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + _CANDIDATES, side="right")))
             some = slice(runs[begin], runs[end])
@@ -345,11 +511,7 @@ class CellIndex:
             place = np.arange(len(row)) - np.searchsorted(row, row)
             keep = place < self.k
             near[rows[row[keep]], place[keep]], away[rows[row[keep]], place[keep]] = point[keep], d[keep]
-            enough = np.flatnonzero(totals[begin:end] >= self.k) + begin
-            # A point in a cell beyond is at the border at least; at just that distance it may win a tie.
-            done[enough] = (away[rows[enough], self.k - 1] < border[enough]) | (border[enough] == np.inf)
             begin = end
-        return rows[~done]
 
 
 def _broadcast_knn(left: DataFrame, right: DataFrame, k: int, dims: int) -> DataFrame:
@@ -378,17 +540,17 @@ def _broadcast_knn(left: DataFrame, right: DataFrame, k: int, dims: int) -> Data
     left = left.repartition(cores) if _bytes(left) < cores * _FILE_BYTES else left
     found = left.select("l", "p").mapInArrow(run, schema)
     pairs = found.select("l", F.explode(F.arrays_zip("near", "away")).alias("m")).select("l", F.col("m.near").alias("rid"), F.col("m.away").alias("d"))
-    return pairs.join(right, "rid")
+    return pairs.join(right.hint("merge"), "rid")
 
 
 def _grid_candidates(left: DataFrame, right: DataFrame, k: int, dims: int) -> DataFrame:
-    """Pairs that hold the k nearest right rows of every left row. Both sides are checkpointed."""
+    """Pairs that hold the k nearest right rows of every left place. Both sides are checkpointed."""
     lk, rk = _coords("p", dims), _coords("q", dims)
     ends = right.agg(F.count("*"), *[f(x) for x in rk for f in (F.min, F.max)]).first()
     n = ends[0]
     low, high = ends[1::2], ends[2::2]
     if n <= k:  # as right rows in one place are k at most, more than k rows have an extent
-        return left.join(F.broadcast(right), F.lit(True))
+        return left.join(F.broadcast(right), F.lit(True))  # k rows at most
     used = [i for i in range(dims) if high[i] > low[i]][:3]
     width = (math.prod(high[i] - low[i] for i in used) * k / n) ** (1 / len(used)) / 2
     # On the last level a block of cells covers everything.
@@ -411,14 +573,14 @@ def _grid_candidates(left: DataFrame, right: DataFrame, k: int, dims: int) -> Da
     up = wanted.select(*cells, every).select("level", *cells, *on_level(cells, F.col("level"), at))
     around = up.select("level", *at).distinct().withColumn("o", F.explode(_around(len(used))))
     around = around.select("level", *at, *[(F.col(p) + F.col(f"o.o{j}")).alias(q) for j, (p, q) in enumerate(zip(at, beside, strict=True))])
-    full = around.join(sums, ["level", *beside]).groupBy("level", *at).agg(F.sum("n").alias("n")).where(F.col("n") >= k)
-    resolved = up.join(full, ["level", *at]).groupBy(*cells).agg(F.min("level").alias("level"))
+    full = around.join(sums.hint("merge"), ["level", *beside]).groupBy("level", *at).agg(F.sum("n").alias("n")).where(F.col("n") >= k)
+    resolved = up.join(full.hint("merge"), ["level", *at]).groupBy(*cells).agg(F.min("level").alias("level"))
     # k right rows lie within two cell widths of the moved point in each such dimension, and within the extent in the others.
     shift = F.sqrt(sum([(lk[i] - inside(i)) * (lk[i] - inside(i)) for i in used], F.lit(0.0)))
     others = [F.greatest(F.abs(lk[i] - low[i]), F.abs(lk[i] - high[i])) for i in range(dims) if i not in used]
     rest = F.sqrt(sum([x * x for x in others], F.lit(0.0)))
     reach = 2 * math.sqrt(len(used)) * width * F.pow(F.lit(2.0), F.col("level"))
-    here = left.join(resolved, cells).withColumn("bound", (reach + shift + rest) * (1 + 1e-9))
+    here = left.join(resolved.hint("merge"), cells).withColumn("bound", (reach + shift + rest) * (1 + 1e-9))
     # Cells are at least a third of the bound wide, so a row meets eight of them in a dimension at most.
     here = here.withColumn("level", F.greatest(F.col("level"), F.ceil(F.log2(F.col("bound") / (3 * width))).cast("int")))
     here = checkpointed(here.drop(*cells))
@@ -431,34 +593,53 @@ def _grid_candidates(left: DataFrame, right: DataFrame, k: int, dims: int) -> Da
         first, last = (_cell(F.greatest(F.lit(low[i]), F.least(F.lit(high[i]), x)), w) for x in (lk[i] - F.col("bound"), lk[i] + F.col("bound")))
         here = here.withColumn(f"g{j}", F.explode(F.sequence(first, last)))
         there = there.withColumn(f"g{j}", _cell(rk[i], w))
-    return here.join(there, ["level", *[f"g{j}" for j in range(len(used))]])
-
-
-def _voronoi_candidates(left: DataFrame, right: DataFrame, k: int, dims: int) -> DataFrame:
-    """Pairs that hold the k nearest right rows of every left row, by cells around pivots. Both sides are checkpointed."""
-    spark = left.sparkSession
-    n = Config(spark).get("voronoi.pivots")
-    if right.count() <= k:
-        return left.join(F.broadcast(right), F.lit(True))
-    picked = right.select("q").orderBy(F.xxhash64("q"), "q").limit(n).collect()
-    pivots = np.array(sorted({tuple(x[0]) for x in picked}))
-    near = lambda point: F.array_min(F.array(*[F.struct(g.distance(_coords(point, dims), [F.lit(float(x)) for x in p]).alias("d"), F.lit(i).alias("i")) for i, p in enumerate(pivots)]))
-    left = checkpointed(left.withColumn("m", near("p")).select("*", F.col("m.i").alias("i"), F.col("m.d").alias("away")).drop("m"))
-    right = checkpointed(right.withColumn("m", near("q")).select("*", F.col("m.i").alias("j"), F.col("m.d").alias("off")).drop("m"))
-    widest = {x["i"]: x["u"] for x in left.groupBy("i").agg(F.max("away").alias("u")).collect()}
+    return here.join(there.hint("merge"), ["level", *[f"g{j}" for j in range(len(used))]])
+
+
+def _block_knn(places: DataFrame, points: DataFrame, k: int, dims: int) -> DataFrame:
+    """(p, rid, d), from blocks of both sides: each left block is searched for in the right ones that can hold a neighbour of one of its rows."""
+    kl, kr = _coords("p", dims), _coords("q", dims)
+    z = _z_order([_extent(places, kl), _extent(points, kr)], dims)
+    (left, own), (right, other) = _blocked(places, "lb", kl, z), _blocked(points, "rb", kr, z)
+    near = _near_blocks(own, other, dims, k=k)
+    return _local_knn(left.withColumnRenamed("lb", "g"), right.join(near.hint("merge"), "rb").withColumnRenamed("lb", "g"), k, dims)
+
+
+def _voronoi_knn(places: DataFrame, points: DataFrame, k: int, dims: int) -> DataFrame:
+    """(p, rid, d), by cells around pivots: one for so many rows, so that cells don't grow with the sides."""
+    spark = places.sparkSession
+    n = max(Config(spark).get("voronoi.pivots"), min(_PIVOTS, math.ceil(max(places.count(), points.count()) / _PIVOT_ROWS)))
+    picked = points.select("q").orderBy(F.xxhash64("q"), "q").limit(n).collect()
+    pivots = np.array(sorted({tuple(x[0]) for x in picked})).reshape(-1, dims)
+    if not len(pivots):
+        return _local_knn(places.withColumn("g", F.lit(0).cast("long")), points.withColumn("g", F.lit(0).cast("long")), k, dims)
+
+    def cells(df: DataFrame, name: str, cell: str, off: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = CellIndex(pivots, 1)
+            for batch in batches:
+                near, away = index.nearest(np.array(batch.column(name).flatten()).reshape(-1, dims))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.ravel()), pa.array(away.ravel())], [*batch.schema.names, cell, off])
+
+        return checkpointed(df.mapInArrow(run, df.select("*").schema.add(cell, LongType()).add(off, DoubleType())))
+
+    left, right = cells(places, "p", "g", "away"), cells(points, "q", "j", "off")
+    widest = {x["g"]: x["u"] for x in left.groupBy("g").agg(F.max("away").alias("u")).collect()}
     order = Window.partitionBy("j").orderBy("off")
-    # The k smallest distances from each pivot: pivots x k numbers.
-    closest = right.select("j", "off", F.row_number().over(order).alias("n")).where(F.col("n") <= k).collect()
+    # The k smallest distances from each pivot: pivots x k numbers; and the greatest one.
+    closest = right.select("j", "off", F.row_number().over(order).alias("n")).where(F.col("n") <= k).toArrow()
+    last = {x["j"]: x["u"] for x in right.groupBy("j").agg(F.max("off").alias("u")).collect()}
+    at, least = closest["j"].to_numpy(), closest["off"].to_numpy()
     table = []
     for i, u in widest.items():
         between = np.sqrt(((pivots - pivots[i]) ** 2).sum(axis=1))
-        bound = sorted(u + between[x["j"]] + x["off"] for x in closest)[k - 1] * (1 + 1e-9)
-        table += [(int(i), int(j), float(between[j] - u - bound)) for j in range(len(pivots))]
-    if not table:
-        return left.drop("i", "away").join(right.drop("j", "off"), F.lit(False))
-    reach = spark.createDataFrame(table, "i int, j int, least double")
-    sent = right.join(F.broadcast(reach), "j").where(F.col("off") >= F.col("least")).drop("j", "off", "least")
-    return left.drop("away").join(sent, "i")
+        bounds = u + between[at] + least
+        bound = np.partition(bounds, k - 1)[k - 1] if k <= len(bounds) else np.inf
+        from_here = between - (u + bound) * (1 + 1e-9) - between * 1e-9
+        table += [(int(i), int(j), float(from_here[j])) for j in last if last[j] >= from_here[j]]
+    reach = spark.createDataFrame(table, "g long, j long, least double")
+    sent = right.join(F.broadcast(reach), "j").where(F.col("off") >= F.col("least"))
+    return _local_knn(left, sent, k, dims)
 
 
 def _positions(marks: DataFrame) -> DataFrame:
@@ -485,29 +666,28 @@ def zknn_join(left: DataFrame, right: DataFrame, left_keys: Keys, right_keys: Ke
     lk, rk = _keys(left_keys, a), _keys(right_keys, b)
     out = _out(left, right, dist_col)
     dims = len(lk)
-    left = _packed(left.where(g.known(lk)), "l", p=F.array(*lk)).withColumn("id", F.monotonically_increasing_id())
-    right = _packed(right.where(g.known(rk)), "r", q=F.array(*rk), t=F.struct(F.lit(0).alias("_"), *[column(b[t]) for t in tiebreak])).withColumn("rid", F.monotonically_increasing_id())
-    left, right = checkpointed(left), checkpointed(right)
+    rows = checkpointed(_packed(left.where(g.known(lk)), "l", p=F.array(*lk)))
+    # Left rows in one place have the same candidates, so places are looked up, and not rows.
+    left = checkpointed(rows.select("p").distinct().withColumn("id", F.monotonically_increasing_id()))
+    right = _packed(right.where(g.known(rk)), "r", q=F.array(*rk), t=F.struct(F.lit(0).alias("_"), *[column(b[t]) for t in tiebreak]))
+    right = _numbered(right, k, bool(tiebreak))
     n = right.count()
     if n == 0 or k <= 0:
-        return left.join(right, F.lit(False)).withColumn("d", F.lit(0.0)).select(*out)
-    ends = [df.agg(*[f(x) for x in _coords(c, dims) for f in (F.min, F.max)]).first() for df, c in ((left, "p"), (right, "q"))]
-    bits = min(20, 62 // dims)
-    lows = [min(e[2 * i] for e in ends if e[2 * i] is not None) for i in range(dims)]
-    spans = [max(e[2 * i + 1] for e in ends if e[2 * i + 1] is not None) - lo or 1.0 for i, lo in enumerate(lows)]
+        return rows.join(right, F.lit(False)).withColumn("d", F.lit(0.0)).select(*out)
+    z = _z_order([_extent(df, _coords(c, dims)) for df, c in ((left, "p"), (right, "q"))], dims)
     rng = np.random.default_rng(seed)
     offsets = [[0.0] * dims, *(rng.random(dims).tolist() for _ in range(shifts))]
 
     def curves(name: str) -> Column:
         """(curve, z) of a point, for every curve."""
-        steps = lambda offset: [F.floor((((x - lo) / span + o) / 2) * (2**bits - 1)).cast("long") for x, lo, span, o in zip(_coords(name, dims), lows, spans, offset, strict=True)]
-        return F.explode(F.array(*[F.struct(F.lit(s).alias("curve"), g.z_value(steps(offset), bits).alias("z")) for s, offset in enumerate(offsets)])).alias("c")
+        return F.explode(F.array(*[F.struct(F.lit(s).alias("curve"), z(_coords(name, dims), offset).alias("z")) for s, offset in enumerate(offsets)])).alias("c")
 
     marks = right.select(curves("q"), F.lit(0).alias("kind"), F.col("rid").alias("id")).unionByName(left.select(curves("p"), F.lit(1).alias("kind"), "id"))
     # The n right rows of each curve stand together. At a curve's ends the places beyond are taken from the other side.
-    placed = _positions(marks.select("c.curve", "c.z", "kind", "id")).withColumn("place", F.col("place") - F.col("curve") * n)
+    placed = _positions(checkpointed(marks.select("c.curve", "c.z", "kind", "id"))).withColumn("place", F.col("place") - F.col("curve") * n)
     start = F.greatest(F.lit(0), F.least(F.col("place") - reach, F.lit(n - 2 * reach)))
     wanted = placed.where("kind = 1").select("curve", "id", F.explode(F.sequence(start, F.least(start + 2 * reach - 1, F.lit(n - 1)))).alias("place"))
-    found = wanted.join(placed.where("kind = 0").select("curve", F.col("id").alias("rid"), "place"), ["curve", "place"]).select("id", "rid")
-    pairs = found.distinct().join(left, "id").join(right, "rid")
-    return _nearest(pairs, k, dims).select(*out)
+    found = wanted.join(placed.where("kind = 0").select("curve", F.col("id").alias("rid"), "place").hint("merge"), ["curve", "place"]).select("id", "rid")
+    pairs = found.distinct().join(left.hint("merge"), "id").join(right.select("rid", "q").hint("merge"), "rid")
+    near = _nearest(pairs, k, dims).select("p", "rid", "d")
+    return near.join(rows.hint("merge"), "p").join(right.hint("merge"), "rid").select(*out)

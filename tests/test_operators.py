@@ -2,11 +2,13 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille.functions import geometry as g
 from quadrille.operators import filters, joins
@@ -279,3 +281,66 @@ def test_distance_join_kinds(spark, r):
             assert not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in kinds.values())
     with pytest.raises(ValueError):
         joins.distance_join(frame(spark, left, 2), frame(spark, right, 2), ["k0"], ["k0"], r, "block", how="left")
+
+
+def test_places_outside_the_points_are_found_by_few_candidates(monkeypatch):
+    """Half of the places are outside the points, as of a filtered side: cells around them are looked at within the distance only."""
+    r = np.random.default_rng(13)
+    points = np.stack([r.integers(0, 53, 20_000).astype(float), r.uniform(50, 100, 20_000)], axis=1)
+    places = np.stack([r.integers(0, 53, 300).astype(float), r.uniform(0, 40, 300)], axis=1)
+    index, looked = joins.CellIndex(points, 2), []
+    best = joins.CellIndex._best
+    monkeypatch.setattr(joins.CellIndex, "_best", lambda self, places, rows, owner, begins, counts, *out: (looked.append(int(counts.sum())), best(self, places, rows, owner, begins, counts, *out)))
+    near, away = index.nearest(places)
+    d = np.sqrt(((places[:, None] - points[None]) ** 2).sum(axis=2))
+    assert (near == np.argsort(d, axis=1, kind="stable")[:, :2]).all()
+    assert sum(looked) < 300 * 2_000
+
+
+def test_a_worker_compares_few_candidates_at_a_time():
+    """20,000 places, and a place with 50,000 points: memory is bounded by the candidates of a pass."""
+    r = np.random.default_rng(14)
+    points = np.concatenate([np.zeros((50_000, 2)), r.uniform(0, 10, (50_000, 2))])
+    tracemalloc.start()
+    near, _ = joins.CellIndex(points, 3).nearest(r.uniform(0, 10, (20_000, 2)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert near.shape == (20_000, 3)
+    assert peak < 100e6
+
+
+@pytest.mark.parametrize("strategy", ["block", "voronoi", "grid", "zorder"])
+def test_knn_join_of_repeated_places(spark, strategy):
+    """3,000 left rows in 200 places and 3,000 right rows in 600; nothing is broadcast by its files' size."""
+    r = np.random.default_rng(15)
+    a, b = r.integers(0, 200, 3000), r.integers(0, 600, 3000)
+    at, to = np.round(r.uniform(0, 30, (200, 2)), 1), np.round(r.uniform(0, 20, (600, 2)), 1)
+    left, right = (spark.createDataFrame(pd.DataFrame({"id": np.arange(3000), "k0": x[:, 0], "k1": x[:, 1]})) for x in (at[a], to[b]))
+    pairs = joins.knn_join(left, right, ["k0", "k1"], ["k0", "k1"], 3, ["id"], strategy)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan or strategy in ("voronoi", "zorder")  # theirs are a table of pivots and one of offsets
+    got = {}
+    for x in pairs.select("id_l", "id_r").collect():
+        got.setdefault(x["id_l"], set()).add(x["id_r"])
+    d = np.sqrt(((at[:, None] - to[b][None]) ** 2).sum(axis=2))
+    want = np.argsort(d, axis=1, kind="stable")[:, :3]
+    same = sum(len(got[k] & {int(x) for x in want[a[k]]}) for k in range(3000))
+    assert all(len(x) == 3 for x in got.values()) and len(got) == 3000
+    assert strategy == "zorder" or same == 9000
+    assert all(got[k] == got[int(np.flatnonzero(a == a[k])[0])] for k in range(3000))  # left rows in one place have the same neighbours
+
+
+@pytest.mark.parametrize("strategy", ["nested_loop", "block"])
+def test_blocks_far_apart_are_not_compared(spark, strategy, monkeypatch):
+    monkeypatch.setattr(joins, "_PAIRS", 1000)
+    monkeypatch.setattr(joins, "_BLOCK_BITS", 6)
+    r = np.random.default_rng(16)
+    a, b = np.round(r.uniform(0, 100, (6000, 2)), 1), np.round(r.uniform(0, 100, (5000, 2)), 1)
+    left, right = (spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "k0": x[:, 0], "k1": x[:, 1]})) for x in (a, b))
+    seen, near_blocks = [], joins._near_blocks
+    monkeypatch.setattr(joins, "_near_blocks", lambda *x, **y: (seen.append(near_blocks(*x, **y)), seen[-1])[1])
+    got = joins.distance_join(left, right, ["k0", "k1"], ["k0", "k1"], 1.0, strategy).select("id_l", "id_r").collect()
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    assert {tuple(x) for x in got} == {(int(i), int(j)) for i, j in np.argwhere(d <= 1.0)} and len(got) == int((d <= 1.0).sum())
+    blocks = seen[0].agg(*[F.countDistinct(c) for c in ("lb", "rb")]).first()
+    assert seen[0].count() < blocks[0] * blocks[1] / 2
