@@ -344,3 +344,20 @@ def test_blocks_far_apart_are_not_compared(spark, strategy, monkeypatch):
     assert {tuple(x) for x in got} == {(int(i), int(j)) for i, j in np.argwhere(d <= 1.0)} and len(got) == int((d <= 1.0).sum())
     blocks = seen[0].agg(*[F.countDistinct(c) for c in ("lb", "rb")]).first()
     assert seen[0].count() < blocks[0] * blocks[1] / 2
+
+
+def test_shapes_in_hot_cells(spark, monkeypatch):
+    """Cells of more rows than a key may have are dealt out; flat boxes don't share cells as wide as they are."""
+    r = np.random.default_rng(17)
+    rows = [(k, x, y, x + 3.0, y + 0.01) for k, (x, y) in enumerate((float(x), float(y)) for x, y in zip(r.integers(0, 20, 400), r.uniform(0, 3, 400)))]
+    a = spark.createDataFrame(rows, "id long, lx double, ly double, hx double, hy double")
+    box = lambda c: g.Box.of([c("lx"), c("ly")], [c("hx"), c("hy")])
+    want = sorted((p[0], q[0]) for p in rows for q in rows if p[1] <= q[3] and p[3] >= q[1] and p[2] <= q[4] and p[4] >= q[2])
+    dealt, keys = joins._dealt, []
+    monkeypatch.setattr(joins, "_dealt", lambda left, right, same: (keys.append(left.groupBy("lw", "lc0", "lc1").count().count()), dealt(left, right, same))[1])
+    assert sorted((x["id_l"], x["id_r"]) for x in joins.shape_join(a, a, box, box).collect()) == want
+    assert keys[0] > 400  # two or three cells at a time hold each box, and the boxes are at 20 x 300 places
+    monkeypatch.setattr(joins, "_KEY_ROWS", 2)
+    pairs = joins.shape_join(a, a, box, box)
+    assert sorted((x["id_l"], x["id_r"]) for x in pairs.collect()) == want
+    assert "li#" in pairs._jdf.queryExecution().optimizedPlan().toString()
