@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import geometry as g
 from quadrille.plans.config import Config
+from quadrille.plans.storage import column
 
 _ERROR = 0.01
 
@@ -112,9 +113,15 @@ def voronoi_tiles(df: DataFrame, keys: list[str], pivots: int | None = None, nam
 def clustered(df: DataFrame, tile: str = "tile", partitions: int | None = None, sort: list[str] = ()) -> DataFrame:
     """Rows dealt out by tile ranges and sorted within, so that scans and cached batches can be skipped by their bounds."""
     order = [tile, *sort]
-    # Rows of a hot tile are spread by the sort keys too.
-    dealt = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    return dealt.sortWithinPartitions(*order)
+    # Rows of a hot tile are spread by the sort keys too, and those with the same keys by the whole row.
+    return spread(df, order, partitions).sortWithinPartitions(*order)
+
+
+def spread(df: DataFrame, order: list[str | Column], partitions: int | None = None) -> DataFrame:
+    """Rows dealt out by ranges of an order, of about as many rows each; rows that are equal in it are spread by a hash of the row."""
+    parts = [column(c) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    by = [*[column(x) if isinstance(x, str) else x for x in order], F.xxhash64(*parts) if parts else F.lit(0)]
+    return df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
 
 
 def by_hash(df: DataFrame, key: str, partitions: int) -> DataFrame:

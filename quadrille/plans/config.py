@@ -36,7 +36,7 @@ SETTINGS = {
     "voronoi.pivots": _whole("pivots of a Voronoi partitioning", 10),
     "sample.rate": Setting(0.01, float, lambda v: 0 < v <= 1, "share of rows in a selectivity estimate"),
     "partition.method": _choice("partitioning of an rtree index", "str", "str", "kd", "quad", "voronoi"),
-    "index.tileRows": _whole("rows of a tile, where an index is created without a number of tiles but with this set", 1_000_000),
+    "index.tileRows": _whole("rows of an index's partition, which a task sorts and caches: beyond its tiles, an index has as many partitions as that takes", 1_000_000),
     "index.sizeThreshold": _whole("rows up to which a query scans the source and doesn't look for an index", 1),
     "predicates.maxTerms": _whole("terms up to which a predicate is turned into a normal form", 1_000),
     "index.selectivity": Setting(False, lambda s: str(s).lower() == "true", lambda v: isinstance(v, bool), "whether to estimate a query's selectivity first"),

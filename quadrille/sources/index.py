@@ -1,7 +1,8 @@
 """A registry of named spatial indexes.
 
 An index is the table itself, clustered by its key: `rtree` and `quadtree` by tiles, `treap` and
-`treemap` by ranges of one key, `hashmap` by the key's hash. It is cached at a storage level, or
+`treemap` by ranges of one key, `hashmap` by ranges of the key's hash; large tables have more partitions
+than tiles, and a key with many rows several of them. It is cached at a storage level, or
 persisted as Parquet partitioned by tile. Queries on it are plain filters, so no predicate is ever
 lost: the clustering lets Spark skip files, row groups and cached batches.
 """
@@ -150,10 +151,12 @@ class Registry:
         if (label, name) in self._indexes:
             raise ValueError(f"{label} has an index {name}")
         extents: list[tuple] = []
+        # A task sorts and caches one partition, so partitions have so many rows at most, whatever the number of tiles.
+        parts = max(tiles, partition.tiles_for(df.count(), config.get("index.tileRows")))
         if kind == "hashmap":
-            data = partition.by_hash(df, columns[0], tiles).sortWithinPartitions(columns[0])
+            data = partition.spread(df, [F.xxhash64(column(columns[0]))], parts).sortWithinPartitions(columns[0])
         elif kind in ("treap", "treemap"):
-            data = partition.by_range(df, columns[0], tiles).sortWithinPartitions(columns[0])
+            data = partition.spread(df, columns, parts).sortWithinPartitions(columns[0])
         else:
             method = config.get("partition.method") if kind == "rtree" else "quad"
             if method == "str":
@@ -164,7 +167,7 @@ class Registry:
                 tiled = partition.voronoi_tiles(df, columns, tiles, _TILE)
             else:
                 tiled = partition.quad_tiles(df, columns, max(1, round(math.log2(tiles) / len(columns))), _TILE)
-            data = partition.clustered(tiled, _TILE, tiles, columns)
+            data = partition.clustered(tiled, _TILE, parts, columns)
         data = data.persist(level)
         if _TILE in data.columns:
             extents = _extents(data, columns)

@@ -284,3 +284,22 @@ def test_settings_of_the_session_are_checked(spark):
             Config(spark).get("join.knn")
     finally:
         spark.conf.unset("quadrille.join.knn")
+
+
+@pytest.mark.parametrize("kind", ["treap", "treemap", "hashmap", "rtree"])
+def test_partitions_of_an_index_are_bounded(spark, kind):
+    """Half of the rows have one key: no partition has many more rows than index.tileRows, and no row is lost."""
+    df = spark.range(4000).selectExpr("id", "cast(if(id % 2 = 0, 3, id % 50) as double) AS x", "1.0D AS y")
+    config = Config(spark)
+    config.set("index.tileRows", 200)
+    try:
+        registry = Registry(spark)
+        index = registry.create(df, kind, "by_x", ["x", "y"] if kind == "rtree" else ["x"], 4)
+        rows = index.data.groupBy(F.spark_partition_id()).count().collect()
+        assert len(rows) >= 15 and max(r[1] for r in rows) <= 500
+        assert index.rows().count() == 4000
+        found = index.equals(3.0) if kind == "hashmap" else index.range([3, 1], [3, 1]) if kind == "rtree" else index.range([3], [3])
+        assert found.count() == df.where("x = 3").count() > 2000
+        registry.clear()
+    finally:
+        config.unset("index.tileRows")
